@@ -16,6 +16,7 @@ from .windows import MOMENT, marked
 # What makes two findings the same alert; nulls are values like any other.
 ALERT_KEYS = ["datetime", "ip_origen", "usuario", "accion", "status"]
 JOINER = " | "
+MAX_RULES = 63
 
 
 class Detector:
@@ -35,52 +36,69 @@ class Detector:
         return [r.name for r in self.rules]
 
     def hits(self, events: DataFrame) -> DataFrame:
-        """Findings, not merged yet: alert keys, line keys and ``hits``.
+        """Findings, not merged yet: alert keys, line keys, ``found`` and ``texts``.
 
-        ``hits`` lists (ord, rule, reason, severity). All row rules are judged in one
-        pass that shuffles nothing. The marks of all window rules are joined to the
-        events in a second pass, so an event hit by both appears twice here.
+        Bit i of ``found`` stands for the i-th rule; ``texts`` holds (ord, reason) of
+        rules whose reason depends on the row. All row rules are judged in one pass
+        that shuffles nothing. The marks of all window rules are joined to the events
+        in a second pass, so an event hit by both kinds appears twice here.
         """
         df = with_line_keys(events)
+        if len(self.rules) > MAX_RULES:
+            raise ValueError(f"More than {MAX_RULES} rules")
         numbered = [(i, r) for i, r in enumerate(self.rules) if r.applies_to(df)]
         keep = [c for c in [*ALERT_KEYS, "timestamp"] if c in df.columns] + LINE_KEYS
-        parts = [
-            found.where(F.size("hits") > 0)
-            for found in (
-                _row_hits(df, keep, [(i, r) for i, r in numbered if isinstance(r, RowRule)]),
-                _window_hits(df, keep, [(i, r) for i, r in numbered if isinstance(r, WindowRule)]),
-                *[
-                    r.rows(df).select(*keep, F.array(_hit(i, r, F.lit(r.reason))).alias("hits"))
-                    for i, r in numbered
-                    if isinstance(r, FrameRule)
-                ],
-            )
-            if found is not None
-        ]
-        if not parts:
-            return _row_hits(df, keep, []).limit(0)
+
+        def of_kind(kind: type) -> list[tuple[int, Rule]]:
+            return [(i, r) for i, r in numbered if isinstance(r, kind)]
+
+        parts = [_row_hits(df, keep, of_kind(RowRule))]
+        if of_kind(WindowRule):
+            parts.append(_window_hits(df, keep, of_kind(WindowRule)))
+        for i, rule in of_kind(FrameRule):
+            parts.append(rule.rows(df).select(*keep, _bit(i).alias("found"), _no_texts()))
         return reduce(DataFrame.unionByName, parts)
 
     def alerts(self, events: DataFrame) -> DataFrame:
         """One row per alert: keys, reason, rule, severity, timestamp; not sorted."""
-        found = self.hits(events)
-        keys = [c for c in ALERT_KEYS if c in found.columns]
-        first = F.struct(F.col("hits")[0]["ord"], line_key())
-        aggregates = [F.flatten(F.collect_set("hits")).alias("_hits")]
-        if "timestamp" in found.columns:
-            aggregates.append(
-                F.min_by("timestamp", F.when(F.col("timestamp").isNotNull(), first)).alias("timestamp")
-            )
-        # collect_set keeps one copy per task, so repeated findings shrink map-side.
-        merged = found.groupBy(*keys).agg(*aggregates)
+        hits = self.hits(events)
+        keys = [c for c in ALERT_KEYS if c in hits.columns]
+        aggregates = [
+            F.bit_or("found").alias("_found"),
+            F.array_distinct(F.flatten(F.collect_set("texts"))).alias("_texts"),
+        ]
+        if "timestamp" in hits.columns:
+            # the lowest bit is the first rule of a row
+            place = F.struct(F.col("found").bitwiseAND(-F.col("found")), line_key())
+            known = F.when(F.col("timestamp").isNotNull(), place)
+            aggregates.append(F.min_by("timestamp", known).alias("timestamp"))
+        # Repeated findings shrink to one row per task before they are shuffled.
+        merged = hits.groupBy(*keys).agg(*aggregates)
         return merged.select(
             *keys,
-            _joined("reason").alias("reason"),
-            _joined("rule").alias("rule"),
-            _worst(F.col("_hits")).alias("severity"),
+            self._reasons().alias("reason"),
+            F.array_join(F.array(*[_if_found(i, r.name) for i, r in enumerate(self.rules)]), JOINER).alias("rule"),
+            self._severity().alias("severity"),
             *[c for c in merged.columns if c == "timestamp"],
         )
 
+    def _reasons(self) -> Column:
+        """Different reasons in rule order, those of one rule in order of their text."""
+        parts = []
+        for i, rule in enumerate(self.rules):
+            reason = rule.reason
+            if isinstance(reason, str):
+                parts.append(F.array_compact(F.array(_if_found(i, reason))))
+            else:
+                parts.append(_texts_of(i))
+        return F.array_join(F.array_distinct(F.flatten(F.array(*parts))), JOINER)
+
+    def _severity(self) -> Column:
+        ranked = sorted(
+            enumerate(self.rules), key=lambda p: -SEVERITY_RANK.get(p[1].severity.lower(), 0)
+        )
+        return F.coalesce(*[_if_found(i, r.severity) for i, r in ranked], F.lit(None))
+
     def run(self, events: DataFrame) -> DataFrame:
         """Alerts in order of time; rows of one moment in order of their keys."""
         alerts = self.alerts(events)
@@ -88,57 +106,53 @@ class Detector:
         return alerts.orderBy(*keys)
 
 
-def _hit(order: int, rule: Rule, reason: Column) -> Column:
-    return F.struct(
-        F.lit(order).alias("ord"),
-        F.lit(rule.name).alias("rule"),
-        reason.alias("reason"),
-        F.lit(rule.severity).alias("severity"),
-    )
+def _bit(i: int) -> Column:
+    return F.lit(1 << i).cast("bigint")
 
 
-def _row_hits(df: DataFrame, keep: list[str], rules: list[tuple[int, RowRule]]) -> DataFrame:
-    found = [F.when(r.predicate(df), _hit(i, r, r.reason_column())) for i, r in rules]
-    empty = F.array().cast("array<struct<ord:int,rule:string,reason:string,severity:string>>")
-    hits = F.array_compact(F.array(*found)) if found else empty
-    # Behind explode() the caller's filter does not repeat the patterns.
-    return df.select(*keep, F.explode(F.array(hits)).alias("hits"))
-
-
-def _window_hits(
-    df: DataFrame, keep: list[str], rules: list[tuple[int, WindowRule]]
-) -> DataFrame | None:
-    if not rules:
-        return None
-    marks = reduce(
-        DataFrame.unionByName, [r.marks(df).withColumn("_ord", F.lit(i)) for i, r in rules]
-    )
-    eligible, hit = F, F
-    for i, r in rules:
-        mine = F.col("_ord") == i
-        eligible = eligible.when(mine, r.eligible(df))
-        hit = hit.when(mine, _hit(i, r, F.lit(r.reason)))
-    rows = df.select(*dict.fromkeys([*keep, *_used(df, rules)])).join(marks, MOMENT)
-    return rows.where(marked(F.col("from_key")) & eligible).select(*keep, F.array(hit).alias("hits"))
+def _if_found(i: int, text: str) -> Column:
+    return F.when(F.col("_found").bitwiseAND(_bit(i)) != 0, F.lit(text))
 
 
-def _used(df: DataFrame, rules: list[tuple[int, WindowRule]]) -> list[str]:
-    return [c for c in df.columns if any(c in r.needs for _, r in rules)]
+def _texts_of(i: int) -> Column:
+    mine = F.filter("_texts", lambda t: t["ord"] == i)
+    return F.sort_array(F.transform(mine, lambda t: t["reason"]))
 
 
-def _joined(field: str) -> Column:
-    """Different texts in rule order (then by text), joined."""
-    ordered = F.array_sort(F.array_distinct("_hits"))
-    return F.array_join(F.array_distinct(F.transform(ordered, lambda h: h[field])), JOINER)
+def _no_texts() -> Column:
+    return F.lit(None).cast("array<struct<ord:int,reason:string>>").alias("texts")
 
 
-def rank_of(severity: Column) -> Column:
-    rank = F
-    for name, value in SEVERITY_RANK.items():
-        rank = rank.when(F.lower(severity) == name, value)
-    return rank.otherwise(0)
+def _row_hits(df: DataFrame, keep: list[str], rules: list[tuple[int, RowRule]]) -> DataFrame:
+    found = F.lit(0).cast("bigint")
+    for i, r in rules:
+        found = found.bitwiseOR(F.when(r.predicate(df), _bit(i)).otherwise(F.lit(0).cast("bigint")))
+    varying = [(i, r) for i, r in rules if not isinstance(r.reason, str)]
+    texts = _no_texts()
+    if varying:
+        told = [
+            F.when(
+                F.col("found").bitwiseAND(_bit(i)) != 0,
+                F.struct(F.lit(i).alias("ord"), r.reason_column().alias("reason")),
+            )
+            for i, r in varying
+        ]
+        texts = F.when(F.coalesce(*told).isNotNull(), F.array_compact(F.array(*told))).alias("texts")
+    # Behind explode() neither the filter nor the texts repeat the patterns.
+    judged = df.select("*", F.explode(F.array(found)).alias("found"))
+    return judged.where(F.col("found") != 0).select(*keep, "found", texts)
 
 
-def _worst(hits: Column) -> Column:
-    ranked = F.transform(hits, lambda h: F.struct(rank_of(h["severity"]).alias("r"), h["severity"].alias("s")))
-    return F.array_max(ranked)["s"]
+def _window_hits(df: DataFrame, keep: list[str], rules: list[tuple[int, WindowRule]]) -> DataFrame:
+    marks = reduce(
+        DataFrame.unionByName, [r.marks(df).withColumn("_ord", F.lit(i)) for i, r in rules]
+    )
+    eligible, bit = F, F
+    for i, r in rules:
+        mine = F.col("_ord") == i
+        eligible = eligible.when(mine, r.eligible(df))
+        bit = bit.when(mine, _bit(i))
+    used = [c for c in df.columns if any(c in r.needs for _, r in rules)]
+    rows = df.select(*dict.fromkeys([*keep, *used])).join(marks, MOMENT)
+    hit = rows.where(marked(F.col("from_key")) & eligible)
+    return hit.select(*keep, bit.alias("found"), _no_texts())
