@@ -84,7 +84,7 @@ class Detector:
 
     def _reasons(self) -> Column:
         """Different reasons in rule order, those of one rule in order of their text."""
-        parts = []
+        parts = [F.array().cast("array<string>")]
         for i, rule in enumerate(self.rules):
             reason = rule.reason
             if isinstance(reason, str):
@@ -97,7 +97,7 @@ class Detector:
         ranked = sorted(
             enumerate(self.rules), key=lambda p: -SEVERITY_RANK.get(p[1].severity.lower(), 0)
         )
-        return F.coalesce(*[_if_found(i, r.severity) for i, r in ranked], F.lit(None))
+        return F.coalesce(*[_if_found(i, r.severity) for i, r in ranked], F.lit(None).cast("string"))
 
     def run(self, events: DataFrame) -> DataFrame:
         """Alerts in order of time; rows of one moment in order of their keys."""

@@ -7,18 +7,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
+# Application id -> folder of this machine, for sessions that name no shared one.
+_local_folders: dict[str, str] = {}
+
 
 def scratch_folder(spark: SparkSession) -> str:
     """A new folder name under the shared folder the session names.
 
     Only a session that names none (a local one) gets a folder of this machine.
     """
-    base = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getConf().get(
-        CHECKPOINT_DIR
-    )
+    base = spark.conf.get(CHECKPOINT_DIR, None)
     if not base:
-        base = tempfile.mkdtemp(prefix="duskwatch-")
-        spark.conf.set(CHECKPOINT_DIR, base)
+        app = spark.sparkContext.applicationId
+        if app not in _local_folders:
+            _local_folders[app] = tempfile.mkdtemp(prefix="duskwatch-")
+        base = _local_folders[app]
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 

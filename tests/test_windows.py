@@ -19,7 +19,7 @@ def random_rows(seed, n, span, ips=3, users=6):
     for _ in range(n):
         # half of the rows come from one address, many at full hours and minutes
         ip = "0.0.0.0" if rng.random() < 0.5 else f"10.0.0.{rng.randrange(ips)}"
-        second = rng.choice([rng.randrange(span), 60 * rng.randrange(span // 60)])
+        second = rng.choice([rng.randrange(span), 60 * rng.randrange(span // 60 + 1)])
         rows.append(
             {
                 "datetime": START + timedelta(seconds=second),
