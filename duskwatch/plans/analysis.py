@@ -18,7 +18,7 @@ from duskwatch.scratch import materialize
 from duskwatch.sources.formats import FORMATS, LogFormat
 from duskwatch.sources.text_logs import (
     cast_times,
-    detect_formats,
+    find_formats,
     log_lines,
     parse_lines,
     parse_stats,
@@ -64,7 +64,7 @@ def analyze(
     """
     started = time.monotonic()
     raw = raw_lines(spark, paths)
-    formats = detect_formats(raw, known) if formats is None else formats
+    formats = find_formats(raw, known) if formats is None else formats
     lines = log_lines(raw)
     parsed = parse_lines(lines, formats, known)
     events = materialize(normalize(cast_times(parsed, now or datetime.now())), events_path)

@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 from duskwatch.functions.regex import strip
 from duskwatch.functions.timestamps import infer_datetime, usual_layout
 from duskwatch.schema import EVENT_COLUMNS, LINE_KEYS, project_events
+from duskwatch.scratch import materialize
 
 from .formats import FORMATS, LineShape, LogFormat, columns_of
 
 SAMPLE_LINES = 20
+# Up to this many files, their formats (a path and a word each) are sent to every task.
+BROADCAST_FILES = 500_000
 
 
 def raw_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
@@ -61,6 +64,17 @@ def detect_formats(raw: DataFrame, formats: Sequence[LogFormat] = FORMATS) -> Da
     return votes.select("file_path", pick.alias("format"))
 
 
+def find_formats(raw: DataFrame, formats: Sequence[LogFormat] = FORMATS) -> DataFrame:
+    """:func:`detect_formats`, stored: the files are looked at once, not by every user."""
+    return materialize(detect_formats(raw, formats))
+
+
+def _with_format(lines: DataFrame, formats: DataFrame) -> DataFrame:
+    """Add ``format`` by file; ``formats`` should be a stored table (it is counted)."""
+    few = formats.limit(BROADCAST_FILES + 1).count() <= BROADCAST_FILES
+    return lines.join(F.broadcast(formats) if few else formats, "file_path")
+
+
 def parse_lines(
     lines: DataFrame,
     formats: DataFrame | str,
@@ -80,7 +94,7 @@ def parse_lines(
         mine = fmt.captures(F.col("value"), first=len(shapes))
         captured = captured.when(F.col("format") == fmt.name, mine)
         shapes += fmt.shapes
-    placed = lines.join(formats, "file_path")
+    placed = _with_format(lines, formats)
     return project_events(columns_of(placed, "value", captured, shapes))
 
 
@@ -107,7 +121,7 @@ def read_events(
     """
     raw = raw_lines(spark, paths)
     if formats is None:
-        formats = detect_formats(raw, known)
+        formats = find_formats(raw, known)
     return cast_times(parse_lines(log_lines(raw), formats, known), now)
 
 
@@ -124,7 +138,7 @@ def parse_stats(
     if isinstance(formats, str):
         hit = parsed({f.name: f for f in known}[formats])
     else:
-        lines = lines.join(formats, "file_path")
+        lines = _with_format(lines, formats)
         hit = F.lit(False)
         for fmt in known:
             hit = hit | ((F.col("format") == fmt.name) & parsed(fmt))

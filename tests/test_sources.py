@@ -9,6 +9,7 @@ from duskwatch.sources.formats import LineShape, LogFormat
 from duskwatch.sources.text_logs import (
     cast_times,
     detect_formats,
+    find_formats,
     log_lines,
     parse_lines,
     parse_stats,
@@ -212,7 +213,7 @@ def test_statistics(spark, tmp_path):
     write_log(folder, "a.log", "\n".join([FAILED, "garbage", "", bad_time, FAILED]))
     write_log(folder, "b.log", "prose\nmore prose\n")
     raw = raw_lines(spark, str(folder))
-    lines, formats = log_lines(raw), detect_formats(raw)
+    lines, formats = log_lines(raw), find_formats(raw)
     stats = parse_stats(lines, formats)
     got = {r.file_path.rsplit("/", 1)[1]: r for r in stats.collect()}
     a, b = got["a.log"], got["b.log"]

@@ -50,6 +50,7 @@ from duskwatch.sources.formats import (
 from duskwatch.sources.text_logs import (
     cast_times,
     detect_formats,
+    find_formats,
     log_lines,
     parse_lines,
     parse_stats,
@@ -322,7 +323,7 @@ def _all_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_canonical_events(spark, sf_dir):
     """Files of all kinds in one table, each read by the format found for it."""
     raw = _all_lines(spark, sf_dir)
-    return cast_times(parse_lines(log_lines(raw), detect_formats(raw)), L.NOW)
+    return cast_times(parse_lines(log_lines(raw), find_formats(raw)), L.NOW)
 
 
 _STATS = f"""{WITH}, n AS (SELECT file_path, value, {S.has("value", S.SYSLOG_LINE)} AS ok FROM syslog_lines
@@ -337,7 +338,7 @@ st AS (SELECT file_path, count(*) AS lines_read, count(*) FILTER (ok) AS lines_p
 @query("parse_stats", f"{_STATS} SELECT * FROM st")
 def q_parse_stats(spark, sf_dir):
     raw = _all_lines(spark, sf_dir)
-    return parse_stats(log_lines(raw), detect_formats(raw))
+    return parse_stats(log_lines(raw), find_formats(raw))
 
 
 @query(
@@ -347,7 +348,7 @@ def q_parse_stats(spark, sf_dir):
 )
 def q_stats_report(spark, sf_dir):
     raw = _all_lines(spark, sf_dir)
-    lines, formats = log_lines(raw), detect_formats(raw)
+    lines, formats = log_lines(raw), find_formats(raw)
     events = cast_times(parse_lines(lines, formats), L.NOW)
     return stats_report(parse_stats(lines, formats), events)
 
