@@ -5,6 +5,7 @@ from datetime import datetime, timedelta
 
 import pytest
 
+from duskwatch.operators.detect import Detector
 from duskwatch.operators.rules import brute_force, user_probing
 from duskwatch.operators.windows import trailing_counts
 
@@ -123,3 +124,64 @@ def test_no_pass_over_a_whole_address(spark):
         assert "hashpartitioning(ip_origen" in plan
         for part in plan.split("hashpartitioning(ip_origen")[1:]:
             assert part.split(")")[0].count(",") > 1
+
+
+def hot_moment(spark, n=6000):
+    """All rows of one address in one second, over several files, plus a few others."""
+    hot = spark.range(n).selectExpr(
+        "concat('f', id % 3) AS file_path",
+        "id % 2 AS block",
+        "id AS line_no",
+        "timestamp_ntz'2024-01-01 00:59:59' AS datetime",
+        "'0.0.0.0' AS ip_origen",
+        "concat('u', id) AS usuario",
+        "'FAIL' AS status",
+        "concat('action ', id) AS accion",
+    )
+    cold = spark.range(60).selectExpr(
+        "'g' AS file_path",
+        "0L AS block",
+        "id AS line_no",
+        "timestamp_ntz'2024-01-01 01:00:00' + make_interval(0, 0, 0, 0, 0, id) AS datetime",
+        "concat('10.0.0.', id) AS ip_origen",
+        "'u' AS usuario",
+        "'FAIL' AS status",
+        "'x' AS accion",
+    )
+    return hot.unionByName(cold)
+
+
+def test_one_moment_with_nearly_all_rows(spark):
+    df = hot_moment(spark)
+    # in line order, the first five (three) rows of the moment are no findings yet
+    first = [r.line_no for r in df.where("file_path = 'f0' AND block = 0").orderBy("line_no").limit(5).collect()]
+    everything = set(range(6000))
+    hot = "file_path <> 'g'"
+    got = {r.line_no for r in brute_force().evaluate(df).where(hot).collect()}
+    assert got == everything - set(first)
+    got = {r.line_no for r in user_probing().evaluate(df).where(hot).collect()}
+    assert got == everything - set(first[:3])
+    counts = trailing_counts(df, 60, "rpm").where(hot).orderBy("file_path", "block", "line_no").collect()
+    assert [r.rpm for r in counts] == list(range(1, 6001))
+
+
+def test_a_skewed_moment_is_split_in_the_join(spark):
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8KB",
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        alerts = Detector([brute_force(), user_probing()]).alerts(hot_moment(spark))
+        assert len(alerts.collect()) == 5997
+        plan = alerts._jdf.queryExecution().executedPlan().toString()
+        assert "skew=true" in plan
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
