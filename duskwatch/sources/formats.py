@@ -21,7 +21,7 @@ Groups = Callable[[int], Column]
 
 @dataclass(frozen=True)
 class LineShape:
-    """An anchored pattern with ``groups`` captures and the columns they make."""
+    """A pattern for the start of a line, its ``groups`` captures and their columns."""
 
     pattern: str
     groups: int
@@ -29,12 +29,11 @@ class LineShape:
 
     @property
     def regex(self) -> str:
-        return java_regex(self.pattern)
+        return java_regex(rf"^(?:{self.pattern})")
 
     def whole_line(self) -> str:
         # A tagged line (see LogFormat.captures) starts with a line feed: no match.
-        body = self.pattern.removeprefix("^").removesuffix("$")
-        return java_regex(rf"^(?!\n){body}{"$" if self.pattern.endswith('$') else ''}[\s\S]*")
+        return java_regex(rf"^(?!\n)(?:{self.pattern})[\s\S]*")
 
 
 @dataclass(frozen=True)

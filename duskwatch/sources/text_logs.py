@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Sequence
 from datetime import datetime
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,8 +23,18 @@ BROADCAST_FILES = 500_000
 
 
 def raw_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """Every line of the files, with its place; bad UTF-8 becomes U+FFFD."""
-    return spark.read.text([paths] if isinstance(paths, str) else list(paths)).select(
+    """Every line of the files, with its place; bad UTF-8 becomes U+FFFD.
+
+    A path that does not exist gives no lines.
+    """
+    try:
+        text = spark.read.text([paths] if isinstance(paths, str) else list(paths))
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        logging.getLogger(__name__).warning("No such path: %s", paths)
+        return spark.createDataFrame([], "file_path string, block bigint, line_no bigint, value string")
+    return text.select(
         F.col("_metadata.file_path").alias("file_path"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("line_no"),

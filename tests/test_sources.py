@@ -107,11 +107,15 @@ def test_garbage_and_empty_files(spark, tmp_path):
     assert read_events(spark, path, NOW).count() == 0
 
 
+def test_a_missing_path_gives_no_events(spark, tmp_path):
+    assert read_events(spark, str(tmp_path / "none.log"), NOW).count() == 0
+
+
 def test_blank_lines_padding_and_bad_bytes(spark, tmp_path):
     text = b"\n  \t\n \x1c " + FAILED.encode() + b" \xa0\xff \r\n\x0b\n"
     path = write_log(tmp_path, "b.log", text)
     (line,) = log_lines(raw_lines(spark, path)).collect()
-    assert line.value == text.decode(errors="replace").splitlines()[4].strip() or line.value.startswith("Oct 11")
+    assert line.value.startswith("Oct 11")
     assert line.value.endswith("��")
     assert len(parsed(spark, tmp_path, text)) == 1
 
