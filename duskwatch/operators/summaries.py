@@ -85,10 +85,11 @@ def forensic_view(events: DataFrame, alerts: DataFrame, size: int = LATEST_ROWS)
         .groupBy("datetime", "ip_origen")
         .agg(F.max_by(F.struct("rule", "severity"), order).alias("alert"))
     )
+    time_text = F.col("timestamp") if "timestamp" in df.columns else F.lit(None)
     return latest.join(known, ["datetime", "ip_origen"], "left").select(
         *LINE_KEYS,
         "status",
-        F.date_format("datetime", "yyyy-MM-dd HH:mm:ss").alias("time_text"),
+        F.coalesce(F.col("datetime").cast("string"), time_text).alias("time_text"),
         alert_label(F.col("alert.rule")).alias("label"),
         F.upper("alert.severity").alias("severity"),
         preview(F.coalesce("accion", F.lit("None"))).alias("action_preview"),

@@ -1,8 +1,10 @@
 from datetime import timedelta
 
+from duskwatch.operators.export import alert_records
 from duskwatch.operators.features import extract_features
 from duskwatch.operators.iforest import fit
-from duskwatch.operators.rules import brute_force
+from duskwatch.operators.rules import brute_force, user_probing
+from duskwatch.operators.summaries import hourly_intensity
 from duskwatch.plans.analysis import analyze
 from duskwatch.scratch import CHECKPOINT_DIR, materialize, scratch_folder
 
@@ -73,3 +75,24 @@ def test_order_of_time(spark, tmp_path):
     rows = analyze(spark, write_log(tmp_path, "auth.log", text), NOW).alerts.collect()
     times = [r.datetime for r in rows]
     assert times == sorted(times) and times[-1] - times[0] < timedelta(minutes=1)
+
+
+def test_wall_clock_times_in_any_session_time_zone(spark, tmp_path):
+    """02:30 does not exist on that day in New York, but a log may hold it."""
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        stamps = [f"Mar  8 0{h}:{m}:{s:02d}" for h, m, s0 in ((1, 59, 58), (2, 30, 0)) for s in range(s0, s0 + 2)]
+        text = "\n".join(
+            f"{stamp} h sshd[1]: Failed password for u{i} from 192.0.2.1" for i, stamp in enumerate(stamps)
+        )
+        path = write_log(tmp_path, "dst.log", text)
+        result = analyze(spark, path, NOW, rules=[user_probing(4, 1900)])
+        (record,) = alert_records(result.alerts).collect()
+        assert record.datetime == "2026-03-08 02:30:01"
+        # half an hour lies between them on the wall clock
+        assert analyze(spark, path, NOW, rules=[user_probing(4, 1700)]).total_anomalies == 0
+        hours = [r.datetime.hour for r in hourly_intensity(result.events).orderBy("datetime").collect()]
+        assert hours == [1, 2]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
