@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, packing, sharding, token_counts, url_filter
+from . import chat_format, decontaminate, jaccard_join, language_id, packing, sharding, token_counts, url_filter
 from .tables import crc32_of, utf8_bytes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -120,3 +120,25 @@ def op9_url_filter(spark, sf_dir):
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_filter.filter_urls(pages, rules).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op5_language_id")
+def op5_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    kept_out = language_id.held_out(docs["doc_id"])
+    model = language_id.fit(docs.where(~kept_out).select("doc_id", "text", "lang"))
+    done = language_id.identify(docs.select("doc_id", "text"), model)
+    return done.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+@query("op6_jaccard_join")
+def op6_jaccard_join(spark, sf_dir):
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op10_decontamination")
+def op10_decontamination(spark, sf_dir):
+    """Documents that hold a benchmark item, one row per document and item."""
+    return decontaminate.find_contamination(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    )
