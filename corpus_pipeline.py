@@ -3,20 +3,60 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from duskwatch.llm import packing
-from duskwatch.llm.queries import END_ID, WORD_VOCABULARY
-from duskwatch.llm.tables import stored
+from duskwatch.llm import decontaminate, jaccard_join, language_id, packing
+from duskwatch.llm.queries import END_ID, WORD_VOCABULARY, table
+from duskwatch.llm.tables import stored, where_id_in
+
+
+def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which a language is found.
+
+    Those without any letter (null, empty, digits and signs only) go. The language is
+    predicted from the text; the columns stay as they are.
+    """
+    model = language_id.fit(docs.where(~language_id.held_out(docs["doc_id"])).select("doc_id", "text", "lang"))
+    told = language_id.identify(docs, model)
+    return told.where(F.col("lang_pred") != language_id.UNKNOWN).select(docs.columns)
+
+
+def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: the one with the smallest id.
+
+    Of several rows with that id one stays.
+    """
+    groups = jaccard_join.near_duplicates(docs)
+    leave = stored(groups.where("component_id <> doc_id").select("doc_id").distinct())
+    kept = where_id_in(docs, "doc_id", leave, keep=False)
+    repeated = stored(
+        groups.where("component_id = doc_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    )
+    if repeated.isEmpty():
+        return kept
+    once = where_id_in(kept, "doc_id", repeated).dropDuplicates(["doc_id"])
+    return where_id_in(kept, "doc_id", repeated, keep=False).unionByName(once)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    found = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"))
+    return where_id_in(docs, "doc_id", stored(found.select("doc_id").distinct()), keep=False)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 4096 tokens from all documents that are left."""
+    """Pieces of sequences of at most 4096 tokens from all documents that are left."""
     return packing.pack_documents(docs, WORD_VOCABULARY, END_ID)
 
 
-STAGES = [("packing", pack)]
+STAGES = [
+    ("language_id", keep_known_language),
+    ("jaccard_join", keep_one_of_similar),
+    ("decontamination", drop_contaminated),
+    ("packing", pack),
+]
 
-# Token ids are beyond SQL.
+# Predictions and token ids are beyond SQL.
 ORACLE_SQL = None
 
 

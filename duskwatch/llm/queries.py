@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, jaccard_join, language_id, packing, sharding, token_counts, url_filter
+from . import chat_format, decontaminate, embedding_join, html_wrapper, jaccard_join, language_id, packing, sharding, token_counts, url_filter
 from .tables import crc32_of, utf8_bytes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -142,3 +142,13 @@ def op10_decontamination(spark, sf_dir):
     return decontaminate.find_contamination(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     )
+
+
+@query("op3_embedding_near_dedup")
+def op3_embedding_near_dedup(spark, sf_dir):
+    return embedding_join.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query("op7_html_extraction")
+def op7_html_extraction(spark, sf_dir):
+    return html_wrapper.extract_main_text(table(spark, sf_dir, "pages"))

@@ -52,9 +52,8 @@ def filter_urls(urls: DataFrame, rules: DataFrame, url_column: str = "url", defa
 
     Every url is spread into the pairs of a host suffix and a path prefix as long as
     some rule's path, and joined with the rules on 32 bits of a hash; SHA-256 digests
-    confirm. The many-sided rows are merged again by row number inside the tasks that
-    made them, so only one row per url is shuffled. Spark broadcasts the rules if their
-    size allows.
+    confirm. The rows of a url meet again by its row number, in the only shuffle; page
+    bodies should be left out. Spark broadcasts the rules if their size allows.
     """
     taken = {"host", "path", "rule", "verdict", "_row"} & set(urls.columns)
     if taken:
