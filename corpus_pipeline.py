@@ -17,8 +17,9 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     predicted from the text; the columns stay as they are.
     """
     model = language_id.fit(docs.where(~language_id.held_out(docs["doc_id"])).select("doc_id", "text", "lang"))
-    told = language_id.identify(docs, model)
-    return told.where(F.col("lang_pred") != language_id.UNKNOWN).select(docs.columns)
+    rows = docs.select("text", F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    told = language_id.identify(rows, model)
+    return told.where(F.col("lang_pred") != language_id.UNKNOWN).select("row.*")
 
 
 def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -156,12 +156,10 @@ def identify(docs: DataFrame, model: LanguageModel, text_column: str = "text") -
     """All columns of ``docs`` plus ``lang_pred`` and ``score`` (0 to 1), from the text alone.
 
     ``und`` with score 0 if the text is null, empty or has no letter, or if the model
-    knows no language. Ties go to the first language by name. Clashing column names are
-    an error; repeated rows stay; no shuffle.
+    knows no language. Ties go to the first language by name. Columns of these names
+    are replaced; repeated rows stay; an empty table gives an empty table; no shuffle.
     """
-    taken = {"lang_pred", "score"} & set(docs.columns)
-    if taken:
-        raise ValueError(f"Columns in the way: {sorted(taken)}")
+    docs = docs.drop("lang_pred", "score")
     sent = docs.sparkSession.sparkContext.broadcast(model)  # its size is bounded by MAX_WORDS, MAX_GRAMS
     place = docs.columns.index(text_column)
 

@@ -102,12 +102,11 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_
     however often it is repeated, can overload one) and each group is packed by itself,
     first-fit decreasing. The pieces are written once before that, which fixes their
     numbers for tasks that run again; ties of length go by number. An empty table gives
-    an empty table; lengths of 0 or over ``capacity`` are an error.
+    an empty table; columns of the two names are replaced; lengths that are null, 0 or
+    over ``capacity`` are an error.
     """
+    pieces = pieces.drop("_row", "_group", "sequence_id", "offset")
     names = pieces.columns
-    taken = {"_row", "_group", "sequence_id", "offset"} & set(names)
-    if taken:
-        raise ValueError(f"Columns in the way: {sorted(taken)}")
     rows = stored(pieces.withColumn("_row", F.monotonically_increasing_id()))
     wrong, partial = rows.agg(
         F.count_if(~F.coalesce(F.col("length").between(1, capacity), F.lit(False))),

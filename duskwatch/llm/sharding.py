@@ -87,25 +87,27 @@ def with_slots(rows: DataFrame, shard: str = "shard", numbered_rows: int = NUMBE
     upto = Window.partitionBy(shard).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     before = sizes.select(shard, "_part", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_before"))
     inside = Window.partitionBy(shard, "_part").orderBy("_row")
-    numbered = dealt.withColumn("_in", F.row_number().over(inside) - 1)
+    numbered = dealt.withColumn("_nth", F.row_number().over(inside) - 1)
     return numbered.join(before, [shard, "_part"]).withColumn(
-        "slot", (F.col("_before") + F.col("_in")).cast("long")
-    ).drop("_part", "_in", "_before")
+        "slot", (F.col("_before") + F.col("_nth")).cast("long")
+    ).drop("_part", "_nth", "_before")
 
 
 def shard_rows(rows: DataFrame, size: Column, group: Column, shards: int) -> DataFrame:
     """All columns of ``rows`` plus ``shard`` and ``slot``: near equal sums of ``size``.
 
-    Rows of the same ``group`` (not null) share a shard. Repeated rows count each. An
-    empty table gives an empty table. The rows are written once, which fixes their
-    numbers for tasks that run again; keep them narrow.
+    Rows of the same ``group`` (not null) share a shard. Repeated rows count each; a null
+    size counts as 0. Columns named ``shard`` or ``slot`` are replaced. An empty table
+    gives an empty table. The rows are written once, which fixes their numbers for tasks
+    that run again; keep them narrow.
     """
-    taken = {"_row", "group", "bytes", "shard", "slot"} & set(rows.columns)
-    if taken:
-        raise ValueError(f"Columns in the way: {sorted(taken)}")
+    own = [c for c in rows.columns if c not in ("shard", "slot")]
     named = stored(
-        rows.select("*", group.alias("group"), size.alias("bytes"), F.monotonically_increasing_id().alias("_row"))
+        rows.select(
+            F.struct(*[rows[c] for c in own]).alias("_in"), group.alias("group"),
+            F.coalesce(size, F.lit(0)).alias("bytes"), F.monotonically_increasing_id().alias("_row"),
+        )
     )
     groups = stored(named.groupBy("group").agg(F.sum("bytes").alias("bytes")))
     placed = stored(named.join(shard_groups(groups, shards), "group"))
-    return with_slots(placed).select(*rows.columns, "shard", "slot")
+    return with_slots(placed).select("_in.*", "shard", "slot")

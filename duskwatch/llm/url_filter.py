@@ -47,17 +47,14 @@ def filter_urls(urls: DataFrame, rules: DataFrame, url_column: str = "url", defa
     path of the url starts with the rule's. The longest rule (host and path together)
     wins, a block rule before an allow rule of the same text. Without a rule, ``rule`` is
     null and the verdict ``default``. A null url, or one without ``://``, has an empty
-    host and path. Repeated rows stay; clashing column names are an error. Null hosts or
-    paths of rules count as empty.
+    host and path. Repeated rows stay; columns of these four names are replaced. Null
+    hosts or paths of rules count as empty; without rules all urls get ``default``.
 
     Every url is spread into the pairs of a host suffix and a path prefix as long as
     some rule's path, and joined with the rules on 32 bits of a hash; SHA-256 digests
     confirm. The rows of a url meet again by its row number, in the only shuffle; page
     bodies should be left out. Spark broadcasts the rules if their size allows.
     """
-    taken = {"host", "path", "rule", "verdict", "_row"} & set(urls.columns)
-    if taken:
-        raise ValueError(f"Columns in the way: {sorted(taken)}")
     clean = rules.select(
         F.translate(F.coalesce("host", F.lit("")), _UPPER, _LOWER).alias("h"),
         F.coalesce("path", F.lit("")).alias("p"), F.col("verdict").alias("v"),
@@ -72,10 +69,11 @@ def filter_urls(urls: DataFrame, rules: DataFrame, url_column: str = "url", defa
             F.concat("h", "p").alias("rule"), F.col("v").alias("verdict"),
         ).alias("_fit"),
     )
-    parted = urls.withColumns({
-        "host": url_host(F.col(url_column)), "path": url_path(F.col(url_column)),
-        "_row": F.monotonically_increasing_id(),
-    })
+    own = [c for c in urls.columns if c not in ("host", "path", "rule", "verdict")]
+    parted = urls.select(
+        F.struct(*[urls[c] for c in own]).alias("_in"), url_host(urls[url_column]).alias("host"),
+        url_path(urls[url_column]).alias("path"), F.monotonically_increasing_id().alias("_row"),
+    )
     prefixes = F.filter(
         F.array(*[F.when(F.length("path") >= n, F.left("path", F.lit(n))) for n in lengths]).cast("array<string>"),
         lambda p: p.isNotNull(),
@@ -85,8 +83,10 @@ def filter_urls(urls: DataFrame, rules: DataFrame, url_column: str = "url", defa
     met = spread.join(known, "_short", "left").withColumn(
         "_fit", F.when(_digest(F.col("_pair")) == F.col("_digest"), F.col("_fit"))
     )
-    best = met.groupBy("_row", *[c for c in parted.columns if c != "_row"]).agg(F.max("_fit").alias("_fit"))
+    best = met.groupBy("_row").agg(
+        F.max("_fit").alias("_fit"), *[F.first(c).alias(c) for c in ("_in", "host", "path")]
+    )
     return best.select(
-        *urls.columns, "host", "path", F.col("_fit.rule").alias("rule"),
+        "_in.*", "host", "path", F.col("_fit.rule").alias("rule"),
         F.coalesce("_fit.verdict", F.lit(default)).alias("verdict"),
     )
