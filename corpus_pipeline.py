@@ -14,9 +14,12 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     """Documents in which a language is found.
 
     Those without any letter (null, empty, digits and signs only) go. The language is
-    predicted from the text; the columns stay as they are.
+    predicted from the text; the columns stay as they are. If no document has a language
+    to learn from, nothing can be told and all stay.
     """
     model = language_id.fit(docs.where(~language_id.held_out(docs["doc_id"])).select("doc_id", "text", "lang"))
+    if not model.languages:
+        return docs
     rows = docs.select("text", F.struct(*[docs[c] for c in docs.columns]).alias("row"))
     told = language_id.identify(rows, model)
     return told.where(F.col("lang_pred") != language_id.UNKNOWN).select("row.*")

@@ -12,6 +12,8 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q ruby rb rp rt s"
     " samp small span strike strong sub sup time tt u var wbr br".split()
 )
+# Of the dropped ones, those that do not break the line they stand in.
+_INSIDE_LINES = RAW | frozenset("button select input svg canvas object audio video".split())
 # An open element of the key is closed by the start of one of its values.
 _BLOCKS = frozenset(
     "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6"
@@ -149,7 +151,7 @@ def blocks(element: Element, skip: set[int] = frozenset()) -> list[str]:
         elif isinstance(node, str):
             line.append(node)
         elif node.dropped or id(node) in skip:
-            if node.tag not in INLINE:
+            if node.tag not in INLINE and node.tag not in _INSIDE_LINES:
                 flush()
         elif node.tag in INLINE:
             if node.tag == "br":

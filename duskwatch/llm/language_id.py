@@ -96,7 +96,7 @@ def _frequent(counts: DataFrame, key: str, most: int) -> list:
 
 
 def _logs(rows: list, key: str, languages: tuple[str, ...]) -> dict[str, np.ndarray]:
-    table = np.array([[r["of"].get(lang, 0) for lang in languages] for r in rows], float).reshape(len(rows), -1)
+    table = np.array([[r["of"].get(lang, 0) for lang in languages] for r in rows], float).reshape(len(rows), len(languages))
     smooth = table + SMOOTHING
     logs = np.log(smooth / smooth.sum(axis=0)) if len(rows) else smooth
     return {r[key]: v for r, v in zip(rows, logs)}
