@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shingles import SHINGLE_WORDS, mix, shingle_hashes, word_hashes, words
+from .shingles import SHINGLE_WORDS, each_words, mix, shingle_hashes, words_of
 from .tables import by_batch
 
 SIMILARITY = 0.75
@@ -22,6 +22,8 @@ ITEM_BYTES = 8_000_000
 
 _BITS = np.arange(64, dtype=np.uint64)
 _ONE = np.uint64(1)
+_FIRST_BITS = 20
+_TOP = np.uint64(64 - _FIRST_BITS)
 
 
 def fingerprints(hashes: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
@@ -51,7 +53,7 @@ class Items:
         self.ids, self.length, self.shingles, prints = [], [], [], []
         places: dict[int, dict[int, set[tuple[int, int]]]] = defaultdict(lambda: defaultdict(set))
         for item_id, text in items:
-            hashes = word_hashes(words(text))
+            hashes = words_of(text)
             if not len(hashes):
                 continue
             bag = shingle_hashes(hashes)
@@ -65,6 +67,10 @@ class Items:
         self.length = np.array(self.length, np.int64)
         self.prints = np.array(prints, np.uint64)
         self.known = {width: np.array(sorted(of), np.uint64) for width, of in places.items()}
+        # a quick look before the exact one: is there any known shingle with these first bits?
+        self.marked = {width: np.zeros(1 << _FIRST_BITS, bool) for width in places}
+        for width, known in self.known.items():
+            self.marked[width][(known >> _TOP).astype(np.int64)] = True
         self.places = {width: {s: sorted(p) for s, p in of.items()} for width, of in places.items()}
         self.index: list[dict[int, np.ndarray]] = []
         for block in range(BLOCKS):
@@ -85,7 +91,8 @@ class Items:
             if len(hashes) < width:
                 continue
             own = shingle_hashes(hashes, width)
-            found = np.flatnonzero(known[np.minimum(np.searchsorted(known, own), len(known) - 1)] == own)
+            found = np.flatnonzero(self.marked[width][(own >> _TOP).astype(np.int64)])
+            found = found[known[np.minimum(np.searchsorted(known, own[found]), len(known) - 1)] == own[found]]
             for p in found.tolist():
                 for length, at in self.places[width][int(own[p])]:
                     if length <= len(hashes):
@@ -101,9 +108,11 @@ class Items:
             for i in met[apart <= radius].tolist():
                 yield w, i
 
-    def search(self, text: str, similarity: float = SIMILARITY) -> dict[int, tuple[float, int]]:
-        """item -> (similarity, first word) of its best window in a whole text; the first of equal ones."""
-        hashes = word_hashes(words(text))
+    def search(self, hashes: np.ndarray, similarity: float = SIMILARITY) -> dict[int, tuple[float, int]]:
+        """item -> (similarity, first word) of its best window in the words of a whole text.
+
+        Of equally good windows it is the first.
+        """
         best: dict[int, tuple[float, int]] = {}
         for length, starts in self.windows(hashes).items():
             width = min(length, SHINGLE_WORDS)
@@ -169,9 +178,8 @@ def find_contamination(
             ready = _ready(sent)
             hits = [
                 (r, i, s, at)
-                for r, text in enumerate(batch.column("t"))
-                if text.is_valid
-                for i, (s, at) in sorted(ready.search(text.as_py(), similarity).items())
+                for r, hashes in enumerate(each_words(batch.column("t")))
+                for i, (s, at) in sorted(ready.search(hashes, similarity).items())
             ]
             return pa.RecordBatch.from_arrays(
                 [

@@ -26,13 +26,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shingles import SHINGLE_WORDS, as_signed, mix, shingle_set
+from .shingles import as_signed, each_set, mix
 from .tables import by_batch, stored, where_id_in
 
 SIMILARITY = Fraction(3, 4)
 # Parts beyond the differences allowed: n = k + 1 + k * SPARE_PARTS.
 SPARE_PARTS = Fraction(12, 100)
 
+# Shingles of the sets that a task signs at a time.
+SIGNED_SHINGLES = 200_000
+# Parts of the outline of a set, by which most unlike pairs are told apart.
+OUTLINE_PARTS = 128
+
 _U = np.uint64
 
 
@@ -50,31 +55,47 @@ def _may_differ(a: int, b: int, t: Fraction) -> int:
     return int((1 - t) / (1 + t) * (a + b))
 
 
-def signatures(shingles: np.ndarray, t: Fraction = SIMILARITY) -> np.ndarray:
-    """All signatures of a set of distinct shingle hashes."""
-    size = len(shingles)
-    if not size:
-        return shingles
+def _widths(size: int, t: Fraction) -> list[tuple[int, int, int]]:
+    """(band, parts, differences allowed) of the joins a set of this size takes part in."""
     out = []
     for band, low, high in bands(size, t):
-        if int(size / t) < low:
-            continue  # too small for any partner in the next band
-        parts = _may_differ(high, high, t) + 1 + int(SPARE_PARTS * _may_differ(high, high, t))
-        differ = _may_differ(size, min(high, int(size / t)), t)
-        seed = 0
-        while True:
-            salt = _U(band * 1_000_003 + seed)
-            hashed = mix(shingles + mix(np.array([salt]))[0])
-            part = ((hashed >> _U(32)) * _U(parts)) >> _U(32)
-            order = np.argsort(part, kind="stable")
-            part = part[order]
-            first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
-            sums = np.add.reduceat(mix(hashed[order]), first)
-            out.append(mix(sums ^ (part[first] * _U(0x9E3779B97F4A7C15) + salt)))
-            if parts - len(first) < parts - differ:
-                break
-            seed += 1
-    return np.concatenate(out)
+        partner = min(high, int(size / t))
+        if partner >= low:  # else too small for any partner in the next band
+            most = _may_differ(high, high, t)
+            out.append((band, most + 1 + int(SPARE_PARTS * most), _may_differ(size, partner, t)))
+    return out
+
+
+def signatures(sets: list[np.ndarray], t: Fraction = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
+    """(signatures, set numbers) of many sets of distinct shingle hashes, none empty."""
+    known: dict[int, list[tuple[int, int, int]]] = {}
+    sigs, owners = [], []
+    todo = [
+        (i, *width, 0) for i, s in enumerate(sets) for width in known.setdefault(len(s), _widths(len(s), t))
+    ]
+    while todo:
+        owner, band, parts, differ, seed = np.array(todo, np.int64).T
+        size = np.array([len(sets[i]) for i in owner])
+        shingles = np.concatenate([sets[i] for i in owner])
+        salt = mix((band * 1_000_003 + seed).astype(np.uint64) + _U(1))
+        hashed = mix(shingles + np.repeat(salt, size))
+        part = ((hashed >> _U(32)) * np.repeat(parts.astype(np.uint64), size)) >> _U(32)
+        first = np.cumsum(parts) - parts
+        place = np.repeat(first, size) + part.astype(np.int64)
+        total = int(parts.sum())
+        # sums of 32 bits are exact in doubles
+        told = mix(hashed ^ _U(0x5555555555555555))
+        low = np.bincount(place, (told & _U(0xFFFFFFFF)).astype(np.float64), total).astype(np.uint64)
+        high = np.bincount(place, (told >> _U(32)).astype(np.float64), total).astype(np.uint64)
+        filled = np.zeros(total, bool)
+        filled[place] = True
+        join = np.repeat(np.arange(len(todo)), parts)[filled]
+        number = (np.arange(total) - np.repeat(first, parts))[filled].astype(np.uint64)
+        sigs.append(mix(mix(low[filled] + (high[filled] << _U(32)) + number * _U(0x9E3779B97F4A7C15)) ^ salt[join]))
+        owners.append(owner[join])
+        settled = np.bincount(join, minlength=len(todo)) > differ
+        todo = [(*row[:4], row[4] + 1) for row, done in zip(todo, settled) if not done]
+    return np.concatenate(sigs), np.concatenate(owners)
 
 
 def set_key(shingles: np.ndarray) -> int:
@@ -82,37 +103,57 @@ def set_key(shingles: np.ndarray) -> int:
     return int(mix(mix(shingles).sum(dtype=np.uint64, keepdims=True) ^ mix(np.array([len(shingles)], np.uint64))).view(np.int64)[0])
 
 
+def outline(shingles: np.ndarray) -> bytes:
+    """How many shingles fall into each of a fixed number of parts of the domain, 255 at most.
+
+    Two sets differ in at least as many shingles as their outlines do.
+    """
+    part = ((mix(shingles) >> _U(32)) * _U(OUTLINE_PARTS)) >> _U(32)
+    return np.minimum(np.bincount(part.astype(np.int64), minlength=OUTLINE_PARTS), 255).astype(np.uint8).tobytes()
+
+
 def _sets(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """(id, n_shingles, key): the size of every row's set and a key of the set; 0 and null if empty."""
+    """(id, n_shingles, key, outline): of every row's set; 0 and nulls if it is empty."""
     kind = docs.schema[id_column].dataType.simpleString()
 
     def measure(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingle_set(t.as_py()) for t in batch.column("t")]
+        n, keys, outlines = [], [], []
+        for s in each_set(batch.column("t")):
+            n.append(len(s))
+            keys.append(set_key(s) if len(s) else None)
+            outlines.append(outline(s) if len(s) else None)
         return pa.RecordBatch.from_arrays(
-            [batch.column("i"), pa.array([len(s) for s in sets], pa.int64()),
-             pa.array([set_key(s) if len(s) else None for s in sets], pa.int64())],
-            [id_column, "n_shingles", "key"],
+            [batch.column("i"), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), pa.array(outlines, pa.binary())],
+            [id_column, "n_shingles", "key", "outline"],
         )
 
     rows = docs.select(docs[id_column].alias("i"), docs[text_column].alias("t"))
-    return by_batch(rows, measure, f"`{id_column}` {kind}, n_shingles bigint, key bigint")
+    return by_batch(rows, measure, f"`{id_column}` {kind}, n_shingles bigint, key bigint, outline binary")
 
 
 def _signed(docs: DataFrame, text_column: str, t: Fraction) -> DataFrame:
     """(sig, key): a row for every signature of every set."""
 
-    def sign(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [s for text in batch.column("t") if len(s := shingle_set(text.as_py()))]
-        sigs = [as_signed(signatures(s, t)) for s in sets]
-        offsets = np.concatenate(([0], np.cumsum([len(s) for s in sigs], dtype=np.int64))).astype(np.int32)
-        flat = pa.array(np.concatenate(sigs) if sigs else np.zeros(0, np.int64))
-        return pa.RecordBatch.from_arrays(
-            [pa.array([set_key(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(offsets, flat)], ["key", "sigs"]
-        )
-
-    return by_batch(docs.select(docs[text_column].alias("t")), sign, "key bigint, sigs array<bigint>").select(
-        F.explode("sigs").alias("sig"), "key"
-    )
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets: list[np.ndarray] = []
+            size = 0
+            for s in each_set(batch.column("t")):
+                if len(s):
+                    sets.append(s)
+                    size += len(s)
+                if size >= SIGNED_SHINGLES:
+                    yield rows(sets)
+                    sets, size = [], 0
+            if sets:
+                yield rows(sets)
+
+    def rows(sets: list[np.ndarray]) -> pa.RecordBatch:
+        sigs, owners = signatures(sets, t)
+        keys = np.array([set_key(s) for s in sets], np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(as_signed(sigs)), pa.array(keys[owners])], ["sig", "key"])
+
+    return docs.select(docs[text_column].alias("t")).mapInArrow(sign, "sig bigint, key bigint")
 
 
 def _shared(signed: DataFrame) -> DataFrame:
@@ -170,56 +211,88 @@ def _similarities(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     )
 
 
-def similar_pairs(docs: DataFrame, sets: DataFrame, id_column: str, text_column: str, t: Fraction) -> DataFrame:
-    """Links (a, b) between set keys that connect the same sets as all pairs with similarity ``t``.
+def _plausible(pairs: DataFrame, outlines: DataFrame, t: Fraction) -> DataFrame:
+    """Pairs (a, b) and ``least``, the least their Jaccard distance can be by their outlines.
 
-    First every set is compared with the leader of each of its signatures. Pairs of one
-    signature whose sets are then connected need no further look. Of the others, each
-    set that is not similar to the leader is compared with the rest, except where the
-    distances to the leader already tell (the Jaccard distance obeys the triangle
-    inequality). The links left out are between sets that other links connect.
+    Pairs that cannot reach ``t`` have a ``least`` over 1 - t.
     """
-    shared = stored(_shared(_signed(docs, text_column, t)))
-    first = stored(shared.select(F.col("leader").alias("a"), F.col("key").alias("b")).distinct())
-    keys = first.select(F.col("a").alias("key")).union(first.select("b")).distinct()
-    chosen = sets.join(keys, "key").groupBy("key").agg(F.min(id_column).alias("i"))
-    ids = stored(chosen.select("i"))
 
-    def lay_out(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [shingle_set(text.as_py()) for text in batch.column("t")]
+    def compare(batch: pa.RecordBatch) -> pa.RecordBatch:
+        x, y = (
+            np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, OUTLINE_PARTS).astype(np.int16)
+            for c in ("ox", "oy")
+        )
+        apart = np.abs(x - y).sum(axis=1, dtype=np.int64)
+        both = batch.column("nx").to_numpy() + batch.column("ny").to_numpy()
+        # a union of (both + apart) / 2 at least, with ``apart`` outside the intersection
         return pa.RecordBatch.from_arrays(
-            [pa.array([set_key(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())],
-            ["key", "shingles"],
+            [batch.column("a"), batch.column("b"), pa.array(2 * apart / (both + apart))], ["a", "b", "least"]
         )
 
-    named = docs.select(docs[id_column].alias("i"), docs[text_column].alias("t")).where("t is not null")
-    picked = where_id_in(named, "i", ids)
-    # an id may stand for several rows; a set is laid out once
-    laid = by_batch(picked.select("t"), lay_out, "key bigint, shingles binary")
-    full = stored(laid.groupBy("key").agg(F.first("shingles").alias("shingles")).join(keys, "key", "left_semi"))
-    told = stored(_similarities(first, full))
+    x = outlines.select(F.col("key").alias("a"), F.col("n_shingles").alias("nx"), F.col("outline").alias("ox"))
+    y = outlines.select(F.col("key").alias("b"), F.col("n_shingles").alias("ny"), F.col("outline").alias("oy"))
+    joined = pairs.join(x, "a").join(y, "b").select("a", "b", "nx", "ny", "ox", "oy")
+    return by_batch(joined, compare, "a bigint, b bigint, least double")
+
+
+def similar_pairs(docs: DataFrame, sets: DataFrame, id_column: str, text_column: str, t: Fraction) -> DataFrame:
+    """Links (a, b) between set keys that connect the same sets as all pairs with similarity ``t``.
+
+    First every set is compared with the leader of each of its signatures. Of the other
+    pairs of a signature, those of two sets similar to the leader are connected already;
+    each set that is not similar to it is compared with the rest, except where the
+    distances to the leader tell enough (the Jaccard distance obeys the triangle
+    inequality). Before two sets are laid side by side their outlines are compared,
+    which rules out most unlike pairs and no similar one.
+    """
+    apart = float(1 - t) + 1e-9
+    shared = stored(_shared(_signed(docs, text_column, t)))
+    outlines = stored(
+        sets.where("key is not null").groupBy("key").agg(
+            F.min(id_column).alias("i"), F.first("n_shingles").alias("n_shingles"), F.first("outline").alias("outline")
+        )
+    )
+    first = shared.select(F.col("leader").alias("a"), F.col("key").alias("b")).distinct()
+    looked = stored(_plausible(first, outlines, t))
+    told = stored(_compared(docs, outlines, looked.where(F.col("least") <= apart).select("a", "b"), text_column, id_column))
     is_link = F.col("common") * t.denominator >= F.col("total") * t.numerator
     links = told.where(is_link).select("a", "b")
 
-    failed = told.where(~is_link).select(F.col("a").alias("leader"), F.col("b").alias("key"), _distance().alias("d"))
-    open_groups = shared.join(failed, ["leader", "key"]).select("sig", "leader", F.col("key").alias("x"), F.col("d").alias("dx"))
-    known = told.select(F.col("a").alias("leader"), F.col("b").alias("key"), _distance().alias("dy"), is_link.alias("linked"))
-    members = shared.join(known, ["leader", "key"]).select("sig", F.col("key").alias("y"), "dy", "linked")
-    apart = float(1 - t) + 1e-9
-    rest = open_groups.join(members, "sig").where(
-        (F.col("linked") | (F.col("x") < F.col("y")))
-        & (F.col("x") != F.col("y"))
-        & (F.abs(F.col("dx") - F.col("dy")) <= apart)
+    # (leader, key): the distance if it was measured, else the least it can be
+    known = looked.join(told, ["a", "b"], "left").select(
+        F.col("a").alias("leader"), F.col("b").alias("key"), F.coalesce(is_link, F.lit(False)).alias("linked"),
+        F.coalesce(1 - F.col("common") / F.col("total"), F.col("least")).alias("d"),
     )
-    rest = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(
-        told.select("a", "b"), ["a", "b"], "left_anti"
+    members = stored(shared.join(known, ["leader", "key"]).select("sig", "key", "linked", "d"))
+    x = members.where(~F.col("linked")).select("sig", F.col("key").alias("x"), F.col("d").alias("dx"))
+    y = members.select("sig", F.col("key").alias("y"), F.col("d").alias("dy"), "linked")
+    rest = x.join(y, "sig").where(
+        F.when(F.col("linked"), F.col("dx") - F.col("dy") <= apart).otherwise(F.col("x") < F.col("y"))
     )
-    more = _similarities(stored(rest), full).where(is_link).select("a", "b")
-    return links.union(more)
+    rest = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    more = stored(_plausible(rest, outlines, t).where(F.col("least") <= apart).select("a", "b"))
+    more = _compared(docs, outlines, more.join(told, ["a", "b"], "left_anti"), text_column, id_column)
+    return links.union(more.where(is_link).select("a", "b"))
+
 
+def _compared(docs: DataFrame, outlines: DataFrame, pairs: DataFrame, text_column: str, id_column: str) -> DataFrame:
+    """:func:`_similarities` of pairs of set keys, whose texts are read again."""
+    pairs = stored(pairs)
+    keys = stored(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct())
+    ids = stored(outlines.join(keys, "key").select("i").distinct())
+
+    def lay_out(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [s for s in each_set(batch.column("t")) if len(s)]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([set_key(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())],
+            ["key", "shingles"],
+        )
 
-def _distance():
-    return 1 - F.col("common") / F.col("total")
+    named = docs.select(docs[id_column].alias("i"), docs[text_column].alias("t"))
+    laid = by_batch(where_id_in(named, "i", ids).select("t"), lay_out, "key bigint, shingles binary")
+    # an id may stand for several rows and sets: of each set that is asked for, one
+    full = laid.join(keys, "key", "left_semi").groupBy("key").agg(F.first("shingles").alias("shingles"))
+    return _similarities(pairs, stored(full))
 
 
 def near_duplicates(
@@ -237,7 +310,7 @@ def near_duplicates(
     links = similar_pairs(docs, sets, id_column, text_column, similarity)
     # keys to the smallest id of equal sets, then ids to components
     least = sets.where("key is not null").groupBy("key").agg(
-        F.min(id_column).alias("least"), F.max(id_column).alias("most"), F.count("*").alias("n")
+        F.min(id_column).alias("least"), F.max(id_column).alias("most")
     )
     least = stored(least)
     a, b = (least.select(F.col("key").alias(c), F.col("least").alias(f"id_{c}")) for c in "ab")

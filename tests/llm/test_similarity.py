@@ -4,12 +4,13 @@ from collections import Counter
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from duskwatch.llm import decontaminate, embedding_join, jaccard_join
 from duskwatch.llm.components import connected_components
-from duskwatch.llm.shingles import shingle_set, words
+from duskwatch.llm.shingles import each_words, shingle_set, words_of
 
 DOCS = "doc_id bigint, text string, key string, component_id int"
 
@@ -62,7 +63,9 @@ def corpus(seed, size=160):
 def test_no_similar_pair_is_without_a_shared_signature():
     texts = corpus(1, 500) + corpus(2, 500)
     sets = [shingle_set(t) for t in texts]
-    signed = [set(jaccard_join.signatures(s).tolist()) for s in sets]
+    signed = [set() for _ in sets]
+    for sig, owner in zip(*(x.tolist() for x in jaccard_join.signatures(sets))):
+        signed[owner].add(sig)
     plain = [set(s.tolist()) for s in sets]
     pairs = [(i, j) for i in range(len(sets)) for j in range(i) if similar(plain[i], plain[j])]
     assert len(pairs) > 300
@@ -206,8 +209,33 @@ def test_nothing_to_search(spark):
 
 
 def test_words_know_ascii_blanks_only():
-    assert words("A B\x1cC\x0bÉ d\x00e") == ["a b\x1cc".encode(), "É".encode(), b"d\x00e"]
-    assert words(None) == [] and len(shingle_set("a b")) == 1
+    texts = ["A B\x1cC\x0bÉ d\x00e", None, "", "a  b\x1cC", "  é ", "x" * 2_000_000]
+    found = [w.tolist() for w in each_words(pa.array(texts))]
+    assert [len(w) for w in found] == [4, 0, 0, 2, 1, 1]
+    assert found[0][:2] == found[3] and found[0][2] != found[4][0]
+    assert [words_of(t).tolist() for t in texts] == found
+    assert len(shingle_set("a b")) == 1 and len(shingle_set(None)) == 0
+
+
+def test_words_as_bytes_split():
+    rng = random.Random(12)
+    letters = "aAbZé😀 \t\n\x0b\x1c\x85 "
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 30))) for _ in range(500)]
+    names = {}
+    for text, hashes in zip(texts, each_words(pa.array(texts))):
+        own = text.encode().lower().split()
+        assert len(own) == len(hashes)
+        for w, h in zip(own, hashes.tolist()):
+            assert names.setdefault(w, h) == h
+    assert len(set(names.values())) == len(names)
+
+
+def test_outlines_never_rule_out_similar_sets():
+    sets = [shingle_set(t) for t in corpus(5, 300)]
+    shown = [np.frombuffer(jaccard_join.outline(s), np.uint8).astype(int) for s in sets]
+    for i in range(len(sets)):
+        for j in range(i):
+            assert np.abs(shown[i] - shown[j]).sum() <= len(np.setxor1d(sets[i], sets[j]))
 
 
 def test_no_pair_join_without_a_key(spark):
