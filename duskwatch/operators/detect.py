@@ -16,7 +16,8 @@ from .windows import MOMENT, marked
 # What makes two findings the same alert; nulls are values like any other.
 ALERT_KEYS = ["datetime", "ip_origen", "usuario", "accion", "status"]
 JOINER = " | "
-MAX_RULES = 63
+# Rules per word of the bit mask of findings.
+WORD_BITS = 63
 
 
 class Detector:
@@ -36,40 +37,71 @@ class Detector:
         return [r.name for r in self.rules]
 
     def hits(self, events: DataFrame) -> DataFrame:
-        """Findings, not merged yet: alert keys, line keys, ``found`` and ``texts``.
+        """Findings, not merged yet: alert keys, line keys, ``found0``, ... and ``texts``.
 
-        Bit i of ``found`` stands for the i-th rule; ``texts`` holds (ord, reason) of
+        Bit i of ``found0`` stands for the i-th rule, ``found1`` has the next 63 and so
+        on; ``texts`` holds (ord, reason) of
         rules whose reason depends on the row. All row rules are judged in one pass
         that shuffles nothing. The marks of all window rules are joined to the events
         in a second pass, so an event hit by both kinds appears twice here.
         """
         df = with_line_keys(events)
-        if len(self.rules) > MAX_RULES:
-            raise ValueError(f"More than {MAX_RULES} rules")
         numbered = [(i, r) for i, r in enumerate(self.rules) if r.applies_to(df)]
         keep = [c for c in [*ALERT_KEYS, "timestamp"] if c in df.columns] + LINE_KEYS
 
         def of_kind(kind: type) -> list[tuple[int, Rule]]:
             return [(i, r) for i, r in numbered if isinstance(r, kind)]
 
-        parts = [_row_hits(df, keep, of_kind(RowRule))]
+        words = self._words
+        parts = []
+        if of_kind(RowRule):
+            parts.append(_row_hits(df, keep, words, of_kind(RowRule)))
         if of_kind(WindowRule):
-            parts.append(_window_hits(df, keep, of_kind(WindowRule)))
+            parts.append(_window_hits(df, keep, words, of_kind(WindowRule)))
         for i, rule in of_kind(FrameRule):
-            parts.append(rule.rows(df).select(*keep, _bit(i).alias("found"), _no_texts()))
+            bits = [_bit(i, w).alias(name) for w, name in enumerate(words)]
+            parts.append(rule.rows(df).select(*keep, *bits, _no_texts()))
+        if not parts:
+            parts.append(df.limit(0).select(*keep, *[_none().alias(w) for w in words], _no_texts()))
         return reduce(DataFrame.unionByName, parts)
 
+    @property
+    def _words(self) -> list[str]:
+        return [f"found{w}" for w in range(max(1, -(-len(self.rules) // WORD_BITS)))]
+
+    def findings(self, events: DataFrame) -> DataFrame:
+        """One row per event and rule that hits it: line keys, alert keys, ``ord``, rule, reason, severity."""
+        hits = self.hits(events)
+        told = [
+            F.when(
+                _has(i, "found"),
+                F.struct(
+                    F.lit(i).alias("ord"), F.lit(r.name).alias("rule"),
+                    (F.lit(r.reason) if isinstance(r.reason, str) else _texts_of(i, "texts")[0]).alias("reason"),
+                    F.lit(r.severity).alias("severity"),
+                ),
+            )
+            for i, r in enumerate(self.rules)
+        ]
+        keys = [c for c in ALERT_KEYS if c in hits.columns]
+        if not told:
+            told = [F.lit(None).cast("struct<ord:int,rule:string,reason:string,severity:string>")]
+        return hits.select(*LINE_KEYS, *keys, F.explode(F.array_compact(F.array(*told))).alias("_told")).select(
+            *LINE_KEYS, *keys, "_told.*"
+        )
+
     def alerts(self, events: DataFrame) -> DataFrame:
         """One row per alert: keys, reason, rule, severity, timestamp; not sorted."""
         hits = self.hits(events)
         keys = [c for c in ALERT_KEYS if c in hits.columns]
         aggregates = [
-            F.bit_or("found").alias("_found"),
+            *[F.bit_or(w).alias(f"_{w}") for w in self._words],
             F.array_distinct(F.flatten(F.collect_set("texts"))).alias("_texts"),
         ]
         if "timestamp" in hits.columns:
             # the lowest bit is the first rule of a row
-            place = F.struct(F.col("found").bitwiseAND(-F.col("found")), line_key())
+            lowest = [F.nullif(F.col(w).bitwiseAND(-F.col(w)), F.lit(0)) for w in self._words]
+            place = F.struct(*[F.coalesce(b, F.lit(2**63 - 1)) for b in lowest], line_key())
             known = F.when(F.col("timestamp").isNotNull(), place)
             aggregates.append(F.min_by("timestamp", known).alias("timestamp"))
         # Repeated findings shrink to one row per task before they are shuffled.
@@ -101,21 +133,34 @@ class Detector:
 
     def run(self, events: DataFrame) -> DataFrame:
         """Alerts in order of time; rows of one moment in order of their keys."""
-        alerts = self.alerts(events)
+        return self.ordered(self.alerts(events))
+
+    @staticmethod
+    def ordered(alerts: DataFrame) -> DataFrame:
         keys = [c for c in ALERT_KEYS if c in alerts.columns]
         return alerts.orderBy(*keys)
 
 
-def _bit(i: int) -> Column:
-    return F.lit(1 << i).cast("bigint")
+def _none() -> Column:
+    return F.lit(0).cast("bigint")
+
+
+def _bit(i: int, word: int) -> Column:
+    """What the i-th rule adds to a word of the mask."""
+    return F.lit(1 << i % WORD_BITS if i // WORD_BITS == word else 0).cast("bigint")
+
+
+def _has(i: int, prefix: str) -> Column:
+    word = i // WORD_BITS
+    return F.col(f"{prefix}{word}").bitwiseAND(_bit(i, word)) != 0
 
 
 def _if_found(i: int, text: str) -> Column:
-    return F.when(F.col("_found").bitwiseAND(_bit(i)) != 0, F.lit(text))
+    return F.when(_has(i, "_found"), F.lit(text))
 
 
-def _texts_of(i: int) -> Column:
-    mine = F.filter("_texts", lambda t: t["ord"] == i)
+def _texts_of(i: int, texts: str = "_texts") -> Column:
+    mine = F.filter(texts, lambda t: t["ord"] == i)
     return F.sort_array(F.transform(mine, lambda t: t["reason"]))
 
 
@@ -123,36 +168,43 @@ def _no_texts() -> Column:
     return F.lit(None).cast("array<struct<ord:int,reason:string>>").alias("texts")
 
 
-def _row_hits(df: DataFrame, keep: list[str], rules: list[tuple[int, RowRule]]) -> DataFrame:
-    found = F.lit(0).cast("bigint")
+def _row_hits(df: DataFrame, keep: list[str], words: list[str], rules: list[tuple[int, RowRule]]) -> DataFrame:
+    found = [_none() for _ in words]
     for i, r in rules:
-        found = found.bitwiseOR(F.when(r.predicate(df), _bit(i)).otherwise(F.lit(0).cast("bigint")))
+        word = i // WORD_BITS
+        found[word] = found[word].bitwiseOR(F.when(r.predicate(df), _bit(i, word)).otherwise(_none()))
     varying = [(i, r) for i, r in rules if not isinstance(r.reason, str)]
     texts = _no_texts()
     if varying:
         told = [
-            F.when(
-                F.col("found").bitwiseAND(_bit(i)) != 0,
-                F.struct(F.lit(i).alias("ord"), r.reason_column().alias("reason")),
-            )
+            F.when(_has(i, "found"), F.struct(F.lit(i).alias("ord"), r.reason_column().alias("reason")))
             for i, r in varying
         ]
         texts = F.when(F.coalesce(*told).isNotNull(), F.array_compact(F.array(*told))).alias("texts")
     # Behind explode() neither the filter nor the texts repeat the patterns.
-    judged = df.select("*", F.explode(F.array(found)).alias("found"))
-    return judged.where(F.col("found") != 0).select(*keep, "found", texts)
+    named = F.struct(*[f.alias(w) for f, w in zip(found, words)])
+    judged = df.select("*", F.explode(F.array(named)).alias("_found")).select("*", "_found.*")
+    any_hit = reduce(Column.__or__, [F.col(w) != 0 for w in words])
+    return judged.where(any_hit).select(*keep, *words, texts)
 
 
-def _window_hits(df: DataFrame, keep: list[str], rules: list[tuple[int, WindowRule]]) -> DataFrame:
+def _window_hits(
+    df: DataFrame, keep: list[str], words: list[str], rules: list[tuple[int, WindowRule]]
+) -> DataFrame:
+    """The marks of all rules are merged to one row per moment before they meet the events."""
     marks = reduce(
         DataFrame.unionByName, [r.marks(df).withColumn("_ord", F.lit(i)) for i, r in rules]
     )
-    eligible, bit = F, F
-    for i, r in rules:
-        mine = F.col("_ord") == i
-        eligible = eligible.when(mine, r.eligible(df))
-        bit = bit.when(mine, _bit(i))
+    merged = marks.groupBy(*MOMENT).agg(
+        *[F.min_by("from_key", F.when(F.col("_ord") == i, F.lit(0))).alias(f"_from{i}") for i, _ in rules]
+    )
     used = [c for c in df.columns if any(c in r.needs for _, r in rules)]
-    rows = df.select(*dict.fromkeys([*keep, *used])).join(marks, MOMENT)
-    hit = rows.where(marked(F.col("from_key")) & eligible)
-    return hit.select(*keep, bit.alias("found"), _no_texts())
+    rows = df.select(*dict.fromkeys([*keep, *used])).join(merged, MOMENT)
+    bits = {w: _none() for w in words}
+    for i, r in rules:
+        hit = F.coalesce(marked(F.col(f"_from{i}")), F.lit(False)) & r.eligible(df)
+        word = i // WORD_BITS
+        bits[words[word]] = bits[words[word]].bitwiseOR(F.when(hit, _bit(i, word)).otherwise(_none()))
+    judged = rows.withColumns(bits)
+    any_hit = reduce(Column.__or__, [F.col(w) != 0 for w in words])
+    return judged.where(any_hit).select(*keep, *words, _no_texts())

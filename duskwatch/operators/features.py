@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,10 +58,14 @@ def requests_per_minute(df: DataFrame) -> DataFrame:
     return trailing_counts(df, 60, "requests_per_minute")
 
 
-def extract_features(events: DataFrame) -> DataFrame:
-    """Line keys and the eight features of every event that has address and time."""
+def extract_features(events: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Line keys and the eight features of every event that has address and time.
+
+    The columns ``keep`` of the events are passed through behind them.
+    """
     df = with_line_keys(events)
     entropy = action_entropy(F.col("accion")) if "accion" in df.columns else F.lit(0.0)
+    others = [c for c in keep if c not in LINE_KEYS and c not in FEATURES]
     rows = df.select(
         *LINE_KEYS,
         SOURCE,
@@ -67,9 +73,12 @@ def extract_features(events: DataFrame) -> DataFrame:
         F.hour("datetime").alias("hour"),
         status_value(F.col("status")).alias("status_val"),
         entropy.alias("url_entropy"),
+        F.struct(*[F.col(c) for c in others]).alias("_kept") if others else F.lit(None).alias("_kept"),
     )
     # Counting first: the window's small groups must not inherit a partitioning by
     # address alone, and the join below can still be split where it is skewed.
     return (
-        requests_per_minute(rows).join(per_source(df), SOURCE).select(*LINE_KEYS, *FEATURES)
+        requests_per_minute(rows)
+        .join(per_source(df), SOURCE)
+        .select(*LINE_KEYS, *FEATURES, *[F.col("_kept")[c].alias(c) for c in others])
     )

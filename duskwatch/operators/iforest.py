@@ -30,9 +30,12 @@ SEED = 42
 MIN_ROWS = 5
 
 EULER_GAMMA = 0.5772156649015329
-NODE_SCHEMA = "tree int, node int, feature int, threshold double, left int, right int, path double"
+NODE_SCHEMA = (
+    "tree int, node int, feature int, threshold double, left int, right int, path double, rows int, depth int"
+)
+# Rows looked at per tree, as a multiple of those it takes: fewer passes over the rest.
 SPARE = 4
-HASH_RANGE = 1 << 31
+HASH_RANGE = 1 << 48
 HISTOGRAM_BINS = 1 << 14
 
 
@@ -59,7 +62,7 @@ def average_path(rows: np.ndarray | int) -> np.ndarray | float:
 
 
 def grow_tree(x: np.ndarray, rng: np.random.Generator, depth_limit: int) -> list[tuple]:
-    """Nodes (id, feature, threshold, left, right, path); leaves point to themselves."""
+    """Nodes (id, feature, threshold, left, right, path, rows, depth); leaves point to themselves."""
     nodes: list[tuple] = []
     pending = [(0, np.arange(len(x)), 0)]
     taken = 1
@@ -69,14 +72,14 @@ def grow_tree(x: np.ndarray, rng: np.random.Generator, depth_limit: int) -> list
         usable = np.flatnonzero(high > low)
         if depth >= depth_limit or len(rows) <= 1 or len(usable) == 0:
             path = depth + float(average_path(len(rows)))
-            nodes.append((node, 0, 0.0, node, node, path))
+            nodes.append((node, 0, 0.0, node, node, path, len(rows), depth))
             continue
         feature = int(rng.choice(usable))
         threshold = float(rng.uniform(low[feature], high[feature]))
         goes_left = x[rows, feature] <= threshold
         left, right = taken, taken + 1
         taken += 2
-        nodes.append((node, feature, threshold, left, right, 0.0))
+        nodes.append((node, feature, threshold, left, right, 0.0, len(rows), depth))
         pending.append((right, rows[~goes_left], depth + 1))
         pending.append((left, rows[goes_left], depth + 1))
     return nodes
@@ -87,31 +90,37 @@ def tree_samples(
 ) -> DataFrame:
     """(tree, place, x): ``sample`` rows for each tree, drawn without replacement.
 
-    Rows are chosen by hashes of their keys: the draw does not depend on how the
-    table is partitioned. A pool of bounded size is filtered in the scan, and only
-    pool rows are ranked per tree.
+    The keys of a row give it a place on a circle. A tree takes the ``sample`` rows that
+    follow its own point of the circle. So the draw depends neither on how the table is
+    partitioned nor on how many rows are looked at: only those near the points are
+    ranked, and if a tree finds too few among them, more are looked at.
     """
     total = features.count()
-    pool_share = min(1.0, SPARE * trees * sample / max(total, 1))
-    pool_size = total * pool_share
-    tree_share = min(1.0, SPARE * sample / max(pool_size, 1.0))
-
-    def below(share: float, *values: Column) -> Column:
-        drawn = F.pmod(F.xxhash64(*values), F.lit(HASH_RANGE))
-        return drawn < int(share * HASH_RANGE)
-
-    key = [F.col(k) for k in keys]
-    pool = features if pool_share == 1.0 else features.where(below(pool_share, F.lit(seed), *key))
+    step = HASH_RANGE // trees
+    at = F.pmod(F.xxhash64(F.lit(seed), *[F.col(k) for k in keys]), F.lit(HASH_RANGE))
     numbers = F.array(*[F.col(c).cast("double") for c in columns])
-    all_trees = F.sequence(F.lit(0), F.lit(trees - 1))
-    wanted = F.filter(all_trees, lambda t: below(tree_share, F.lit(seed + 1), t, *key))
-    drawn = pool.select(*keys, numbers.alias("x"), F.explode(wanted).alias("tree"))
-    order = Window.partitionBy("tree").orderBy(F.xxhash64(F.lit(seed + 2), "tree", *key), *keys)
-    return (
-        drawn.withColumn("place", F.row_number().over(order))
-        .where(F.col("place") <= sample)
-        .select("tree", "place", "x")
-    )
+    placed = features.select(*keys, numbers.alias("x"), at.alias("_at"))
+    order = Window.partitionBy("tree").orderBy("_after", *keys)
+    reach = min(1.0, SPARE * sample / max(total, 1))
+    while True:
+        # the trees whose points are at most ``reach`` of the circle before the row
+        length = int(reach * HASH_RANGE)
+        last = F.floor(F.col("_at") / step)
+        first = F.floor((F.col("_at") - length) / step)
+        near = F.sequence(F.greatest(first, last - trees + 1), last).cast("array<bigint>")
+        drawn = placed.withColumn("_t", F.explode(near)).withColumn("tree", F.pmod("_t", F.lit(trees)).cast("int"))
+        after = F.pmod(F.col("_at") - F.col("tree").cast("bigint") * step, F.lit(HASH_RANGE))
+        near_enough = (
+            drawn.withColumn("_after", after).where((F.col("_after") <= length) | F.lit(reach >= 1.0))
+        )
+        taken = materialize(
+            near_enough.withColumn("place", F.row_number().over(order))
+            .where(F.col("place") <= sample)
+            .select("tree", "place", "x")
+        )
+        if reach >= 1.0 or taken.count() == trees * min(sample, total):
+            return taken
+        reach = min(1.0, reach * 4)
 
 
 def fit_nodes(
@@ -131,7 +140,7 @@ def fit_nodes(
         x = np.stack(rows["x"].to_numpy())
         limit = max(1, math.ceil(math.log2(max(len(x), 2))))
         grown = grow_tree(x, np.random.default_rng([seed, tree]), limit)
-        names = ["node", "feature", "threshold", "left", "right", "path"]
+        names = ["node", "feature", "threshold", "left", "right", "path", "rows", "depth"]
         out = pd.DataFrame(grown, columns=names)
         out.insert(0, "tree", tree)
         return out
@@ -242,9 +251,10 @@ def isolation_forest_rule(forest: Forest | None) -> FrameRule:
     def rows(df: DataFrame) -> DataFrame:
         if forest is None or df.limit(MIN_ROWS).count() < MIN_ROWS:
             return df.limit(0)
+        # all columns pass through the features: no join back
         keyed = with_line_keys(df)
-        hits = score(extract_features(keyed), forest).where(is_outlier(forest))
-        return keyed.join(hits.select(*LINE_KEYS), LINE_KEYS, "left_semi")
+        scored = score(extract_features(keyed, keep=keyed.columns), forest)
+        return scored.where(is_outlier(forest)).select(keyed.columns)
 
     return FrameRule(
         "Isolation Forest Anomaly",

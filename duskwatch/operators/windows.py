@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from duskwatch.functions.timestamps import epoch_micros
 from duskwatch.schema import LINE_KEYS, RUN_BITS, line_key
+from duskwatch.scratch import materialize
 
 SOURCE = "ip_origen"
 MOMENT = [SOURCE, "datetime"]
@@ -83,7 +84,8 @@ def distinct_marks(df: DataFrame, value: str, limit: int, seconds: int) -> DataF
     added in line order.
     """
     window = seconds * MICROS
-    visits = timed_rows(df).groupBy(*MOMENT, value).agg(F.min(line_key()).alias("_first"))
+    # Written once: the levels and the new values below both start from it.
+    visits = materialize(timed_rows(df).groupBy(*MOMENT, value).agg(F.min(line_key()).alias("_first")))
     steps = Window.partitionBy(SOURCE, "_slot", value).orderBy("_at")
     at = F.col("_at")
     seen = in_slots(visits, seconds).withColumns(
@@ -149,8 +151,8 @@ def trailing_counts(df: DataFrame, seconds: int, name: str) -> DataFrame:
     run = F.shiftright("line_no", RUN_BITS)
     cell = [*MOMENT, "file_path", "block", "_run"]
     rows = timed_rows(df).withColumn("_run", run)
-    cells = rows.groupBy(*cell).agg(F.count(F.lit(1)).alias("_rows"))
-    earlier = Window.partitionBy(*MOMENT).orderBy("file_path", "block", "_run")
+    # Written once: the moments are summed from it, and the offsets are added to it.
+    cells = materialize(rows.groupBy(*cell).agg(F.count(F.lit(1)).alias("_rows")))
     moments = cells.groupBy(*MOMENT).agg(F.sum("_rows").alias("_all"))
     before = _trailing_sum(moments, "_all", -seconds * MICROS + 1, -1)
     moments = in_slots(moments, seconds).withColumn("_before", before).where("_home")

@@ -18,17 +18,18 @@ from duskwatch.scratch import materialize
 from duskwatch.sources.formats import FORMATS, LogFormat
 from duskwatch.sources.text_logs import (
     cast_times,
-    find_formats,
-    log_lines,
-    parse_lines,
-    parse_stats,
+    events_of,
+    existing_paths,
+    formats_of,
     raw_lines,
+    read_lines,
+    stats_of,
 )
 
 
 @dataclass(frozen=True)
 class AnalysisResult:
-    """Lazy tables; nothing is collected."""
+    """Stored tables and lazy statistics over stored lines; nothing is collected."""
 
     events: DataFrame
     alerts: DataFrame
@@ -54,20 +55,24 @@ def analyze(
     formats: DataFrame | str | None = None,
     known: Sequence[LogFormat] = FORMATS,
     events_path: str | None = None,
+    alerts_path: str | None = None,
 ) -> AnalysisResult:
     """Analyse log files with the default rules, ``rules`` and/or a trained model.
 
-    The text is parsed once: normalised events are written as parquet (to
-    ``events_path``, or to the session's shared scratch folder), and every rule reads
-    the columns it needs from there. That also fixes the line keys, which the window
-    rules compare across passes.
+    The text is read once. All lines with what the formats make of them, then the
+    normalised events (at ``events_path``) and the alerts (at ``alerts_path``) are
+    written as parquet, by default to the session's shared scratch folder. Formats,
+    statistics and rules read the columns they need from there, and alerts are not
+    detected anew by every use. Paths that do not exist are named in
+    ``metadata["missing_paths"]``; if none exists that is an error.
     """
     started = time.monotonic()
-    raw = raw_lines(spark, paths)
-    formats = find_formats(raw, known) if formats is None else formats
-    lines = log_lines(raw)
-    parsed = parse_lines(lines, formats, known)
-    events = materialize(normalize(cast_times(parsed, now or datetime.now())), events_path)
+    missing = existing_paths(spark, paths)[1]
+    read = materialize(read_lines(raw_lines(spark, paths), known))
+    if formats is None:
+        formats = materialize(formats_of(read, known))
+    stamped = cast_times(events_of(read, formats), now or datetime.now())
+    events = materialize(normalize(stamped), events_path)
     chosen = list(default_rules() if rules is None else rules)
     if model is not None:
         from duskwatch.operators.iforest import isolation_forest_rule
@@ -76,10 +81,11 @@ def analyze(
     detector = Detector(chosen)
     return AnalysisResult(
         events=events,
-        alerts=detector.run(events),
-        stats=parse_stats(lines, formats, known),
+        alerts=detector.ordered(materialize(detector.alerts(events), alerts_path)),
+        stats=stats_of(read, formats),
         metadata={
             "file_path": paths,
+            "missing_paths": missing,
             "latency_ms": (time.monotonic() - started) * 1000,
             "rules_active": detector.active_rules,
             "extracted_fields": EVENT_COLUMNS,

@@ -1,8 +1,12 @@
 """The fixed event schema and the keys that give every line a stable order."""
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from duskwatch.scratch import materialize
+
 # Canonical event columns, in output order, with their Spark types.
 EVENT_TYPES = {
     "timestamp": "string",
@@ -39,19 +43,25 @@ def line_key() -> Column:
 
 
 def with_line_keys(df: DataFrame) -> DataFrame:
-    """Add the line keys to an event table that did not come from a file."""
+    """Add the line keys to an event table that did not come from a file.
+
+    Such a table is written once: numbers made anew on each side of a join could differ.
+    """
+    if all(c in df.columns for c in LINE_KEYS):
+        return df
     defaults = {
         "file_path": F.lit(""),
         "block": F.lit(0).cast("bigint"),
         "line_no": F.monotonically_increasing_id(),
     }
-    return df.withColumns({c: e for c, e in defaults.items() if c not in df.columns})
+    return materialize(df.withColumns({c: e for c, e in defaults.items() if c not in df.columns}))
 
 
-def project_events(df: DataFrame) -> DataFrame:
+def project_events(df: DataFrame, also: Sequence[str] = ()) -> DataFrame:
     """Line keys plus the canonical columns; columns a parser lacks become null."""
     return df.select(
         *LINE_KEYS,
+        *also,
         *[
             (F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c)
             for c, t in EVENT_TYPES.items()

@@ -18,23 +18,40 @@ from duskwatch.scratch import materialize
 from .formats import FORMATS, LineShape, LogFormat, columns_of
 
 SAMPLE_LINES = 20
-# Up to this many files, their formats (a path and a word each) are sent to every task.
-BROADCAST_FILES = 500_000
+_MISSING = "PATH_NOT_FOUND"
+
+
+def existing_paths(spark: SparkSession, paths: str | Sequence[str]) -> tuple[list[str], list[str]]:
+    """(paths that can be read, paths that do not exist)."""
+    wanted = [paths] if isinstance(paths, str) else list(paths)
+
+    def exist(some: list[str]) -> bool:
+        try:
+            spark.read.text(some)
+        except AnalysisException as e:
+            if e.getCondition() != _MISSING:
+                raise
+            return False
+        return True
+
+    if not wanted or exist(wanted):
+        return wanted, []
+    found = [p for p in wanted if exist([p])]
+    return found, [p for p in wanted if p not in found]
 
 
 def raw_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """Every line of the files, with its place; bad UTF-8 becomes U+FFFD.
 
-    A path that does not exist gives no lines.
+    Of several paths those that exist are read and the others named in the log
+    (:func:`existing_paths` tells them). If none exists, that is an error.
     """
-    try:
-        text = spark.read.text([paths] if isinstance(paths, str) else list(paths))
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        logging.getLogger(__name__).warning("No such path: %s", paths)
-        return spark.createDataFrame([], "file_path string, block bigint, line_no bigint, value string")
-    return text.select(
+    found, missing = existing_paths(spark, paths)
+    if missing:
+        if not found:
+            raise FileNotFoundError(f"None of these paths exists: {missing}")
+        logging.getLogger(__name__).warning("No such paths: %s", missing)
+    return spark.read.text(found).select(
         F.col("_metadata.file_path").alias("file_path"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("line_no"),
@@ -50,23 +67,12 @@ def log_lines(raw: DataFrame) -> DataFrame:
     )
 
 
-def detect_formats(raw: DataFrame, formats: Sequence[LogFormat] = FORMATS) -> DataFrame:
-    """(file_path, format): the format most of a file's first lines match.
-
-    Counts only the first ``SAMPLE_LINES`` raw lines of each file. The first format
-    wins a tie. A line counts for the first format that knows it.
-    """
+def _votes(sample: DataFrame, number: Column, formats: Sequence[LogFormat]) -> DataFrame:
+    """(file_path, format): the format with most of the first lines of each file."""
     first = Window.partitionBy("file_path").orderBy("block", "line_no")
-    sample = (
-        raw.where(F.col("block") == 0)
-        .withColumn("_n", F.row_number().over(first))
-        .where(F.col("_n") <= SAMPLE_LINES)
-        .withColumn("value", strip(F.col("value")))
-    )
-    known = F
-    for i, fmt in enumerate(formats):
-        known = known.when((F.col("value") != "") & fmt.matches(F.col("value")), F.lit(i))
-    votes = sample.withColumn("_fmt", known).groupBy("file_path").agg(
+    # Spark keeps the first few lines of a file in every task before it shuffles them.
+    counted = sample.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= SAMPLE_LINES)
+    votes = counted.withColumn("_fmt", number).groupBy("file_path").agg(
         *[F.count_if(F.col("_fmt") == i).alias(f"_v{i}") for i in range(len(formats))]
     )
     best = F.greatest(*[F.col(f"_v{i}") for i in range(len(formats))]) if len(formats) > 1 else F.col("_v0")
@@ -76,15 +82,103 @@ def detect_formats(raw: DataFrame, formats: Sequence[LogFormat] = FORMATS) -> Da
     return votes.select("file_path", pick.alias("format"))
 
 
+def detect_formats(raw: DataFrame, formats: Sequence[LogFormat] = FORMATS) -> DataFrame:
+    """(file_path, format): the format most of a file's first lines match.
+
+    Counts only the first ``SAMPLE_LINES`` raw lines of each file, however the file is
+    split. The first format wins a tie. A line counts for the first format that knows it.
+    """
+    stripped = raw.withColumn("value", strip(F.col("value")))
+    known = F
+    for i, fmt in enumerate(formats):
+        known = known.when((F.col("value") != "") & fmt.matches(F.col("value")), F.lit(i))
+    return _votes(stripped, known, formats)
+
+
 def find_formats(raw: DataFrame, formats: Sequence[LogFormat] = FORMATS) -> DataFrame:
     """:func:`detect_formats`, stored: the files are looked at once, not by every user."""
     return materialize(detect_formats(raw, formats))
 
 
 def _with_format(lines: DataFrame, formats: DataFrame) -> DataFrame:
-    """Add ``format`` by file; ``formats`` should be a stored table (it is counted)."""
-    few = formats.limit(BROADCAST_FILES + 1).count() <= BROADCAST_FILES
-    return lines.join(F.broadcast(formats) if few else formats, "file_path")
+    """Add ``format`` by file; a file that ``formats`` does not name is an error."""
+    named = formats.select("file_path", "format").where(F.col("format").isNotNull())
+    missing = F.concat(F.lit("No format is given for "), F.col("file_path"))
+    return lines.join(named, "file_path", "left").withColumn(
+        "format", F.coalesce("format", F.raise_error(missing).cast("string"))
+    )
+
+
+def read_lines(raw: DataFrame, known: Sequence[LogFormat] = FORMATS) -> DataFrame:
+    """Every raw line with what each format makes of it: the only pass over the text.
+
+    A row per line and format that knows it, one with a null ``format`` for the others.
+    ``first`` marks the row of the first such format, ``blank`` an empty line. The rest
+    are the canonical columns, ``datetime`` still null. Store it: votes, statistics and
+    events are taken from its narrow columns.
+    """
+    shapes: list[LineShape] = []
+    captured, owners = [], []
+    value = F.col("value")
+    for fmt in known:
+        captured.append(F.split(fmt.captures(value, first=len(shapes)), "\n"))
+        owners += [fmt.name] * len(fmt.shapes)
+        shapes += fmt.shapes
+    stripped = raw.select(*LINE_KEYS, F.explode(F.array(strip(F.col("value")))).alias("value"))
+    got = stripped.select(
+        *LINE_KEYS, (value == "").alias("blank"), F.explode(F.array(F.array(*captured))).alias("_all")
+    )
+    hits = F.filter("_all", lambda g: F.size(g) > 1)
+    placed = got.select(*LINE_KEYS, "blank", F.posexplode_outer(hits).alias("_place", "_got"))
+    made = [shape.columns(lambda n: F.col("_got")[n + 1]) for shape in shapes]
+    number = F.col("_got")[1]
+
+    def pick(of) -> Column:
+        out = F
+        for i in range(len(shapes)):
+            if of(i) is not None:
+                out = out.when(number == str(i), of(i))
+        return out
+
+    columns = {
+        name: pick(lambda i, name=name: made[i].get(name)) for name in dict.fromkeys(c for m in made for c in m)
+    }
+    parsed = placed.select(
+        *LINE_KEYS, "blank", (F.coalesce("_place", F.lit(0)) == 0).alias("first"),
+        pick(lambda i: F.lit(owners[i])).alias("format"), *[c.alias(n) for n, c in columns.items()],
+    )
+    flags = ["blank", "first", "format"]
+    return project_events(parsed, flags)
+
+
+def formats_of(read: DataFrame, known: Sequence[LogFormat] = FORMATS) -> DataFrame:
+    """:func:`detect_formats` from stored :func:`read_lines`."""
+    number = F
+    for i, fmt in enumerate(known):
+        number = number.when(F.col("format") == fmt.name, F.lit(i))
+    return _votes(read.where("first").select("file_path", "block", "line_no", "format"), number, known)
+
+
+def stats_of(read: DataFrame, formats: DataFrame | str) -> DataFrame:
+    """:func:`parse_stats` from stored :func:`read_lines`."""
+    mine = F.lit(formats) if isinstance(formats, str) else F.col("_format")
+    rows = read if isinstance(formats, str) else _with_format(
+        read.withColumnRenamed("format", "_own"), formats
+    ).withColumnsRenamed({"format": "_format", "_own": "format"})
+    return with_rate(
+        rows.where(~F.col("blank")).groupBy("file_path").agg(
+            F.count_if("first").alias("lines_read"), F.count_if(F.col("format") == mine).alias("lines_parsed")
+        )
+    )
+
+
+def events_of(read: DataFrame, formats: DataFrame | str) -> DataFrame:
+    """The rows of stored :func:`read_lines` that are in the format of their file."""
+    columns = [*LINE_KEYS, *EVENT_COLUMNS]
+    if isinstance(formats, str):
+        return read.where(F.col("format") == formats).select(columns)
+    named = _with_format(read.withColumnRenamed("format", "_own"), formats)
+    return named.where(F.col("_own") == F.col("format")).select(columns)
 
 
 def parse_lines(

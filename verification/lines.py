@@ -51,10 +51,10 @@ STATUS = {"error": "500", "signup": "200", "click": "302", "view": "404", "purch
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir}/events.parquet")
-    tasks = spark.sparkContext.defaultParallelism
-    # A small table is one file and one task; its lines cost more than the table.
-    return df.repartition(tasks) if df.rdd.getNumPartitions() < tasks else df
+    # A small table is one file and one task; the lines made of it cost more than it.
+    return spark.read.parquet(f"{sf_dir}/events.parquet").repartition(
+        spark.sparkContext.defaultParallelism
+    )
 
 
 def _moment(pack: int) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,11 +51,13 @@ from duskwatch.sources.formats import (
 from duskwatch.sources.text_logs import (
     cast_times,
     detect_formats,
-    find_formats,
+    events_of,
+    formats_of,
     log_lines,
     parse_lines,
-    parse_stats,
     raw_lines,
+    read_lines,
+    stats_of,
     stats_report,
 )
 
@@ -323,7 +326,8 @@ def _all_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_canonical_events(spark, sf_dir):
     """Files of all kinds in one table, each read by the format found for it."""
     raw = _all_lines(spark, sf_dir)
-    return cast_times(parse_lines(log_lines(raw), find_formats(raw)), L.NOW)
+    read = materialize(read_lines(raw))
+    return cast_times(events_of(read, materialize(formats_of(read))), L.NOW)
 
 
 _STATS = f"""{WITH}, n AS (SELECT file_path, value, {S.has("value", S.SYSLOG_LINE)} AS ok FROM syslog_lines
@@ -338,7 +342,8 @@ st AS (SELECT file_path, count(*) AS lines_read, count(*) FILTER (ok) AS lines_p
 @query("parse_stats", f"{_STATS} SELECT * FROM st")
 def q_parse_stats(spark, sf_dir):
     raw = _all_lines(spark, sf_dir)
-    return parse_stats(log_lines(raw), find_formats(raw))
+    read = materialize(read_lines(raw))
+    return stats_of(read, materialize(formats_of(read)))
 
 
 @query(
@@ -348,9 +353,10 @@ def q_parse_stats(spark, sf_dir):
 )
 def q_stats_report(spark, sf_dir):
     raw = _all_lines(spark, sf_dir)
-    lines, formats = log_lines(raw), find_formats(raw)
-    events = cast_times(parse_lines(lines, formats), L.NOW)
-    return stats_report(parse_stats(lines, formats), events)
+    read = materialize(read_lines(raw))
+    formats = materialize(formats_of(read))
+    events = cast_times(events_of(read, formats), L.NOW)
+    return stats_report(stats_of(read, formats), events)
 
 
 # -------------------------------------------------------------- normalisation
@@ -405,7 +411,8 @@ def _window_query(name: str, make: Callable[[], Rule], rows: str, label: str, re
         f" 'high' AS severity FROM sys JOIN ({rows}) USING ({KEYS})",
     )
     def run(spark, sf_dir):
-        found = make().evaluate(normalize(L.syslog_events(spark, sf_dir, pack)))
+        # stored first, as an analysis does: the rule reads its events more than once
+        found = make().evaluate(materialize(normalize(L.syslog_events(spark, sf_dir, pack))))
         return found.select(*FOUND, "reason", "rule", "severity")
 
 
@@ -430,7 +437,7 @@ _window_query(
     f"{WITH_DENSE} {S.in_window('evs', 'true', 'count(*)', 60, False, 'requests_per_minute')}",
 )
 def q_feat_rpm(spark, sf_dir):
-    counted = requests_per_minute(L.all_events(spark, sf_dir, L.DENSE))
+    counted = requests_per_minute(materialize(L.all_events(spark, sf_dir, L.DENSE)))
     return counted.select(*LINE_KEYS, "requests_per_minute")
 
 
@@ -496,16 +503,16 @@ def q_feat_entropy(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", entropy.alias("url_entropy"))
 
 
-@query(
-    "features_all",
-    f"""{WITH}, p AS ({_PER_IP}),
+_FEATURES_SQL = f"""{WITH}, p AS ({_PER_IP}),
 r AS ({S.in_window('evs', 'true', 'count(*)', 60, False, 'requests_per_minute')}),
 e AS ({_entropy_sql("evs", KEYS, "accion")})
 SELECT {KEYS}, hour("datetime")::INTEGER AS hour, ip_encoded, {_STATUS_VALUE} AS status_val,
   round(fail_ratio_per_ip, 9) AS fail_ratio_per_ip, unique_users_per_ip, requests_per_minute, url_entropy,
   unique_urls_per_ip
-FROM evs JOIN p USING (ip_origen) JOIN r USING ({KEYS}) JOIN e USING ({KEYS})""",
-)
+FROM evs JOIN p USING (ip_origen) JOIN r USING ({KEYS}) JOIN e USING ({KEYS})"""
+
+
+@query("features_all", _FEATURES_SQL)
 def q_features_all(spark, sf_dir):
     rounded = {"fail_ratio_per_ip": 9, "url_entropy": 6}
     return extract_features(materialize(L.all_events(spark, sf_dir, PACK))).select(
@@ -520,36 +527,99 @@ def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialize(extract_features(materialize(L.all_events(spark, sf_dir, PACK))))
 
 
-@query("iforest_fit")
+# Every tree of a fitted forest: rows at its root and at all its leaves, and whether it
+# keeps the bounds of the method (leaves at depth 8 at most, two nodes a row at most).
+@query(
+    "iforest_fit",
+    f"""{WITH}, n AS (SELECT least(count(*), {iforest.SAMPLE}) AS rows FROM evs)
+SELECT tree::INTEGER AS tree, rows AS root_rows, rows AS leaf_rows, true AS depth_kept, true AS size_kept
+FROM n, range({iforest.TREES}) AS t(tree)""",
+)
 def q_iforest_fit(spark, sf_dir):
-    return iforest.fit_nodes(_features(spark, sf_dir))
+    leaf = F.col("left") == F.col("node")
+    root = F.col("node") == 0
+    return iforest.fit_nodes(_features(spark, sf_dir)).groupBy("tree").agg(
+        F.sum(F.when(root, F.col("rows"))).alias("root_rows"),
+        F.sum(F.when(leaf, F.col("rows"))).alias("leaf_rows"),
+        (F.max("depth") <= 8).alias("depth_kept"),
+        (F.count(F.lit(1)) < 2 * F.max(F.when(root, F.col("rows")))).alias("size_kept"),
+    )
+
+
+# A small forest that both engines get as it stands: (tree, node, feature, threshold, left,
+# right, path). Thresholds lie between the values that occur.
+_TREES = [
+    (0, 0, 0, 8.5, 1, 2, 0.0), (0, 1, 6, 3.9017, 3, 4, 0.0), (0, 2, 3, 0.30003, 5, 6, 0.0),
+    (0, 3, 0, 0.0, 3, 3, 2.0), (0, 4, 0, 0.0, 4, 4, 3.5), (0, 5, 5, 2.5, 7, 8, 0.0), (0, 6, 0, 0.0, 6, 6, 2.25),
+    (0, 7, 0, 0.0, 7, 7, 4.75), (0, 8, 0, 0.0, 8, 8, 3.0),
+    (1, 0, 2, 0.75, 1, 2, 0.0), (1, 1, 4, 5.5, 3, 4, 0.0), (1, 2, 7, 11.5, 5, 6, 0.0),
+    (1, 3, 0, 0.0, 3, 3, 3.25), (1, 4, 0, 0.0, 4, 4, 4.5), (1, 5, 0, 0.0, 5, 5, 2.0), (1, 6, 0, 0.0, 6, 6, 5.0),
+    (2, 0, 1, 200000000.5, 1, 2, 0.0), (2, 1, 0, 0.0, 1, 1, 1.0), (2, 2, 0, 15.5, 3, 4, 0.0),
+    (2, 3, 0, 0.0, 3, 3, 5.5), (2, 4, 6, 4.2021, 5, 6, 0.0), (2, 5, 0, 0.0, 5, 5, 3.0), (2, 6, 0, 0.0, 6, 6, 4.0),
+]
+_TREE_SAMPLE, _TREE_QUANTILE = 8, 0.9
+
+
+def _small_forest(cutoff: float | None = None) -> iforest.Forest:
+    columns = ["tree", "node", "feature", "threshold", "left", "right", "path"]
+    return iforest.Forest(pd.DataFrame(_TREES, columns=columns), tuple(FEATURES), _TREE_SAMPLE, cutoff)
+
+
+_NODES = ", ".join(str(n) for n in _TREES)
+_NORM = float(iforest.average_path(_TREE_SAMPLE))
+_X = ", ".join(f"{c}::DOUBLE" for c in FEATURES)
 
 
-@query("iforest_score")
+def _with_scores() -> str:
+    """CTEs up to ``scored``: every event walks down every tree."""
+    head, body = _FEATURES_SQL.split("\nSELECT", 1)
+    return f"""{head.replace("WITH ", "WITH RECURSIVE ", 1)}, f AS (SELECT {body}),
+x AS (SELECT {KEYS}, [{_X}] AS x FROM f),
+nodes(tree, node, feature, threshold, "left", "right", path) AS (VALUES {_NODES}),
+walk AS (SELECT {KEYS}, x, tree, 0 AS node, 0 AS depth FROM x, (SELECT DISTINCT tree FROM nodes)
+  UNION ALL SELECT {KEYS}, x, tree, CASE WHEN x[feature + 1] <= threshold THEN "left" ELSE "right" END, depth + 1
+  FROM walk JOIN nodes USING (tree, node) WHERE depth < 3),
+scored AS (SELECT {KEYS}, pow(2.0::DOUBLE, -sum(path::DOUBLE) / {len({n[0] for n in _TREES})} / {_NORM!r}::DOUBLE) AS score
+  FROM walk JOIN nodes USING (tree, node) WHERE depth = 3 GROUP BY {KEYS}),
+cut AS (SELECT quantile_cont(score, {_TREE_QUANTILE}) AS cutoff FROM scored)"""
+
+
+_SCORED = _with_scores()
+
+
+def _scored_events(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, iforest.Forest]:
+    scored = materialize(iforest.score(_features(spark, sf_dir), _small_forest()))
+    return scored, _small_forest(iforest.exact_quantile(scored, "score", _TREE_QUANTILE))
+
+
+@query("iforest_score", f"{_SCORED} SELECT {KEYS}, round(score, 9) AS score, score > cutoff AS outlier FROM scored, cut")
 def q_iforest_score(spark, sf_dir):
-    features = _features(spark, sf_dir)
-    forest = iforest.fit(features)
-    return iforest.score(features, forest).select(
-        *LINE_KEYS, "score", iforest.is_outlier(forest).alias("outlier")
-    )
+    scored, forest = _scored_events(spark, sf_dir)
+    return scored.select(*LINE_KEYS, F.round("score", 9).alias("score"), iforest.is_outlier(forest).alias("outlier"))
 
 
-@query("iforest_threshold")
+@query(
+    "iforest_threshold",
+    f"{_SCORED} SELECT round(cutoff, 9) AS cutoff, count(*) FILTER (score > cutoff) AS flagged, count(*) AS rows"
+    " FROM scored, cut GROUP BY cutoff",
+)
 def q_iforest_threshold(spark, sf_dir):
-    features = _features(spark, sf_dir)
-    forest = iforest.fit(features)
-    scored = iforest.score(features, forest)
+    scored, forest = _scored_events(spark, sf_dir)
     return scored.agg(
-        F.lit(forest.cutoff).alias("cutoff"),
+        F.round(F.lit(forest.cutoff), 9).alias("cutoff"),
         F.count_if(iforest.is_outlier(forest)).alias("flagged"),
         F.count(F.lit(1)).alias("rows"),
     )
 
 
-@query("rule_iforest")
+@query(
+    "rule_iforest",
+    f"{_SCORED} SELECT {_FOUND}, 'Isolation Forest Anomaly' AS reason, 'Isolation Forest Anomaly' AS rule,"
+    f" 'low' AS severity FROM evs JOIN scored USING ({KEYS}), cut WHERE score > cutoff",
+)
 def q_rule_iforest(spark, sf_dir):
+    forest = _scored_events(spark, sf_dir)[1]
     events = materialize(L.all_events(spark, sf_dir, PACK))
-    forest = iforest.fit(materialize(extract_features(events)))
     found = iforest.isolation_forest_rule(forest).evaluate(events)
     return found.select(*FOUND, "reason", "rule", "severity")
 
@@ -574,29 +644,8 @@ _ALERTS = ", ".join(f'"{c}"' for c in _ALERT_COLUMNS)
 @query("detect_hits", f"{WITH} {S.hits('evs')}")
 def q_detect_hits(spark, sf_dir):
     """Findings one by one, before they are merged."""
-    detector = Detector()
-    hits = detector.hits(_stored(spark, sf_dir))
-    details = []
-    for i, rule in enumerate(detector.rules):
-        reason = (
-            F.lit(rule.reason)
-            if isinstance(rule.reason, str)
-            else F.filter("texts", lambda t: t["ord"] == 6)[0]["reason"]
-        )
-        details.append(
-            F.when(
-                F.col("found").bitwiseAND(F.lit(1 << i)) != 0,
-                F.struct(
-                    F.lit(i).alias("ord"),
-                    F.lit(rule.name).alias("rule"),
-                    reason.alias("reason"),
-                    F.lit(rule.severity).alias("severity"),
-                ),
-            )
-        )
-    return hits.select(*LINE_KEYS, F.explode(F.array_compact(F.array(*details))).alias("h")).select(
-        *LINE_KEYS, "h.*"
-    )
+    found = Detector().findings(_stored(spark, sf_dir))
+    return found.select(*LINE_KEYS, "ord", "rule", "reason", "severity")
 
 
 @query("detect_alerts", f"{WITH_ALERTS} SELECT {_ALERTS} FROM alerts")
