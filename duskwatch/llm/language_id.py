@@ -17,22 +17,23 @@ UNKNOWN = "und"
 # Labelled rows the model is fitted on, about; a hash of the id picks them.
 TRAIN_ROWS = 20_000
 # Words and n-grams of the model: the most frequent ones seen at least so often.
-MAX_WORDS, MAX_GRAMS, LEAST_SEEN = 200_000, 200_000, 3
+MAX_WORDS, MAX_GRAMS, LEAST_SEEN = 100_000, 50_000, 3
 LONGEST_GRAM = 4
 SMOOTHING = 0.1
 # The score of a text is as sure as this many of its words would make it at most.
 SURE_WORDS = 10
 # Words a Python worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 100_000
 
 
 @dataclass(frozen=True)
 class LanguageModel:
-    """Log frequencies by language: ``words`` and, by length, ``grams``."""
+    """Log frequencies by language, one row of ``logs`` for each known word or n-gram."""
 
     languages: tuple[str, ...]
-    words: dict[str, np.ndarray]
-    grams: dict[str, np.ndarray]
+    words: dict[str, int]
+    grams: dict[str, int]
+    logs: np.ndarray
 
     def word_scores(self, word: str) -> np.ndarray:
         """Log frequency of the word in each language; of its n-grams if it is unknown.
@@ -40,15 +41,16 @@ class LanguageModel:
         n-grams of the longest length of which the word has a known one are averaged; a
         word without any says nothing (zeros).
         """
-        known = self.words.get(word)
-        if known is not None:
-            return known
+        row = self.words.get(word)
+        if row is not None:
+            return self.logs[row]
         framed = f" {word} "
         for n in range(min(LONGEST_GRAM, len(framed)), 0, -1):
-            found = [g for i in range(len(framed) - n + 1) if (g := self.grams.get(framed[i : i + n])) is not None]
-            if found:
-                return np.mean(found, axis=0)
-        return np.zeros(len(self.languages))
+            cut = (framed[i : i + n] for i in range(len(framed) - n + 1))
+            rows = [row for row in map(self.grams.get, cut) if row is not None]
+            if rows:
+                return self.logs[rows].mean(axis=0)
+        return np.zeros(len(self.languages), self.logs.dtype)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -87,19 +89,13 @@ def count_words(labelled: DataFrame) -> DataFrame:
     return by_batch(rows, count, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-def _frequent(counts: DataFrame, key: str, most: int) -> list:
-    """[(key, {lang: n})] of the most frequent keys; at most ``most``."""
-    by_key = counts.groupBy(key).agg(
-        F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("of")
-    )
-    return by_key.where(F.col("total") >= LEAST_SEEN).orderBy(F.desc("total"), key).limit(most).collect()
-
-
-def _logs(rows: list, key: str, languages: tuple[str, ...]) -> dict[str, np.ndarray]:
-    table = np.array([[r["of"].get(lang, 0) for lang in languages] for r in rows], float).reshape(len(rows), len(languages))
-    smooth = table + SMOOTHING
-    logs = np.log(smooth / smooth.sum(axis=0)) if len(rows) else smooth
-    return {r[key]: v for r, v in zip(rows, logs)}
+def _frequent(counts: DataFrame, key: str, most: int, languages: tuple[str, ...]) -> tuple[list[str], np.ndarray]:
+    """The most frequent keys, at most ``most``, and their smoothed log frequencies."""
+    own = [F.sum(F.when(F.col("lang") == lang, F.col("n"))).alias(f"n{i}") for i, lang in enumerate(languages)]
+    by_key = counts.groupBy(key).agg(F.sum("n").alias("total"), *own)
+    top = by_key.where(F.col("total") >= LEAST_SEEN).orderBy(F.desc("total"), key).limit(most).toPandas()
+    table = top[[f"n{i}" for i in range(len(languages))]].fillna(0).to_numpy(np.float64) + SMOOTHING
+    return top[key].tolist(), np.log(table / table.sum(axis=0)).astype(np.float32)
 
 
 def fit(labelled: DataFrame, id_column: str = "doc_id", train_rows: int = TRAIN_ROWS) -> LanguageModel:
@@ -115,13 +111,19 @@ def fit(labelled: DataFrame, id_column: str = "doc_id", train_rows: int = TRAIN_
     counts = stored(count_words(picked))
     languages = tuple(sorted(r[0] for r in counts.select("lang").distinct().collect()))
     framed = F.concat(F.lit(" "), "word", F.lit(" "))
-    grams: dict[str, np.ndarray] = {}
+    names, logs = _frequent(counts, "word", MAX_WORDS, languages)
+    words = {w: i for i, w in enumerate(names)}
+    grams: dict[str, int] = {}
+    tables = [logs]
     for n in range(1, LONGEST_GRAM + 1):
         places = F.transform(F.sequence(F.lit(1), F.length(framed) - n + 1), lambda i: F.substring(framed, i, F.lit(n)))
         cut = counts.where(F.length(framed) >= n).select("lang", F.explode(places).alias("gram"))
         found = cut.groupBy("lang", "gram").agg(F.count("*").alias("n"))
-        grams.update(_logs(_frequent(found, "gram", MAX_GRAMS), "gram", languages))
-    return LanguageModel(languages, _logs(_frequent(counts, "word", MAX_WORDS), "word", languages), grams)
+        names, logs = _frequent(found, "gram", MAX_GRAMS, languages)
+        first = sum(map(len, tables))
+        grams.update({g: first + i for i, g in enumerate(names)})
+        tables.append(logs)
+    return LanguageModel(languages, words, grams, np.concatenate(tables))
 
 
 class _Memory(dict):
@@ -130,9 +132,11 @@ class _Memory(dict):
         self.model = model
 
     def __missing__(self, word: str) -> np.ndarray:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        found = self[word] = self.model.word_scores(word) if word else np.zeros(len(self.model.languages))
+        found = self.model.word_scores(word) if word else np.zeros(len(self.model.languages))
+        if word not in self.model.words:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[word] = found
         return found
 
 
@@ -140,7 +144,7 @@ def score_texts(texts: pa.Array, memory: _Memory) -> tuple[list[str], np.ndarray
     """(language, score) of each whole text."""
     languages = memory.model.languages
     begins, words, codes = _letters(texts)
-    each = np.array([memory[w] for w in words]).reshape(len(words), len(languages))
+    each = np.array([memory[w] for w in words], np.float64).reshape(len(words), len(languages))
     told = np.array([bool(w) for w in words], float)
     upto = np.concatenate((np.zeros((1, len(languages))), np.cumsum(each[codes], axis=0)))
     n_upto = np.concatenate(([0.0], np.cumsum(told[codes])))

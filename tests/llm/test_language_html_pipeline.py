@@ -58,8 +58,8 @@ def test_columns_the_model_must_not_see(corpus, model):
 
 
 def test_backoff_from_words_to_shorter_grams():
-    hit = lambda *x: np.array(x, float)
-    m = language_id.LanguageModel(("a", "b"), {"known": hit(-1, -2)}, {"ab": hit(-3, -4), "bc": hit(-5, -6), "z": hit(-7, -8)})
+    logs = np.array([[-1, -2], [-3, -4], [-5, -6], [-7, -8]], float)
+    m = language_id.LanguageModel(("a", "b"), {"known": 0}, {"ab": 1, "bc": 2, "z": 3}, logs)
     assert m.word_scores("known").tolist() == [-1, -2]
     assert m.word_scores("abc").tolist() == [-4, -5]
     assert m.word_scores("xz").tolist() == [-7, -8]
