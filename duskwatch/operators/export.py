@@ -1,23 +1,25 @@
 """Reports: alert records written as JSON or CSV under a ``reports`` folder.
 
 A report is a folder of part files (every executor writes its own), named like the
-single file it stands for. Small reports can also be had as one JSON document.
+single file it stands for. A report can also be had as the parts of one JSON document.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 from datetime import datetime
 from pathlib import PurePosixPath
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from duskwatch.scratch import materialize
+
 FORMATS = ("json", "csv")
 REPORTS = "reports"
-DOCUMENT_ROWS = 10_000
 
 
 def alert_records(alerts: DataFrame) -> DataFrame:
@@ -31,16 +33,41 @@ def to_record(columns: list[Column]) -> Column:
 
 
 def flatten_records(records: DataFrame) -> DataFrame:
-    """One level of nesting as columns ``parent_child``; lists as text; sorted names."""
+    """One level of nesting as columns ``parent_child``; lists as text; sorted names.
+
+    A map's keys are looked up in the records first, in one pass for all maps, and
+    become columns like the fields of a struct. What is nested deeper becomes JSON text.
+    """
+    maps = [f.name for f in records.schema.fields if isinstance(f.dataType, T.MapType)]
+    keys: dict[str, list] = {name: [] for name in maps}
+    if maps:
+        def met_in(name: str) -> Column:
+            return F.transform(F.map_keys(f"`{name}`"), lambda k: F.struct(F.lit(name).alias("map"), k.cast("string").alias("key")))
+
+        met = [met_in(m) for m in maps]
+        all_met = F.flatten(F.array_compact(F.array(*met)))
+        for name, key in records.select(F.explode(all_met).alias("k")).distinct().select("k.*").collect():
+            keys[name].append(key)
     flat: dict[str, Column] = {}
+
+    def as_text(element: T.DataType):
+        return lambda v: F.coalesce(plain(v, element).cast("string"), F.lit("None"))
+
+    def plain(column: Column, kind: T.DataType) -> Column:
+        nested = isinstance(kind, (T.StructType, T.ArrayType, T.MapType))
+        return F.to_json(column, {"ignoreNullFields": "false"}) if nested else column
+
     for field in records.schema.fields:
-        column = F.col(f"`{field.name}`")
-        if isinstance(field.dataType, T.StructType):
-            for sub in field.dataType.fieldNames():
-                flat[f"{field.name}_{sub}"] = column.getField(sub)
-        elif isinstance(field.dataType, T.ArrayType):
-            texts = F.transform(column, lambda v: F.coalesce(v.cast("string"), F.lit("None")))
-            flat[field.name] = F.array_join(texts, ", ")
+        column, kind = F.col(f"`{field.name}`"), field.dataType
+        if isinstance(kind, T.StructType):
+            for sub in kind.fields:
+                flat[f"{field.name}_{sub.name}"] = plain(column.getField(sub.name), sub.dataType)
+        elif isinstance(kind, T.MapType):
+            named = F.transform_keys(column, lambda k, _: k.cast("string"))
+            for key in keys[field.name]:
+                flat[f"{field.name}_{key}"] = plain(F.try_element_at(named, F.lit(key)), kind.valueType)
+        elif isinstance(kind, T.ArrayType):
+            flat[field.name] = F.array_join(F.transform(column, as_text(kind.elementType)), ", ")
         else:
             flat[field.name] = column
     return records.select(*[flat[name].alias(name) for name in sorted(flat)])
@@ -60,36 +87,54 @@ def _target(base_dir: str, fmt: str, name: str | None, now: datetime) -> str:
     return f"{base_dir.rstrip('/')}/{REPORTS}/{report_name(fmt, name, now)}"
 
 
-def _require_rows(records: DataFrame) -> None:
-    if records.isEmpty():
-        raise ValueError("Cannot export empty data")
+def _counted(records: DataFrame) -> tuple[DataFrame, Observation]:
+    """The records, and their number once they have been written."""
+    seen = Observation()
+    return records.observe(seen, F.count(F.lit(1)).alias("n")), seen
+
+
+def _require_rows(seen: Observation) -> int:
+    if not seen.get["n"]:
+        raise ValueError("A report needs at least one record")
+    return seen.get["n"]
 
 
 def export_json(
     records: DataFrame, base_dir: str, name: str | None = None, now: datetime | None = None
 ) -> str:
-    """Write ``threats`` as JSON lines, and then one row of ``export_metadata``."""
-    _require_rows(records)
+    """Write ``threats`` as JSON lines, and then one row of ``export_metadata``.
+
+    Records are counted while they are written. Without any, the folder of ``threats``
+    stays empty, no metadata is written, and that is an error.
+    """
     now = now or datetime.now()
     path = _target(base_dir, "json", name, now)
-    records.write.mode("overwrite").json(f"{path}/threats", ignoreNullFields=False)
-    spark = records.sparkSession
-    written = spark.read.schema(records.schema).json(f"{path}/threats")
-    written.agg(F.count(F.lit(1)).alias("record_count")).select(
-        F.lit(now.isoformat()).alias("timestamp"), F.lit("json").alias("format"), "record_count"
+    counted, seen = _counted(_shown(records))
+    counted.write.mode("overwrite").json(f"{path}/threats", ignoreNullFields=False)
+    meta = [(now.isoformat(), "json", _require_rows(seen))]
+    records.sparkSession.createDataFrame(meta, "timestamp string, format string, record_count bigint").coalesce(
+        1
     ).write.mode("overwrite").json(f"{path}/export_metadata")
     return path
 
 
+def _shown(records: DataFrame) -> DataFrame:
+    """Times as the text that alert records carry."""
+    return records.withColumns(
+        {f.name: F.col(f"`{f.name}`").cast("string") for f in records.schema if isinstance(f.dataType, T.TimestampNTZType)}
+    )
+
+
 def export_csv(
     records: DataFrame, base_dir: str, name: str | None = None, now: datetime | None = None
 ) -> str:
-    """Write flattened records as CSV with a header."""
-    _require_rows(records)
+    """Write flattened records as CSV with a header; none at all are an error."""
     path = _target(base_dir, "csv", name, now or datetime.now())
-    flatten_records(records).write.mode("overwrite").csv(
+    counted, seen = _counted(flatten_records(_shown(records)))
+    counted.write.mode("overwrite").csv(
         path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
     )
+    _require_rows(seen)
     return path
 
 
@@ -102,27 +147,27 @@ def export_report(
 ) -> str:
     writers = {"json": export_json, "csv": export_csv}
     if fmt.lower() not in FORMATS:
-        raise ValueError(f"Unsupported format: {fmt}")
+        raise ValueError(f"Reports are written as one of {FORMATS}, not {fmt!r}")
     return writers[fmt.lower()](records, base_dir, name, now)
 
 
-def json_document(records: DataFrame, now: datetime, max_rows: int = DOCUMENT_ROWS) -> DataFrame:
-    """A small report as one JSON text. More than ``max_rows`` records are refused."""
-    if records.limit(max_rows + 1).count() > max_rows:
-        raise ValueError(f"More than {max_rows} records: use export_json")
-    return records.agg(
-        F.to_json(
-            F.struct(
-                F.struct(
-                    F.lit(now.isoformat()).alias("timestamp"),
-                    F.lit("json").alias("format"),
-                    F.count(F.lit(1)).alias("record_count"),
-                ).alias("export_metadata"),
-                F.collect_list(F.struct(*records.columns)).alias("threats"),
-            ),
-            {"ignoreNullFields": "false"},
-        ).alias("document")
+def json_document(records: DataFrame, now: datetime) -> DataFrame:
+    """(part, n, text): one JSON document of any size, as texts to be put together in order.
+
+    Part 0 is its head with the number of records, part 1 has a record in each row, part
+    2 is its tail. Nothing is gathered: whoever writes the file streams the rows sorted.
+    """
+    rows = materialize(
+        _shown(records).select(to_record([F.col(f"`{c}`") for c in records.columns]).alias("text")).withColumn(
+            "n", F.monotonically_increasing_id()
+        )
     )
+    count, first = rows.agg(F.count(F.lit(1)), F.min("n")).first()
+    comma = F.when(F.col("n") == F.lit(first), F.lit("")).otherwise(F.lit(", "))
+    told = rows.select(F.lit(1).alias("part"), "n", F.concat(comma, "text").alias("text"))
+    meta = json.dumps({"timestamp": now.isoformat(), "format": "json", "record_count": count})
+    ends = [(0, 0, f'{{"export_metadata": {meta}, "threats": ['), (2, 0, "]}")]
+    return told.unionByName(records.sparkSession.createDataFrame(ends, "part int, n bigint, text string"))
 
 
 def report_info(spark: SparkSession, path: str) -> dict:
@@ -135,7 +180,7 @@ def report_info(spark: SparkSession, path: str) -> dict:
             .first()
         )
     except AnalysisException as e:
-        raise FileNotFoundError(f"Report not found: {path}") from e
+        raise FileNotFoundError(f"No report at {path}") from e
     return {
         "filename": PurePosixPath(path).name,
         "path": path,

@@ -18,7 +18,7 @@ def features_of(spark, rows, columns=None):
     return extract_features(frame(spark, rows, columns)).orderBy("line_no").collect()
 
 
-def at(status, ip="192.0.2.1", minutes=0, **more):
+def at(status, ip="10.7.0.1", minutes=0, **more):
     return {"datetime": BASE + timedelta(minutes=minutes), "ip_origen": ip, "status": status, **more}
 
 
@@ -36,14 +36,14 @@ def test_status_values(spark):
 
 
 def test_address_hash(spark):
-    a, b, c = features_of(spark, [at("FAIL", "192.0.2.1"), at("FAIL", "192.0.2.1"), at("FAIL", "192.0.2.2")])
+    a, b, c = features_of(spark, [at("FAIL", "10.7.0.1"), at("FAIL", "10.7.0.1"), at("FAIL", "10.7.0.2")])
     assert a.ip_encoded == b.ip_encoded != c.ip_encoded
 
 
 def test_fail_ratio_needs_five_rows(spark):
     rows = [at(s) for s in ["SUCCESS", "FAIL", "SUCCESS", "FAIL", "SUCCESS"]]
-    rows += [at(s, "192.0.2.2") for s in ["FAIL", "FAIL", "FAIL", "FAIL", "SUCCESS"]]
-    rows += [at("FAIL", "192.0.2.3")] * 4
+    rows += [at(s, "10.7.0.2") for s in ["FAIL", "FAIL", "FAIL", "FAIL", "SUCCESS"]]
+    rows += [at("FAIL", "10.7.0.3")] * 4
     got = [r.fail_ratio_per_ip for r in features_of(spark, rows)]
     assert got == [0.4] * 5 + [0.8] * 5 + [0.0] * 4
 
@@ -56,27 +56,27 @@ def test_distinct_users_and_urls(spark):
 
 
 def normal_rows(n=400):
-    rng = np.random.default_rng(42)
+    rng = np.random.default_rng(11)
     return [
         {
-            "datetime": datetime(2026, 10, 11, int(h), int(m)),
-            "ip_origen": f"192.0.2.{i % 50 + 1}",
-            "usuario": "alice",
-            "accion": "Login attempt",
+            "datetime": datetime(2026, 5, 6, 9, 0) + timedelta(minutes=int(m)),
+            "ip_origen": f"10.7.{i % 8}.{i % 6}",
+            "usuario": f"clerk{i % 3}",
+            "accion": "read a page",
             "status": "SUCCESS",
         }
-        for i, (h, m) in enumerate(zip(rng.integers(8, 18, n), rng.integers(0, 60, n), strict=True))
+        for i, m in enumerate(rng.integers(0, 480, n))
     ]
 
 
-ATTACK = login_rows(datetime(2026, 10, 11, 3), 15, "203.0.113.200", "root", "Failed password xyz", "FAIL", 2)
+ATTACK = login_rows(datetime(2026, 5, 6, 2, 30), 12, "172.20.1.1", "clerk0", "zq!7 wrong key #9", "FAIL", 3)
 
 
 def test_planted_outliers_score_highest(spark):
     df = extract_features(frame(spark, normal_rows() + ATTACK)).cache()
     forest = fit(df, contamination=0.05)
-    ranked = score(df, forest).orderBy(F.desc("score")).limit(15).collect()
-    assert {r.line_no for r in ranked} == set(range(400, 415))
+    ranked = score(df, forest).orderBy(F.desc("score")).limit(12).collect()
+    assert {r.line_no for r in ranked} == set(range(400, 412))
     assert all(0 < r.score < 1 for r in ranked)
 
 
@@ -102,6 +102,17 @@ def test_each_tree_gets_its_full_sample(spark):
     assert [r["count"] for r in counts.collect()] == [64] * 20
 
 
+def test_the_draw_does_not_depend_on_how_many_rows_are_looked_at(spark, monkeypatch):
+    df = extract_features(frame(spark, normal_rows(300))).cache()
+    draws = []
+    for spare in (1, 4, 1000):
+        monkeypatch.setattr(iforest, "SPARE", spare)
+        rows = iforest.tree_samples(df, ["line_no"], FEATURES, 20, 8, 1).orderBy("tree", "place").collect()
+        draws.append([(r["tree"], r["place"], tuple(r["x"])) for r in rows])
+    assert draws[0] == draws[1] == draws[2]
+    assert len(draws[0]) == 160
+
+
 def test_rule_flags_unseen_behaviour(spark):
     forest = fit(extract_features(frame(spark, normal_rows())), contamination=0.05)
     found = isolation_forest_rule(forest).evaluate(frame(spark, ATTACK)).collect()

@@ -5,25 +5,29 @@ from pyspark.sql import functions as F
 
 from duskwatch.functions.timestamps import normalize_timestamp
 from duskwatch.schema import EVENT_COLUMNS, LINE_KEYS
+from duskwatch.scratch import materialize
 from duskwatch.sources.formats import LineShape, LogFormat
 from duskwatch.sources.text_logs import (
     cast_times,
     detect_formats,
-    find_formats,
+    events_of,
+    existing_paths,
+    formats_of,
     log_lines,
     parse_lines,
-    parse_stats,
     raw_lines,
     read_events,
+    read_lines,
+    stats_of,
     stats_report,
 )
 
 from .helpers import NOW, frame, write_log
 
-FAILED = "Oct 11 10:00:00 server sshd[123]: Failed password for root from 192.0.2.1"
-ACCESS = '192.0.2.1 - - [11/Oct/2026:10:00:00 +0000] "GET {} HTTP/1.1" {} 1234 "-" "Mozilla/5.0"'
+FAILED = "Oct 11 10:00:00 birch sshd[871]: Failed password for olga from 10.20.30.40"
+ACCESS = '10.20.30.41 - - [11/Oct/2026:10:00:00 +0000] "GET {} HTTP/1.1" {} 77 "-" "Lynx/2.9"'
 ERROR = (
-    "[Thu Oct 11 10:00:00.123456 2026] [error] [pid 12345] [client 192.0.2.1:54321] File not found"
+    "[Sun Oct 11 10:00:00.000321 2026] [warn] [pid 42] [client 10.20.30.42:1025] No such shelf"
 )
 
 
@@ -33,8 +37,8 @@ def parsed(spark, tmp_path, text, name="a.log"):
 
 def test_failed_login(spark, tmp_path):
     (row,) = parsed(spark, tmp_path, FAILED)
-    assert (row.status, row.usuario, row.ip_origen) == ("FAIL", "root", "192.0.2.1")
-    assert (row.hostname, row.process, row.pid) == ("server", "sshd", "123")
+    assert (row.status, row.usuario, row.ip_origen) == ("FAIL", "olga", "10.20.30.40")
+    assert (row.hostname, row.process, row.pid) == ("birch", "sshd", "871")
     assert row.datetime == datetime(2026, 10, 11, 10, 0, 0)
 
 
@@ -42,31 +46,31 @@ def test_accepted_login_and_session(spark, tmp_path):
     rows = parsed(
         spark,
         tmp_path,
-        "Oct 11 12:00:00 server sshd[456]: Accepted password for admin from 192.0.2.2\n"
-        "Oct  1 10:00:00 server sshd[123]: session opened for user root\n"
-        "Oct 11 10:00:00 server sshd: session closed for user root\n",
+        "Oct 11 12:00:00 birch sshd[19]: Accepted password for yusuf from 10.20.30.43\n"
+        "Oct  1 10:00:00 birch sshd[20]: session opened for user mei\n"
+        "Oct 11 10:00:00 birch sshd: session closed for user mei\n",
     )
     assert [(r.status, r.usuario, r.ip_origen, r.pid) for r in rows] == [
-        ("SUCCESS", "admin", "192.0.2.2", "456"),
-        ("SUCCESS", "root", None, "123"),
-        ("FAIL", "root", None, None),
+        ("SUCCESS", "yusuf", "10.20.30.43", "19"),
+        ("SUCCESS", "mei", None, "20"),
+        ("FAIL", "mei", None, None),
     ]
     assert rows[1].datetime == datetime(2026, 10, 1, 10, 0, 0)
 
 
 def test_access_line(spark, tmp_path):
-    (row,) = parsed(spark, tmp_path, ACCESS.format("/api/test", 200))
-    assert (row.ip_origen, row.method, row.url) == ("192.0.2.1", "GET", "/api/test")
-    assert (row.http_status, row.status, row.user_agent) == ("200", "SUCCESS", "Mozilla/5.0")
-    assert (row.accion, row.hostname, row.process) == ("GET /api/test", "-", "web_server")
-    assert (row.usuario, row.attack_types, row.bytes_sent) == (None, None, "1234")
+    (row,) = parsed(spark, tmp_path, ACCESS.format("/tea/green", 200))
+    assert (row.ip_origen, row.method, row.url) == ("10.20.30.41", "GET", "/tea/green")
+    assert (row.http_status, row.status, row.user_agent) == ("200", "SUCCESS", "Lynx/2.9")
+    assert (row.accion, row.hostname, row.process) == ("GET /tea/green", "-", "web_server")
+    assert (row.usuario, row.attack_types, row.bytes_sent) == (None, None, "77")
     assert row.timestamp == "Oct 11 10:00:00"
 
 
 def test_error_line(spark, tmp_path):
     (row,) = parsed(spark, tmp_path, ERROR)
-    assert (row.ip_origen, row.status, row.log_level) == ("192.0.2.1", "FAIL", "error")
-    assert (row.pid, row.accion, row.url) == ("12345", "File not found", None)
+    assert (row.ip_origen, row.status, row.log_level) == ("10.20.30.42", "FAIL", "warn")
+    assert (row.pid, row.accion, row.url) == ("42", "No such shelf", None)
 
 
 def test_http_status_classes(spark, tmp_path):
@@ -91,24 +95,53 @@ def test_bad_times_are_dropped(spark, tmp_path):
     rows = parsed(
         spark,
         tmp_path,
-        "INVALID_TIMESTAMP server sshd[123]: Failed password for root from 192.0.2.1\n"
-        "Feb 29 10:00:00 server sshd[1]: Failed password for root from 192.0.2.1\n"
-        "Oct 32 10:00:00 server sshd[1]: Failed password for root from 192.0.2.1\n"
-        "Oct 11 25:00:00 server sshd[1]: Failed password for root from 192.0.2.1\n" + FAILED,
+        "yesterday birch sshd[871]: Failed password for olga from 10.20.30.40\n"
+        "Feb 29 10:00:00 birch sshd[1]: Failed password for olga from 10.20.30.40\n"
+        "Oct 32 10:00:00 birch sshd[1]: Failed password for olga from 10.20.30.40\n"
+        "Oct 11 25:00:00 birch sshd[1]: Failed password for olga from 10.20.30.40\n" + FAILED,
     )
     assert len(rows) == 1
 
 
 def test_garbage_and_empty_files(spark, tmp_path):
-    garbage = "This is not a log file at all.\nSecond line of garbage.\n"
+    garbage = "Dear diary,\nit rained until noon.\n"
     assert parsed(spark, tmp_path, garbage) == []
     path = write_log(tmp_path, "empty.log", "")
     assert read_events(spark, path, NOW).columns == [*LINE_KEYS, *EVENT_COLUMNS]
     assert read_events(spark, path, NOW).count() == 0
 
 
-def test_a_missing_path_gives_no_events(spark, tmp_path):
-    assert read_events(spark, str(tmp_path / "none.log"), NOW).count() == 0
+def test_missing_paths(spark, tmp_path):
+    good, gone = write_log(tmp_path, "good.log", FAILED + "\n" + FAILED), str(tmp_path / "gone.log")
+    assert raw_lines(spark, [gone, good, gone]).count() == 2
+    assert existing_paths(spark, [gone, good]) == ([good], [gone])
+    with pytest.raises(FileNotFoundError, match="gone.log"):
+        raw_lines(spark, [gone])
+
+
+@pytest.mark.parametrize("split", ["400", "8192", "134217728"])
+def test_detection_does_not_depend_on_splits(spark, tmp_path, split):
+    text = "\n".join([FAILED] * 5 + [ACCESS.format("/long/" + "x" * 50, 200)] * 15 + [FAILED] * 50)
+    path = write_log(tmp_path, "mixed.log", text)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        assert detect_formats(raw_lines(spark, path)).first().format == "web"
+        assert read_events(spark, path, NOW).count() == 15
+        read = materialize(read_lines(raw_lines(spark, path)))
+        assert formats_of(read).first().format == "web"
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_a_file_without_a_format_is_an_error(spark, tmp_path):
+    write_log(tmp_path, "a.log", FAILED)
+    write_log(tmp_path, "b.log", FAILED)
+    raw = raw_lines(spark, str(tmp_path))
+    some = formats_of(materialize(read_lines(raw))).where("file_path like '%a.log'")
+    for use in (lambda: parse_lines(log_lines(raw), some), lambda: stats_of(read_lines(raw), some)):
+        with pytest.raises(Exception, match="No format is given for .*b.log"):
+            use().collect()
 
 
 def test_blank_lines_padding_and_bad_bytes(spark, tmp_path):
@@ -146,10 +179,10 @@ def test_a_folder_may_mix_formats(spark, tmp_path):
     rows = read_events(spark, str(folder), NOW).collect()
     got = sorted((r.file_path.rsplit("/", 1)[1], r.accion) for r in rows)
     assert got == [
-        ("auth.log", "Failed password for root from 192.0.2.1"),
-        ("web.log", "File not found"),
-        ("web.log", "File not found"),
+        ("auth.log", "Failed password for olga from 10.20.30.40"),
         ("web.log", "GET /kept"),
+        ("web.log", "No such shelf"),
+        ("web.log", "No such shelf"),
     ]
 
 
@@ -216,14 +249,14 @@ def test_statistics(spark, tmp_path):
     bad_time = FAILED.replace("Oct 11", "Oct 32")
     write_log(folder, "a.log", "\n".join([FAILED, "garbage", "", bad_time, FAILED]))
     write_log(folder, "b.log", "prose\nmore prose\n")
-    raw = raw_lines(spark, str(folder))
-    lines, formats = log_lines(raw), find_formats(raw)
-    stats = parse_stats(lines, formats)
+    read = materialize(read_lines(raw_lines(spark, str(folder))))
+    formats = materialize(formats_of(read))
+    stats = stats_of(read, formats)
     got = {r.file_path.rsplit("/", 1)[1]: r for r in stats.collect()}
     a, b = got["a.log"], got["b.log"]
     assert (a.lines_read, a.lines_parsed, a.lines_discarded, a.parse_rate) == (4, 3, 1, 75.0)
     assert (b.lines_read, b.lines_parsed, b.lines_discarded, b.parse_rate) == (2, 0, 2, 0.0)
-    events = cast_times(parse_lines(lines, formats), NOW)
+    events = cast_times(events_of(read, formats), NOW)
     report = {r.file_path.rsplit("/", 1)[1]: r for r in stats_report(stats, events).collect()}
     assert report["a.log"].parse_rate_percent == 75.0
     assert report["a.log"].extracted_fields == EVENT_COLUMNS
@@ -246,12 +279,29 @@ def test_own_format(spark, tmp_path):
             ),
         ),
     )
-    path = write_log(tmp_path, "p.log", "Oct 11 10:00:00|192.0.2.9|did it\nno\n")
+    path = write_log(tmp_path, "p.log", "Oct 11 10:00:00|10.20.30.49|did it\nno\n")
     (row,) = read_events(spark, path, NOW, formats="pipe", known=[own]).collect()
-    assert (row.ip_origen, row.accion, row.datetime.hour) == ("192.0.2.9", "did it", 10)
-
-
-def test_regex_runs_once_per_line(spark):
-    lines = frame(spark, [{}]).withColumn("value", F.lit(FAILED))
-    plan = parse_lines(lines, "syslog")._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("regexp_replace(value") <= 1
+    assert (row.ip_origen, row.accion, row.datetime.hour) == ("10.20.30.49", "did it", 10)
+
+
+def test_overlapping_formats_are_read_by_the_one_of_the_file(spark, tmp_path):
+    def own(name, pattern):
+        columns = lambda g: {"timestamp": g(1), "accion": g(2), "status": F.lit(name)}
+        return LogFormat(name, (LineShape(pattern, 2, columns),))
+
+    known = [own("narrow", r"^(\w{3} \d\d \S+) (a\S*)$"), own("wide", r"^(\w{3} \d\d \S+) (.*)$")]
+    text = "\n".join(["Oct 11 10:00:00 abc"] + ["Oct 11 10:00:00 some words"] * 3)
+    path = write_log(tmp_path, "o.log", text)
+    read = materialize(read_lines(raw_lines(spark, path), known))
+    formats = materialize(formats_of(read, known))
+    assert formats.first().format == "wide"
+    assert {r.status for r in events_of(read, formats).collect()} == {"wide"}
+    assert events_of(read, formats).count() == 4
+    assert [(r.lines_read, r.lines_parsed) for r in stats_of(read, formats).collect()] == [(4, 4)]
+    assert events_of(read, "narrow").count() == 1
+
+
+def test_regex_runs_once_per_line(spark, tmp_path):
+    raw = raw_lines(spark, write_log(tmp_path, "r.log", FAILED))
+    plan = parse_lines(log_lines(raw), "syslog")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(value") == 1

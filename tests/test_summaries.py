@@ -69,7 +69,7 @@ def test_hours_without_events_are_zero(spark):
 
 def test_forensic_view(spark):
     rows = [
-        {"datetime": BASE + timedelta(seconds=i), "ip_origen": "192.0.2.1", "status": "FAIL",
+        {"datetime": BASE + timedelta(seconds=i), "ip_origen": "10.5.5.1", "status": "FAIL",
          "accion": "<b>" + "x" * 80, "usuario": "u"}
         for i in range(205)
     ]
@@ -77,9 +77,9 @@ def test_forensic_view(spark):
     alerts = alert_rows(
         spark,
         [
-            {"datetime": when, "ip_origen": "192.0.2.1", "accion": "a", "rule": "First"},
-            {"datetime": when, "ip_origen": "192.0.2.1", "accion": "b", "rule": "Second", "severity": "low"},
-            {"datetime": BASE, "ip_origen": "192.0.2.1", "rule": "Too Old"},
+            {"datetime": when, "ip_origen": "10.5.5.1", "accion": "a", "rule": "First"},
+            {"datetime": when, "ip_origen": "10.5.5.1", "accion": "b", "rule": "Second", "severity": "low"},
+            {"datetime": BASE, "ip_origen": "10.5.5.1", "rule": "Too Old"},
         ],
     )
     got = forensic_view(frame(spark, rows), alerts).orderBy("line_no").collect()
@@ -91,8 +91,8 @@ def test_forensic_view(spark):
 
 
 THREATS = [
-    {"datetime": BASE, "ip_origen": "192.0.2.1", "reason": 'say "hi", bye'},
-    {"datetime": BASE, "ip_origen": "192.0.2.2", "usuario": None},
+    {"datetime": BASE, "ip_origen": "10.5.5.1", "reason": 'say "hi", bye'},
+    {"datetime": BASE, "ip_origen": "10.5.5.2", "usuario": None},
 ]
 
 
@@ -111,22 +111,29 @@ def test_json_report(spark, tmp_path):
         for f in Path(path, "threats").glob("part-*")
         for line in f.read_text().splitlines()
     ]
-    assert sorted(r["ip_origen"] for r in lines) == ["192.0.2.1", "192.0.2.2"]
+    assert sorted(r["ip_origen"] for r in lines) == ["10.5.5.1", "10.5.5.2"]
     (meta,) = [f.read_text() for f in Path(path, "export_metadata").glob("part-*") if f.stat().st_size]
     assert json.loads(meta) == {"timestamp": BASE.isoformat(), "format": "json", "record_count": 2}
 
 
 def nested(spark):
     return spark.createDataFrame(
-        [("192.0.2.1", ("value1", 2), ["a", "b", "c"])],
-        "ip_origen string, nested struct<key1:string,key2:int>, list_field array<string>",
+        [("10.5.5.1", ("oak", 7), ["x", None], {"leaf": 3}, ([4, 5], {"k": "v"}))],
+        "ip_origen string, tree struct<kind:string,rings:int>, marks array<string>, parts map<string,int>,"
+        " deep struct<sizes:array<bigint>,notes:map<string,string>>",
     )
 
 
+FLAT = {
+    "deep_notes": '{"k":"v"}', "deep_sizes": "[4,5]", "ip_origen": "10.5.5.1", "marks": "x, None",
+    "parts_leaf": "3", "tree_kind": "oak", "tree_rings": "7",
+}
+
+
 def test_flatten(spark):
     flat = flatten_records(nested(spark))
-    assert flat.columns == ["ip_origen", "list_field", "nested_key1", "nested_key2"]
-    assert tuple(flat.first()) == ("192.0.2.1", "a, b, c", "value1", 2)
+    assert flat.columns == list(FLAT)
+    assert [str(v) for v in flat.first()] == list(FLAT.values())
 
 
 def test_csv_report(spark, tmp_path):
@@ -134,7 +141,7 @@ def test_csv_report(spark, tmp_path):
     (part,) = Path(path).glob("part-*")
     with part.open() as f:
         (row,) = csv.DictReader(f)
-    assert row == {"ip_origen": "192.0.2.1", "list_field": "a, b, c", "nested_key1": "value1", "nested_key2": "2"}
+    assert row == FLAT
     quoted = export_csv(alert_rows(spark, THREATS[:1]).coalesce(1), str(tmp_path), "quoted")
     (part,) = Path(quoted).glob("part-*")
     with part.open() as f:
@@ -142,17 +149,20 @@ def test_csv_report(spark, tmp_path):
 
 
 def test_json_document(spark):
-    doc = json.loads(json_document(nested(spark), BASE).first().document)
-    assert doc["export_metadata"]["record_count"] == 1
-    assert doc["threats"][0]["nested"] == {"key1": "value1", "key2": 2}
-    with pytest.raises(ValueError):
-        json_document(spark.range(11), BASE, max_rows=10)
+    many = spark.range(12_345).select("id", F.concat(F.lit('"'), F.col("id")).alias("quoted")).repartition(5)
+    for records, count in ((nested(spark), 1), (many, 12_345), (many.limit(0), 0)):
+        parts = json_document(records, BASE).orderBy("part", "n").collect()
+        doc = json.loads("".join(p.text for p in parts))
+        assert doc["export_metadata"] == {"timestamp": BASE.isoformat(), "format": "json", "record_count": count}
+        assert len(doc["threats"]) == count
+    doc = json.loads("".join(p.text for p in json_document(nested(spark), BASE).orderBy("part", "n").collect()))
+    assert doc["threats"][0]["tree"] == {"kind": "oak", "rings": 7}
 
 
 def test_report_arguments(spark, tmp_path):
-    with pytest.raises(ValueError, match="Cannot export empty data"):
+    with pytest.raises(ValueError, match="at least one record"):
         export_report(nested(spark).limit(0), "json", str(tmp_path))
-    with pytest.raises(ValueError, match="Unsupported format"):
+    with pytest.raises(ValueError, match="one of"):
         export_report(nested(spark), "xml", str(tmp_path))
     path = export_report(nested(spark), "CSV", str(tmp_path), "../../outside")
     assert path == f"{tmp_path}/reports/outside.csv"

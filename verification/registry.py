@@ -12,7 +12,13 @@ from duskwatch.functions.text import adler32, preview, url_decode
 from duskwatch.functions.timestamps import infer_datetime, normalize_timestamp, usual_layout
 from duskwatch.operators import iforest
 from duskwatch.operators.detect import ALERT_KEYS, Detector
-from duskwatch.operators.export import alert_records, export_csv, export_json, flatten_records
+from duskwatch.operators.export import (
+    alert_records,
+    export_csv,
+    export_json,
+    flatten_records,
+    json_document,
+)
 from duskwatch.operators.features import (
     FEATURES,
     action_entropy,
@@ -783,3 +789,42 @@ def q_export_csv(spark, sf_dir):
     records = _nested(spark, sf_dir)
     path = export_csv(records, scratch_folder(spark), "events")
     return spark.read.schema(flatten_records(records).schema).csv(path, header=True, escape='"')
+
+
+# The rows of a report as one JSON document; SQL writes each record the same way.
+@query(
+    "json_report",
+    f"""WITH r AS (SELECT event_id, {S.IP} AS ip_origen, user_id, event_type FROM events)
+SELECT 1 AS part, json_object('event_id', event_id, 'actor', json_object('ip_origen', ip_origen, 'user_id', user_id),
+  'event_type', event_type)::VARCHAR AS record FROM r
+UNION ALL SELECT 0, '{{"export_metadata": {{"timestamp": "2024-12-31T23:59:59", "format": "json", "record_count": '
+  || count(*) || '}}, "threats": [' FROM r
+UNION ALL SELECT 2, ']}}'""",
+)
+def q_json_report(spark, sf_dir):
+    actor = F.struct(L._ip().alias("ip_origen"), "user_id").alias("actor")
+    parts = json_document(L.events(spark, sf_dir).select("event_id", actor, "event_type"), L.NOW)
+    # which record comes first, and so has no comma before it, is not SQL's to say
+    return parts.select("part", F.regexp_replace("text", "^, ", "").alias("record"))
+
+
+# Records with a map, lists and structs below the first level.
+_DEEP = """SELECT event_id, {'kind': event_type, 'ids': [user_id, event_id]} AS deep FROM events"""
+
+
+@query(
+    "export_csv_nested",
+    f"""SELECT event_id, deep.kind AS deep_kind, to_json(deep.ids)::VARCHAR AS deep_ids,
+  CASE WHEN event_id % 2 = 0 THEN deep.kind END AS more_even, CASE WHEN event_id % 2 = 1 THEN deep.kind END AS more_odd
+FROM ({_DEEP})""",
+)
+def q_export_csv_nested(spark, sf_dir):
+    """Written as a CSV report and read back."""
+    key = F.when(F.col("event_id") % 2 == 0, F.lit("even")).otherwise(F.lit("odd"))
+    records = L.events(spark, sf_dir).select(
+        "event_id",
+        F.struct(F.col("event_type").alias("kind"), F.array("user_id", "event_id").alias("ids")).alias("deep"),
+        F.create_map(key, F.col("event_type")).alias("more"),
+    )
+    path = export_csv(records, scratch_folder(spark), "events")
+    return spark.read.schema(flatten_records(records).schema).csv(path, header=True, escape='"')
