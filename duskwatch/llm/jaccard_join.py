@@ -159,31 +159,30 @@ def _signed(docs: DataFrame, text_column: str, t: Fraction) -> DataFrame:
 def _shared(signed: DataFrame) -> DataFrame:
     """(sig, leader, key): the sets of every signature that different sets share.
 
-    The leader is the smallest key. Rows are dealt and sorted by signature and streamed,
-    so that a signature shared by any number of sets needs no memory; equal sets are one.
+    The leader is one of them. Rows are dealt and sorted by signature and streamed, so
+    that a signature shared by any number of sets needs no memory; equal sets are one,
+    but for those far apart in a very long run. Store the result: another run may choose
+    other leaders.
     """
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sig_before = key_before = leader = None
+        last_sig = leader = None
         for batch in batches:
             if not batch.num_rows:
                 continue
             sigs, keys = (batch.column(c).to_numpy() for c in ("sig", "key"))
-            if sig_before is not None:
-                sigs = np.concatenate(([sig_before], sigs))
-                keys = np.concatenate(([key_before], keys))
+            order = np.lexsort((keys, sigs))
+            sigs, keys = sigs[order], keys[order]
             new = np.concatenate(([True], sigs[1:] != sigs[:-1]))
-            starts = np.flatnonzero(new)
-            leaders = keys[starts]
-            if sig_before is not None:
+            leaders = keys[new]
+            if last_sig is not None and sigs[0] == last_sig:
                 leaders[0] = leader
             of_row = leaders[np.cumsum(new) - 1]
-            fresh = np.concatenate(([sig_before is None], new[1:] | (keys[1:] != keys[:-1])))
-            others = fresh & (keys != of_row)
-            sig_before, key_before, leader = sigs[-1], keys[-1], of_row[-1]
+            others = (new | np.concatenate(([True], keys[1:] != keys[:-1]))) & (keys != of_row)
+            last_sig, leader = sigs[-1], of_row[-1]
             yield pa.RecordBatch.from_arrays([pa.array(x[others]) for x in (sigs, of_row, keys)], ["sig", "leader", "key"])
 
-    dealt = signed.repartition("sig").sortWithinPartitions("sig", "key")
+    dealt = signed.repartition("sig").sortWithinPartitions("sig")
     return dealt.mapInArrow(stream, "sig bigint, leader bigint, key bigint")
 
 
@@ -239,8 +238,8 @@ def similar_pairs(docs: DataFrame, sets: DataFrame, id_column: str, text_column:
     """Links (a, b) between set keys that connect the same sets as all pairs with similarity ``t``.
 
     First every set is compared with the leader of each of its signatures. Of the other
-    pairs of a signature, those of two sets similar to the leader are connected already;
-    each set that is not similar to it is compared with the rest, except where the
+    pairs of a signature, those that are connected by then need no comparison. Each set
+    that is not similar to the leader is compared with the rest, except where the
     distances to the leader tell enough (the Jaccard distance obeys the triangle
     inequality). Before two sets are laid side by side their outlines are compared,
     which rules out most unlike pairs and no similar one.
@@ -263,11 +262,17 @@ def similar_pairs(docs: DataFrame, sets: DataFrame, id_column: str, text_column:
         F.col("a").alias("leader"), F.col("b").alias("key"), F.coalesce(is_link, F.lit(False)).alias("linked"),
         F.coalesce(1 - F.col("common") / F.col("total"), F.col("least")).alias("d"),
     )
-    members = stored(shared.join(known, ["leader", "key"]).select("sig", "key", "linked", "d"))
-    x = members.where(~F.col("linked")).select("sig", F.col("key").alias("x"), F.col("d").alias("dx"))
-    y = members.select("sig", F.col("key").alias("y"), F.col("d").alias("dy"), "linked")
+    groups = connected_components(links).select(F.col("node").alias("key"), F.col("component").alias("group"))
+    members = stored(
+        shared.join(known, ["leader", "key"])
+        .join(groups, "key", "left")
+        .select("sig", "key", F.coalesce("group", "key").alias("group"), "linked", "d")
+    )
+    x = members.where(~F.col("linked")).select("sig", F.col("key").alias("x"), F.col("d").alias("dx"), F.col("group").alias("gx"))
+    y = members.select("sig", F.col("key").alias("y"), F.col("d").alias("dy"), F.col("group").alias("gy"), "linked")
     rest = x.join(y, "sig").where(
-        F.when(F.col("linked"), F.col("dx") - F.col("dy") <= apart).otherwise(F.col("x") < F.col("y"))
+        (F.col("gx") != F.col("gy"))
+        & F.when(F.col("linked"), F.col("dx") - F.col("dy") <= apart).otherwise(F.col("x") < F.col("y"))
     )
     rest = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     more = stored(_plausible(rest, outlines, t).where(F.col("least") <= apart).select("a", "b"))
