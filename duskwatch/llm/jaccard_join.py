@@ -1,9 +1,9 @@
 """N-gram Jaccard join by PartEnum signatures.
 
 Two shingle sets of sizes a <= b with similarity t or more differ in at most
-(1-t)/(1+t)*(a+b) elements. Sets are put into size bands with ratio t, so that similar
-sets are in the same band or in neighbouring ones; band j is also joined with the sets
-of band j-1. For each band the shingle domain is hashed into n parts, a little more than
+(1-t)/(1+t)*(a+b) elements. Sets are put into size bands (from a size to 1/t^2 of it),
+so that similar sets are in the same band or in neighbouring ones; band j is also joined
+with those sets of band j-1 that are large enough. For each band the shingle domain is hashed into n parts, a little more than
 the number k of elements that may differ. The subset of a set that falls into one part
 is a signature: every differing element spoils one part, so at least n-k parts agree (in
 the terms of PartEnum: n parts, none of the second level, all enumerated).
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .shingles import as_signed, each_set, mix
-from .tables import by_batch, stored, where_id_in
+from .tables import by_batch, free_shuffles, stored, where_id_in
 
 SIMILARITY = Fraction(3, 4)
 # Parts beyond the differences allowed: n = k + 1 + k * SPARE_PARTS.
@@ -45,9 +45,9 @@ def bands(size: int, t: Fraction = SIMILARITY) -> list[tuple[int, int, int]]:
     """(band, lowest size, highest size) of the size's own band and of the next."""
     low, band = 1, 0
     while True:
-        high = int(low / t)
+        high = int(low / t / t)
         if size <= high:
-            return [(band, low, high), (band + 1, high + 1, int((high + 1) / t))]
+            return [(band, low, high), (band + 1, high + 1, int((high + 1) / t / t))]
         low, band = high + 1, band + 1
 
 
@@ -237,46 +237,72 @@ def _plausible(pairs: DataFrame, outlines: DataFrame, t: Fraction) -> DataFrame:
 def similar_pairs(docs: DataFrame, sets: DataFrame, id_column: str, text_column: str, t: Fraction) -> DataFrame:
     """Links (a, b) between set keys that connect the same sets as all pairs with similarity ``t``.
 
-    First every set is compared with the leader of each of its signatures. Of the other
-    pairs of a signature, those that are connected by then need no comparison. Each set
-    that is not similar to the leader is compared with the rest, except where the
-    distances to the leader tell enough (the Jaccard distance obeys the triangle
-    inequality). Before two sets are laid side by side their outlines are compared,
-    which rules out most unlike pairs and no similar one.
+    Two sets that share a signature are compared, or else connected by other links. To
+    need few comparisons, every set is compared with the leader that it shares the most
+    signatures with; then with its other leaders that it is not connected with; then
+    those not connected with a leader with all others of the signature. Before two sets
+    are laid side by side their outlines are compared, which rules out most unlike pairs
+    and no similar one, and in the last step so do the distances to the leader (the
+    Jaccard distance obeys the triangle inequality).
     """
     apart = float(1 - t) + 1e-9
+    is_link = F.col("common") * t.denominator >= F.col("total") * t.numerator
     shared = stored(_shared(_signed(docs, text_column, t)))
+    free_shuffles(docs.sparkSession)
     outlines = stored(
         sets.where("key is not null").groupBy("key").agg(
             F.min(id_column).alias("i"), F.first("n_shingles").alias("n_shingles"), F.first("outline").alias("outline")
         )
     )
-    first = shared.select(F.col("leader").alias("a"), F.col("key").alias("b")).distinct()
-    looked = stored(_plausible(first, outlines, t))
-    told = stored(_compared(docs, outlines, looked.where(F.col("least") <= apart).select("a", "b"), text_column, id_column))
-    is_link = F.col("common") * t.denominator >= F.col("total") * t.numerator
+    counted = shared.groupBy(F.col("leader").alias("a"), F.col("key").alias("b")).agg(F.count("*").alias("n"))
+    looked = stored(_plausible(counted.select("a", "b"), outlines, t).join(counted, ["a", "b"]))
+    maybe = looked.where(F.col("least") <= apart)
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        return stored(_compared(docs, outlines, pairs, text_column, id_column))
+
+    def in_groups(links: DataFrame) -> DataFrame:
+        """(key, group) of the sets that links connect with others."""
+        found = connected_components(links)
+        return found.select(F.col("node").alias("key"), F.col("component").alias("group"))
+
+    def apart_pairs(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+        ga, gb = (groups.select(F.col("key").alias(c), F.col("group").alias(f"g{c}")) for c in "ab")
+        placed = pairs.join(ga, "a", "left").join(gb, "b", "left")
+        return placed.where(F.coalesce("ga", "a") != F.coalesce("gb", "b")).select("a", "b")
+
+    best = maybe.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b")
+    told = compared(best)
+    groups = in_groups(told.where(is_link).select("a", "b"))
+    others = maybe.select("a", "b").join(told.select("a", "b"), ["a", "b"], "left_anti")
+    told = told.union(compared(apart_pairs(others, groups)))
     links = told.where(is_link).select("a", "b")
+    groups = in_groups(links)
 
-    # (leader, key): the distance if it was measured, else the least it can be
+    # (leader, key): the distance if it was measured, and the least it can be
     known = looked.join(told, ["a", "b"], "left").select(
-        F.col("a").alias("leader"), F.col("b").alias("key"), F.coalesce(is_link, F.lit(False)).alias("linked"),
-        F.coalesce(1 - F.col("common") / F.col("total"), F.col("least")).alias("d"),
+        F.col("a").alias("leader"), F.col("b").alias("key"), (1 - F.col("common") / F.col("total")).alias("d"), "least"
     )
-    groups = connected_components(links).select(F.col("node").alias("key"), F.col("component").alias("group"))
+    of_leader = groups.select(F.col("key").alias("leader"), F.col("group").alias("leaders"))
     members = stored(
-        shared.join(known, ["leader", "key"])
-        .join(groups, "key", "left")
-        .select("sig", "key", F.coalesce("group", "key").alias("group"), "linked", "d")
+        shared.join(known, ["leader", "key"]).join(groups, "key", "left").join(of_leader, "leader", "left").select(
+            "sig", "key", "d", "least", F.coalesce("group", "key").alias("group"),
+            (F.coalesce("group", "key") == F.coalesce("leaders", "leader")).alias("led"),
+        )
+    )
+    x = members.where(~F.col("led")).select(
+        "sig", F.col("key").alias("x"), F.coalesce("d", "least").alias("dx"), F.col("group").alias("gx")
     )
-    x = members.where(~F.col("linked")).select("sig", F.col("key").alias("x"), F.col("d").alias("dx"), F.col("group").alias("gx"))
-    y = members.select("sig", F.col("key").alias("y"), F.col("d").alias("dy"), F.col("group").alias("gy"), "linked")
+    y = members.select("sig", F.col("key").alias("y"), F.col("d").alias("dy"), F.col("group").alias("gy"), "led")
     rest = x.join(y, "sig").where(
         (F.col("gx") != F.col("gy"))
-        & F.when(F.col("linked"), F.col("dx") - F.col("dy") <= apart).otherwise(F.col("x") < F.col("y"))
+        & (F.col("led") | (F.col("x") < F.col("y")))
+        & (F.col("dy").isNull() | (F.col("dx") - F.col("dy") <= apart))
     )
     rest = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    more = stored(_plausible(rest, outlines, t).where(F.col("least") <= apart).select("a", "b"))
-    more = _compared(docs, outlines, more.join(told, ["a", "b"], "left_anti"), text_column, id_column)
+    more = _plausible(rest, outlines, t).where(F.col("least") <= apart).select("a", "b")
+    both_ways = told.select("a", "b").union(told.select("b", "a"))
+    more = compared(more.join(both_ways, ["a", "b"], "left_anti"))
     return links.union(more.where(is_link).select("a", "b"))
 
 
@@ -297,7 +323,7 @@ def _compared(docs: DataFrame, outlines: DataFrame, pairs: DataFrame, text_colum
     laid = by_batch(where_id_in(named, "i", ids).select("t"), lay_out, "key bigint, shingles binary")
     # an id may stand for several rows and sets: of each set that is asked for, one
     full = laid.join(keys, "key", "left_semi").groupBy("key").agg(F.first("shingles").alias("shingles"))
-    return _similarities(pairs, stored(full))
+    return _similarities(pairs, full)
 
 
 def near_duplicates(

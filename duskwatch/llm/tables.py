@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from duskwatch.scratch import materialize
@@ -21,6 +22,16 @@ SLAB_BYTES = 4_000_000
 stored = materialize
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of steps whose tables nothing refers to any more.
+
+    It does so when the driver's JVM collects garbage, which may else be a long time
+    after a large step was stored.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def where_id_in(df: DataFrame, column: str, ids: DataFrame, keep: bool = True) -> DataFrame:
     """Rows of ``df`` whose ``column`` is (not) among ``ids``, a stored one-column table.
 
