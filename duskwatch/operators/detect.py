@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from duskwatch.schema import LINE_KEYS, line_key, with_line_keys
+from duskwatch.scratch import materialize
 
 from .rules import SEVERITY_RANK, FrameRule, RowRule, Rule, WindowRule, default_rules
 from .windows import MOMENT, marked
@@ -191,12 +192,18 @@ def _row_hits(df: DataFrame, keep: list[str], words: list[str], rules: list[tupl
 def _window_hits(
     df: DataFrame, keep: list[str], words: list[str], rules: list[tuple[int, WindowRule]]
 ) -> DataFrame:
-    """The marks of all rules are merged to one row per moment before they meet the events."""
+    """The marks of all rules are merged to one row per moment before they meet the events.
+
+    The merged marks are stored, so that the join reads two plain inputs and Spark can
+    split it where a moment is hot, or broadcast the marks where they are few.
+    """
     marks = reduce(
         DataFrame.unionByName, [r.marks(df).withColumn("_ord", F.lit(i)) for i, r in rules]
     )
-    merged = marks.groupBy(*MOMENT).agg(
-        *[F.min_by("from_key", F.when(F.col("_ord") == i, F.lit(0))).alias(f"_from{i}") for i, _ in rules]
+    merged = materialize(
+        marks.groupBy(*MOMENT).agg(
+            *[F.min_by("from_key", F.when(F.col("_ord") == i, F.lit(0))).alias(f"_from{i}") for i, _ in rules]
+        )
     )
     used = [c for c in df.columns if any(c in r.needs for _, r in rules)]
     rows = df.select(*dict.fromkeys([*keep, *used])).join(merged, MOMENT)
@@ -207,4 +214,7 @@ def _window_hits(
         bits[words[word]] = bits[words[word]].bitwiseOR(F.when(hit, _bit(i, word)).otherwise(_none()))
     judged = rows.withColumns(bits)
     any_hit = reduce(Column.__or__, [F.col(w) != 0 for w in words])
-    return judged.where(any_hit).select(*keep, *words, _no_texts())
+    # Behind explode() the rows are not known to be dealt by moment: the merge deals them
+    # anew, after summing in every task, and so Spark is free to split a hot moment here.
+    hits = judged.where(any_hit).select(F.explode(F.array(F.struct(*keep, *words))).alias("_hit"))
+    return hits.select("_hit.*", _no_texts())
