@@ -119,8 +119,12 @@ def extract_ip(message: Column) -> Column:
 
 
 def extract_user(message: Column) -> Column:
-    """The first non-empty capture, in pattern order."""
-    return F.coalesce(*[first_group(message, p, ignore_case=True) for p in USER_PATTERNS])
+    """The first non-empty capture, in pattern order; every pattern runs once.
+
+    (``nullif`` inside ``coalesce`` would run each of them twice, to test and to tell.)
+    """
+    found = F.array(*[F.regexp_extract(message, java_regex(p, True), 1) for p in USER_PATTERNS])
+    return F.get(F.filter(found, lambda user: user != ""), F.lit(0))
 
 
 def _holds_any(text: Column, terms: list[str]) -> Column:
