@@ -35,8 +35,9 @@ SPARE_PARTS = Fraction(12, 100)
 
 # Shingles of the sets that a task signs at a time.
 SIGNED_SHINGLES = 200_000
-# Parts of the outline of a set, by which most unlike pairs are told apart.
-OUTLINE_PARTS = 128
+# The outline of a set, by which most unlike pairs are told apart: its least number of
+# parts, and the shingles per part beyond which it gets more.
+OUTLINE_PARTS, OUTLINE_FILL = 128, 4
 
 _U = np.uint64
 
@@ -104,12 +105,25 @@ def set_key(shingles: np.ndarray) -> int:
 
 
 def outline(shingles: np.ndarray) -> bytes:
-    """How many shingles fall into each of a fixed number of parts of the domain, 255 at most.
+    """How many shingles fall into each part of the domain, 255 at most.
 
-    Two sets differ in at least as many shingles as their outlines do.
+    Two sets differ in at least as many shingles as their outlines do. Larger sets have
+    more parts, always a power of two, so that an outline can be coarsened to a shorter
+    one by adding up neighbours.
     """
-    part = ((mix(shingles) >> _U(32)) * _U(OUTLINE_PARTS)) >> _U(32)
-    return np.minimum(np.bincount(part.astype(np.int64), minlength=OUTLINE_PARTS), 255).astype(np.uint8).tobytes()
+    parts = OUTLINE_PARTS
+    while parts * OUTLINE_FILL < len(shingles):
+        parts *= 2
+    part = mix(shingles) >> _U(65 - parts.bit_length())
+    return np.minimum(np.bincount(part.astype(np.int64), minlength=parts), 255).astype(np.uint8).tobytes()
+
+
+def outlines_apart(x: bytes, y: bytes) -> int:
+    """The least number of shingles in which two sets of these outlines differ."""
+    a, b = (np.frombuffer(v, np.uint8).astype(np.int32) for v in (x, y))
+    parts = min(len(a), len(b))
+    a, b = (v.reshape(parts, -1).sum(axis=1) for v in (a, b))
+    return int(np.abs(a - b).sum())
 
 
 def _sets(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -217,11 +231,8 @@ def _plausible(pairs: DataFrame, outlines: DataFrame, t: Fraction) -> DataFrame:
     """
 
     def compare(batch: pa.RecordBatch) -> pa.RecordBatch:
-        x, y = (
-            np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, OUTLINE_PARTS).astype(np.int16)
-            for c in ("ox", "oy")
-        )
-        apart = np.abs(x - y).sum(axis=1, dtype=np.int64)
+        shown = zip(batch.column("ox").to_pylist(), batch.column("oy").to_pylist())
+        apart = np.array([outlines_apart(x, y) for x, y in shown], np.int64)
         both = batch.column("nx").to_numpy() + batch.column("ny").to_numpy()
         # a union of (both + apart) / 2 at least, with ``apart`` outside the intersection
         return pa.RecordBatch.from_arrays(
