@@ -270,7 +270,9 @@ def similar_pairs(docs: DataFrame, sets: DataFrame, id_column: str, text_column:
     maybe = looked.where(F.col("least") <= apart)
 
     def compared(pairs: DataFrame) -> DataFrame:
-        return stored(_compared(docs, outlines, pairs, text_column, id_column))
+        told = stored(_compared(docs, outlines, pairs, text_column, id_column))
+        free_shuffles(docs.sparkSession)
+        return told
 
     def in_groups(links: DataFrame) -> DataFrame:
         """(key, group) of the sets that links connect with others."""
@@ -301,6 +303,7 @@ def similar_pairs(docs: DataFrame, sets: DataFrame, id_column: str, text_column:
             (F.coalesce("group", "key") == F.coalesce("leaders", "leader")).alias("led"),
         )
     )
+    free_shuffles(docs.sparkSession)
     x = members.where(~F.col("led")).select(
         "sig", F.col("key").alias("x"), F.coalesce("d", "least").alias("dx"), F.col("group").alias("gx")
     )
