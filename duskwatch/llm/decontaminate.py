@@ -1,4 +1,4 @@
-"""Benchmark decontamination: SimHash windows as long as the items, a multi-index, exact check."""
+"""Benchmark decontamination: for each item its best window of a text, by exact running counts of shingles."""
 
 from __future__ import annotations
 
@@ -38,40 +38,86 @@ def fingerprints(hashes: np.ndarray, starts: np.ndarray, length: int) -> np.ndar
     return ((2 * ones > length).astype(np.uint64) << _BITS).sum(axis=1, dtype=np.uint64)
 
 
-def weighted_similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """Sum of the lesser counts over sum of the greater, of two bags of shingles."""
-    names, place = np.unique(np.concatenate((a, b)), return_inverse=True)
-    x = np.bincount(place[: len(a)], minlength=len(names))
-    y = np.bincount(place[len(a) :], minlength=len(names))
-    return float(np.minimum(x, y).sum() / np.maximum(x, y).sum())
+class _Known:
+    """The shingles of one width of all items: numbers for them, and which item has which how often."""
+
+    def __init__(self, bags: dict[int, np.ndarray]):
+        own = {i: np.unique(bag, return_counts=True) for i, bag in bags.items()}
+        self.names = np.unique(np.concatenate([names for names, _ in own.values()]))
+        self.of = {i: (np.searchsorted(self.names, names), counts) for i, (names, counts) in own.items()}
+        # the items of each shingle, one after the other
+        holder = np.repeat(np.array(list(own), np.int64), [len(names) for names, _ in own.values()])
+        shingle = np.concatenate([n for n, _ in self.of.values()])
+        order = np.argsort(shingle, kind="stable")
+        self.items, self.counts = holder[order], np.concatenate([c for _, c in self.of.values()])[order]
+        self.first = np.searchsorted(shingle[order], np.arange(len(self.names) + 1))
+        # a quick look before the exact one: is there any known shingle with these first bits?
+        self.marked = np.zeros(1 << _FIRST_BITS, bool)
+        self.marked[(self.names >> _TOP).astype(np.int64)] = True
+        self.wanted = np.zeros(len(self.names), np.int64)
+
+    def found_in(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places, numbers) of the known ones among the shingles of a text."""
+        at = np.flatnonzero(self.marked[(own >> _TOP).astype(np.int64)])
+        number = np.minimum(np.searchsorted(self.names, own[at]), len(self.names) - 1)
+        same = self.names[number] == own[at]
+        return at[same], number[same]
+
+    def shared(self, number: np.ndarray, n_items: int) -> np.ndarray:
+        """How many shingles, by weight, each item has in common with a whole text.
+
+        Every shingle is looked up once, so the work is bounded by the items.
+        """
+        number, often = np.unique(number, return_counts=True)
+        size = self.first[number + 1] - self.first[number]
+        place = np.repeat(self.first[number] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        least = np.minimum(self.counts[place], np.repeat(often, size))
+        return np.bincount(self.items[place], least, n_items).astype(np.int64)
+
+    def best_window(self, item: int, at: np.ndarray, number: np.ndarray, size: int, last: int) -> tuple[int, int]:
+        """(shared shingles by weight, start) of the best of all windows of ``size`` shingles.
+
+        Windows start at 0 to ``last``; of equally good ones it is the first. A shingle
+        that the item has c times counts for the windows that hold it but not its c-th
+        occurrence before; these are intervals of starts, and the number of intervals over
+        a start is what its window shares with the item.
+        """
+        names, counts = self.of[item]
+        self.wanted[names] = counts
+        c = self.wanted[number]
+        self.wanted[names] = 0
+        at, number, c = at[c > 0], number[c > 0], c[c > 0]
+        order = np.argsort(number, kind="stable")
+        at, number, c = at[order], number[order], c[order]
+        back = np.arange(len(at)) - c
+        earlier = np.where((back >= 0) & (number[back] == number), at[back], -1)
+        begin = np.maximum(np.maximum(earlier, at - size) + 1, 0)
+        inside = (begin <= at) & (begin <= last)
+        begin, end = np.sort(begin[inside]), np.sort(at[inside] + 1)
+        over = np.arange(1, len(begin) + 1) - np.searchsorted(end, begin, "right")
+        # of equal begins the last one has them all; the first such start is told
+        top = int(over.argmax())
+        return int(over[top]), int(begin[top])
 
 
 class Items:
     """Benchmark items ready for search in one task."""
 
     def __init__(self, items: list[tuple[object, str]]):
-        self.ids, self.length, self.shingles, prints = [], [], [], []
-        places: dict[int, dict[int, set[tuple[int, int]]]] = defaultdict(lambda: defaultdict(set))
+        self.ids, sizes, prints = [], [], []
+        bags: dict[int, dict[int, np.ndarray]] = defaultdict(dict)
         for item_id, text in items:
             hashes = words_of(text)
             if not len(hashes):
                 continue
             bag = shingle_hashes(hashes)
-            width = min(len(hashes), SHINGLE_WORDS)
-            for at, shingle in enumerate(bag.tolist()):
-                places[width][shingle].add((len(hashes), at))
+            bags[min(len(hashes), SHINGLE_WORDS)][len(self.ids)] = bag
             self.ids.append(item_id)
-            self.length.append(len(hashes))
-            self.shingles.append(bag)
+            sizes.append(len(bag))
             prints.append(fingerprints(hashes, np.zeros(1, np.int64), len(hashes))[0])
-        self.length = np.array(self.length, np.int64)
+        self.sizes = np.array(sizes, np.int64)
         self.prints = np.array(prints, np.uint64)
-        self.known = {width: np.array(sorted(of), np.uint64) for width, of in places.items()}
-        # a quick look before the exact one: is there any known shingle with these first bits?
-        self.marked = {width: np.zeros(1 << _FIRST_BITS, bool) for width in places}
-        for width, known in self.known.items():
-            self.marked[width][(known >> _TOP).astype(np.int64)] = True
-        self.places = {width: {s: sorted(p) for s, p in of.items()} for width, of in places.items()}
+        self.known = {width: _Known(of) for width, of in bags.items()}
         self.index: list[dict[int, np.ndarray]] = []
         for block in range(BLOCKS):
             near: dict[int, list[int]] = defaultdict(list)
@@ -80,25 +126,6 @@ class Items:
                     near[other].append(i)
             self.index.append({b: np.array(v, np.int64) for b, v in near.items()})
 
-    def windows(self, hashes: np.ndarray) -> dict[int, np.ndarray]:
-        """Starts of windows, by length of an item, that can be similar to one of that length.
-
-        A similar window has a shingle of an item in common with it; the windows are
-        those in which it stands as far from the start as in the item.
-        """
-        starts: dict[int, set[int]] = defaultdict(set)
-        for width, known in self.known.items():
-            if len(hashes) < width:
-                continue
-            own = shingle_hashes(hashes, width)
-            found = np.flatnonzero(self.marked[width][(own >> _TOP).astype(np.int64)])
-            found = found[known[np.minimum(np.searchsorted(known, own[found]), len(known) - 1)] == own[found]]
-            for p in found.tolist():
-                for length, at in self.places[width][int(own[p])]:
-                    if length <= len(hashes):
-                        starts[length].add(min(max(p - at, 0), len(hashes) - length))
-        return {n: np.array(sorted(s), np.int64) for n, s in starts.items()}
-
     def near(self, prints: np.ndarray, radius: int = RADIUS) -> Iterator[tuple[int, int]]:
         """All (window, item) whose fingerprints differ by at most ``radius`` bits."""
         none = np.zeros(0, np.int64)
@@ -108,22 +135,28 @@ class Items:
             for i in met[apart <= radius].tolist():
                 yield w, i
 
-    def search(self, hashes: np.ndarray, similarity: float = SIMILARITY) -> dict[int, tuple[float, int]]:
-        """item -> (similarity, first word) of its best window in the words of a whole text.
+    def search(self, hashes: np.ndarray, similarity: float = SIMILARITY) -> dict[int, tuple[float, int, int]]:
+        """item -> (similarity, first word, words) of its best window in the words of a whole text.
 
-        Of equally good windows it is the first.
+        Of equally good windows it is the first. A text shorter than the item is one window.
         """
-        best: dict[int, tuple[float, int]] = {}
-        for length, starts in self.windows(hashes).items():
-            width = min(length, SHINGLE_WORDS)
-            bags = shingle_hashes(hashes, width)
-            for w, i in self.near(fingerprints(hashes, starts, length)):
-                if self.length[i] != length:
-                    continue
-                at = int(starts[w])
-                s = weighted_similarity(self.shingles[i], bags[at : at + length - width + 1])
-                if s >= similarity and (i not in best or s > best[i][0]):
-                    best[i] = (s, at)
+        best: dict[int, tuple[float, int, int]] = {}
+        for width, known in self.known.items():
+            if len(hashes) < width:
+                continue
+            own = shingle_hashes(hashes, width)
+            at, number = known.found_in(own)
+            if not len(at):
+                continue
+            shared = known.shared(number, len(self.ids))
+            size = np.minimum(self.sizes, len(own))
+            # the whole text shares as much as any window at least
+            for i in np.flatnonzero(shared / (self.sizes + size - shared) >= similarity).tolist():
+                n = int(size[i])
+                common, start = known.best_window(i, at, number, n, len(own) - n)
+                s = common / (int(self.sizes[i]) + n - common)
+                if s >= similarity:
+                    best[i] = (s, start, n + width - 1)
         return best
 
 
@@ -157,7 +190,8 @@ def find_contamination(
 
     A window as long as an item (in words ``[^\\x20\\x09-\\x0D]+``, A-Z lower-cased) holds it
     if their bags of five-word shingles have a weighted similarity of at least
-    ``similarity``; the best window is told. Items of fewer than five words are one
+    ``similarity``; the best window is told. A document shorter than the item is the one
+    window, and ``n_words`` are those of the window. Items of fewer than five words are one
     shingle. Null or empty texts hold nothing and are held by nothing; repeated rows are
     told each; ids are passed on as they are; other columns are ignored.
 
@@ -177,9 +211,9 @@ def find_contamination(
         def search(batch: pa.RecordBatch, sent=sent) -> pa.RecordBatch:
             ready = _ready(sent)
             hits = [
-                (r, i, s, at)
+                (r, i, s, at, n)
                 for r, hashes in enumerate(each_words(batch.column("t")))
-                for i, (s, at) in sorted(ready.search(hashes, similarity).items())
+                for i, (s, at, n) in sorted(ready.search(hashes, similarity).items())
             ]
             return pa.RecordBatch.from_arrays(
                 [
@@ -187,7 +221,7 @@ def find_contamination(
                     pa.array([ready.ids[h[1]] for h in hits], item_type),
                     pa.array([h[2] for h in hits], pa.float64()),
                     pa.array([h[3] for h in hits], pa.int64()),
-                    pa.array([int(ready.length[h[1]]) for h in hits], pa.int64()),
+                    pa.array([h[4] for h in hits], pa.int64()),
                 ],
                 [id_column, "item_id", "similarity", "start_word", "n_words"],
             )

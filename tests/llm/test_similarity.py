@@ -190,6 +190,56 @@ def test_contamination_as_brute_force(spark):
     assert len(want) > 25
 
 
+def windows_by_brute_force(text, item):
+    """(similarity, first word, words) of the best window; none without a common shingle."""
+    d, w = text.lower().split(), item.lower().split()
+    bag = lambda x: Counter(tuple(x[i : i + 5]) for i in range(max(1, len(x) - 4)))
+    want, n, best = bag(w), min(len(d), len(w)), (0.0, 0, 0)
+    for at in range(len(d) - n + 1):
+        own = bag(d[at : at + n])
+        s = (want & own).total() / (want | own).total()
+        if s > best[0]:
+            best = (s, at, n)
+    return best
+
+
+def test_short_documents_and_parts_in_another_order():
+    words = [f"w{i}" for i in range(50)]
+    item = " ".join(words)
+    items = decontaminate.Items([(7, item)])
+    texts = {
+        " ".join(words[:-2]): (44 / 46, 0, 48),
+        " ".join(words[3:-3]): (40 / 46, 0, 44),
+        " ".join(["x"] * 9 + words[24:] + words[:24] + ["y"] * 30): (42 / 50, 9, 50),
+        " ".join(words[:38]): None,
+    }
+    for text, want in texts.items():
+        assert items.search(words_of(text)) == ({} if want is None else {0: want})
+        assert want is None or windows_by_brute_force(text, item) == want
+
+
+def test_best_windows_as_brute_force():
+    rng = random.Random(21)
+    hits = 0
+    for _ in range(400):
+        vocabulary = [f"v{i}" for i in range(rng.choice([2, 3, 200]))]
+        make = lambda n: [rng.choice(vocabulary) for _ in range(n)]  # noqa: E731, B023
+        item = make(rng.randint(1, 40))
+        copy = list(item)
+        if rng.random() < 0.5:
+            cut = rng.randrange(len(item))
+            copy = copy[cut:] + copy[:cut]
+        for _ in range(rng.randint(0, 4)):
+            copy[rng.randrange(-3, 3) % len(copy)] = "z"
+        text = " ".join(make(rng.choice([0, 0, 20])) + copy[rng.randint(0, 2) :] + make(rng.choice([0, 0, 20])))
+        got = decontaminate.Items([(0, "other words of no use here"), (1, " ".join(item))]).search(words_of(text))
+        best = windows_by_brute_force(text, " ".join(item))
+        want = {1: best} if best[0] >= 0.75 else {}
+        assert {i: hit for i, hit in got.items() if i} == want
+        hits += len(want)
+    assert hits > 100
+
+
 def test_all_fingerprints_within_the_radius_are_found():
     rng = np.random.default_rng(8)
     items = decontaminate.Items([(i, f"a{i} b{i} c{i} d{i} e{i} f{i}") for i in range(60)])
