@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +16,9 @@ from .tables import by_batch
 
 SIMILARITY = 0.75
 # Fingerprints of 64 bits in 8 blocks of a byte; within RADIUS some block differs by at
-# most RADIUS // BLOCKS bits.
+# most RADIUS // BLOCKS bits. The search goes without them: bits say nothing sure of a
+# similarity of shingles, and a radius that loses next to nothing at SIMILARITY is near the
+# 32 bits of unrelated texts.
 BLOCKS, RADIUS = 8, 15
 # Items sent to the tasks at a time: a bounded number of bytes of their texts.
 ITEM_BYTES = 8_000_000
@@ -104,7 +107,7 @@ class Items:
     """Benchmark items ready for search in one task."""
 
     def __init__(self, items: list[tuple[object, str]]):
-        self.ids, sizes, prints = [], [], []
+        self.ids, self.words, sizes = [], [], []
         bags: dict[int, dict[int, np.ndarray]] = defaultdict(dict)
         for item_id, text in items:
             hashes = words_of(text)
@@ -114,17 +117,25 @@ class Items:
             bags[min(len(hashes), SHINGLE_WORDS)][len(self.ids)] = bag
             self.ids.append(item_id)
             sizes.append(len(bag))
-            prints.append(fingerprints(hashes, np.zeros(1, np.int64), len(hashes))[0])
+            self.words.append(hashes)
         self.sizes = np.array(sizes, np.int64)
-        self.prints = np.array(prints, np.uint64)
         self.known = {width: _Known(of) for width, of in bags.items()}
-        self.index: list[dict[int, np.ndarray]] = []
+
+    @cached_property
+    def prints(self) -> np.ndarray:
+        return np.array([fingerprints(w, np.zeros(1, np.int64), len(w))[0] for w in self.words], np.uint64)
+
+    @cached_property
+    def index(self) -> list[dict[int, np.ndarray]]:
+        """By block, the items whose byte differs from a byte by few enough bits."""
+        out = []
         for block in range(BLOCKS):
             near: dict[int, list[int]] = defaultdict(list)
-            for i, byte in enumerate(_bytes(self.prints)[:, block].tolist() if prints else []):
+            for i, byte in enumerate(_bytes(self.prints)[:, block].tolist()):
                 for other in _within(byte, RADIUS // BLOCKS):
                     near[other].append(i)
-            self.index.append({b: np.array(v, np.int64) for b, v in near.items()})
+            out.append({b: np.array(v, np.int64) for b, v in near.items()})
+        return out
 
     def near(self, prints: np.ndarray, radius: int = RADIUS) -> Iterator[tuple[int, int]]:
         """All (window, item) whose fingerprints differ by at most ``radius`` bits."""

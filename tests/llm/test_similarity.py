@@ -240,6 +240,25 @@ def test_best_windows_as_brute_force():
     assert hits > 100
 
 
+@pytest.mark.parametrize("length", [20, 40, 60, 100, 200])
+def test_no_copy_right_at_the_similarity_is_lost(length):
+    """Truncated and edited copies with as few shared shingles as 0.75 allows, however their bits fall."""
+    rng = random.Random(length)
+    shingles, far = length - 4, 0
+    edited_end = next(k for k in range(length) if (shingles - k - 1) / (shingles + k + 1) < 0.75)
+    cut_off = next(k for k in range(length) if (shingles - k - 1) / shingles < 0.75)
+    for _ in range(300):
+        words = [f"w{rng.random()}" for _ in range(length)]
+        item = decontaminate.Items([(0, " ".join(words))])
+        text = words_of(" ".join(words[:-edited_end] + [f"x{rng.random()}" for _ in range(edited_end)]))
+        far += (int(decontaminate.fingerprints(text, np.zeros(1, np.int64), length)[0]) ^ int(item.prints[0])).bit_count() > 15
+        assert item.search(text) == {0: ((shingles - edited_end) / (shingles + edited_end), 0, length)}
+        text = words_of(" ".join(words[cut_off:]))
+        assert item.search(text) == {0: ((shingles - cut_off) / shingles, 0, length - cut_off)}
+        assert item.search(words_of(" ".join(words[cut_off + 1 :]))) == {}
+    assert far or length < 40
+
+
 def test_all_fingerprints_within_the_radius_are_found():
     rng = np.random.default_rng(8)
     items = decontaminate.Items([(i, f"a{i} b{i} c{i} d{i} e{i} f{i}") for i in range(60)])
