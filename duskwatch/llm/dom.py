@@ -43,6 +43,8 @@ WORDS = frozenset(
     " popup modal newsletter subscribe signup comment comments commentlist disqus respond replies reply discussion"
     " share sharing social related widget login".split()
 )
+# Of these, those for what readers write: it may be long and varies too, but is never main text.
+READERS = frozenset("comment comments commentlist disqus respond replies".split())
 _NEVER_BY_WORD = frozenset("html body article main h1 h2 h3 h4 h5 h6".split())
 
 _TOKEN = re.compile(
@@ -55,13 +57,17 @@ _WORD = re.compile(r"[A-Za-z]+")
 
 
 class Element:
-    """``key`` names the element for alignment: tag, id and class."""
+    """``key`` names the element for alignment: tag, id and class.
 
-    __slots__ = ("tag", "key", "dropped", "children")
+    ``dropped`` elements are no main text; ``soft`` ones are only thought so, since they
+    are a form or carry a word.
+    """
+
+    __slots__ = ("tag", "key", "dropped", "soft", "children")
 
     def __init__(self, tag: str, attributes: str = ""):
         self.tag, self.key, self.children = tag, tag, []
-        self.dropped = tag in BOILERPLATE
+        self.dropped, self.soft = tag in BOILERPLATE, tag == "form"
         if attributes and "=" in attributes:
             found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
             if found:
@@ -69,14 +75,26 @@ class Element:
                 if tag not in _NEVER_BY_WORD:
                     # camelCase names are words too
                     said = re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{found.get('class', '')} {found.get('id', '')}")
-                    self.dropped |= found.get("role", "").lower() in ROLES or not WORDS.isdisjoint(
-                        w.lower() for w in _WORD.findall(said)
-                    )
+                    role = found.get("role", "").lower()
+                    word = not WORDS.isdisjoint(w.lower() for w in _WORD.findall(said))
+                    sure = self.dropped and not self.soft or role in ROLES and role != "form"
+                    self.dropped |= role in ROLES or word
+                    self.soft = self.dropped and not sure
+
+    @property
+    def main(self) -> bool:
+        return self.tag in ("article", "main") or "role=main" in self.key.split(" ")
 
 
 def parse(page: str | None) -> Element:
-    """The tree under a root element; texts are decoded strings among the children."""
+    """The tree under a root element; texts are decoded strings among the children.
+
+    Soft elements around an article or main element are not dropped if they hold more than
+    half of the page's words, so that the article is the page's and not a teaser.
+    """
     root = Element("#root")
+    # the soft elements around each article or main element that no other dropped one holds
+    around: list[list[Element]] = []
     stack = [root]
     at = 0
     page = page or ""
@@ -98,15 +116,40 @@ def parse(page: str | None) -> Element:
             continue
         _imply_ends(stack, tag)
         element = Element(tag, found[3])
+        if element.main and all(e.soft or not e.dropped for e in [*stack, element]):
+            around.append([e for e in [*stack, element] if e.soft])
         stack[-1].children.append(element)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
             at = end.end() if end else len(page)
         elif tag not in VOID and not found[3].rstrip().endswith("/") or tag in CLOSED_BY:
             stack.append(element)
+    if any(around):
+        whole = unlinked_words(root)
+        for softs in around:
+            if softs and not any(map(of_readers, (e.key for e in softs))) and 2 * unlinked_words(softs[0]) > whole:
+                for e in softs:
+                    e.dropped = e.soft = False
     return root
 
 
+def of_readers(key: str) -> bool:
+    """Is this an element for what readers write?"""
+    return any(w.lower() in READERS for w in _WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", key)))
+
+
+def unlinked_words(element: Element) -> int:
+    """Words outside links, those of soft elements as well."""
+    n, todo = 0, [*element.children]
+    while todo:
+        e = todo.pop()
+        if isinstance(e, str):
+            n += len(e.split())
+        elif e.tag != "a" and (e.soft or not e.dropped):
+            todo.extend(e.children)
+    return n
+
+
 def _close(stack: list[Element], tag: str) -> None:
     for i in range(len(stack) - 1, 0, -1):
         if stack[i].tag == tag:
@@ -128,10 +171,10 @@ def _imply_ends(stack: list[Element], tag: str) -> None:
                     break
 
 
-def blocks(element: Element, skip: set[int] = frozenset()) -> list[str]:
+def blocks(element: Element, skip: set[int] = frozenset(), keep: set[int] = frozenset()) -> list[str]:
     """Texts of the blocks in page order: white space is one space, nothing empty.
 
-    Dropped elements and those whose ``id()`` is in ``skip`` are left out.
+    Dropped elements whose ``id()`` is not in ``keep`` and those in ``skip`` are left out.
     """
     out: list[str] = []
     line: list[str] = []
@@ -150,7 +193,7 @@ def blocks(element: Element, skip: set[int] = frozenset()) -> list[str]:
             flush()
         elif isinstance(node, str):
             line.append(node)
-        elif node.dropped or id(node) in skip:
+        elif node.dropped and id(node) not in keep or id(node) in skip:
             if node.tag not in INLINE and node.tag not in _INSIDE_LINES:
                 flush()
         elif node.tag in INLINE:

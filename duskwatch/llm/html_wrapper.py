@@ -5,7 +5,8 @@ wrapper tree. A node of the wrapper knows how many pages have it and a few of th
 seen in it: a text that never changes is template, slots that vary are content. Each
 page is then aligned with its host's wrapper and loses the template; what is a menu,
 header, footer, advert and so on by its element, role or class goes as well, for such
-parts often vary from page to page.
+parts often vary from page to page. What is only thought so (a form, a word of the class)
+stays if it holds an article of more than half the page's words or if the wrapper shows long varying text in it.
 """
 
 from __future__ import annotations
@@ -19,13 +20,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .dom import INLINE, Element, blocks, parse
+from .dom import INLINE, Element, blocks, of_readers, parse, unlinked_words
 from .tables import by_batch, stored
 from .url_filter import url_host
 
 # A text is template if so many pages have it and all say the same, and content
 # somewhere on them has at least as many different texts.
 LEAST_PAGES = 5
+# Words outside links that a form or an element with a telling word has on a page, on
+# average, if it is main text all the same.
+LONG_WORDS = 50
 # Wrappers of a host are merged in so many parts first, then the parts.
 PARTS = 32
 # Inner elements that are too fine for a wrapper.
@@ -33,19 +37,25 @@ _DEPTH = 40
 
 
 class Node:
-    """A wrapper node: ``texts`` holds up to LEAST_PAGES different digests of its own text."""
+    """A wrapper node: ``texts`` holds up to LEAST_PAGES different digests of its own text.
 
-    __slots__ = ("key", "pages", "many", "texts", "children")
+    Those of a ``soft`` node are of all text in it, and ``words`` counts its words outside links.
+    """
+
+    __slots__ = ("key", "pages", "many", "texts", "children", "words", "soft")
 
-    def __init__(self, key: str, pages: int, many: bool, texts: list[int], children: list[Node]):
+    def __init__(
+        self, key: str, pages: int, many: bool, texts: list[int], children: list[Node], words: int = 0, soft: bool = False
+    ):
         self.key, self.pages, self.many, self.texts, self.children = key, pages, many, texts, children
+        self.words, self.soft = words, soft
 
     def pack(self) -> list:
-        return [self.key, self.pages, int(self.many), self.texts, [c.pack() for c in self.children]]
+        return [self.key, self.pages, int(self.many), self.texts, [c.pack() for c in self.children], self.words, int(self.soft)]
 
     @classmethod
     def unpack(cls, data: list) -> Node:
-        return cls(data[0], data[1], bool(data[2]), data[3], [cls.unpack(c) for c in data[4]])
+        return cls(data[0], data[1], bool(data[2]), data[3], [cls.unpack(c) for c in data[4]], data[5], bool(data[6]))
 
 
 def wrapper_of(element: Element, depth: int = 0) -> tuple[Node, dict[int, Element]]:
@@ -59,13 +69,17 @@ def wrapper_of(element: Element, depth: int = 0) -> tuple[Node, dict[int, Elemen
             if isinstance(c, str):
                 text.append(c)
             elif c.dropped:
-                continue
+                if c.soft and c.tag not in INLINE and depth < _DEPTH:
+                    children.append(build(c, depth + 1))
             elif c.tag in INLINE or depth >= _DEPTH:
                 text += blocks(c)
             else:
                 children.append(build(c, depth + 1))
+        if e.soft:
+            text = blocks(e, keep={id(e)})
         said = " ".join(" ".join(text).split())
-        node = Node(e.key, 1, False, [xxhash.xxh3_64_intdigest(said.encode("utf-8", "surrogatepass")) >> 1] if said else [], children)
+        digests = [xxhash.xxh3_64_intdigest(said.encode("utf-8", "surrogatepass")) >> 1] if said else []
+        node = Node(e.key, 1, False, digests, children, unlinked_words(e) if e.soft else 0, e.soft)
         owner[id(node)] = e
         return node
 
@@ -85,7 +99,7 @@ def _folded(children: list[Node]) -> list[Node]:
 
 
 def fold(node: Node) -> Node:
-    return Node(node.key, node.pages, node.many, node.texts, _folded([fold(c) for c in node.children]))
+    return Node(node.key, node.pages, node.many, node.texts, _folded([fold(c) for c in node.children]), node.words, node.soft)
 
 
 def _score(a: Node, b: Node) -> int:
@@ -132,7 +146,7 @@ def merge(a: Node, b: Node, same_page: bool = False) -> Node:
     texts = list(dict.fromkeys([*a.texts, *b.texts]))
     pages = max(a.pages, b.pages) if same_page else a.pages + b.pages
     # the smallest digests are kept, so the order of merging does not matter
-    return Node(a.key, pages, a.many or b.many or same_page, sorted(texts)[:LEAST_PAGES], children)
+    return Node(a.key, pages, a.many or b.many or same_page, sorted(texts)[:LEAST_PAGES], children, a.words + b.words, a.soft)
 
 
 def merge_all(wrappers: Iterable[Node]) -> Node:
@@ -142,29 +156,42 @@ def merge_all(wrappers: Iterable[Node]) -> Node:
     return done
 
 
+def _dropped(node: Node) -> bool:
+    """Soft, and not shown to be main text."""
+    return node.soft and (
+        node.many or len(node.texts) < LEAST_PAGES or node.words < LONG_WORDS * node.pages
+        or of_readers(node.key)
+    )
+
+
 def _varies(node: Node) -> bool:
-    return len(node.texts) >= LEAST_PAGES or any(_varies(c) for c in node.children)
+    return not _dropped(node) and (len(node.texts) >= LEAST_PAGES or any(_varies(c) for c in node.children))
 
 
 def _is_template(node: Node) -> bool:
     return (
         node.pages >= LEAST_PAGES and not node.many and len(node.texts) <= 1
-        and all(_is_template(c) for c in node.children)
+        and all(_dropped(c) or _is_template(c) for c in node.children)
     )
 
 
 def _says_something(node: Node) -> bool:
-    return bool(node.texts) or any(_says_something(c) for c in node.children)
+    return not _dropped(node) and (bool(node.texts) or any(_says_something(c) for c in node.children))
 
 
-def _template_elements(page: Node, owner: dict[int, Element], wrapper: Node) -> set[int]:
-    """``id()`` of the page's elements that are template by the wrapper."""
+def _judged_elements(page: Node, owner: dict[int, Element], wrapper: Node) -> tuple[set[int], set[int]]:
+    """``id()`` of the page's elements that are template by the wrapper, and of soft ones that are not."""
     out: set[int] = set()
+    keep: set[int] = set()
     if not _varies(wrapper):
-        return out
+        return out, keep
 
     def walk(p: Node, w: Node) -> None:
-        if _is_template(w) and _says_something(w):
+        if _dropped(w):
+            return
+        if w.soft:
+            keep.add(id(owner[id(p)]))
+        elif _is_template(w) and _says_something(w):
             out.add(id(owner[id(p)]))
             return
         # repeated nodes of the wrapper stand for a run of the page's
@@ -174,16 +201,16 @@ def _template_elements(page: Node, owner: dict[int, Element], wrapper: Node) ->
                 walk(p.children[heads[i]], w.children[j])
 
     walk(page, wrapper)
-    return out
+    return out, keep
 
 
-def _main_parts(root: Element) -> list[Element]:
+def _main_parts(root: Element, keep: set[int]) -> list[Element]:
     """Outermost article elements, else main elements, else the whole page."""
     for wanted in (lambda e: e.tag == "article", lambda e: e.tag == "main" or "role=main" in e.key.split(" ")):
         found, todo = [], [root]
         while todo:
             e = todo.pop()
-            if isinstance(e, str) or e.dropped:
+            if isinstance(e, str) or e.dropped and id(e) not in keep:
                 continue
             if wanted(e):
                 found.append(e)
@@ -197,11 +224,11 @@ def _main_parts(root: Element) -> list[Element]:
 def extract(page: str | None, wrapper: Node | None) -> str:
     """The main text of a page: its blocks joined by newlines; empty if there is none."""
     root = parse(page)
-    skip: set[int] = set()
+    skip, keep = set(), set()
     if wrapper is not None:
         own, owner = wrapper_of(root)
-        skip = _template_elements(own, owner, wrapper)
-    return "\n".join(b for part in _main_parts(root) for b in blocks(part, skip))
+        skip, keep = _judged_elements(own, owner, wrapper)
+    return "\n".join(b for part in _main_parts(root, keep) for b in blocks(part, skip, keep))
 
 
 def induce_wrappers(pages: DataFrame, host_column: str, html_column: str) -> DataFrame:

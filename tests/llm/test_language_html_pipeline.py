@@ -172,6 +172,33 @@ def test_article_without_what_surrounds_it(spark):
     assert html_wrapper.extract_main_text(spark.createDataFrame([], PAGES)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "around", ["<div class='content has-sidebar'>{}</div>", "<div id='no-sidebar'>{}</div>", "<form><div>{}</div></form>",
+               "<section class='discussion'><form>{}</form></section>"],
+)
+def test_articles_in_elements_with_telling_words(around):
+    body = around.format("<article><h1>T</h1><p>text</p><div class=ad>a</div></article><div class=share>s</div>")
+    assert extract(f"<body><nav>n</nav>{body}</body>", None) == "T\ntext"
+    assert extract(f"<body><main>{body}</main></body>", None) == "T\ntext"
+    # teasers and comments are no articles of the page
+    assert extract(f"<body><article>{'own ' * 20}</article>{body}</body>", None) == ("own " * 20).strip()
+    assert extract(f"<body><p>own</p><div class=comments>{body}</div></body>", None) == "own"
+
+
+def test_long_varying_text_stays_whatever_its_class(spark):
+    long = lambda i, k: " ".join(f"{k}{i}x{j}" for j in range(60))
+    same = " ".join(f"same{j}" for j in range(60))
+    rows = [
+        page(i, f"<body><article><p>{long(i, 'p')}</p><section class=discussion><p>{long(i, 'd')}</p></section><div class=ad>buy {i}</div>"
+                f"<div class=related><a href=x>{long(i, 'r')}</a></div><div class=notice>{same}</div><div class=comments>{long(i, 'c')}</div></article>")
+        for i in range(9)
+    ]
+    rows += [page(i, f"<body><form><div>Welcome</div><p>{long(i, 'f')}</p></form>", "forms.com") for i in range(20, 29)]
+    got = run(spark, rows)
+    assert got[4]["text"] == f"{long(4, 'p')}\n{long(4, 'd')}"
+    assert got[24]["text"] == long(24, "f")
+
+
 def test_merging_in_any_order_is_the_same():
     rng = random.Random(3)
     own = [fold(wrapper_of(parse(site(i, f"w {i}", boxed=i % 2 == 0)))[0]) for i in range(9)]
