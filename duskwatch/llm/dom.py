@@ -60,13 +60,13 @@ class Element:
     """``key`` names the element for alignment: tag, id and class.
 
     ``dropped`` elements are no main text; ``soft`` ones are only thought so, since they
-    are a form or carry a word.
+    are a form or carry a word. The root knows the page's ``title``.
     """
 
-    __slots__ = ("tag", "key", "dropped", "soft", "children")
+    __slots__ = ("tag", "key", "dropped", "soft", "children", "title")
 
     def __init__(self, tag: str, attributes: str = ""):
-        self.tag, self.key, self.children = tag, tag, []
+        self.tag, self.key, self.children, self.title = tag, tag, [], ""
         self.dropped, self.soft = tag in BOILERPLATE, tag == "form"
         if attributes and "=" in attributes:
             found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
@@ -121,6 +121,8 @@ def parse(page: str | None) -> Element:
         stack[-1].children.append(element)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
+            if tag == "title" and not root.title:
+                root.title = " ".join(page[at : end.start() if end else len(page)].split())
             at = end.end() if end else len(page)
         elif tag not in VOID and not found[3].rstrip().endswith("/") or tag in CLOSED_BY:
             stack.append(element)

@@ -24,9 +24,10 @@ from .dom import INLINE, Element, blocks, of_readers, parse, unlinked_words
 from .tables import by_batch, stored
 from .url_filter import url_host
 
-# A text is template if so many pages have it and all say the same, and content
-# somewhere on them has at least as many different texts.
+# A text is template if so many different pages and such a share of the host's pages have
+# it and all say the same, and content somewhere on them has at least as many different texts.
 LEAST_PAGES = 5
+LEAST_SHARE = 0.01
 # Words outside links that a form or an element with a telling word has on a page, on
 # average, if it is main text all the same.
 LONG_WORDS = 50
@@ -39,28 +40,48 @@ _DEPTH = 40
 class Node:
     """A wrapper node: ``texts`` holds up to LEAST_PAGES different digests of its own text.
 
-    Those of a ``soft`` node are of all text in it, and ``words`` counts its words outside links.
+    ``heads`` holds as many of what names the different pages that have it. The texts of a ``soft`` node are of all text in it, and ``words`` counts its words outside links.
     """
 
-    __slots__ = ("key", "pages", "many", "texts", "children", "words", "soft")
+    __slots__ = ("key", "pages", "many", "texts", "children", "words", "soft", "heads")
 
     def __init__(
-        self, key: str, pages: int, many: bool, texts: list[int], children: list[Node], words: int = 0, soft: bool = False
+        self, key: str, pages: int, many: bool, texts: list[int], children: list[Node], words: int = 0, soft: bool = False,
+        heads: list[int] = (),
     ):
         self.key, self.pages, self.many, self.texts, self.children = key, pages, many, texts, children
-        self.words, self.soft = words, soft
+        self.words, self.soft, self.heads = words, soft, heads
 
     def pack(self) -> list:
-        return [self.key, self.pages, int(self.many), self.texts, [c.pack() for c in self.children], self.words, int(self.soft)]
+        return [self.key, self.pages, int(self.many), self.texts, [c.pack() for c in self.children], self.words, int(self.soft), list(self.heads)]
 
     @classmethod
     def unpack(cls, data: list) -> Node:
-        return cls(data[0], data[1], bool(data[2]), data[3], [cls.unpack(c) for c in data[4]], data[5], bool(data[6]))
+        return cls(data[0], data[1], bool(data[2]), data[3], [cls.unpack(c) for c in data[4]], data[5], bool(data[6]), data[7])
+
+
+def _digest(said: str) -> int:
+    return xxhash.xxh3_64_intdigest(said.encode("utf-8", "surrogatepass")) >> 1
+
+
+def page_head(root: Element) -> int:
+    """What names a page: its title, else the text; near copies have one title."""
+    said = [root.title] if root.title else blocks(root)
+    if not said:
+        soft, todo = set(), [root]
+        while todo:
+            e = todo.pop()
+            if e.soft:
+                soft.add(id(e))
+            todo.extend(c for c in e.children if not isinstance(c, str))
+        said = blocks(root, keep=soft)
+    return _digest("\n".join(said))
 
 
 def wrapper_of(element: Element, depth: int = 0) -> tuple[Node, dict[int, Element]]:
     """The wrapper of one page, and the element each node stands for (by ``id`` of the node)."""
     owner: dict[int, Element] = {}
+    head = page_head(element)
 
     def build(e: Element, depth: int) -> Node:
         text: list[str] = []
@@ -78,8 +99,9 @@ def wrapper_of(element: Element, depth: int = 0) -> tuple[Node, dict[int, Elemen
         if e.soft:
             text = blocks(e, keep={id(e)})
         said = " ".join(" ".join(text).split())
-        digests = [xxhash.xxh3_64_intdigest(said.encode("utf-8", "surrogatepass")) >> 1] if said else []
-        node = Node(e.key, 1, False, digests, children, unlinked_words(e) if e.soft else 0, e.soft)
+        node = Node(
+            e.key, 1, False, [_digest(said)] if said else [], children, unlinked_words(e) if e.soft else 0, e.soft, [head]
+        )
         owner[id(node)] = e
         return node
 
@@ -99,7 +121,7 @@ def _folded(children: list[Node]) -> list[Node]:
 
 
 def fold(node: Node) -> Node:
-    return Node(node.key, node.pages, node.many, node.texts, _folded([fold(c) for c in node.children]), node.words, node.soft)
+    return Node(node.key, node.pages, node.many, node.texts, _folded([fold(c) for c in node.children]), node.words, node.soft, node.heads)
 
 
 def _score(a: Node, b: Node) -> int:
@@ -146,7 +168,10 @@ def merge(a: Node, b: Node, same_page: bool = False) -> Node:
     texts = list(dict.fromkeys([*a.texts, *b.texts]))
     pages = max(a.pages, b.pages) if same_page else a.pages + b.pages
     # the smallest digests are kept, so the order of merging does not matter
-    return Node(a.key, pages, a.many or b.many or same_page, sorted(texts)[:LEAST_PAGES], children, a.words + b.words, a.soft)
+    heads = sorted({*a.heads, *b.heads})[:LEAST_PAGES]
+    return Node(
+        a.key, pages, a.many or b.many or same_page, sorted(texts)[:LEAST_PAGES], children, a.words + b.words, a.soft, heads
+    )
 
 
 def merge_all(wrappers: Iterable[Node]) -> Node:
@@ -168,10 +193,12 @@ def _varies(node: Node) -> bool:
     return not _dropped(node) and (len(node.texts) >= LEAST_PAGES or any(_varies(c) for c in node.children))
 
 
-def _is_template(node: Node) -> bool:
+def _is_template(node: Node, least: float) -> bool:
+    """Do ``least`` pages have it, LEAST_PAGES different ones, and all say the same? An article never is."""
     return (
-        node.pages >= LEAST_PAGES and not node.many and len(node.texts) <= 1
-        and all(_dropped(c) or _is_template(c) for c in node.children)
+        node.pages >= least and len(node.heads) >= LEAST_PAGES and not node.many and len(node.texts) <= 1
+        and node.key.split(" ")[0] != "article"
+        and all(_dropped(c) or _is_template(c, least) for c in node.children)
     )
 
 
@@ -186,21 +213,22 @@ def _judged_elements(page: Node, owner: dict[int, Element], wrapper: Node) -> tu
     if not _varies(wrapper):
         return out, keep
 
-    def walk(p: Node, w: Node) -> None:
+    def walk(p: Node, w: Node, inside: bool) -> None:
         if _dropped(w):
             return
+        inside |= owner[id(p)].tag == "article"
         if w.soft:
             keep.add(id(owner[id(p)]))
-        elif _is_template(w) and _says_something(w):
+        elif not inside and _is_template(w, LEAST_SHARE * wrapper.pages) and _says_something(w):
             out.add(id(owner[id(p)]))
             return
         # repeated nodes of the wrapper stand for a run of the page's
         heads = [i for i, c in enumerate(p.children) if not i or p.children[i - 1].key != c.key]
         for i, j in _align([p.children[i] for i in heads], w.children)[1]:
             if not w.children[j].many:
-                walk(p.children[heads[i]], w.children[j])
+                walk(p.children[heads[i]], w.children[j], inside)
 
-    walk(page, wrapper)
+    walk(page, wrapper, False)
     return out, keep
 
 

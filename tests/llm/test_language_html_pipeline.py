@@ -199,6 +199,23 @@ def test_long_varying_text_stays_whatever_its_class(spark):
     assert got[24]["text"] == long(24, "f")
 
 
+@pytest.mark.parametrize("n", [4, 5, 30])
+@pytest.mark.parametrize("box", ["article", "div"])
+def test_near_copies_of_one_page_keep_their_title(spark, n, box):
+    html = "<html><head><title>One</title></head><body><{0}><h1>One</h1><p>text {1}</p><h2>End</h2></{0}></body></html>"
+    got = run(spark, [page(i, html.format(box, i)) for i in range(n)])
+    assert {r["text"] for r in got.values()} == {f"One\ntext {i}\nEnd" for i in range(n)}
+
+
+def test_headings_inside_articles_and_rare_slots_stay(spark):
+    rows = [page(i, f"<body><div>Welcome</div><article><h1>T{i}</h1><h2>Summary</h2><p>text {i}</p></article>") for i in range(9)]
+    assert run(spark, rows)[2]["text"] == "T2\nSummary\ntext 2"
+    tail = lambda i: "<div class=tail>Tail</div>" if i < 5 else ""
+    rows = [page(i, f"<body><div class=top>Welcome</div><p>text {i}</p>{tail(i)}") for i in range(600)]
+    got = run(spark, rows)
+    assert got[3]["text"] == "text 3\nTail" and got[9]["text"] == "text 9"
+
+
 def test_merging_in_any_order_is_the_same():
     rng = random.Random(3)
     own = [fold(wrapper_of(parse(site(i, f"w {i}", boxed=i % 2 == 0)))[0]) for i in range(9)]
