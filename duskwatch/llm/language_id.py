@@ -17,13 +17,15 @@ UNKNOWN = "und"
 # Labelled rows the model is fitted on, about; a hash of the id picks them.
 TRAIN_ROWS = 20_000
 # Words and n-grams of the model: the most frequent ones seen at least so often.
-MAX_WORDS, MAX_GRAMS, LEAST_SEEN = 100_000, 50_000, 3
+MAX_WORDS, MAX_GRAMS, LEAST_SEEN = 200_000, 200_000, 3
+# Labelled rows, words and n-grams of every language that are kept however rare it is.
+LEAST_ROWS, LEAST_KEYS = 200, 5_000
 LONGEST_GRAM = 4
 SMOOTHING = 0.1
 # The score of a text is as sure as this many of its words would make it at most.
 SURE_WORDS = 10
 # Words a Python worker remembers.
-REMEMBERED = 100_000
+REMEMBERED = 500_000
 
 
 @dataclass(frozen=True)
@@ -90,10 +92,17 @@ def count_words(labelled: DataFrame) -> DataFrame:
 
 
 def _frequent(counts: DataFrame, key: str, most: int, languages: tuple[str, ...]) -> tuple[list[str], np.ndarray]:
-    """The most frequent keys, at most ``most``, and their smoothed log frequencies."""
+    """The most frequent keys, ``most`` or so, and their smoothed log frequencies.
+
+    Beyond the ``most`` of all languages together each language has its own ``LEAST_KEYS``.
+    """
     own = [F.sum(F.when(F.col("lang") == lang, F.col("n"))).alias(f"n{i}") for i, lang in enumerate(languages)]
     by_key = counts.groupBy(key).agg(F.sum("n").alias("total"), *own)
-    top = by_key.where(F.col("total") >= LEAST_SEEN).orderBy(F.desc("total"), key).limit(most).toPandas()
+    seen = stored(by_key.where(F.col("total") >= LEAST_SEEN))
+    top = seen.orderBy(F.desc("total"), key).limit(most)
+    for i in range(len(languages)):
+        top = top.unionByName(seen.where(F.col(f"n{i}") > 0).orderBy(F.desc(f"n{i}"), key).limit(LEAST_KEYS))
+    top = top.toPandas().drop_duplicates(key).sort_values(["total", key], ascending=[False, True])
     table = top[[f"n{i}" for i in range(len(languages))]].fillna(0).to_numpy(np.float64) + SMOOTHING
     return top[key].tolist(), np.log(table / table.sum(axis=0)).astype(np.float32)
 
@@ -102,12 +111,20 @@ def fit(labelled: DataFrame, id_column: str = "doc_id", train_rows: int = TRAIN_
     """A model from about ``train_rows`` rows (all, if there are fewer) of (id, text, lang).
 
     Rows with a null text or language teach nothing. Counting is a Spark aggregate; the
-    driver gets at most ``MAX_WORDS`` words and ``MAX_GRAMS`` n-grams of each length.
+    driver gets at most ``MAX_WORDS`` words and ``MAX_GRAMS`` n-grams of each length, and
+    ``LEAST_KEYS`` more for each language. A language has about ``LEAST_ROWS`` rows at
+    least, or all it has. Rows are drawn by id and text, so one hot id is no whole.
     """
     rows = labelled.where("lang is not null")
-    share = min(1.0, train_rows / max(1, rows.count()))
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    overall = min(1.0, train_rows / max(1, sum(sizes.values())))
     steps = 1 << 30
-    picked = rows.where(F.pmod(F.xxhash64(id_column), F.lit(steps)) < F.lit(int(share * steps)))
+    drawn = F.pmod(F.xxhash64(id_column, "text"), F.lit(steps))
+    below = F.lit(int(overall * steps))
+    for lang, n in sizes.items():
+        if LEAST_ROWS > overall * n:
+            below = F.when(F.col("lang") == lang, F.lit(int(min(1.0, LEAST_ROWS / n) * steps))).otherwise(below)
+    picked = rows.where(drawn < below)
     counts = stored(count_words(picked))
     languages = tuple(sorted(r[0] for r in counts.select("lang").distinct().collect()))
     framed = F.concat(F.lit(" "), "word", F.lit(" "))

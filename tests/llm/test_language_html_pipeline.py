@@ -82,6 +82,20 @@ def test_batches_do_not_matter(model):
     assert np.allclose(together[1], [a[1][0] for a in alone])
 
 
+def test_small_languages_keep_rows_words_and_grams(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = [(i, text_in(rng, "aa", 30), "aa") for i in range(3000)] + [(i, text_in(rng, "cc", 30), "cc") for i in range(3000, 3012)]
+    rows += [(None, text_in(rng, "aa", 30), "aa") for _ in range(2000)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    monkeypatch.setattr(language_id, "MAX_WORDS", 20)
+    monkeypatch.setattr(language_id, "MAX_GRAMS", 20)
+    small = language_id.fit(table, train_rows=50)
+    assert small.languages == ("aa", "cc")
+    assert any("ж" in w for w in small.words) and any("жа" in g for g in small.grams)
+    told = language_id.identify(table.where("lang = 'cc'"), small).collect()
+    assert {r["lang_pred"] for r in told} == {"cc"}
+
+
 # Pages
 
 
