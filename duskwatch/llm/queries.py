@@ -8,8 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, embedding_join, html_wrapper, jaccard_join, language_id, packing, sharding, token_counts, url_filter
-from .tables import crc32_of, utf8_bytes
+from . import (
+    chat_format, decontaminate, embedding_join, html_wrapper, jaccard_join, language_id, packing, prefix_trie,
+    secret_scan, sharding, spelling_variants, token_counts, url_filter,
+)
+from .tables import crc32_of, stored, utf8_bytes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -152,3 +155,152 @@ def op3_embedding_near_dedup(spark, sf_dir):
 @query("op7_html_extraction")
 def op7_html_extraction(spark, sf_dir):
     return html_wrapper.extract_main_text(table(spark, sf_dir, "pages"))
+
+
+# CRC-32 in SQL: (t), the table of the 256 bytes, and what makes a checksum of a text from it.
+_CRC_TABLE = """crc AS (SELECT list(list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY b) AS t
+  FROM range(256) AS r(b))"""
+
+
+def _crc_sql(text: str) -> str:
+    codes = f"list_transform(range(octet_length(encode({text}))), lambda k: ('0x' || substr(hex(encode({text})), 2 * k + 1, 2))::BIGINT)"
+    return (
+        f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), "
+        "lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295::BIGINT)"
+    )
+
+
+def _rebuilt(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Sequences whose first turns come from another conversation, and all of them with their lengths.
+
+    Conversation c begins with the first h turns of c - c % 20 (all if fewer, none if there
+    is no such conversation) and goes on with its own after its first h; h is crc32(c) % 4.
+    """
+    own = rows.groupBy("id").agg(F.max("position").alias("n")).withColumns({
+        "donor": F.col("id") - F.col("id") % 20,
+        "h": F.crc32(F.col("id").cast("string").cast("binary")) % 4,
+    })
+    lent = own.select(F.col("id").alias("donor"), F.col("n").alias("donor_n"))
+    plan = stored(
+        own.join(lent, "donor", "left").select(
+            "id", "n", "donor", "h", F.least("h", F.coalesce("donor_n", F.lit(0))).alias("k")
+        )
+    )
+    heads = plan.where("k > 0").select("id", "donor", F.explode(F.sequence(F.lit(1).cast("long"), "k")).alias("position"))
+    first = rows.where("position <= 3").withColumnRenamed("id", "donor")
+    kept = rows.join(plan.select("id", "h", "k"), "id").where("position > h")
+    columns = ["id", "position", "key", "words"]
+    all_rows = heads.join(first, ["donor", "position"]).select(columns).unionByName(
+        kept.withColumn("position", F.col("position") - F.col("h") + F.col("k")).select(columns)
+    )
+    members = plan.select("id", (F.col("k") + F.greatest(F.col("n") - F.col("h"), F.lit(0))).alias("length"))
+    return stored(all_rows), stored(members)
+
+
+@query(
+    "op11_prefix_trie",
+    rf"""WITH {_CRC_TABLE},
+turns AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, key) AS pos, key, words
+  FROM (SELECT *, sha256(length(r) || ':' || r || x) AS key,
+      len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS words
+    FROM (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce("text", '') AS x FROM conversations
+      WHERE conv_id IS NOT NULL))),
+convs AS (SELECT c, n, {_crc_sql("c::VARCHAR")} % 4 AS h
+  FROM (SELECT conv_id AS c, max(pos) AS n FROM turns GROUP BY 1), crc),
+plan AS (SELECT a.c, a.n, a.h, a.c - a.c % 20 AS donor, least(a.h, coalesce(b.n, 0)) AS k
+  FROM convs a LEFT JOIN convs b ON b.c = a.c - a.c % 20),
+seqs AS (SELECT c, pos, key, words FROM plan JOIN turns ON conv_id = donor AND pos <= k
+  UNION ALL SELECT c, pos - h + k, key, words FROM plan JOIN turns ON conv_id = c AND pos > h),
+paths AS (SELECT c, pos AS depth, words, string_agg(key, '') OVER (PARTITION BY c ORDER BY pos) AS path FROM seqs),
+reached AS (SELECT c, depth, words, path FROM paths UNION ALL SELECT c, 0, 0, '' FROM plan),
+nodes AS (SELECT path, depth, min(c) AS conv_id, count(*) AS n_convs, any_value(words) AS words FROM reached GROUP BY path, depth),
+kids AS (SELECT left(path, length(path) - 64) AS path, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1),
+full_nodes AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN kids USING (path)),
+sums AS (SELECT left(path, 64 * up) AS path, sum((n_children = 0)::BIGINT)::BIGINT AS n_leaves,
+    sum((n_convs - 1) * words)::BIGINT AS saved_tokens
+  FROM (SELECT *, unnest(range(depth + 1)) AS up FROM full_nodes) GROUP BY 1),
+lasts AS (SELECT path, string_agg(r.c::VARCHAR, ',' ORDER BY r.c) AS ids
+  FROM reached r JOIN plan p ON p.c = r.c AND r.depth = p.k + greatest(p.n - p.h, 0) GROUP BY 1)
+SELECT f.conv_id, f.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, f.n_convs, f.n_children, n_leaves, saved_tokens,
+  sha256(coalesce(ids, '')) AS ends_sha256
+FROM full_nodes f JOIN sums USING (path) LEFT JOIN lasts USING (path)
+LEFT JOIN nodes p ON f.depth > 0 AND p.path = left(f.path, length(f.path) - 64)""",
+)
+def op11_prefix_trie(spark, sf_dir):
+    """Nodes of the trie of all rebuilt conversations."""
+    rows, members = _rebuilt(prefix_trie.number_turns(table(spark, sf_dir, "conversations")))
+    return prefix_trie.prefix_trie(rows, members).select(
+        F.col("id").alias("conv_id"), "depth", F.col("parent_id").alias("parent_conv_id"), "n_convs", "n_children",
+        "n_leaves", "saved_tokens", "ends_sha256",
+    )
+
+
+def _spans_sql(kind: str, number: int, pattern: str, group: int, least: int) -> str:
+    return rf"""SELECT n, '{kind}' AS kind, {number} AS number, (stop - length(m))::BIGINT AS start, stop::BIGINT AS stop FROM (
+  SELECT n, m, g, sum(length(b) + length(m)) OVER (PARTITION BY n ORDER BY k) AS stop FROM (
+    SELECT n, unnest(string_split_regex(t, {pattern})) AS b, unnest(regexp_extract_all(t, {pattern})) AS m,
+      unnest(regexp_extract_all(t, {pattern}, {group})) AS g, unnest(range(1 + len(regexp_extract_all(t, {pattern})))) AS k
+    FROM docs WHERE regexp_matches(t, {pattern})) WHERE m IS NOT NULL) WHERE length(g) >= {least}"""
+
+
+# RE2 folds some letters beyond ASCII when case does not count, so both cases are written out.
+_ASSIGN_SQL = (
+    "'(" + "|".join(
+        "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key")
+    ) + r""")["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)'"""
+)
+
+
+@query(
+    "op12_secret_scan",
+    f"""WITH docs AS (SELECT row_number() OVER () AS n, doc_id, coalesce("text", '') AS t FROM documents),
+spans AS ({_spans_sql("assign", 0, _ASSIGN_SQL, 2, 6)}
+UNION ALL {_spans_sql("access", 1, "'AKIA[A-Z0-9]+'", 0, 20)}
+UNION ALL {_spans_sql("hex", 2, "'[0-9a-f]+'", 0, 24)}),
+told AS (SELECT n, count(*) FILTER (number = 0) AS n_assign, count(*) FILTER (number = 1) AS n_access,
+    count(*) FILTER (number = 2) AS n_hex,
+    string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, number) AS spans FROM spans GROUP BY n)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans FROM docs LEFT JOIN told USING (n)""",
+)
+def op12_secret_scan(spark, sf_dir):
+    """All spans of the base rules; the index adds none of its own."""
+    found = secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
+
+    def count(kind):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    told = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    return found.select(
+        "doc_id", count("assign"), count("access"), count("hex"), F.sha2(told, 256).alias("base_sha256"), told.alias("spans")
+    )
+
+
+@query(
+    "op13_spelling_variants",
+    rf"""WITH RECURSIVE {_CRC_TABLE},
+runs AS (SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id,
+    unnest(regexp_extract_all(translate(coalesce("text", ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[a-z\x{{C0}}-\x{{FF}}]+')) AS word FROM documents) WHERE length(word) >= 6 GROUP BY ALL),
+marked AS (SELECT word, n, {_crc_sql("coalesce(doc_id::VARCHAR, '') || ':' || word")} AS h FROM runs, crc),
+counted AS (SELECT CASE WHEN h % 199 = 0 THEN left(word, h % length(word)) || substr(word, 2 + h % length(word)) ELSE word END AS word,
+    sum(n)::BIGINT AS n FROM marked GROUP BY 1),
+words AS (SELECT word, n FROM counted WHERE length(word) >= 6 AND n >= 5),
+skips AS (SELECT DISTINCT word, n, i, left(word, i) || chr(0) || substr(word, i + 2) AS hole, left(word, i) || substr(word, i + 2) AS rest
+  FROM (SELECT *, unnest(range(length(word))) AS i FROM words)),
+pairs AS (SELECT a.word, b.word AS near, b.n AS m FROM skips a JOIN skips b USING (i, hole) WHERE a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM skips a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM skips a JOIN words b ON a.rest = b.word),
+best AS (SELECT word, count(*) AS n_near, arg_min(near, (-m, encode(near))) AS form, max(m) AS form_n FROM pairs GROUP BY word),
+forms AS (SELECT words.word, words.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 5 * n THEN form END AS form,
+    CASE WHEN form_n >= 5 * n THEN form_n END AS form_n FROM words LEFT JOIN best USING (word)),
+steps AS (SELECT word, word AS root FROM forms UNION ALL
+  SELECT steps.word, forms.form FROM steps JOIN forms ON forms.word = steps.root WHERE forms.form IS NOT NULL),
+roots AS (SELECT steps.word, root FROM steps JOIN forms ON forms.word = root WHERE form IS NULL)
+SELECT forms.word, form, root, n, n_near, form_n FROM forms JOIN roots USING (word)""",
+)
+def op13_spelling_variants(spark, sf_dir):
+    """Words of six letters and five occurrences at least; some runs lose a letter first."""
+    counts = spelling_variants.count_words(table(spark, sf_dir, "documents"), least_length=6, dropping=199)
+    return spelling_variants.group_spellings(counts.where("n >= 5"))
