@@ -10,7 +10,7 @@ in every text.
 
 from __future__ import annotations
 
-import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 from itertools import product
@@ -158,17 +158,26 @@ def needs_nothing(query: Query) -> bool:
     return frozenset() in query
 
 
+def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` worked out once, not again for every element that a lambda sees."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _running(lengths: Column) -> Column:
-    """Sums up to and with each element: whole runs first, then within the element's run."""
+    """Sums up to and with each element of a bound array: whole runs first, then within the element's run."""
+
+    def total(part: Column) -> Column:
+        return F.aggregate(part, F.lit(0), lambda a, x: a + x)
+
     runs = F.sequence(F.lit(0), F.greatest(F.floor((F.size(lengths) - 1) / _RUN).cast("int"), F.lit(0)))
-    total = lambda part: F.aggregate(part, F.lit(0), lambda a, x: a + x)
     of_runs = F.transform(runs, lambda r: total(F.slice(lengths, r * _RUN + 1, F.lit(_RUN))))
-    before = F.aggregate(
-        of_runs, F.array(F.lit(0)), lambda sums, x: F.array_append(sums, F.element_at(sums, -1) + x)
-    )
-    return F.transform(
-        lengths,
-        lambda _, k: F.get(before, F.floor(k / _RUN).cast("int")) + total(F.slice(lengths, k - k % _RUN + 1, k % _RUN + 1)),
+    sums = F.aggregate(of_runs, F.array(F.lit(0)), lambda so_far, x: F.array_append(so_far, F.element_at(so_far, -1) + x))
+    return _bind(
+        sums,
+        lambda before: F.transform(
+            lengths,
+            lambda _, k: F.get(before, F.floor(k / _RUN).cast("int")) + total(F.slice(lengths, k - k % _RUN + 1, k % _RUN + 1)),
+        ),
     )
 
 
@@ -176,14 +185,17 @@ def find_spans(text: Column, rule: SecretRule) -> Column:
     """array of (start, end) of all matches of a rule, in code points, end exclusive."""
     pattern = F.lit(rule.pattern)
     matches = F.regexp_extract_all(text, pattern, F.lit(0))
-    between = F.split(text, rule.pattern, -1)
-    parts = F.regexp_extract_all(text, pattern, F.lit(rule.group)) if rule.group else matches
-    lengths = F.transform(matches, lambda m, k: F.length(F.get(between, k)) + F.length(m))
+    parts = F.regexp_extract_all(text, pattern, F.lit(rule.group))
+    between = F.transform(F.split(text, rule.pattern, -1), lambda b: F.length(b))
+    # n matches stand between n + 1 pieces
+    sizes = F.zip_with(between, matches, lambda b, m: F.struct(b.alias("b"), F.length(m).alias("m")))
+    found = F.filter(sizes, lambda x: x["m"].isNotNull())
+    ends = _bind(found, lambda f: _bind(F.transform(f, lambda x: x["b"] + x["m"]), _running))
     spans = F.zip_with(
-        F.arrays_zip(matches.alias("m"), parts.alias("p")), _running(lengths),
+        F.zip_with(matches, parts, lambda m, p: F.struct(F.length(m).alias("size"), (F.length(p) >= rule.least).alias("kept"))),
+        ends,
         lambda m, end: F.struct(
-            (end - F.length(m["m"])).cast("long").alias("start"), end.cast("long").alias("end"),
-            (F.length(m["p"]) >= rule.least).alias("kept"),
+            (end - m["size"]).cast("long").alias("start"), end.cast("long").alias("end"), m["kept"].alias("kept")
         ),
     )
     kept = F.transform(

@@ -128,8 +128,10 @@ def _numbered_ways(words: DataFrame) -> DataFrame:
     deep = nodes.where("number is null")
     book = deep.groupBy("back", "depth", "digest").agg(F.min("id").alias("number"))
     named = deep.drop("number").join(book, ["back", "depth", "digest"]).select("id", "back", "depth", "first", "number")
-    ways = named.unionByName(nodes.where("number is not null").drop("digest")).groupBy("id").agg(
-        F.array_sort(F.collect_list(F.struct("back", "depth", "first", "number"))).alias("ns")
+    # Only the empty word has no node but the roots.
+    root = words.where("word = ''").select("id", *[F.lit(None).cast(named.schema[c].dataType).alias(c) for c in named.columns[1:]])
+    ways = named.unionByName(nodes.where("number is not null").drop("digest")).unionByName(root).groupBy("id").agg(
+        F.array_sort(F.collect_list(F.when(F.col("depth").isNotNull(), F.struct("back", "depth", "first", "number")))).alias("ns")
     )
 
     def one(back: bool) -> Column:
