@@ -12,13 +12,15 @@ from duskwatch.schema import LINE_KEYS, line_key, with_line_keys
 from duskwatch.scratch import materialize
 
 from .rules import SEVERITY_RANK, FrameRule, RowRule, Rule, WindowRule, default_rules
-from .windows import MOMENT, marked
+from .windows import MOMENT, CountWindow, DistinctWindow, marked, window_marks
 
 # What makes two findings the same alert; nulls are values like any other.
 ALERT_KEYS = ["datetime", "ip_origen", "usuario", "accion", "status"]
 JOINER = " | "
 # Rules per word of the bit mask of findings.
 WORD_BITS = 63
+# Words of 64 bits in the table of marked moments that every task gets: 16 MB of numbers.
+MARK_WORDS = 1 << 20
 
 
 class Detector:
@@ -95,18 +97,29 @@ class Detector:
         """One row per alert: keys, reason, rule, severity, timestamp; not sorted."""
         hits = self.hits(events)
         keys = [c for c in ALERT_KEYS if c in hits.columns]
-        aggregates = [
-            *[F.bit_or(w).alias(f"_{w}") for w in self._words],
-            F.array_distinct(F.flatten(F.collect_set("texts"))).alias("_texts"),
-        ]
-        if "timestamp" in hits.columns:
+        masks = [F.bit_or(w).alias(w) for w in self._words]
+        stamped = "timestamp" in hits.columns
+        if stamped:
             # the lowest bit is the first rule of a row
             lowest = [F.nullif(F.col(w).bitwiseAND(-F.col(w)), F.lit(0)) for w in self._words]
             place = F.struct(*[F.coalesce(b, F.lit(2**63 - 1)) for b in lowest], line_key())
-            known = F.when(F.col("timestamp").isNotNull(), place)
-            aggregates.append(F.min_by("timestamp", known).alias("timestamp"))
+            told = F.when(F.col("timestamp").isNotNull(), F.struct(place.alias("place"), F.col("timestamp")))
+            hits = hits.withColumn("_told", told)
+            masks.append(F.min("_told").alias("_told"))
         # Repeated findings shrink to one row per task before they are shuffled.
-        merged = hits.groupBy(*keys).agg(*aggregates)
+        if any(not isinstance(r.reason, str) for r in self.rules):
+            # Equal texts first, each with the first line that says so.
+            said = F.when(F.col("texts").isNotNull(), line_key()).alias("_line")
+            hits = hits.withColumn("_line", said).groupBy(*keys, "texts").agg(*masks, F.min("_line").alias("_line"))
+            lines = F.transform("texts", lambda t: F.struct(t["ord"].alias("ord"), F.col("_line").alias("line"), t["reason"].alias("reason")))
+            hits = hits.withColumn("_said", lines)
+        else:
+            hits = hits.withColumn("_said", F.lit(None).cast(_SAID))
+        merged = hits.groupBy(*keys).agg(
+            *masks, F.array_sort(F.flatten(F.collect_list("_said"))).alias("_texts")
+        ).withColumnsRenamed({w: f"_{w}" for w in self._words})
+        if stamped:
+            merged = merged.withColumn("timestamp", F.col("_told")["timestamp"])
         return merged.select(
             *keys,
             self._reasons().alias("reason"),
@@ -116,7 +129,7 @@ class Detector:
         )
 
     def _reasons(self) -> Column:
-        """Different reasons in rule order, those of one rule in order of their text."""
+        """Different reasons in rule order, those of one rule in order of the first line that has them."""
         parts = [F.array().cast("array<string>")]
         for i, rule in enumerate(self.rules):
             reason = rule.reason
@@ -142,6 +155,9 @@ class Detector:
         return alerts.orderBy(*keys)
 
 
+_SAID = "array<struct<ord:int,line:struct<file_path:string,block:bigint,line_no:bigint>,reason:string>>"
+
+
 def _none() -> Column:
     return F.lit(0).cast("bigint")
 
@@ -162,7 +178,7 @@ def _if_found(i: int, text: str) -> Column:
 
 def _texts_of(i: int, texts: str = "_texts") -> Column:
     mine = F.filter(texts, lambda t: t["ord"] == i)
-    return F.sort_array(F.transform(mine, lambda t: t["reason"]))
+    return F.transform(mine, lambda t: t["reason"])
 
 
 def _no_texts() -> Column:
@@ -189,24 +205,67 @@ def _row_hits(df: DataFrame, keep: list[str], words: list[str], rules: list[tupl
     return judged.where(any_hit).select(*keep, *words, texts)
 
 
+def _merged_marks(df: DataFrame, rules: list[tuple[int, WindowRule]]) -> DataFrame:
+    """(moment, _from<i>, ...): the marks of all rules, one row per moment.
+
+    Count and distinct windows share one aggregate of the events; distinct windows over
+    other columns and rules with marks of their own are marked apart and merged.
+    """
+    together: dict[str | None, list[tuple[int, WindowRule]]] = {}
+    apart = []
+    for i, r in rules:
+        if isinstance(r.marks, DistinctWindow):
+            together.setdefault(r.marks.value, []).append((i, r))
+    for i, r in rules:
+        if isinstance(r.marks, CountWindow):
+            together.setdefault(next(iter(together), None), []).append((i, r))
+        elif not isinstance(r.marks, DistinctWindow):
+            apart.append((i, r))
+    tables = [
+        window_marks(df, [r.marks for _, r in group]).withColumnsRenamed(
+            {f"from{k}": f"_from{i}" for k, (i, _) in enumerate(group)}
+        )
+        for group in together.values()
+    ]
+    tables += [r.marks(df).select(*MOMENT, F.col("from_key").alias(f"_from{i}")) for i, r in apart]
+    if len(tables) == 1 and not apart:
+        return tables[0]
+    union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
+    return union.groupBy(*MOMENT).agg(*[F.min(f"_from{i}").alias(f"_from{i}") for i, _ in rules])
+
+
+def _bit_of_moment() -> tuple[Column, Column]:
+    """(word, bit) of a moment in a bit table of fixed size."""
+    h = F.xxhash64(*MOMENT)
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), h.bitwiseAND(F.lit(63)).cast("int"))
+    return F.pmod(F.shiftright(h, 6), F.lit(MARK_WORDS)).alias("_word"), bit.alias("_bit")
+
+
+def prune_unmarked(rows: DataFrame, marks: DataFrame) -> DataFrame:
+    """``rows`` without most of those whose moment is not in ``marks`` (a stored table).
+
+    The moments are hashed to the bits of at most ``MARK_WORDS`` words, which are
+    broadcast: a table of bounded size however many marks there are. No marked row is
+    lost; with M marks, an unmarked row stays with a chance of M / (64 * MARK_WORDS).
+    """
+    word, bit = _bit_of_moment()
+    bits = marks.select(word, bit).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    timed = rows.where(reduce(Column.__and__, [F.col(c).isNotNull() for c in MOMENT])).select("*", word, bit)
+    return timed.join(F.broadcast(bits), "_word").where(F.col("_bits").bitwiseAND(F.col("_bit")) != 0).select(*rows.columns)
+
+
 def _window_hits(
     df: DataFrame, keep: list[str], words: list[str], rules: list[tuple[int, WindowRule]]
 ) -> DataFrame:
-    """The marks of all rules are merged to one row per moment before they meet the events.
+    """The marks of all rules, one row per moment, meet the events of those moments.
 
-    The merged marks are stored, so that the join reads two plain inputs and Spark can
-    split it where a moment is hot, or broadcast the marks where they are few.
+    The marks are stored, so that the join reads two plain inputs and Spark can split it
+    where a moment is hot, or broadcast the marks where they are few. Events of moments
+    without a mark are dropped where they are read.
     """
-    marks = reduce(
-        DataFrame.unionByName, [r.marks(df).withColumn("_ord", F.lit(i)) for i, r in rules]
-    )
-    merged = materialize(
-        marks.groupBy(*MOMENT).agg(
-            *[F.min_by("from_key", F.when(F.col("_ord") == i, F.lit(0))).alias(f"_from{i}") for i, _ in rules]
-        )
-    )
+    merged = materialize(_merged_marks(df, rules))
     used = [c for c in df.columns if any(c in r.needs for _, r in rules)]
-    rows = df.select(*dict.fromkeys([*keep, *used])).join(merged, MOMENT)
+    rows = prune_unmarked(df.select(*dict.fromkeys([*keep, *used])), merged).join(merged, MOMENT)
     bits = {w: _none() for w in words}
     for i, r in rules:
         hit = F.coalesce(marked(F.col(f"_from{i}")), F.lit(False)) & r.eligible(df)

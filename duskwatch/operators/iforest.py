@@ -35,8 +35,12 @@ NODE_SCHEMA = (
 )
 # Rows looked at per tree, as a multiple of those it takes: fewer passes over the rest.
 SPARE = 4
-HASH_RANGE = 1 << 48
-HISTOGRAM_BINS = 1 << 14
+HASH_RANGE = 1 << 64
+# Of the quantile: the sketch over all values, the grid of the one inside the bracket,
+# and the values that are brought back at last.
+SKETCH = 100_000
+GRID = 1000
+FEW = 200_000
 
 
 @dataclass(frozen=True)
@@ -90,31 +94,26 @@ def tree_samples(
 ) -> DataFrame:
     """(tree, place, x): ``sample`` rows for each tree, drawn without replacement.
 
-    The keys of a row give it a place on a circle. A tree takes the ``sample`` rows that
-    follow its own point of the circle. So the draw depends neither on how the table is
-    partitioned nor on how many rows are looked at: only those near the points are
-    ranked, and if a tree finds too few among them, more are looked at.
+    Bottom-k sampling: the keys of a row and a tree give a hash of their own, and a tree
+    takes the ``sample`` rows of least hash. So the trees draw independently of each
+    other, and the draw depends neither on how the table is partitioned nor on how many
+    rows are looked at: only rows under a threshold on that same hash are ranked, and if
+    a tree finds too few among them, the threshold is raised.
     """
     total = features.count()
-    step = HASH_RANGE // trees
-    at = F.pmod(F.xxhash64(F.lit(seed), *[F.col(k) for k in keys]), F.lit(HASH_RANGE))
     numbers = F.array(*[F.col(c).cast("double") for c in columns])
-    placed = features.select(*keys, numbers.alias("x"), at.alias("_at"))
-    order = Window.partitionBy("tree").orderBy("_after", *keys)
+    placed = features.select(*keys, numbers.alias("x"), F.xxhash64(F.lit(seed), *[F.col(k) for k in keys]).alias("_key"))
+    order = Window.partitionBy("tree").orderBy("_rank", *keys)
     reach = min(1.0, SPARE * sample / max(total, 1))
     while True:
-        # the trees whose points are at most ``reach`` of the circle before the row
-        length = int(reach * HASH_RANGE)
-        last = F.floor(F.col("_at") / step)
-        first = F.floor((F.col("_at") - length) / step)
-        near = F.sequence(F.greatest(first, last - trees + 1), last).cast("array<bigint>")
-        drawn = placed.withColumn("_t", F.explode(near)).withColumn("tree", F.pmod("_t", F.lit(trees)).cast("int"))
-        after = F.pmod(F.col("_at") - F.col("tree").cast("bigint") * step, F.lit(HASH_RANGE))
-        near_enough = (
-            drawn.withColumn("_after", after).where((F.col("_after") <= length) | F.lit(reach >= 1.0))
+        limit = F.lit(min(int((reach - 0.5) * HASH_RANGE), HASH_RANGE // 2 - 1))
+        ranks = [F.xxhash64(F.col("_key"), F.lit(t)) for t in range(trees)]
+        near = F.array(
+            *[F.when(r <= limit, F.struct(F.lit(t).alias("tree"), r.alias("_rank"))) for t, r in enumerate(ranks)]
         )
+        drawn = placed.select(*keys, "x", F.explode(F.array_compact(near)).alias("_d")).select(*keys, "x", "_d.*")
         taken = materialize(
-            near_enough.withColumn("place", F.row_number().over(order))
+            drawn.withColumn("place", F.row_number().over(order))
             .where(F.col("place") <= sample)
             .select("tree", "place", "x")
         )
@@ -201,42 +200,51 @@ def score(features: DataFrame, forest: Forest) -> DataFrame:
 
 
 def exact_quantile(df: DataFrame, column: str, q: float) -> float:
-    """Exact quantile with linear interpolation, by narrowing histograms.
-
-    Each round brings back a histogram of fixed size and keeps the bin that holds the
-    wanted rank; no task or driver ever holds all values.
+    """Exact quantile with linear interpolation; nulls are left out.
+
+    A mergeable sketch of all values brackets the two ranks needed. The next pass counts
+    exactly what lies below, at the ends of and inside the bracket, and sketches the
+    inside; each leaves less than a three-hundredth of the values, and ties at the ends
+    are settled at once. A bracket of few values is read in the last pass: three passes
+    for 10^11 values, two for ``FEW``. No task or driver holds more than ``FEW`` values
+    and a sketch.
     """
-    low, high, total = df.agg(F.min(column), F.max(column), F.count(column)).first()
+    x = F.col(column)
+    margin = 4 / SKETCH
+    near = F.percentile_approx(x, [max(0.0, q - margin), min(1.0, q + margin)], SKETCH)
+    low, high, total, ends = df.agg(F.min(x), F.max(x), F.count(x), near).first()
     if not total:
         raise ValueError("No values")
     place = q * (total - 1)
-    below = math.floor(place)
-
-    def ranked(rank: int) -> float:
-        lo, hi, skipped = low, high, 0
-        while lo < hi:
-            width = (hi - lo) / HISTOGRAM_BINS
-            inside = df.where(F.col(column).between(lo, hi))
-            slot = F.least(
-                F.floor((F.col(column) - lo) / F.lit(width if width > 0 else hi - lo)),
-                F.lit(HISTOGRAM_BINS - 1),
-            )
-            bins = sorted(
-                inside.groupBy(slot.alias("bin"))
-                .agg(F.count(F.lit(1)), F.min(column), F.max(column))
-                .collect()
-            )
-            for _, count, first, last in bins:
-                if skipped + count > rank:
-                    lo, hi = first, last
-                    break
-                skipped += count
-        return lo
-
-    lower = ranked(below)
-    if place == below:
-        return lower
-    return lower + (ranked(below + 1) - lower) * (place - below)
+    ranks = {math.floor(place), min(math.floor(place) + 1, total - 1)}
+    found: dict[int, float] = {}
+    below, inside = 0, total
+    if total > FEW:
+        (low, high), inside = ends, None
+    while ranks - found.keys() and (inside is None or inside > FEW):
+        within, between = x.between(low, high), (x > low) & (x < high)
+        grid = F.percentile_approx(F.when(between, x), [i / GRID for i in range(GRID + 1)], SKETCH)
+        below, inside, lows, highs, steps = df.agg(
+            F.count_if(x < low), F.count_if(within), F.count_if(x == low), F.count_if(x == high), grid
+        ).first()
+        wanted = sorted(ranks - found.keys())
+        if wanted[0] < below or wanted[-1] >= below + inside:
+            raise ArithmeticError(f"The sketch of {column} missed its bound")
+        found |= {r: low for r in wanted if r < below + lows}
+        found |= {r: high for r in wanted if r >= below + inside - highs}
+        wanted = sorted(ranks - found.keys())
+        if wanted and inside > FEW:
+            middle = inside - lows - highs
+            at = [(r - below - lows) / middle * GRID for r in wanted]
+            low, high = steps[max(0, math.floor(at[0]) - 1)], steps[min(GRID, math.ceil(at[-1]) + 1)]
+    if ranks - found.keys():
+        values = sorted(df.where(x.between(low, high)).groupBy(x).count().collect())
+        upto = below
+        for value, count in values:
+            found |= {r: value for r in ranks if upto <= r < upto + count}
+            upto += count
+    first, last = found[min(ranks)], found[max(ranks)]
+    return first + (last - first) * (place - math.floor(place))
 
 
 def is_outlier(forest: Forest) -> Column:

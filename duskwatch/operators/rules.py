@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from duskwatch.functions.regex import any_of
 from duskwatch.schema import with_line_keys
 
-from .windows import MOMENT, burst_marks, distinct_marks, marked
+from .windows import MOMENT, CountWindow, DistinctWindow, marked, window_marks
 
 # Severity by rank.
 SEVERITY_RANK = {"high": 3, "medium": 2, "low": 1}
@@ -62,16 +62,23 @@ class WindowRule(Rule):
     """Judges a row by what came before it from the same source.
 
     ``marks`` gives (ip_origen, datetime, from_key), ``eligible`` the rows that can
-    be hit; see :mod:`duskwatch.operators.windows`.
+    be hit; see :mod:`duskwatch.operators.windows`. A :class:`CountWindow` or
+    :class:`DistinctWindow` in place of the function is marked together with those of
+    the other rules.
     """
 
-    marks: Callable[[DataFrame], DataFrame]
+    marks: Callable[[DataFrame], DataFrame] | CountWindow | DistinctWindow
     eligible: Callable[[DataFrame], Column]
     reason: str
 
+    def marks_in(self, df: DataFrame) -> DataFrame:
+        if isinstance(self.marks, (CountWindow, DistinctWindow)):
+            return window_marks(df, [self.marks]).withColumnRenamed("from0", "from_key")
+        return self.marks(df)
+
     def found(self, df: DataFrame) -> DataFrame:
         keyed = with_line_keys(df)
-        rows = keyed.where(self.eligible(df)).join(self.marks(keyed), MOMENT)
+        rows = keyed.where(self.eligible(df)).join(self.marks_in(keyed), MOMENT)
         return rows.where(marked(F.col("from_key"))).select(
             *[F.col(c) for c in df.columns], F.lit(self.reason).alias("reason")
         )
@@ -99,7 +106,7 @@ def brute_force(limit: int = 6, seconds: int = 60) -> WindowRule:
         "Brute Force",
         "high",
         ("datetime", "ip_origen", "status"),
-        marks=lambda df: burst_marks(df.where(failed(df)), limit, seconds),
+        marks=CountWindow(failed, limit, seconds),
         eligible=failed,
         reason=f"Brute Force: Threshold reached ({limit}+ failed logins)",
     )
@@ -110,7 +117,7 @@ def user_probing(limit: int = 4, seconds: int = 600) -> WindowRule:
         "User Probing",
         "high",
         ("datetime", "ip_origen", "usuario"),
-        marks=lambda df: distinct_marks(df, "usuario", limit, seconds),
+        marks=DistinctWindow("usuario", limit, seconds),
         eligible=lambda df: F.lit(True),
         reason=f"User Probing: Threshold reached ({limit}+ unique users in {seconds // 60}min)",
     )
@@ -118,7 +125,7 @@ def user_probing(limit: int = 4, seconds: int = 600) -> WindowRule:
 
 # ------------------------------------------------------------------- row rules
 
-# Attack patterns per rule, matched without regard to case.
+# The names, severities and reasons of all rules, as reports show them, and attack patterns per rule, matched without regard to case.
 SQL_PATTERNS = [
     r"('|\")\s*(or|and|union|select|--|#|;)",
     r"=\s*[^&\n]*('|\")\s*(--|;|or\b|and\b)",

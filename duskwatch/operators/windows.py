@@ -13,6 +13,10 @@ even if one address (the filled-in ``0.0.0.0``, say) holds a third of all rows:
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +28,7 @@ SOURCE = "ip_origen"
 MOMENT = [SOURCE, "datetime"]
 SLOT_SECONDS = 3600
 MICROS = 1_000_000
+_KEY_TYPE = "struct<file_path:string,block:bigint,line_no:bigint>"
 
 
 def timed_rows(df: DataFrame) -> DataFrame:
@@ -53,92 +58,171 @@ def _trailing_sum(df: DataFrame, amount: str, first: int, last: int) -> Column:
     return F.coalesce(F.sum(amount).over(frame), F.lit(0))
 
 
+@dataclass(frozen=True)
+class CountWindow:
+    """Rows of ``predicate`` that are at least the ``limit``-th in [t - seconds, t]."""
+
+    predicate: Callable[[DataFrame], Column]
+    limit: int
+    seconds: int
+
+
+@dataclass(frozen=True)
+class DistinctWindow:
+    """Rows at which [t - seconds, t] holds at least ``limit`` different values so far."""
+
+    value: str
+    limit: int
+    seconds: int
+
+
 def burst_marks(df: DataFrame, limit: int, seconds: int) -> DataFrame:
     """Where rows are at least the ``limit``-th in [t - seconds, t], both ends in.
 
     Result: (address, datetime, from_key), one row per moment with such rows. They
     are the moment's rows whose line key is ``from_key`` or later.
     """
-    rows = timed_rows(df).select(*MOMENT, *LINE_KEYS)
-    order = Window.partitionBy(*MOMENT).orderBy(*LINE_KEYS)
-    # Only the first few rows of a moment matter: the limit is applied map-side too.
-    firsts = rows.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= limit)
-    moments = firsts.groupBy(*MOMENT).agg(
-        F.count(F.lit(1)).alias("_rows"),
-        F.sort_array(F.collect_list(line_key())).alias("_keys"),
-    )
-    before = _trailing_sum(moments, "_rows", -seconds * MICROS, -1)
-    counted = in_slots(moments, seconds).withColumn("_before", before).where("_home")
-    needed = F.greatest(F.lit(limit) - F.col("_before"), F.lit(1))
-    return counted.where(needed <= F.col("_rows")).select(
-        *MOMENT, F.get("_keys", needed.cast("int") - 1).alias("from_key")
-    )
+    return _single(df, CountWindow(lambda _: F.lit(True), limit, seconds))
 
 
 def distinct_marks(df: DataFrame, value: str, limit: int, seconds: int) -> DataFrame:
     """Where [t - seconds, t] holds at least ``limit`` different values so far.
 
-    Same result form as :func:`burst_marks`. Each (address, value) is turned into
-    stretches of time in which it is present; a running sum over their ends gives
-    the number of values seen before a moment, and values new in the moment are
-    added in line order.
+    Same result form as :func:`burst_marks`.
     """
-    window = seconds * MICROS
-    # Written once: the levels and the new values below both start from it.
-    visits = materialize(timed_rows(df).groupBy(*MOMENT, value).agg(F.min(line_key()).alias("_first")))
-    steps = Window.partitionBy(SOURCE, "_slot", value).orderBy("_at")
-    at = F.col("_at")
-    seen = in_slots(visits, seconds).withColumns(
-        {
-            "_new": F.coalesce(at - F.lag("_at").over(steps) > window, F.lit(True)),
-            "_left": F.coalesce(F.lead("_at").over(steps) - at > window, F.lit(True)),
-        }
-    )
+    return _single(df, DistinctWindow(value, limit, seconds))
 
-    def change(when: Column, by: int, visit: Column) -> Column:
-        here = F.when(visit, F.struct("datetime", "_first"))
-        return F.struct(when.alias("at"), F.lit(by).alias("by"), here.alias("here"))
 
-    # present from just after a visit until the window has left it behind
-    changes = F.array_compact(
-        F.array(
-            change(at, 0, F.col("_home")),
-            F.when(F.col("_new"), change(at + 1, 1, F.lit(False))),
-            F.when(F.col("_left"), change(at + window + 1, -1, F.lit(False))),
-        )
+def _single(df: DataFrame, window: CountWindow | DistinctWindow) -> DataFrame:
+    return window_marks(df, [window]).select(*MOMENT, F.col("from0").alias("from_key"))
+
+
+def _visits(df: DataFrame, counts: dict[int, CountWindow], values: list[str]) -> DataFrame:
+    """(moment, values, p<i>, keys): rows alike in a moment, with the first few line keys of them.
+
+    The only look at the events. Count windows need the first ``limit`` rows of a moment
+    and distinct windows the first of each value: both are limited map-side.
+    """
+    alike = [*MOMENT, *values, *[f"p{i}" for i in counts]]
+    rows = timed_rows(df).select(
+        *MOMENT, *LINE_KEYS, *values, *[F.coalesce(c.predicate(df), F.lit(False)).alias(f"p{i}") for i, c in counts.items()]
     )
-    levels = (
-        seen.select(SOURCE, "_slot", F.explode(changes).alias("_c"))
-        .groupBy(SOURCE, "_slot", F.col("_c.at").alias("_at"))
-        .agg(
-            F.sum("_c.by").alias("_by"),
-            F.max("_c.here.datetime").alias("datetime"),
-            F.min("_c.here._first").alias("_start"),
+    if not counts:
+        return rows.groupBy(*alike).agg(F.array(F.min(line_key())).alias("keys"))
+    if not values:
+        rows = rows.where(reduce(Column.__or__, [F.col(f"p{i}") for i in counts]))
+    order = Window.partitionBy(*alike).orderBy(*LINE_KEYS)
+    most = max(c.limit for c in counts.values())
+    firsts = rows.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most)
+    return firsts.groupBy(*alike).agg(F.sort_array(F.collect_list(line_key())).alias("keys"))
+
+
+def window_marks(df: DataFrame, windows: Sequence[CountWindow | DistinctWindow]) -> DataFrame:
+    """(address, datetime, from0, from1, ...): one row per moment that some window marks.
+
+    ``from<i>`` belongs to the i-th window: the moment's rows (of its predicate) whose
+    line key is ``from<i>`` or later are hit; null if none is. All windows start from
+    one stored aggregate of the events and share the sums per (address, slot). Distinct
+    windows must be over one column.
+
+    A count window sums the rows of earlier moments and finds the row of the moment that
+    reaches the limit. For a distinct window each (address, value) is turned into
+    stretches of time in which it is present; a running sum over their ends gives the
+    number of values seen before a moment, and values new in the moment are added in
+    line order.
+    """
+    counts = {i: w for i, w in enumerate(windows) if isinstance(w, CountWindow)}
+    distincts = {i: w for i, w in enumerate(windows) if isinstance(w, DistinctWindow)}
+    values = list(dict.fromkeys(w.value for w in distincts.values()))
+    if len(values) > 1:
+        raise ValueError(f"Distinct windows over different columns are marked apart: {values}")
+    reach = max(w.seconds for w in windows)
+    # Written once: the keys of a moment and the stretches of time both start from it.
+    visits = materialize(_visits(df, counts, values))
+    at = F.col("_at")
+    first = F.get("keys", F.lit(0))
+    seen = in_slots(visits, reach)
+    if distincts:
+        steps = Window.partitionBy(SOURCE, "_slot", *values).orderBy("_at", first)
+        seen = materialize(
+            seen.withColumns({"_gap": at - F.lag("_at").over(steps), "_next": F.lead("_at").over(steps) - at}).drop(*values)
         )
+
+    def new(w: DistinctWindow) -> Column:
+        return F.coalesce(F.col("_gap") > w.seconds * MICROS, F.lit(True))
+
+    def left(w: DistinctWindow) -> Column:
+        return F.coalesce(F.col("_next") > w.seconds * MICROS, F.lit(True))
+
+    def keyed(i: int, keys: Column, when: Column) -> Column:
+        none = F.array().cast(f"array<struct<window:int,key:{_KEY_TYPE}>>")
+        named = F.transform(keys, lambda k: F.struct(F.lit(i).alias("window"), k.alias("key")))
+        return F.when(when, named).otherwise(none)
+
+    # The first keys of each moment for each window: few, and limited map-side too.
+    told = F.concat(
+        *[keyed(i, F.col("keys"), F.col(f"p{i}")) for i in counts],
+        *[keyed(i, F.array(first), new(w)) for i, w in distincts.items()],
     )
-    running = Window.partitionBy(SOURCE, "_slot").orderBy("_at").rowsBetween(
-        Window.unboundedPreceding, 0
+    order = Window.partitionBy(*MOMENT, "window").orderBy("key")
+    most = max(w.limit for w in windows)
+    lists = (
+        seen.where("_home").select(*MOMENT, F.inline(told))
+        .withColumn("_n", F.row_number().over(order))
+        .where(F.col("_n") <= most)
+        .groupBy(*MOMENT, "window")
+        .agg(F.sort_array(F.collect_list("key")).alias("list"))
     )
-    visited = (
-        levels.withColumn("_before", F.sum("_by").over(running))
-        .where(F.col("_start").isNotNull())
-        .select(*MOMENT, "_start", (F.lit(limit) - F.col("_before")).alias("_needed"))
+    changes = {f"by{i}": F.lit(0) for i in distincts}
+    rows = in_slots(lists, reach).select(
+        SOURCE, "_slot", "_at", F.when(F.col("_home"), F.col("datetime")).alias("datetime"),
+        F.lit(None).cast(_KEY_TYPE).alias("start"),
+        *[F.when(F.col("window") == i, F.col("list")).alias(f"list{i}") for i in range(len(windows))],
+        *[c.alias(n) for n, c in changes.items()],
     )
-
-    order = Window.partitionBy(*MOMENT).orderBy("_first")
-    new = (
-        seen.where(F.col("_home") & F.col("_new"))
-        .select(*MOMENT, "_first")
-        .withColumn("_n", F.row_number().over(order))
-        .where(F.col("_n") <= limit)
-        .select(*MOMENT, "_first", F.col("_n").cast("bigint").alias("_needed"))
+    if distincts:
+        rows = rows.unionByName(_changes(seen, distincts, new, left, first), allowMissingColumns=True)
+    moments = rows.groupBy(SOURCE, "_slot", "_at").agg(
+        F.max("datetime").alias("datetime"), F.min("start").alias("start"),
+        *[F.max(f"list{i}").alias(f"list{i}") for i in range(len(windows))],
+        *[F.sum(n).alias(n) for n in changes],
+    )
+    summed = moments.withColumns({f"_rows{i}": F.greatest(F.size(f"list{i}"), F.lit(0)) for i in counts})
+    running = Window.partitionBy(SOURCE, "_slot").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    before = {f"_before{i}": _trailing_sum(summed, f"_rows{i}", -w.seconds * MICROS, -1) for i, w in counts.items()}
+    before |= {f"_before{i}": F.sum(f"by{i}").over(running) for i in distincts}
+    marks = {}
+    for i, w in enumerate(windows):
+        needed = (F.lit(w.limit) - F.col(f"_before{i}")).cast("int")
+        if i in counts:
+            marks[f"from{i}"] = F.get(f"list{i}", F.greatest(needed, F.lit(1)) - 1)
+        else:
+            # the moment's row that brings the last value still needed
+            marks[f"from{i}"] = F.when(needed <= 0, F.col("start")).otherwise(F.get(f"list{i}", needed - 1))
+    found = summed.withColumns(before).where("datetime is not null").select(
+        *MOMENT, *[m.alias(n) for n, m in marks.items()]
     )
-    # the moment's row that brings the last value still needed
-    reached = visited.join(new, [*MOMENT, "_needed"], "left")
-    return reached.select(
-        *MOMENT,
-        F.when(F.col("_needed") <= 0, F.col("_start")).otherwise(F.col("_first")).alias("from_key"),
-    ).where(F.col("from_key").isNotNull())
+    return found.where(F.coalesce(*marks).isNotNull())
+
+
+def _changes(seen: DataFrame, distincts: dict[int, DistinctWindow], new, left, first: Column) -> DataFrame:
+    """When values come and go: present from just after a visit until the window has left it behind."""
+    at = F.col("_at")
+
+    def change(when: Column, i: int | None, by: int, visit: bool) -> Column:
+        home = F.lit(visit) & F.col("_home")
+        return F.struct(
+            when.alias("at"),
+            *[F.lit(by if i == j else 0).alias(f"by{j}") for j in distincts],
+            F.when(home, F.col("datetime")).alias("datetime"), F.when(home, first).alias("start"),
+        )
+
+    changes = [change(at, None, 0, True)]
+    for i, w in distincts.items():
+        changes.append(F.when(new(w), change(at + 1, i, 1, False)))
+        changes.append(F.when(left(w), change(at + w.seconds * MICROS + 1, i, -1, False)))
+    spread = seen.select(SOURCE, "_slot", F.explode(F.array_compact(F.array(*changes))).alias("c"))
+    return spread.select(SOURCE, "_slot", F.col("c.at").alias("_at"), "c.datetime", "c.start", *[f"c.by{j}" for j in distincts])
 
 
 def marked(from_key: Column) -> Column:

@@ -95,11 +95,6 @@ def detect_formats(raw: DataFrame, formats: Sequence[LogFormat] = FORMATS) -> Da
     return _votes(stripped, known, formats)
 
 
-def find_formats(raw: DataFrame, formats: Sequence[LogFormat] = FORMATS) -> DataFrame:
-    """:func:`detect_formats`, stored: the files are looked at once, not by every user."""
-    return materialize(detect_formats(raw, formats))
-
-
 def _with_format(lines: DataFrame, formats: DataFrame) -> DataFrame:
     """Add ``format`` by file; a file that ``formats`` does not name is an error."""
     named = formats.select("file_path", "format").where(F.col("format").isNotNull())
@@ -223,12 +218,15 @@ def read_events(
 ) -> DataFrame:
     """Files to the canonical event table.
 
-    Naming the format saves the look at the first lines of every file.
+    The text is read once. Without ``formats`` what every format makes of each line is
+    stored first, and the votes and the events are taken from there; naming the format
+    saves that table.
     """
     raw = raw_lines(spark, paths)
-    if formats is None:
-        formats = find_formats(raw, known)
-    return cast_times(parse_lines(log_lines(raw), formats, known), now)
+    if formats is not None:
+        return cast_times(parse_lines(log_lines(raw), formats, known), now)
+    read = materialize(read_lines(raw, known))
+    return cast_times(events_of(read, materialize(formats_of(read, known))), now)
 
 
 def parse_stats(

@@ -5,9 +5,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from duskwatch.operators import iforest
+from duskwatch.operators import features, iforest
 from duskwatch.operators.features import FEATURES, extract_features
 from duskwatch.operators.iforest import exact_quantile, fit, isolation_forest_rule, score
+from duskwatch.scratch import materialize
 
 from .helpers import frame, login_rows
 
@@ -147,3 +148,69 @@ def test_exact_quantile(spark, q):
 def test_average_path_values():
     assert list(iforest.average_path(np.array([0, 1, 2]))) == [0.0, 0.0, 1.0]
     assert float(iforest.average_path(256)) == pytest.approx(10.2448, abs=1e-3)
+
+
+def test_trees_draw_independently(spark):
+    """Any two trees share as many rows as two random draws: 256 * 256 / 1000."""
+    df = spark.range(1000).selectExpr("id AS line_no", *[f"double(id * {i + 1}) AS {c}" for i, c in enumerate(FEATURES)])
+    drawn = {}
+    for r in iforest.tree_samples(df, ["line_no"], FEATURES, 60, 256, 7).collect():
+        drawn.setdefault(r["tree"], set()).add(r["x"][0])
+    assert all(len(v) == 256 for v in drawn.values())
+    for apart in (1, 2, 7, 30):
+        shared = [len(drawn[t] & drawn[(t + apart) % 60]) / 256 for t in range(60)]
+        assert abs(np.mean(shared) - 0.256) < 0.02 and max(shared) < 0.40
+    often = np.bincount([int(v) for rows in drawn.values() for v in rows], minlength=1000)
+    assert abs(often.mean() - 60 * 0.256) < 1e-9 and often.std() < 1.3 * np.sqrt(60 * 0.256 * 0.744)
+
+
+@pytest.mark.parametrize("q", [0.0, 0.37, 0.5, 0.99, 1.0])
+def test_the_quantile_of_many_values_takes_three_passes(spark, monkeypatch, q):
+    monkeypatch.setattr(iforest, "FEW", 400)
+    monkeypatch.setattr(iforest, "SKETCH", 2000)
+    rng = np.random.default_rng(3)
+    values = np.concatenate([rng.random(30_000), rng.normal(0.5, 1e-6, 10_000)])
+    df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "v double").repartition(3).cache()
+    passes = []
+    kind = type(df)
+    group = kind.groupBy  # agg() calls it as well
+    monkeypatch.setattr(kind, "groupBy", lambda self, *a: passes.append(1) or group(self, *a))
+    got = exact_quantile(df, "v", q)
+    monkeypatch.undo()
+    assert got == pytest.approx(float(np.quantile(values, q)), abs=1e-15)
+    assert got == pytest.approx(df.selectExpr(f"percentile(v, {q})").first()[0], abs=1e-15)
+    assert len(passes) <= 3
+
+
+@pytest.mark.parametrize("q", [0.1, 0.3, 0.30001, 0.5, 0.65, 0.9])
+def test_the_quantile_among_heavy_ties(spark, monkeypatch, q):
+    monkeypatch.setattr(iforest, "FEW", 50)
+    values = np.concatenate([np.full(3000, 1.0), np.linspace(1.5, 1.6, 500), np.full(3000, 2.0), np.full(3500, 3.0)])
+    df = spark.createDataFrame([(float(v),) for v in values], "v double")
+    assert exact_quantile(df, "v", q) == pytest.approx(float(np.quantile(values, q)), abs=1e-15)
+
+
+def test_a_hot_address_is_dealt_to_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(features, "FAIR_SHARES", 20)
+    rows = [
+        {"datetime": datetime(2026, 5, 6, 9) + timedelta(seconds=i), "ip_origen": "0.0.0.0" if i % 3 == 0 else f"10.0.{i % 40}.1", "usuario": f"u{i % 9}", "status": "FAIL" if i % 2 else "SUCCESS", "url": f"/{i}"}
+        for i in range(3000)
+    ]
+    events = frame(spark, rows)
+    sources = materialize(features.per_source(events, _rows=F.count(F.lit(1))))
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "40",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        joined = features.with_source(events.select("file_path", "block", "line_no", "ip_origen"), sources)
+        each = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(each) == 3000 and max(each) < 5 * 3000 / 20
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    got = {r["line_no"]: r for r in extract_features(events).collect()}
+    assert len(got) == 3000 and {r["unique_urls_per_ip"] for i, r in got.items() if i % 3 == 0} == {1000}
+    assert {r["fail_ratio_per_ip"] for i, r in got.items() if i % 3 == 0} == {0.5}

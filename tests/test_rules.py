@@ -223,10 +223,24 @@ def test_merge_joins_texts_and_takes_the_worst_severity(spark):
     assert alert.severity == "high" and alert.timestamp == "Oct  1 02:00:00"
     assert alert.reason == (
         "Time Anomaly: Login outside business hours | Detected by XSS Attack | "
-        "Detected by Path Traversal | Detected by Web Attack: a | Detected by Web Attack: b"
+        "Detected by Path Traversal | Detected by Web Attack: b | Detected by Web Attack: a"
     )
 
 
+def test_reasons_stand_in_order_of_their_first_lines(spark):
+    said = ["c", "a", "c", "b", "a", "d"]
+    rows = [
+        {"datetime": BASE, "ip_origen": "a", "usuario": "u", "accion": "x", "status": "INFO", "user_agent": s, "file_path": f, "line_no": i}
+        for f in ("g", "f") for i, s in enumerate(said if f == "g" else said[::-1])
+    ]
+    rules = [
+        RowRule("Agent", "low", ("user_agent",), lambda df: F.col("user_agent") != "c", lambda: F.col("user_agent")),
+        RowRule("Again", "low", ("user_agent",), lambda df: F.lit(True), lambda: F.concat(F.lit("is "), "user_agent")),
+    ]
+    (alert,) = Detector(rules).run(frame(spark, rows).repartition(5)).collect()
+    assert alert.reason == "d | a | b | is d | is a | is b | is c"
+
+
 def test_a_second_rule_of_the_same_name_is_ignored(spark):
     detector = Detector([time_anomaly(), time_anomaly(0, 24)])
     detector.add_rule(time_anomaly(1, 2))

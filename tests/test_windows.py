@@ -4,10 +4,13 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
+from duskwatch.operators import detect, windows
 from duskwatch.operators.detect import Detector
 from duskwatch.operators.rules import brute_force, user_probing
-from duskwatch.operators.windows import trailing_counts
+from duskwatch.operators.windows import CountWindow, DistinctWindow, trailing_counts, window_marks
+from duskwatch.scratch import materialize
 
 from .helpers import frame
 
@@ -185,3 +188,68 @@ def test_a_skewed_moment_is_split_in_the_join(spark):
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def planned(monkeypatch, modules, run):
+    """The plans of all tables that ``run`` stores, and of what it returns."""
+    plans = []
+
+    def keep(df, path=None):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return materialize(df, path)
+
+    for module in modules:
+        monkeypatch.setattr(module, "materialize", keep)
+    out = run()
+    return [*plans, out._jdf.queryExecution().executedPlan().toString()]
+
+
+ALL = [
+    CountWindow(lambda df: F.col("status") == "FAIL", 6, 60), DistinctWindow("usuario", 4, 600),
+    CountWindow(lambda df: F.col("status") == "SUCCESS", 3, 5), DistinctWindow("usuario", 2, 30),
+]
+
+
+@pytest.mark.parametrize("seed, span", [(1, 40), (2, 600), (3, 9000)])
+def test_windows_together_mark_what_they_mark_apart(spark, seed, span):
+    df = frame(spark, random_rows(seed, 300, span))
+    together = window_marks(df, ALL).collect()
+    assert len({(r.ip_origen, r.datetime) for r in together}) == len(together)
+    for i, window in enumerate(ALL):
+        apart = window_marks(df, [window]).collect()
+        assert {tuple(r) for r in apart} == {
+            (r.ip_origen, r.datetime, r[f"from{i}"]) for r in together if r[f"from{i}"] is not None
+        }
+    assert together
+
+
+def test_distinct_windows_over_two_columns_are_refused_together(spark):
+    with pytest.raises(ValueError, match="accion"):
+        window_marks(frame(spark, random_rows(1, 5, 9)), [DistinctWindow("usuario", 2, 9), DistinctWindow("accion", 2, 9)])
+
+
+def test_all_window_rules_take_one_scan_and_few_exchanges(spark, monkeypatch):
+    df = frame(spark, random_rows(1, 200, 600))
+    plans = planned(monkeypatch, [windows], lambda: window_marks(df, ALL))
+    assert sum(p.count("Scan ExistingRDD") for p in plans) == 1
+    assert sum(p.count("Exchange hashpartitioning") for p in plans) <= 6
+
+
+def test_unmarked_events_do_not_reach_the_shuffle(spark):
+    rows = materialize(spark.range(20_000).selectExpr("concat('10.0.', id % 500) AS ip_origen", "timestamp_ntz'2024-01-01' + make_interval(0, 0, 0, 0, 0, id) AS datetime", "id"))
+    marks = materialize(rows.where("id % 1000 = 3").select("ip_origen", "datetime"))
+    kept = detect.prune_unmarked(rows, marks)
+    assert {r.id for r in kept.collect()} >= set(range(3, 20_000, 1000)) and kept.count() < 30
+    joined = kept.join(marks.hint("merge"), ["ip_origen", "datetime"])
+    lines = joined._jdf.queryExecution().executedPlan().toString().splitlines()
+    shuffle = next(i for i, x in enumerate(lines) if "Exchange hashpartitioning(ip_origen" in x)
+    prune = next(i for i, x in enumerate(lines) if "BroadcastHashJoin [_word" in x)
+    assert prune > shuffle and lines[prune].index("Broadcast") > lines[shuffle].index("Exchange")
+
+
+def test_rows_without_time_or_address_are_pruned_and_a_full_table_loses_nothing(spark, monkeypatch):
+    monkeypatch.setattr(detect, "MARK_WORDS", 2)
+    rows = spark.range(3000).selectExpr("if(id % 7 = 0, null, concat('a', id)) AS ip_origen", "if(id % 5 = 0, null, timestamp_ntz'2024-01-01') AS datetime", "id")
+    kept = detect.prune_unmarked(rows, materialize(rows.select("ip_origen", "datetime").where("ip_origen is not null and datetime is not null")))
+    assert {r.id for r in kept.collect()} == {i for i in range(3000) if i % 7 and i % 5}
+    assert detect.prune_unmarked(rows, rows.limit(0).select("ip_origen", "datetime")).count() == 0

@@ -29,6 +29,7 @@ from duskwatch.operators.features import (
 )
 from duskwatch.operators.normalize import normalize
 from duskwatch.operators.rules import (
+    RowRule,
     Rule,
     brute_force,
     path_traversal,
@@ -659,6 +660,21 @@ def q_detect_alerts(spark, sf_dir):
     return Detector().run(_stored(spark, sf_dir))
 
 
+@query(
+    "detect_first_reasons",
+    S.ctes(L.DENSE) + S.first_reasons("web", "'Asked by ' || user_agent", "user_agent IS NOT NULL"),
+)
+def q_detect_first_reasons(spark, sf_dir):
+    """A rule whose reason is told by the row: several reasons in one alert."""
+    rule = RowRule(
+        "Any Visit", "low", ("user_agent",),
+        predicate=lambda df: F.col("user_agent").isNotNull(),
+        reason=lambda: F.concat(F.lit("Asked by "), "user_agent"),
+    )
+    events = materialize(normalize(L.web_events(spark, sf_dir, L.DENSE)))
+    return Detector([rule]).alerts(events).select(*ALERT_KEYS, "reason")
+
+
 @query("alert_severity", f"{WITH_ALERTS} SELECT {S.KEYS}, severity FROM alerts")
 def q_alert_severity(spark, sf_dir):
     return _alerts(spark, sf_dir).select(*ALERT_KEYS, "severity")

@@ -280,6 +280,13 @@ def hits(table: str) -> str:
 KEYS = '"datetime", ip_origen, usuario, accion, status'
 
 
+def first_reasons(table: str, reason: str, where: str) -> str:
+    """Alerts of one rule, its different reasons in order of the first line that has them."""
+    return f"""SELECT {KEYS}, string_agg(reason, ' | ' ORDER BY first) AS reason FROM (
+  SELECT {KEYS}, {reason} AS reason, min((file_path, block, line_no)) AS first FROM {table} WHERE {where} GROUP BY ALL)
+  GROUP BY {KEYS}"""
+
+
 def alerts(table: str) -> str:
     """One row per alert; texts of one rule do not differ inside an alert."""
     return f"""SELECT {KEYS}, string_agg(reason, ' | ' ORDER BY ord) AS reason,
