@@ -69,6 +69,27 @@ def normalize_timestamp(raw: Column) -> Column:
     )
 
 
+def source_year(raw: Column) -> Column:
+    """The year that a web time stamp states; null where it has no layout that states one."""
+    clean = strip(F.trim(raw, F.lit("[]")))
+    year = F.coalesce(
+        F.nullif(F.regexp_extract(clean, _SLASHED, 3), F.lit("")), F.nullif(F.regexp_extract(clean, _SPELLED, 6), F.lit(""))
+    )
+    return (
+        F.when(raw.rlike(_USUAL_ACCESS), F.substring(raw, 8, 4))
+        .when(raw.rlike(_USUAL_ERROR), F.substring(raw, -4, 4))
+        .otherwise(year)
+        .cast("int")
+    )
+
+
+def source_offset(raw: Column) -> Column:
+    """The offset from UTC behind ``day/month/year:clock``, as written; null without one."""
+    clean = strip(F.trim(raw, F.lit("[]")))
+    stated = F.when(clean.rlike(_SLASHED), F.regexp_extract(clean, r"\s([+-][0-9:.]+|[Zz])$", 1))
+    return F.when(raw.rlike(_USUAL_ACCESS), F.substring(raw, -5, 5)).otherwise(F.nullif(stated, F.lit("")))
+
+
 def _two_digits(clock: Column) -> Column:
     return F.regexp_replace(clock, r"\b(\d)\b", "0$1")
 
@@ -86,11 +107,11 @@ def usual_layout(timestamp: Column) -> Column:
     return F.when(timestamp.rlike(_USUAL), timestamp).when(timestamp.rlike(_YEARLESS), unusual)
 
 
-def infer_datetime(stamp: Column, now: datetime) -> Column:
+def infer_datetime(stamp: Column, now: datetime, stated: Column | None = None) -> Column:
     """The latest time up to ``now`` with the fields of ``stamp``, this year or the last.
 
     ``stamp`` has the usual layout. A 29 February is no valid day: a stamp without
-    a year is read in a common year.
+    a year is read in a common year. The year ``stated``, if not null, is taken as it is.
     """
     names = F.lit("".join(m.capitalize() for m in MONTHS))
     month = F.floor((F.position(F.substring(stamp, 1, 3), names) + 2) / 3).cast("int")
@@ -100,10 +121,10 @@ def infer_datetime(stamp: Column, now: datetime) -> Column:
     moment = (now.month, now.day, now.strftime("%H:%M:%S"))
     in_future = F.struct(month, day, clock) > F.struct(*[F.lit(v) for v in moment])
     year = F.when(in_future, now.year - 1).otherwise(now.year)
-    return F.when(
-        ~((month == 2) & (day == 29)),
-        F.try_make_timestamp_ntz(year, month, day, hour, minute, second),
-    )
+    guessed = F.when(~((month == 2) & (day == 29)), year)
+    if stated is not None:
+        guessed = F.coalesce(stated, guessed)
+    return F.try_make_timestamp_ntz(guessed, month, day, hour, minute, second)
 
 
 def epoch_micros(moment: Column) -> Column:

@@ -20,6 +20,8 @@ from duskwatch.scratch import materialize
 
 FORMATS = ("json", "csv")
 REPORTS = "reports"
+# Columns that the keys of all maps may become.
+MOST_KEYS = 10_000
 
 
 def alert_records(alerts: DataFrame) -> DataFrame:
@@ -37,6 +39,8 @@ def flatten_records(records: DataFrame) -> DataFrame:
 
     A map's keys are looked up in the records first, in one pass for all maps, and
     become columns like the fields of a struct. What is nested deeper becomes JSON text.
+    More than ``MOST_KEYS`` different keys are an error: no table has that many columns,
+    and :func:`long_records` holds them as rows.
     """
     maps = [f.name for f in records.schema.fields if isinstance(f.dataType, T.MapType)]
     keys: dict[str, list] = {name: [] for name in maps}
@@ -46,33 +50,79 @@ def flatten_records(records: DataFrame) -> DataFrame:
 
         met = [met_in(m) for m in maps]
         all_met = F.flatten(F.array_compact(F.array(*met)))
-        for name, key in records.select(F.explode(all_met).alias("k")).distinct().select("k.*").collect():
+        different = records.select(F.explode(all_met).alias("k")).distinct().select("k.*")
+        for name, key in different.limit(MOST_KEYS + 1).collect():
             keys[name].append(key)
+        if sum(map(len, keys.values())) > MOST_KEYS:
+            raise ValueError(f"Maps with more than {MOST_KEYS} different keys: see long_records()")
     flat: dict[str, Column] = {}
-
-    def as_text(element: T.DataType):
-        return lambda v: F.coalesce(plain(v, element).cast("string"), F.lit("None"))
-
-    def plain(column: Column, kind: T.DataType) -> Column:
-        nested = isinstance(kind, (T.StructType, T.ArrayType, T.MapType))
-        return F.to_json(column, {"ignoreNullFields": "false"}) if nested else column
-
     for field in records.schema.fields:
         column, kind = F.col(f"`{field.name}`"), field.dataType
         if isinstance(kind, T.StructType):
             for sub in kind.fields:
-                flat[f"{field.name}_{sub.name}"] = plain(column.getField(sub.name), sub.dataType)
+                flat[f"{field.name}_{sub.name}"] = _plain(column.getField(sub.name), sub.dataType)
         elif isinstance(kind, T.MapType):
             named = F.transform_keys(column, lambda k, _: k.cast("string"))
             for key in keys[field.name]:
-                flat[f"{field.name}_{key}"] = plain(F.try_element_at(named, F.lit(key)), kind.valueType)
+                flat[f"{field.name}_{key}"] = _plain(F.try_element_at(named, F.lit(key)), kind.valueType)
         elif isinstance(kind, T.ArrayType):
-            flat[field.name] = F.array_join(F.transform(column, as_text(kind.elementType)), ", ")
+            flat[field.name] = _joined(column, kind)
         else:
             flat[field.name] = column
     return records.select(*[flat[name].alias(name) for name in sorted(flat)])
 
 
+def _plain(column: Column, kind: T.DataType) -> Column:
+    nested = isinstance(kind, (T.StructType, T.ArrayType, T.MapType))
+    return F.to_json(column, {"ignoreNullFields": "false"}) if nested else column
+
+
+def _joined(column: Column, kind: T.ArrayType) -> Column:
+    def as_text(value: Column) -> Column:
+        return F.coalesce(_plain(value, kind.elementType).cast("string"), F.lit("None"))
+
+    return F.array_join(F.transform(column, as_text), ", ")
+
+
+def long_records(records: DataFrame) -> DataFrame:
+    """(record, key, value): what :func:`flatten_records` has in columns, as rows of text.
+
+    For maps with any number of different keys: nothing is looked up beforehand, and no
+    row grows with them. ``record`` tells the rows of a record apart; a field that is null,
+    and a null value in a map, is a row with a null value; a record always has all its
+    fields, and of a map the keys it holds (a null or empty map none).
+    """
+    pairs = "array<struct<key:string,value:string>>"
+
+    def pair(key: Column, value: Column) -> Column:
+        return F.struct(key.alias("key"), value.cast("string").alias("value"))
+
+    parts = []
+    for field in records.schema.fields:
+        column, kind, name = F.col(f"`{field.name}`"), field.dataType, field.name
+        if isinstance(kind, T.StructType):
+            told = [pair(F.lit(f"{name}_{s.name}"), _plain(column.getField(s.name), s.dataType)) for s in kind.fields]
+        elif isinstance(kind, T.ArrayType):
+            told = [pair(F.lit(name), _joined(column, kind))]
+        elif not isinstance(kind, T.MapType):
+            told = [pair(F.lit(name), column)]
+        else:
+            entries = _entries(column, F.lit(f"{name}_"), kind)
+            parts.append(F.coalesce(entries.cast(pairs), F.array().cast(pairs)))
+            continue
+        parts.append(F.array(*told).cast(pairs))
+    numbered = records.select(F.monotonically_increasing_id().alias("record"), F.concat(*parts).alias("_pairs"))
+    return numbered.select("record", F.inline("_pairs"))
+
+
+def _entries(column: Column, prefix: Column, kind: T.MapType) -> Column:
+    def told(entry: Column) -> Column:
+        value = _plain(entry["value"], kind.valueType).cast("string")
+        return F.struct(F.concat(prefix, entry["key"].cast("string")).alias("key"), value.alias("value"))
+
+    return F.transform(F.map_entries(column), told)
+
+
 def report_name(fmt: str, name: str | None, now: datetime) -> str:
     """``report_<date>_<time>_<id>.<fmt>``, or the base name the caller gave."""
     if name:
@@ -170,6 +220,23 @@ def json_document(records: DataFrame, now: datetime) -> DataFrame:
     return told.unionByName(records.sparkSession.createDataFrame(ends, "part int, n bigint, text string"))
 
 
+def export_json_document(records: DataFrame, base_dir: str, name: str | None = None, now: datetime | None = None) -> str:
+    """Write one JSON document of any size as ordered text files; none at all are an error.
+
+    The part files, one after the other in the order of their names, are the document
+    ``{"export_metadata": ..., "threats": [...]}`` (as ``cat`` or a file store's own
+    concatenation makes it), with a record on each line. The rows are dealt by ranges of
+    their place, so every executor writes its own stretch and none has all.
+    """
+    now = now or datetime.now()
+    path = _target(base_dir, "json", name, now)
+    parts = materialize(json_document(records, now))
+    if parts.where("part = 1").isEmpty():
+        raise ValueError("A report needs at least one record")
+    parts.orderBy("part", "n").select("text").write.mode("overwrite").text(path)
+    return path
+
+
 def report_info(spark: SparkSession, path: str) -> dict:
     """Name, size, time of writing and format of a report, from file listings only."""
     try:

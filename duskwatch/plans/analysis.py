@@ -56,6 +56,7 @@ def analyze(
     known: Sequence[LogFormat] = FORMATS,
     events_path: str | None = None,
     alerts_path: str | None = None,
+    keep_source_year: bool = False,
 ) -> AnalysisResult:
     """Analyse log files with the default rules, ``rules`` and/or a trained model.
 
@@ -64,11 +65,12 @@ def analyze(
     written as parquet, by default to the session's shared scratch folder. Formats,
     statistics and rules read the columns they need from there, and alerts are not
     detected anew by every use. Paths that do not exist are named in
-    ``metadata["missing_paths"]``; if none exists that is an error.
+    ``metadata["missing_paths"]``; if none exists that is an error. ``keep_source_year``
+    dates web logs by the year they state, not by ``now``, and keeps year and offset.
     """
     started = time.monotonic()
-    missing = existing_paths(spark, paths)[1]
-    read = materialize(read_lines(raw_lines(spark, paths), known))
+    found, missing = existing_paths(spark, paths)
+    read = materialize(read_lines(raw_lines(spark, found if found else paths), known, keep_source_year))
     if formats is None:
         formats = materialize(formats_of(read, known))
     stamped = cast_times(events_of(read, formats), now or datetime.now())

@@ -30,6 +30,9 @@ EVENT_TYPES = {
 
 EVENT_COLUMNS = list(EVENT_TYPES)
 
+# What a web log states besides the fields of the time stamp: kept if asked for.
+SOURCE_TYPES = {"source_year": "int", "source_offset": "string"}
+
 # Where a line came from. (file_path, block, line_no) sorts in line order inside a
 # file whatever the number of splits, and is the tie-break of every time window.
 LINE_KEYS = ["file_path", "block", "line_no"]
@@ -57,13 +60,17 @@ def with_line_keys(df: DataFrame) -> DataFrame:
     return materialize(df.withColumns({c: e for c, e in defaults.items() if c not in df.columns}))
 
 
-def project_events(df: DataFrame, also: Sequence[str] = ()) -> DataFrame:
-    """Line keys plus the canonical columns; columns a parser lacks become null."""
+def project_events(df: DataFrame, also: Sequence[str] = (), keep_source_year: bool = False) -> DataFrame:
+    """Line keys plus the canonical columns; columns a parser lacks become null.
+
+    With ``keep_source_year`` the stated year and offset stand behind them.
+    """
+    types = {**EVENT_TYPES, **(SOURCE_TYPES if keep_source_year else {})}
     return df.select(
         *LINE_KEYS,
         *also,
         *[
             (F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c)
-            for c, t in EVENT_TYPES.items()
+            for c, t in types.items()
         ],
     )

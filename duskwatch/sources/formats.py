@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from duskwatch.functions.regex import first_group, java_regex
-from duskwatch.functions.timestamps import normalize_timestamp
+from duskwatch.functions.timestamps import normalize_timestamp, source_offset, source_year
 
 Groups = Callable[[int], Column]
 
@@ -197,6 +197,8 @@ def _access_columns(group: Groups) -> dict[str, Column]:
     url = group(6)
     return {
         "timestamp": normalize_timestamp(group(4)),
+        "source_year": source_year(group(4)),
+        "source_offset": source_offset(group(4)),
         "hostname": F.lit("-"),
         "process": F.lit("web_server"),
         "ip_origen": group(1),
@@ -216,6 +218,7 @@ def _access_columns(group: Groups) -> dict[str, Column]:
 def _error_columns(group: Groups) -> dict[str, Column]:
     return {
         "timestamp": normalize_timestamp(group(1)),
+        "source_year": source_year(group(1)),
         "hostname": F.lit("-"),
         "process": F.lit("web_server"),
         "pid": _or_null(group(3)),

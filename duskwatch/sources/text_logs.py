@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from duskwatch.functions.regex import strip
 from duskwatch.functions.timestamps import infer_datetime, usual_layout
-from duskwatch.schema import EVENT_COLUMNS, LINE_KEYS, project_events
+from duskwatch.schema import EVENT_COLUMNS, LINE_KEYS, SOURCE_TYPES, project_events
 from duskwatch.scratch import materialize
 
 from .formats import FORMATS, LineShape, LogFormat, columns_of
@@ -104,13 +104,14 @@ def _with_format(lines: DataFrame, formats: DataFrame) -> DataFrame:
     )
 
 
-def read_lines(raw: DataFrame, known: Sequence[LogFormat] = FORMATS) -> DataFrame:
+def read_lines(raw: DataFrame, known: Sequence[LogFormat] = FORMATS, keep_source_year: bool = False) -> DataFrame:
     """Every raw line with what each format makes of it: the only pass over the text.
 
     A row per line and format that knows it, one with a null ``format`` for the others.
     ``first`` marks the row of the first such format, ``blank`` an empty line. The rest
-    are the canonical columns, ``datetime`` still null. Store it: votes, statistics and
-    events are taken from its narrow columns.
+    are the canonical columns, ``datetime`` still null, and with ``keep_source_year`` what
+    web logs state beside them. Store it: votes, statistics and events are taken from its
+    narrow columns.
     """
     shapes: list[LineShape] = []
     captured, owners = [], []
@@ -143,7 +144,7 @@ def read_lines(raw: DataFrame, known: Sequence[LogFormat] = FORMATS) -> DataFram
         pick(lambda i: F.lit(owners[i])).alias("format"), *[c.alias(n) for n, c in columns.items()],
     )
     flags = ["blank", "first", "format"]
-    return project_events(parsed, flags)
+    return project_events(parsed, flags, keep_source_year)
 
 
 def formats_of(read: DataFrame, known: Sequence[LogFormat] = FORMATS) -> DataFrame:
@@ -169,7 +170,7 @@ def stats_of(read: DataFrame, formats: DataFrame | str) -> DataFrame:
 
 def events_of(read: DataFrame, formats: DataFrame | str) -> DataFrame:
     """The rows of stored :func:`read_lines` that are in the format of their file."""
-    columns = [*LINE_KEYS, *EVENT_COLUMNS]
+    columns = [*LINE_KEYS, *EVENT_COLUMNS, *[c for c in SOURCE_TYPES if c in read.columns]]
     if isinstance(formats, str):
         return read.where(F.col("format") == formats).select(columns)
     named = _with_format(read.withColumnRenamed("format", "_own"), formats)
@@ -180,6 +181,7 @@ def parse_lines(
     lines: DataFrame,
     formats: DataFrame | str,
     known: Sequence[LogFormat] = FORMATS,
+    keep_source_year: bool = False,
 ) -> DataFrame:
     """Lines to canonical columns (``datetime`` still null).
 
@@ -188,7 +190,7 @@ def parse_lines(
     """
     by_name = {f.name: f for f in known}
     if isinstance(formats, str):
-        return project_events(by_name[formats].parse(lines))
+        return project_events(by_name[formats].parse(lines), keep_source_year=keep_source_year)
     shapes: list[LineShape] = []
     captured = F
     for fmt in known:
@@ -196,15 +198,20 @@ def parse_lines(
         captured = captured.when(F.col("format") == fmt.name, mine)
         shapes += fmt.shapes
     placed = _with_format(lines, formats)
-    return project_events(columns_of(placed, "value", captured, shapes))
+    return project_events(columns_of(placed, "value", captured, shapes), keep_source_year=keep_source_year)
 
 
 def cast_times(parsed: DataFrame, now: datetime) -> DataFrame:
-    """Fill ``datetime`` and drop the rows that have none."""
+    """Fill ``datetime`` and drop the rows that have none.
+
+    Stamps are dated by ``now``, or by the column ``source_year`` if there is one and it
+    states a year. The offset is no part of ``datetime``, which is the time as written.
+    """
     stamped = parsed.withColumn("_stamp", usual_layout(F.col("timestamp")))
     others = [c for c in parsed.columns if c != "datetime"]
     # As in columns_of: the filter must not repeat the expression.
-    moment = infer_datetime(F.col("_stamp"), now)
+    stated = F.col("source_year") if "source_year" in parsed.columns else None
+    moment = infer_datetime(F.col("_stamp"), now, stated)
     timed = stamped.select(*others, F.explode(F.array(moment)).alias("datetime"))
     return timed.where(F.col("datetime").isNotNull()).select(*parsed.columns)
 
@@ -215,17 +222,19 @@ def read_events(
     now: datetime,
     formats: DataFrame | str | None = None,
     known: Sequence[LogFormat] = FORMATS,
+    keep_source_year: bool = False,
 ) -> DataFrame:
     """Files to the canonical event table.
 
     The text is read once. Without ``formats`` what every format makes of each line is
     stored first, and the votes and the events are taken from there; naming the format
-    saves that table.
+    saves that table. ``keep_source_year`` dates web logs by the year they state and adds
+    the columns ``source_year`` and ``source_offset``.
     """
     raw = raw_lines(spark, paths)
     if formats is not None:
-        return cast_times(parse_lines(log_lines(raw), formats, known), now)
-    read = materialize(read_lines(raw, known))
+        return cast_times(parse_lines(log_lines(raw), formats, known, keep_source_year), now)
+    read = materialize(read_lines(raw, known, keep_source_year))
     return cast_times(events_of(read, materialize(formats_of(read, known))), now)
 
 

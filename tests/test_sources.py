@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from duskwatch.functions.timestamps import normalize_timestamp
 from duskwatch.schema import EVENT_COLUMNS, LINE_KEYS
 from duskwatch.scratch import materialize
+from duskwatch.sources import text_logs
 from duskwatch.sources.formats import LineShape, LogFormat
 from duskwatch.sources.text_logs import (
     cast_times,
@@ -305,3 +306,41 @@ def test_regex_runs_once_per_line(spark, tmp_path):
     raw = raw_lines(spark, write_log(tmp_path, "r.log", FAILED))
     plan = parse_lines(log_lines(raw), "syslog")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_replace(value") == 1
+
+
+def test_the_stated_year_and_offset_can_be_kept(spark, tmp_path):
+    lines = [
+        '10.0.0.1 - - [29/Feb/2024:10:00:00 +0530] "GET / HTTP/1.1" 200 1 "-" "x"',
+        '10.0.0.2 - - [1/mar/2019:9:00:00] "GET / HTTP/1.1" 200 1 "-" "x"',
+        '10.0.0.3 - - [01/Mar/2031:09:00:00 Z] "GET / HTTP/1.1" 200 1 "-" "x"',
+        "[Thu Feb 29 10:00:00.5 2024] [error] [client 10.0.0.4:1] gone",
+        '10.0.0.5 - - [30/Feb/2024:10:00:00 +0000] "GET / HTTP/1.1" 200 1 "-" "x"',
+    ]
+    web = write_log(tmp_path, "web.log", "\n".join(lines))
+    auth = write_log(tmp_path, "auth.log", "Oct 11 10:00:00 h sshd[1]: Failed password for root from 10.0.0.9\n")
+    now = datetime(2026, 12, 1)
+    for formats in (None, detect_formats(raw_lines(spark, [web, auth]))):
+        events = read_events(spark, [web, auth], now, formats, keep_source_year=True)
+        got = {r.ip_origen: (r.datetime, r.source_year, r.source_offset) for r in events.collect()}
+        assert got == {
+            "10.0.0.1": (datetime(2024, 2, 29, 10), 2024, "+0530"), "10.0.0.2": (datetime(2019, 3, 1, 9), 2019, None),
+            "10.0.0.3": (datetime(2031, 3, 1, 9), 2031, "Z"), "10.0.0.4": (datetime(2024, 2, 29, 10), 2024, None),
+            "10.0.0.9": (datetime(2026, 10, 11, 10), None, None),
+        }
+    plain = read_events(spark, [web, auth], now)
+    assert "source_year" not in plain.columns
+    assert {r.ip_origen: r.datetime.year for r in plain.collect()} == {"10.0.0.2": 2026, "10.0.0.3": 2026, "10.0.0.9": 2026}
+
+
+def test_events_are_read_in_one_pass_over_the_text(spark, tmp_path, monkeypatch):
+    path = write_log(tmp_path, "auth.log", "Oct 11 10:00:00 h sshd[1]: Failed password for root from 10.0.0.9\n")
+    plans = []
+
+    def keep(df, path=None):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return materialize(df, path)
+
+    monkeypatch.setattr(text_logs, "materialize", keep)
+    events = read_events(spark, path, datetime(2026, 12, 1))
+    plans.append(events._jdf.queryExecution().executedPlan().toString())
+    assert events.count() == 1 and sum(p.count("FileScan text") for p in plans) == 1

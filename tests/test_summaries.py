@@ -10,9 +10,11 @@ from duskwatch.operators.export import (
     alert_records,
     export_csv,
     export_json,
+    export_json_document,
     export_report,
     flatten_records,
     json_document,
+    long_records,
     report_info,
     report_name,
 )
@@ -159,6 +161,44 @@ def test_json_document(spark):
     assert doc["threats"][0]["tree"] == {"kind": "oak", "rings": 7}
 
 
+def test_json_document_as_ordered_files(spark, tmp_path):
+    many = spark.range(50_000).select("id", F.concat(F.lit('"é'), F.col("id")).alias("quoted")).repartition(7)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        path = export_json_document(many, str(tmp_path), "whole", BASE)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = sorted(Path(path).glob("part-*"))
+    doc = json.loads("".join(f.read_text() for f in files))
+    assert path.endswith("reports/whole.json") and len([f for f in files if f.stat().st_size]) > 1
+    assert doc["export_metadata"]["record_count"] == 50_000
+    assert sorted(t["id"] for t in doc["threats"]) == list(range(50_000))
+    with pytest.raises(ValueError, match="at least one record"):
+        export_json_document(many.limit(0), str(tmp_path), "none")
+
+
+def test_long_records(spark):
+    got = {(r["key"], r["value"]) for r in long_records(nested(spark)).collect()}
+    assert got == set(FLAT.items())
+    rows = spark.createDataFrame([("a", {"x": 1, "y": None}), ("b", None), (None, {})], "name string, m map<string,int>")
+    by_record = {}
+    for r in long_records(rows).collect():
+        by_record.setdefault(r["record"], set()).add((r["key"], r["value"]))
+    assert sorted(map(sorted, by_record.values()), key=str) == sorted(
+        [[("m_x", "1"), ("m_y", None), ("name", "a")], [("name", "b")], [("name", None)]], key=str
+    )
+
+
+def test_a_map_with_a_million_keys(spark):
+    wide = spark.range(10_000).selectExpr(
+        "map_from_entries(transform(sequence(0, 99), k -> struct(concat('k', id * 100 + k) AS key, k AS value))) AS m"
+    )
+    long = long_records(wide)
+    assert long.select("key").distinct().count() == 1_000_000
+    with pytest.raises(ValueError, match="long_records"):
+        flatten_records(wide)
+
+
 def test_report_arguments(spark, tmp_path):
     with pytest.raises(ValueError, match="at least one record"):
         export_report(nested(spark).limit(0), "json", str(tmp_path))

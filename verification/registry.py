@@ -318,6 +318,25 @@ def q_infer_year(spark, sf_dir):
     return L.syslog_events(spark, sf_dir, L.PLAIN, L.MID_JANUARY).select(*LINE_KEYS, "datetime")
 
 
+_RAW_STAMP = f"CASE WHEN {S.has('value', S.ACCESS_LINE)} THEN {S.group('value', S.ACCESS_LINE, 4)} ELSE {S.group('value', S.ERROR_LINE, 1)} END"
+
+
+@query(
+    "keep_source_year",
+    f"""{S.ctes(L.PLAIN)}, stamps AS (SELECT {KEYS}, {_RAW_STAMP} AS raw FROM web_lines
+  WHERE {S.has("value", S.ACCESS_LINE)} OR {S.has("value", S.ERROR_LINE)})
+SELECT {KEYS}, CASE WHEN contains(raw, '/') THEN strptime(substr(raw, 1, 20), '%d/%b/%Y:%H:%M:%S')
+    ELSE strptime(substr(raw, 5, 15) || ' ' || right(raw, 4), '%b %d %H:%M:%S %Y') END AS "datetime",
+  CASE WHEN contains(raw, '/') THEN substr(raw, 8, 4) ELSE right(raw, 4) END::INT AS source_year,
+  CASE WHEN contains(raw, '/') THEN right(raw, 5) END AS source_offset FROM stamps""",
+)
+def q_keep_source_year(spark, sf_dir):
+    """Web logs dated by the year they state, whatever the time of the analysis."""
+    web = L.access_lines(spark, sf_dir, L.PLAIN).unionByName(L.error_lines(spark, sf_dir, L.PLAIN))
+    events = cast_times(parse_lines(log_lines(web), "web", keep_source_year=True), L.MID_JANUARY)
+    return events.select(*LINE_KEYS, "datetime", "source_year", "source_offset")
+
+
 def _all_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         L.syslog_lines(spark, sf_dir, PACK)
@@ -662,7 +681,8 @@ def q_detect_alerts(spark, sf_dir):
 
 @query(
     "detect_first_reasons",
-    S.ctes(L.DENSE) + S.first_reasons("web", "'Asked by ' || user_agent", "user_agent IS NOT NULL"),
+    f"""{S.ctes(L.DENSE)}, who AS (SELECT * REPLACE (NULL::VARCHAR AS usuario, 'a visit' AS accion, 'INFO' AS status) FROM web)
+{S.first_reasons("who", "'Asked by ' || user_agent", "user_agent IS NOT NULL")}""",
 )
 def q_detect_first_reasons(spark, sf_dir):
     """A rule whose reason is told by the row: several reasons in one alert."""
@@ -671,7 +691,10 @@ def q_detect_first_reasons(spark, sf_dir):
         predicate=lambda df: F.col("user_agent").isNotNull(),
         reason=lambda: F.concat(F.lit("Asked by "), "user_agent"),
     )
-    events = materialize(normalize(L.web_events(spark, sf_dir, L.DENSE)))
+    visits = normalize(L.web_events(spark, sf_dir, L.DENSE)).withColumns(
+        {"usuario": F.lit(None).cast("string"), "accion": F.lit("a visit"), "status": F.lit("INFO")}
+    )
+    events = materialize(visits)
     return Detector([rule]).alerts(events).select(*ALERT_KEYS, "reason")
 
 
