@@ -11,7 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .tables import bound, running_sums
+
 OPEN, SHUT, NEXT = "<turn:", "</turn>", "<+>"
+# Characters of the pieces in which a formatted conversation is read back.
+_PIECE = 4096
 
 
 def escape(text: Column) -> Column:
@@ -26,13 +30,15 @@ def unescape(text: Column) -> Column:
     return text
 
 
-def _merge(blocks: Column, turn: Column) -> Column:
-    """Blocks so far (role, texts) with one more turn."""
-    last = F.element_at(blocks, -1)
-    alone = F.array(F.struct(turn["role"].alias("role"), F.array(turn["text"]).alias("texts")))
-    longer = F.array(F.struct(last["role"].alias("role"), F.array_append(last["texts"], turn["text"]).alias("texts")))
-    same = (F.size(blocks) > 0) & (F.try_element_at(blocks, F.lit(-1))["role"] == turn["role"])
-    return F.when(same, F.concat(F.slice(blocks, 1, F.size(blocks) - 1), longer)).otherwise(F.concat(blocks, alone))
+def _blocks(turns: str, starts: str) -> Column:
+    """Blocks (role, texts): the turns from each start up to the next."""
+
+    def block(start: Column, nth: Column) -> Column:
+        after = F.coalesce(F.get(starts, nth + 1), F.size(turns))
+        texts = F.transform(F.slice(turns, start + 1, after - start), lambda t: t["text"])
+        return F.struct(F.get(turns, start)["role"].alias("role"), texts.alias("texts"))
+
+    return F.transform(starts, block)
 
 
 def format_conversations(
@@ -56,35 +62,36 @@ def format_conversations(
             escape(F.coalesce(turns[text_column], F.lit(""))).alias("text"),
         ).alias("t"),
     )
-    none = F.array().cast("array<struct<role:string,texts:array<string>>>")
-    spans_type = "array<struct<start:int,length:int>>"
-    blocks = rows.groupBy("i").agg(F.array_sort(F.collect_list("t")).alias("ts")).select(
-        "i", F.aggregate("ts", none, _merge).alias("bs")
+    sorted_turns = rows.groupBy("i").agg(F.array_sort(F.collect_list("t")).alias("ts"))
+
+    def begins(turn: Column, nth: Column) -> Column:
+        return (nth == 0) | (turn["role"] != F.get("ts", nth - 1)["role"])
+
+    # One select per step: an expression inside a lambda is worked out for every element.
+    places = F.filter(F.transform("ts", lambda t, n: F.when(begins(t, n), n)), lambda n: n.isNotNull())
+    told = sorted_turns.select("i", "ts", places.alias("starts")).select("i", _blocks("ts", "starts").alias("bs"), "ts")
+    written = F.array_join(
+        F.transform(
+            "bs",
+            lambda b: F.concat(F.lit(OPEN), b["role"], F.lit(">"), F.array_join(b["texts"], NEXT), F.lit(SHUT)),
+        ),
+        "",
     )
-    texts = F.transform(
-        "bs",
-        lambda b: F.concat(F.lit(OPEN), b["role"], F.lit(">"), F.array_join(b["texts"], NEXT), F.lit(SHUT)),
-    )
-    # Where every text begins: the position so far and the spans met so far.
-    def block_spans(state: Column, block: Column) -> Column:
-        head = state["pos"] + F.length(block["role"]) + len(OPEN) + 1
-
-        def text_spans(inner: Column, text: Column) -> Column:
-            span = F.struct(inner["pos"].alias("start"), F.length(text).alias("length"))
-            kept = F.when(block["role"] == escape(F.lit(loss_role)), F.array_append(inner["spans"], span))
-            return F.struct(
-                (inner["pos"] + F.length(text) + len(NEXT)).alias("pos"), kept.otherwise(inner["spans"]).alias("spans")
-            )
-
-        inner = F.aggregate(block["texts"], F.struct(head.alias("pos"), state["spans"].alias("spans")), text_spans)
-        return F.struct((inner["pos"] - len(NEXT) + len(SHUT)).alias("pos"), inner["spans"].alias("spans"))
-
-    begin = F.struct(F.lit(0).alias("pos"), F.array().cast(spans_type).alias("spans"))
-    return blocks.select(
-        F.col("i").alias(id_column),
-        F.array_join(texts, "").alias("formatted"),
-        F.aggregate("bs", begin, block_spans)["spans"].alias("loss_spans"),
+
+    # Where every text ends: what stands before a turn's text, and the text.
+    def length(turn: Column, nth: Column) -> Column:
+        head = F.when(nth == 0, 0).otherwise(len(SHUT)) + F.length(turn["role"]) + len(OPEN) + 1
+        return F.when(begins(turn, nth), head).otherwise(len(NEXT)) + F.length(turn["text"])
+
+    ends = bound(F.transform("ts", length), running_sums)
+    spans = F.zip_with(
+        "ts", ends,
+        lambda t, end: F.when(
+            t["role"] == escape(F.lit(loss_role)),
+            F.struct((end - F.length(t["text"])).alias("start"), F.length(t["text"]).alias("length")),
+        ),
     )
+    return told.select(F.col("i").alias(id_column), written.alias("formatted"), F.array_compact(spans).alias("loss_spans"))
 
 
 def read_turns(formatted: Column) -> Column:
@@ -104,6 +111,15 @@ def read_turns(formatted: Column) -> Column:
 
 def read_loss_text(formatted: Column, spans: Column) -> Column:
     """All text under the loss mask, unescaped, with nothing between."""
-    return F.array_join(
-        F.transform(spans, lambda s: unescape(F.substring(formatted, s["start"] + 1, s["length"]))), ""
-    )
+
+    def cut(pieces: Column) -> Column:
+        def text(span: Column) -> Column:
+            first = F.floor(span["start"] / _PIECE).cast("int")
+            last = F.floor((span["start"] + span["length"]) / _PIECE).cast("int")
+            held = F.array_join(F.slice(pieces, first + 1, last - first + 1), "")
+            return unescape(F.substring(held, span["start"] - first * _PIECE + 1, span["length"]))
+
+        return F.array_join(F.transform(spans, text), "")
+
+    # A place in a long string is found by counting from its begin: short pieces make that quick.
+    return bound(F.regexp_extract_all(formatted, F.lit(f"(?s).{{1,{_PIECE}}}"), F.lit(0)), cut)

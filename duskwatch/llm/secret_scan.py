@@ -10,7 +10,6 @@ in every text.
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 from itertools import product
@@ -20,16 +19,13 @@ from re import _parser as parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import stored
+from .tables import bound, running_sums, stored
 
 # Strings that part of an expression may stand for, and ANDs of a query, before it is
 # given up to ask for less. Both bound work on a rule, not what it finds.
 _MOST_STRINGS = 64
 _MOST_TERMS = 64
 
-# Matches whose lengths are summed from the last sum that is kept.
-_RUN = 128
-
 # Trigrams for each column of bits.
 _BITS = 63
 
@@ -158,29 +154,6 @@ def needs_nothing(query: Query) -> bool:
     return frozenset() in query
 
 
-def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with ``value`` worked out once, not again for every element that a lambda sees."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def _running(lengths: Column) -> Column:
-    """Sums up to and with each element of a bound array: whole runs first, then within the element's run."""
-
-    def total(part: Column) -> Column:
-        return F.aggregate(part, F.lit(0), lambda a, x: a + x)
-
-    runs = F.sequence(F.lit(0), F.greatest(F.floor((F.size(lengths) - 1) / _RUN).cast("int"), F.lit(0)))
-    of_runs = F.transform(runs, lambda r: total(F.slice(lengths, r * _RUN + 1, F.lit(_RUN))))
-    sums = F.aggregate(of_runs, F.array(F.lit(0)), lambda so_far, x: F.array_append(so_far, F.element_at(so_far, -1) + x))
-    return _bind(
-        sums,
-        lambda before: F.transform(
-            lengths,
-            lambda _, k: F.get(before, F.floor(k / _RUN).cast("int")) + total(F.slice(lengths, k - k % _RUN + 1, k % _RUN + 1)),
-        ),
-    )
-
-
 def find_spans(text: Column, rule: SecretRule) -> Column:
     """array of (start, end) of all matches of a rule, in code points, end exclusive."""
     pattern = F.lit(rule.pattern)
@@ -190,7 +163,7 @@ def find_spans(text: Column, rule: SecretRule) -> Column:
     # n matches stand between n + 1 pieces
     sizes = F.zip_with(between, matches, lambda b, m: F.struct(b.alias("b"), F.length(m).alias("m")))
     found = F.filter(sizes, lambda x: x["m"].isNotNull())
-    ends = _bind(found, lambda f: _bind(F.transform(f, lambda x: x["b"] + x["m"]), _running))
+    ends = bound(found, lambda f: bound(F.transform(f, lambda x: x["b"] + x["m"]), running_sums))
     spans = F.zip_with(
         F.zip_with(matches, parts, lambda m, p: F.struct(F.length(m).alias("size"), (F.length(p) >= rule.least).alias("kept"))),
         ends,

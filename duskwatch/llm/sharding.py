@@ -48,8 +48,9 @@ def shard_groups(groups: DataFrame, shards: int, bucket_groups: int = BUCKET_GRO
     """
     total, count = groups.agg(F.sum("bytes"), F.count("*")).first()
     least = (total or 0) / (HEAVY_PARTS * shards)
-    is_heavy = F.col("bytes") >= F.lit(float(max(least, 1)))
-    heavy = sorted(groups.where(is_heavy).collect(), key=lambda r: (-r["bytes"], r["group"]))
+    # the group of null, if there is one, is placed with them
+    is_heavy = (F.col("bytes") >= F.lit(float(max(least, 1)))) | F.col("group").isNull()
+    heavy = sorted(groups.where(is_heavy).collect(), key=lambda r: (-r["bytes"], r["group"] is None, r["group"]))
     loads = [0.0] * shards
     placed = schedule([r["bytes"] for r in heavy], loads)
     for r, s in zip(heavy, placed):
@@ -96,8 +97,8 @@ def with_slots(rows: DataFrame, shard: str = "shard", numbered_rows: int = NUMBE
 def shard_rows(rows: DataFrame, size: Column, group: Column, shards: int) -> DataFrame:
     """All columns of ``rows`` plus ``shard`` and ``slot``: near equal sums of ``size``.
 
-    Rows of the same ``group`` (not null) share a shard. Repeated rows count each; a null
-    size counts as 0. Columns named ``shard`` or ``slot`` are replaced. An empty table
+    Rows of the same ``group`` share a shard; those of a null group are one group, like any
+    other. Repeated rows count each; a null size counts as 0. Columns named ``shard`` or ``slot`` are replaced. An empty table
     gives an empty table. The rows are written once, which fixes their numbers for tasks
     that run again; keep them narrow.
     """
@@ -109,5 +110,6 @@ def shard_rows(rows: DataFrame, size: Column, group: Column, shards: int) -> Dat
         )
     )
     groups = stored(named.groupBy("group").agg(F.sum("bytes").alias("bytes")))
-    placed = stored(named.join(shard_groups(groups, shards), "group"))
+    shard_of = shard_groups(groups, shards).withColumnRenamed("group", "_group")
+    placed = stored(named.join(shard_of, F.col("group").eqNullSafe(F.col("_group"))).drop("_group"))
     return with_slots(placed).select("_in.*", "shard", "slot")

@@ -16,6 +16,9 @@ from duskwatch.scratch import materialize
 # Rows of one id column that may be sent to every task (a few MB).
 BROADCAST_ROWS = 1_000_000
 
+# Elements that are summed from the last sum that is kept.
+_RUN = 128
+
 # Bytes of text a task works on at a time.
 SLAB_BYTES = 4_000_000
 
@@ -72,3 +75,26 @@ def crc32_of(text: Column) -> Column:
 
 def utf8_bytes(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
+
+
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` worked out once, not again for every element that a lambda sees."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running_sums(lengths: Column) -> Column:
+    """Sums up to and with each element of a bound array: whole runs first, then within the element's run."""
+
+    def total(part: Column) -> Column:
+        return F.aggregate(part, F.lit(0), lambda a, x: a + x)
+
+    runs = F.sequence(F.lit(0), F.greatest(F.floor((F.size(lengths) - 1) / _RUN).cast("int"), F.lit(0)))
+    of_runs = F.transform(runs, lambda r: total(F.slice(lengths, r * _RUN + 1, F.lit(_RUN))))
+    sums = F.aggregate(of_runs, F.array(F.lit(0)), lambda so_far, x: F.array_append(so_far, F.element_at(so_far, -1) + x))
+    return bound(
+        sums,
+        lambda before: F.transform(
+            lengths,
+            lambda _, k: F.get(before, F.floor(k / _RUN).cast("int")) + total(F.slice(lengths, k - k % _RUN + 1, k % _RUN + 1)),
+        ),
+    )

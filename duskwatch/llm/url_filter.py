@@ -19,13 +19,11 @@ def url_path(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def host_suffixes(host: Column) -> Column:
-    """The host and all the domains it is part of."""
-    labels = F.split(host, r"\.", -1)
-    return F.transform(
-        F.sequence(F.lit(1), F.size(labels)),
-        lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."),
-    )
+def host_suffixes(host: Column, sizes: list[int]) -> Column:
+    """Those of the host and the domains it is part of that have one of ``sizes`` labels."""
+    dots = F.length(host) - F.length(F.replace(host, F.lit("."), F.lit("")))
+    suffixes = [F.when(dots >= n - 1, F.substring_index(host, ".", -n)) for n in sizes]
+    return F.array_compact(F.array(*suffixes).cast("array<string>"))
 
 
 def _expression(host: Column, path: Column) -> Column:
@@ -50,17 +48,19 @@ def filter_urls(urls: DataFrame, rules: DataFrame, url_column: str = "url", defa
     host and path. Repeated rows stay; columns of these four names are replaced. Null
     hosts or paths of rules count as empty; without rules all urls get ``default``.
 
-    Every url is spread into the pairs of a host suffix and a path prefix as long as
-    some rule's path, and joined with the rules on 32 bits of a hash; SHA-256 digests
-    confirm. The rows of a url meet again by its row number, in the only shuffle; page
+    Every url is spread into the pairs of a host suffix of as many labels as some rule's
+    host and a path prefix as long as some rule's path, so a host or path of any length
+    makes no more pairs than the rules have such sizes; they are joined with the rules on
+    32 bits of a hash; SHA-256 digests confirm. An empty table gives an empty table. The rows of a url meet again by its row number, in the only shuffle; page
     bodies should be left out. Spark broadcasts the rules if their size allows.
     """
     clean = rules.select(
         F.translate(F.coalesce("host", F.lit("")), _UPPER, _LOWER).alias("h"),
         F.coalesce("path", F.lit("")).alias("p"), F.col("verdict").alias("v"),
     ).distinct()
-    # the lengths of paths in rules: a short list, whatever the number of rules
+    # the lengths of paths and the labels of hosts in rules: short lists, whatever the number of rules
     lengths = sorted(r[0] for r in clean.select(F.length("p")).distinct().collect())
+    sizes = sorted(r[0] for r in clean.select(F.size(F.split("h", r"\.", -1))).distinct().collect())
     known = clean.select(
         _short(_expression(F.col("h"), F.col("p"))).alias("_short"),
         _digest(_expression(F.col("h"), F.col("p"))).alias("_digest"),
@@ -78,7 +78,7 @@ def filter_urls(urls: DataFrame, rules: DataFrame, url_column: str = "url", defa
         F.array(*[F.when(F.length("path") >= n, F.left("path", F.lit(n))) for n in lengths]).cast("array<string>"),
         lambda p: p.isNotNull(),
     )
-    pairs = F.flatten(F.transform(host_suffixes(F.col("host")), lambda h: F.transform(prefixes, lambda p: _expression(h, p))))
+    pairs = F.flatten(F.transform(host_suffixes(F.col("host"), sizes), lambda h: F.transform(prefixes, lambda p: _expression(h, p))))
     spread = parted.select("*", F.explode_outer(pairs).alias("_pair")).withColumn("_short", _short(F.col("_pair")))
     met = spread.join(known, "_short", "left").withColumn(
         "_fit", F.when(_digest(F.col("_pair")) == F.col("_digest"), F.col("_fit"))

@@ -140,3 +140,47 @@ def test_many_buckets_and_parts(spark):
 
 def test_no_rows(spark):
     assert len(shard(spark, [])) == 0
+
+
+def test_a_null_group_is_one_group(spark):
+    rows = spark.createDataFrame([(1, "a", 5), (2, None, 5), (3, "b", 5), (4, None, 5), (5, "c", 10), (6, "d", None)], "doc_id bigint, g string, size bigint")
+    got = {r["doc_id"]: r["shard"] for r in sharding.shard_rows(rows, F.col("size"), F.col("g"), 3).collect()}
+    assert sorted(got) == [1, 2, 3, 4, 5, 6] and got[2] == got[4]
+    numbers = rows.select("doc_id", "size", F.when(F.col("g").isNotNull(), F.col("doc_id") + 2**60).alias("g"))
+    got = {r["doc_id"]: r["shard"] for r in sharding.shard_rows(numbers, F.col("size"), F.col("g"), 3).collect()}
+    assert sorted(got) == [1, 2, 3, 4, 5, 6] and got[2] == got[4]
+    alone = sharding.shard_rows(rows.where("g is null"), F.col("size"), F.col("g"), 3).collect()
+    assert sorted(r["slot"] for r in alone) == [0, 1]
+
+
+def test_very_long_hosts_and_paths(spark):
+    host = "a." * 50_000 + "m.example.com"
+    urls = spark.createDataFrame([(1, f"x://{host}/en/" + "p/" * 50_000), (2, "x://" + "." * 100_000)], "page_id bigint, url string")
+    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.filter_urls(urls, rules).collect()}
+    assert got == {1: ("example.com/en/", "block"), 2: (None, "allow")}
+
+
+def test_rules_of_many_label_counts(spark):
+    hosts = ["a", "b.a", "c.b.a", "", "x.", "b.a."]
+    urls = spark.createDataFrame([(i, f"s://{h}/p") for i, h in enumerate([*hosts, "d.c.b.a", "ab.a", "y.x."])], "page_id bigint, url string")
+    rules = spark.createDataFrame([(h, "/", "block") for h in hosts], "host string, path string, verdict string")
+    got = {r["page_id"]: r["rule"] for r in url_filter.filter_urls(urls, rules).collect()}
+    assert got == {0: "a/", 1: "b.a/", 2: "c.b.a/", 3: "/", 4: "x./", 5: "b.a./", 6: "c.b.a/", 7: "a/", 8: "x./"}
+
+
+def test_a_conversation_of_very_many_turns(spark):
+    n = 20_000
+    turns = spark.range(n).selectExpr("1L AS conv_id", "id AS turn", "if(id % 7 < 3, 'assistant', 'user') AS role", "concat('é<', id) AS text", "0 AS formatted")
+    (row,) = chat_format.format_conversations(turns).select(
+        "loss_spans", chat_format.read_turns(F.col("formatted")).alias("turns"),
+        chat_format.read_loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss"),
+    ).collect()
+    assert [t["text"] for t in row["turns"]] == [f"é<{i}" for i in range(n)]
+    assert row["loss"] == "".join(f"é<{i}" for i in range(n) if i % 7 < 3)
+
+
+def test_a_loss_text_longer_than_a_piece(spark):
+    long = "".join(chr(0x61 + i % 26) + "😀" for i in range(6000))
+    rows = [(1, 0, "user", "u" * 5000, 0), (1, 1, "assistant", long, 0), (1, 2, "assistant", "", 0), (1, 3, "assistant", "z" * 4096, 0)]
+    assert read_back(spark, rows)[1]["loss"] == long + "z" * 4096
