@@ -8,6 +8,10 @@ the number k of elements that may differ. The subset of a set that falls into on
 is a signature: every differing element spoils one part, so at least n-k parts agree (in
 the terms of PartEnum: n parts, none of the second level, all enumerated).
 
+The signatures that most sets have are left out as far as the spare parts allow: similar
+sets share several, and the rarest of these are enough (:func:`_shared`). So a passage that
+very many texts have in common does not bring each of them together with all others.
+
 A part that is empty in both sets agrees too, but says nothing and makes no signature.
 A set is *settled* by a partition if fewer than n-k of its parts are empty: then any
 similar set shares a signature with it. Sets that are not are hashed again with the next
@@ -22,7 +26,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -33,6 +37,9 @@ SIMILARITY = Fraction(3, 4)
 # Parts beyond the differences allowed: n = k + 1 + k * SPARE_PARTS.
 SPARE_PARTS = Fraction(12, 100)
 
+# Numbers in the last bits of a signature that tell its partition.
+PARTITIONS = 64
+
 # Shingles of the sets that a task signs at a time.
 SIGNED_SHINGLES = 200_000
 # The outline of a set, by which most unlike pairs are told apart: its least number of
@@ -67,10 +74,14 @@ def _widths(size: int, t: Fraction) -> list[tuple[int, int, int]]:
     return out
 
 
-def signatures(sets: list[np.ndarray], t: Fraction = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
-    """(signatures, set numbers) of many sets of distinct shingle hashes, none empty."""
+def signatures(sets: list[np.ndarray], t: Fraction = SIMILARITY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(signatures, set numbers, spare) of many sets of distinct shingle hashes, none empty.
+
+    The last bits of a signature tell the partition (band and seed) that it is of. A set
+    shares at least ``spare`` + 1 signatures of that partition with every similar set.
+    """
     known: dict[int, list[tuple[int, int, int]]] = {}
-    sigs, owners = [], []
+    sigs, owners, spares = [], [], []
     todo = [
         (i, *width, 0) for i, s in enumerate(sets) for width in known.setdefault(len(s), _widths(len(s), t))
     ]
@@ -92,11 +103,15 @@ def signatures(sets: list[np.ndarray], t: Fraction = SIMILARITY) -> tuple[np.nda
         filled[place] = True
         join = np.repeat(np.arange(len(todo)), parts)[filled]
         number = (np.arange(total) - np.repeat(first, parts))[filled].astype(np.uint64)
-        sigs.append(mix(mix(low[filled] + (high[filled] << _U(32)) + number * _U(0x9E3779B97F4A7C15)) ^ salt[join]))
+        found = mix(mix(low[filled] + (high[filled] << _U(32)) + number * _U(0x9E3779B97F4A7C15)) ^ salt[join])
+        partition = ((band % 8) * 8 + np.minimum(seed, 7)).astype(np.uint64)
+        sigs.append((found & ~_U(PARTITIONS - 1)) | partition[join])
         owners.append(owner[join])
-        settled = np.bincount(join, minlength=len(todo)) > differ
+        shared = np.bincount(join, minlength=len(todo)) - differ
+        spares.append(np.maximum(shared - 1, 0)[join])
+        settled = shared > 0
         todo = [(*row[:4], row[4] + 1) for row, done in zip(todo, settled) if not done]
-    return np.concatenate(sigs), np.concatenate(owners)
+    return np.concatenate(sigs), np.concatenate(owners), np.concatenate(spares)
 
 
 def set_key(shingles: np.ndarray) -> int:
@@ -146,7 +161,7 @@ def _sets(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
 
 
 def _signed(docs: DataFrame, text_column: str, t: Fraction) -> DataFrame:
-    """(sig, key): a row for every signature of every set."""
+    """(sig, key, spare): a row for every signature of every set."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -163,41 +178,73 @@ def _signed(docs: DataFrame, text_column: str, t: Fraction) -> DataFrame:
                 yield rows(sets)
 
     def rows(sets: list[np.ndarray]) -> pa.RecordBatch:
-        sigs, owners = signatures(sets, t)
+        sigs, owners, spares = signatures(sets, t)
         keys = np.array([set_key(s) for s in sets], np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(as_signed(sigs)), pa.array(keys[owners])], ["sig", "key"])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(as_signed(sigs)), pa.array(keys[owners]), pa.array(spares.astype(np.int32))], ["sig", "key", "spare"]
+        )
 
-    return docs.select(docs[text_column].alias("t")).mapInArrow(sign, "sig bigint, key bigint")
+    return docs.select(docs[text_column].alias("t")).mapInArrow(sign, "sig bigint, key bigint, spare int")
 
 
-def _shared(signed: DataFrame) -> DataFrame:
-    """(sig, leader, key): the sets of every signature that different sets share.
+def _met(signed: DataFrame) -> DataFrame:
+    """(sig, key, spare) of the signatures that different sets share.
 
-    The leader is one of them. Rows are dealt and sorted by signature and streamed, so
-    that a signature shared by any number of sets needs no memory; equal sets are one,
-    but for those far apart in a very long run. Store the result: another run may choose
-    other leaders.
+    Rows are dealt and sorted by signature and streamed, so that a signature shared by any
+    number of sets needs no memory. Of equal sets one row stays, but for those far apart
+    in a very long run.
     """
+    names = ["sig", "key", "spare"]
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_sig = leader = None
+        first, told = None, False  # the first row of the last signature, and if it was handed on
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sigs, keys = (batch.column(c).to_numpy() for c in ("sig", "key"))
-            order = np.lexsort((keys, sigs))
-            sigs, keys = sigs[order], keys[order]
+            rows = [batch.column(c).to_numpy() for c in names]
+            if first is not None:
+                rows = [np.concatenate(([f], c)) for f, c in zip(first, rows)]
+            order = np.lexsort((rows[1], rows[0]))
+            if first is not None:  # the row put before is the first of its signature again
+                order = np.concatenate(([0], order[order != 0]))
+            rows = [c[order] for c in rows]
+            sigs, keys = rows[:2]
             new = np.concatenate(([True], sigs[1:] != sigs[:-1]))
-            leaders = keys[new]
-            if last_sig is not None and sigs[0] == last_sig:
-                leaders[0] = leader
-            of_row = leaders[np.cumsum(new) - 1]
-            others = (new | np.concatenate(([True], keys[1:] != keys[:-1]))) & (keys != of_row)
-            last_sig, leader = sigs[-1], of_row[-1]
-            yield pa.RecordBatch.from_arrays([pa.array(x[others]) for x in (sigs, of_row, keys)], ["sig", "leader", "key"])
+            begins = np.flatnonzero(new)
+            leader = keys[begins][np.cumsum(new) - 1]
+            fresh = new | ((keys != leader) & np.concatenate(([True], keys[1:] != keys[:-1])))
+            several = np.add.reduceat(fresh, begins, dtype=np.int64) > 1
+            out = fresh & several[np.cumsum(new) - 1]
+            handed = told and len(begins) > 0
+            if handed:
+                out[0] = False
+            last = begins[-1]
+            told = bool(several[-1]) or (handed and last == 0)
+            first = [c[last] for c in rows]
+            yield pa.RecordBatch.from_arrays([pa.array(c[out]) for c in rows], names)
 
     dealt = signed.repartition("sig").sortWithinPartitions("sig")
-    return dealt.mapInArrow(stream, "sig bigint, leader bigint, key bigint")
+    return dealt.mapInArrow(stream, "sig bigint, key bigint, spare int")
+
+
+def _shared(signed: DataFrame) -> DataFrame:
+    """(sig, leader, key): the sets of every signature that is needed to find all similar sets.
+
+    Similar sets share more than ``spare`` signatures of a partition, so the ``spare``
+    most frequent ones of each can be left out: of those that two similar sets share, the
+    rarest is among the others of both. Passages that many texts have in common go this
+    way. The leader is one of the sets of a signature.
+    """
+    met = stored(_met(signed))
+    free_shuffles(signed.sparkSession)
+    met = met.distinct()
+    often = met.groupBy("sig").agg(F.count("*").alias("often"))
+    frequent = Window.partitionBy("key", F.pmod("sig", F.lit(PARTITIONS))).orderBy(F.desc("often"), "sig")
+    needed = stored(
+        met.join(often, "sig").withColumn("_nth", F.row_number().over(frequent)).where(F.col("_nth") > F.col("spare")).select("sig", "key")
+    )
+    leaders = needed.groupBy("sig").agg(F.min("key").alias("leader"), F.max("key").alias("last")).where("leader < last")
+    return needed.join(leaders.drop("last"), "sig").where("key <> leader").select("sig", "leader", "key")
 
 
 def _similarities(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -334,7 +381,9 @@ def _compared(docs: DataFrame, outlines: DataFrame, pairs: DataFrame, text_colum
         )
 
     named = docs.select(docs[id_column].alias("i"), docs[text_column].alias("t"))
-    laid = by_batch(where_id_in(named, "i", ids).select("t"), lay_out, "key bigint, shingles binary")
+    # sets that no row with an id has are looked for among the rows without one
+    asked = where_id_in(named, "i", ids).unionByName(named.where("i is null"))
+    laid = by_batch(asked.select("t"), lay_out, "key bigint, shingles binary")
     # an id may stand for several rows and sets: of each set that is asked for, one
     full = laid.join(keys, "key", "left_semi").groupBy("key").agg(F.first("shingles").alias("shingles"))
     return _similarities(pairs, full)
@@ -353,16 +402,18 @@ def near_duplicates(
     """
     sets = stored(_sets(docs, id_column, text_column))
     links = similar_pairs(docs, sets, id_column, text_column, similarity)
-    # keys to the smallest id of equal sets, then ids to components
-    least = sets.where("key is not null").groupBy("key").agg(
-        F.min(id_column).alias("least"), F.max(id_column).alias("most")
-    )
-    least = stored(least)
-    a, b = (least.select(F.col("key").alias(c), F.col("least").alias(f"id_{c}")) for c in "ab")
-    between = links.join(a, "a").join(b, "b").select("id_a", "id_b")
-    # ids of equal sets; where an id comes with several texts these chain the sets
-    copies = sets.join(least.where("least <> most").select("key", "least"), "key").select("least", id_column)
-    found = connected_components(between.union(copies))
-    return sets.join(found.withColumnRenamed("node", id_column), id_column, "left").select(
-        id_column, "n_shingles", F.coalesce("component", id_column).alias("component_id")
+    keyed, row_id = sets.where("key is not null"), F.col(id_column)
+    # an id with several texts chains their sets
+    chained = keyed.where(row_id.isNotNull()).groupBy(row_id).agg(F.min("key").alias("key"), F.max("key").alias("last"))
+    chained = chained.where("key < last").select(row_id, F.col("key").alias("first"))
+    chains = keyed.join(chained, id_column).select("first", "key")
+    found = connected_components(links.union(chains)).toDF("key", "component")
+    placed = stored(
+        keyed.join(found, "key", "left").select(id_column, "n_shingles", F.coalesce("component", "key").alias("component"))
     )
+    least = placed.groupBy("component").agg(F.min(row_id).alias("component_id"))
+    told = placed.join(least, "component").select(id_column, "n_shingles", "component_id")
+    # empty texts are where the other texts of their id are, or alone
+    of_id = told.groupBy(row_id).agg(F.min("component_id").alias("component_id"))
+    empty = sets.where("key is null").join(of_id, id_column, "left")
+    return told.unionByName(empty.select(id_column, "n_shingles", F.coalesce("component_id", id_column).alias("component_id")))

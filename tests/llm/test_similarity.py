@@ -63,13 +63,22 @@ def corpus(seed, size=160):
 def test_no_similar_pair_is_without_a_shared_signature():
     texts = corpus(1, 500) + corpus(2, 500)
     sets = [shingle_set(t) for t in texts]
-    signed = [set() for _ in sets]
-    for sig, owner in zip(*(x.tolist() for x in jaccard_join.signatures(sets))):
-        signed[owner].add(sig)
+    signed = [{} for _ in sets]
+    for sig, owner, spare in zip(*(x.tolist() for x in jaccard_join.signatures(sets))):
+        signed[owner][sig] = spare
     plain = [set(s.tolist()) for s in sets]
     pairs = [(i, j) for i in range(len(sets)) for j in range(i) if similar(plain[i], plain[j])]
     assert len(pairs) > 300
-    assert all(signed[i] & signed[j] for i, j in pairs)
+    spared = 0
+    for i, j in pairs:
+        shared = signed[i].keys() & signed[j].keys()
+        assert shared
+        for partition in {x % jaccard_join.PARTITIONS for x in shared}:
+            mine = [x for x in shared if x % jaccard_join.PARTITIONS == partition]
+            spare = max(signed[i][mine[0]], signed[j][mine[0]])
+            assert len(mine) > spare
+            spared += spare
+    assert spared > 300
 
 
 def test_sizes_of_similar_sets_share_a_band():
@@ -97,6 +106,25 @@ def test_one_id_of_several_texts_and_null_ids(spark):
     assert jaccard_join.near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_links_through_rows_without_an_id(spark):
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(words[:50]), " ".join(words[4:54]), " ".join(words[8:58])]
+    for ids, want in (((1, 2, 3), [1, 1, 1]), ((1, None, 3), [1, 1, 1]), ((None, None, None), [None] * 3), ((7, None, None), [7] * 3)):
+        rows = [(i, t, "", 0) for i, t in zip(ids, texts)] + [(9, "", "", 0), (7, None, "", 0)]
+        got = jaccard_join.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()
+        assert sorted(map(str, (r["component_id"] for r in got if r["n_shingles"]))) == sorted(map(str, want))
+        assert sorted(r["component_id"] for r in got if not r["n_shingles"]) == [7, 9]
+
+
+def test_a_passage_of_all_texts(spark):
+    rng = random.Random(2)
+    passage = " ".join(f"p{i}" for i in range(30))
+    rows = [(i, passage + " " + " ".join(f"q{rng.randrange(10**6)}" for _ in range(25 + i % 30)), "", 0) for i in range(400)]
+    rows += [(1000 + i, t + " tail", "", 0) for i, t, _, _ in rows[:20]]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == {i: i if i < 1000 else i - 1000 for i, *_ in rows}
+
+
 def test_components_of_chains_and_stars(spark):
     rng = random.Random(9)
     edges = [(i, i + 1) for i in range(100, 160)] + [(1, 500 + i) for i in range(50)] + [(700, 700), (None, 3)]
