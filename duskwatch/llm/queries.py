@@ -134,7 +134,26 @@ def op5_language_id(spark, sf_dir):
     return done.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-@query("op6_jaccard_join")
+# The smallest id that links (a, b), given both ways, lead to.
+_REACH = """reach AS (SELECT a AS id, a AS root FROM links UNION SELECT links.b, reach.root FROM reach JOIN links ON links.a = reach.id),
+groups AS (SELECT id, min(root) AS root FROM reach GROUP BY id)"""
+
+
+@query(
+    "op6_jaccard_join",
+    rf"""WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce("text", ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1),
+    lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM words),
+sizes AS (SELECT doc_id, len(s) AS n FROM sets),
+shingles AS (SELECT doc_id, unnest(s) AS g FROM sets),
+common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM shingles x JOIN shingles y USING (g)
+  WHERE x.doc_id <> y.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+  WHERE 100 * c >= 75 * (x.n + y.n - c)),
+{_REACH}
+SELECT doc_id, n::BIGINT AS n_shingles, coalesce(root, doc_id) AS component_id FROM sizes LEFT JOIN groups ON id = doc_id""",
+)
 def op6_jaccard_join(spark, sf_dir):
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -147,7 +166,18 @@ def op10_decontamination(spark, sf_dir):
     )
 
 
-@query("op3_embedding_near_dedup")
+@query(
+    "op3_embedding_near_dedup",
+    f"""WITH RECURSIVE vectors AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+usable AS (SELECT vec_id, label, e FROM vectors WHERE label IS NOT NULL AND len(e) > 0
+  AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS (SELECT a, b FROM (SELECT x.vec_id AS a, y.vec_id AS b, x.e AS p, y.e AS q FROM usable x JOIN usable y
+    ON x.label = y.label AND len(x.e) = len(y.e) AND x.vec_id <> y.vec_id) WHERE list_cosine_similarity(p, q) >= 0.93),
+counts AS (SELECT a AS vec_id, count(*) AS n_links FROM links GROUP BY a),
+{_REACH}
+SELECT vec_id, coalesce(n_links, 0) AS n_links, coalesce(root, vec_id) AS component_id, coalesce(root, vec_id) = vec_id AS kept
+FROM vectors LEFT JOIN counts USING (vec_id) LEFT JOIN groups ON id = vec_id""",
+)
 def op3_embedding_near_dedup(spark, sf_dir):
     return embedding_join.near_duplicates(table(spark, sf_dir, "embeddings"))
 
