@@ -142,7 +142,8 @@ groups AS (SELECT id, min(root) AS root FROM reach GROUP BY id)"""
 @query(
     "op6_jaccard_join",
     rf"""WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce("text", ''),
-    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w FROM documents),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') AS w FROM documents),
 sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1),
     lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM words),
 sizes AS (SELECT doc_id, len(s) AS n FROM sets),
@@ -158,7 +159,27 @@ def op6_jaccard_join(spark, sf_dir):
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-@query("op10_decontamination")
+_WORDS_SQL = r"""regexp_extract_all(translate(coalesce("text", ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"""
+_SHINGLES_SQL = "unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS g"
+
+
+@query(
+    "op10_decontamination",
+    # for items of five words and more, as those of the table are
+    f"""WITH doc_words AS (SELECT doc_id, {_WORDS_SQL} AS w FROM documents),
+item_words AS (SELECT item_id, {_WORDS_SQL} AS w FROM benchmark),
+items AS (SELECT item_id, n, g, count(*) AS k FROM (SELECT item_id, len(w) - 4 AS n, {_SHINGLES_SQL}
+  FROM item_words WHERE len(w) >= 5) GROUP BY ALL),
+places AS (SELECT doc_id, len(w) - 4 AS m, unnest(range(len(w) - 4)) AS pos, {_SHINGLES_SQL} FROM doc_words WHERE len(w) >= 5),
+met AS (SELECT doc_id, item_id, n, least(n, m) AS size, m, pos, g, k FROM places JOIN items USING (g)),
+seen AS (SELECT doc_id, item_id, n, size, g, k, unnest(range(greatest(0, pos - size + 1), least(pos, m - size) + 1)) AS start FROM met),
+bags AS (SELECT doc_id, item_id, n, size, start, g, least(count(*), k) AS c FROM seen GROUP BY doc_id, item_id, n, size, start, g, k),
+windows AS (SELECT doc_id, item_id, size, start, sum(c)::DOUBLE / (n + size - sum(c))::DOUBLE AS similarity
+  FROM bags GROUP BY doc_id, item_id, n, size, start)
+SELECT doc_id, item_id, max(similarity) AS similarity, arg_min(start, (-similarity, start))::BIGINT AS start_word,
+  (any_value(size) + 4)::BIGINT AS n_words FROM windows WHERE similarity >= 0.75 GROUP BY doc_id, item_id""",
+)
 def op10_decontamination(spark, sf_dir):
     """Documents that hold a benchmark item, one row per document and item."""
     return decontaminate.find_contamination(
