@@ -84,7 +84,38 @@ def op4_chat_formatting(spark, sf_dir):
     )
 
 
-@query("op8_sharding")
+# CRC-32 in SQL: (t), the table of the 256 bytes, and what makes a checksum of a text from it.
+_CRC_TABLE = """crc AS (SELECT list(list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY b) AS t
+  FROM range(256) AS r(b))"""
+
+
+def _crc_sql(text: str) -> str:
+    codes = f"list_transform(range(octet_length(encode({text}))), lambda k: ('0x' || substr(hex(encode({text})), 2 * k + 1, 2))::BIGINT)"
+    return (
+        f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), "
+        "lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295::BIGINT)"
+    )
+
+
+@query(
+    "op8_sharding",
+    # For tables of at most 20,000 groups, which one heap takes after the heavy ones, and of at most
+    # 50,000 rows a shard, which are numbered in the order of the table.
+    f"""WITH RECURSIVE {_CRC_TABLE},
+rows AS (SELECT row_number() OVER () AS r, doc_id, coalesce("text", '') AS x, sha256(coalesce("text", '')) AS g,
+  coalesce(octet_length(encode("text")), 0) + 16 AS size FROM documents),
+sums AS (SELECT g, sum(size)::BIGINT AS bytes FROM rows GROUP BY g),
+ordered AS (SELECT g, bytes, row_number() OVER (ORDER BY bytes >= least DESC, bytes DESC, g) AS k
+  FROM sums, (SELECT greatest(sum(bytes) / {sharding.HEAVY_PARTS * SHARDS}, 1) AS least FROM sums)),
+steps AS (SELECT 0::BIGINT AS k, ''::VARCHAR AS g, -1 AS shard, list_transform(range({SHARDS}), lambda i: 0::BIGINT) AS loads
+  UNION ALL SELECT o.k, o.g, (list_position(loads, list_min(loads)) - 1)::INT,
+    list_transform(loads, lambda load, i: CASE WHEN i = list_position(loads, list_min(loads)) THEN load + o.bytes ELSE load END)
+  FROM steps JOIN ordered o ON o.k = steps.k + 1)
+SELECT doc_id, size::BIGINT AS size, {_crc_sql("x")} AS text_crc32, 'bytes' AS law, shard,
+  row_number() OVER (PARTITION BY shard ORDER BY r) - 1 AS slot, NULL::INT AS grown_shard
+FROM rows JOIN steps USING (g), crc""",
+)
 def op8_sharding(spark, sf_dir):
     """The law of near equal bytes; documents of the same text stay together."""
     docs = table(spark, sf_dir, "documents")
@@ -208,20 +239,6 @@ def op7_html_extraction(spark, sf_dir):
     return html_wrapper.extract_main_text(table(spark, sf_dir, "pages"))
 
 
-# CRC-32 in SQL: (t), the table of the 256 bytes, and what makes a checksum of a text from it.
-_CRC_TABLE = """crc AS (SELECT list(list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0],
-    lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY b) AS t
-  FROM range(256) AS r(b))"""
-
-
-def _crc_sql(text: str) -> str:
-    codes = f"list_transform(range(octet_length(encode({text}))), lambda k: ('0x' || substr(hex(encode({text})), 2 * k + 1, 2))::BIGINT)"
-    return (
-        f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), "
-        "lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295::BIGINT)"
-    )
-
-
 def _rebuilt(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Sequences whose first turns come from another conversation, and all of them with their lengths.
 
