@@ -65,9 +65,10 @@ class Element:
 
     __slots__ = ("tag", "key", "dropped", "soft", "children", "title")
 
-    def __init__(self, tag: str, attributes: str = ""):
+    def __init__(self, tag: str, attributes: str = "", in_article: bool = False):
         self.tag, self.key, self.children, self.title = tag, tag, [], ""
-        self.dropped, self.soft = tag in BOILERPLATE, tag == "form"
+        # the header of an article is its title and lead, not the page's
+        self.dropped, self.soft = tag in BOILERPLATE and not (in_article and tag == "header"), tag == "form"
         if attributes and "=" in attributes:
             found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
             if found:
@@ -76,7 +77,8 @@ class Element:
                     # camelCase names are words too
                     said = re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{found.get('class', '')} {found.get('id', '')}")
                     role = found.get("role", "").lower()
-                    word = not WORDS.isdisjoint(w.lower() for w in _WORD.findall(said))
+                    own = {"header"} if in_article else set()
+                    word = not WORDS.isdisjoint({w.lower() for w in _WORD.findall(said)} - own)
                     sure = self.dropped and not self.soft or role in ROLES and role != "form"
                     self.dropped |= role in ROLES or word
                     self.soft = self.dropped and not sure
@@ -115,7 +117,7 @@ def parse(page: str | None) -> Element:
             _close(stack, tag)
             continue
         _imply_ends(stack, tag)
-        element = Element(tag, found[3])
+        element = Element(tag, found[3], any(e.tag == "article" for e in stack))
         if element.main and all(e.soft or not e.dropped for e in [*stack, element]):
             around.append([e for e in [*stack, element] if e.soft])
         stack[-1].children.append(element)

@@ -221,6 +221,13 @@ def test_near_copies_of_one_page_keep_their_title(spark, n, box):
     assert {r["text"] for r in got.values()} == {f"One\ntext {i}\nEnd" for i in range(n)}
 
 
+@pytest.mark.parametrize("head", ["header", "header class='entry-header'", "div class=article-header"])
+def test_the_header_of_an_article_is_its_own(head):
+    tag = head.split()[0]
+    body = f"<article><{head}><h1>The title</h1><p>Lead.</p><nav>n</nav></{tag}><p>Body.</p><footer>f</footer></article>"
+    assert extract(f"<body><header><h1>Site</h1></header><div class=header>s</div>{body}</body>", None) == "The title\nLead.\nBody."
+
+
 def test_headings_inside_articles_and_rare_slots_stay(spark):
     rows = [page(i, f"<body><div>Welcome</div><article><h1>T{i}</h1><h2>Summary</h2><p>text {i}</p></article>") for i in range(9)]
     assert run(spark, rows)[2]["text"] == "T2\nSummary\ntext 2"
