@@ -209,6 +209,7 @@ def any_pattern(text: str, patterns: list[str]) -> str:
     return has(text, "|".join(f"({p})" for p in patterns), "i")
 
 
+# Names, reasons and severities of the rules, as reports show them.
 ROW_RULES = {
     "Time Anomaly": (
         "status = 'SUCCESS' AND (hour(\"datetime\") < 8 OR hour(\"datetime\") >= 18)",
@@ -288,7 +289,7 @@ def first_reasons(table: str, reason: str, where: str) -> str:
 
 
 def alerts(table: str) -> str:
-    """One row per alert; texts of one rule do not differ inside an alert."""
+    """One row per alert; texts of one rule do not differ inside an alert (but see first_reasons)."""
     return f"""SELECT {KEYS}, string_agg(reason, ' | ' ORDER BY ord) AS reason,
   string_agg(rule, ' | ' ORDER BY ord) AS rule,
   CASE max(rank) WHEN 3 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END AS severity,
