@@ -12,6 +12,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
+from .tables import held
+
 # Chunks and words a Python worker remembers; beyond it the memory starts anew.
 REMEMBERED = 1_000_000
 
@@ -259,11 +261,10 @@ class Vocabulary:
         return np.array(self.library.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
 
 
-_open: dict[str, Vocabulary] = {}
+def held_as(path: str) -> tuple[str, str]:
+    return "vocabulary", path
 
 
 def vocabulary(path: str) -> Vocabulary:
-    """The vocabulary at ``path``, read once by every Python worker."""
-    if path not in _open:
-        _open[path] = Vocabulary(path)
-    return _open[path]
+    """The vocabulary at ``path``, read once by every Python worker that keeps it."""
+    return held(held_as(path), None, lambda: Vocabulary(path))

@@ -1,59 +1,122 @@
-"""Benchmark decontamination: for each item its best window of a text, by exact running counts of shingles."""
+"""Benchmark decontamination: fingerprints of item-sized windows, then exact running counts of shingles.
+
+Every item and every window of a text as long as an item has a SimHash of 512 bits, to
+which its shingles vote by weight. Fingerprints of the items of one length are indexed by
+64 blocks of a byte. Two that differ by at most RADIUS bits have a block that differs by at
+most one bit, so probing each block of a window with that byte and its eight neighbours
+meets every item within the radius (multi-index hashing).
+
+Of bags with a similarity of 0.75 or more the cosine is 6/7 at least, so that a bit differs
+with a probability of about 0.17 (0.19 for the shortest bags): 88 bits in the middle, with
+a deviation of 8.5. RADIUS lies more than 4 deviations above it, and 11 below the 256 bits of
+unlike texts.
+
+Windows that hold too few shingles of any item of their length cannot reach the similarity
+and get no fingerprint. Of the items met, the best window follows exactly from running counts.
+"""
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .shingles import SHINGLE_WORDS, each_words, mix, shingle_hashes, words_of
-from .tables import by_batch
+from .tables import by_batch, held
 
 SIMILARITY = 0.75
-# Fingerprints of 64 bits in 8 blocks of a byte; within RADIUS some block differs by at
-# most RADIUS // BLOCKS bits. The search goes without them: bits say nothing sure of a
-# similarity of shingles, and a radius that loses next to nothing at SIMILARITY is near the
-# 32 bits of unrelated texts.
-BLOCKS, RADIUS = 8, 15
+# Bits of a fingerprint, in blocks of a byte, and how many may differ: less than two in each block.
+BITS = 512
+BLOCKS = BITS // 8
+RADIUS = 2 * BLOCKS - 1
 # Items sent to the tasks at a time: a bounded number of bytes of their texts.
 ITEM_BYTES = 8_000_000
 
-_BITS = np.arange(64, dtype=np.uint64)
-_ONE = np.uint64(1)
+# Windows whose votes are summed at a time, and pairs of fingerprints compared at a time.
+_SUMMED, _COMPARED = 4096, 200_000
+_SALTS = mix(np.arange(1, BITS // 64 + 1, dtype=np.uint64))
+# a byte and those that differ from it by a bit
+_NEAR = np.concatenate(([0], 1 << np.arange(8))).astype(np.uint8)
 _FIRST_BITS = 20
 _TOP = np.uint64(64 - _FIRST_BITS)
 
 
-def fingerprints(hashes: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-    """SimHash of the windows of ``length`` words at ``starts``: every word votes on every bit.
+def _votes(shingles: np.ndarray) -> np.ndarray:
+    return np.unpackbits(mix(shingles[:, None] ^ _SALTS).astype("<u8").view(np.uint8), axis=1)
+
 
-    A word that comes twice votes twice. The votes are summed once and windows are
-    differences of sums.
+def fingerprints(shingles: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+    """SimHash of the windows of ``size`` shingles at the ascending ``starts``: every shingle votes on every bit.
+
+    A shingle that comes twice votes twice. The votes of the first window of a run are
+    summed; those of the next ones follow from what comes in and what goes out. A run is
+    cut where windows do not touch, so that memory and work are bounded by its windows.
     """
-    votes = ((mix(hashes)[:, None] >> _BITS) & _ONE).astype(np.int32)
-    upto = np.concatenate((np.zeros((1, 64), np.int32), np.cumsum(votes, axis=0, dtype=np.int32)))
-    ones = upto[starts + length] - upto[starts]
-    return ((2 * ones > length).astype(np.uint64) << _BITS).sum(axis=1, dtype=np.uint64)
+    out = np.empty((len(starts), BLOCKS), np.uint8)
+    cuts = np.flatnonzero(np.diff(starts) > size) + 1
+    for run in np.split(np.arange(len(starts)), cuts):
+        i, stop = run[0], run[-1] + 1
+        while i < stop:
+            a = starts[i]
+            j = i + int(np.searchsorted(starts[i:stop], a + _SUMMED))
+            b = starts[j - 1]
+            sums = np.zeros((b - a + 1, BITS), np.int32)
+            for at in range(a, a + size, _SUMMED):
+                sums[0] += _votes(shingles[at : min(at + _SUMMED, a + size)]).sum(axis=0, dtype=np.int32)
+            sums[1:] = _votes(shingles[a + size : b + size])
+            sums[1:] -= _votes(shingles[a:b])
+            np.cumsum(sums, axis=0, out=sums)
+            out[i:j] = np.packbits(2 * sums[starts[i:j] - a] > size, axis=1)
+            i = j
+    return out
+
+
+class _Lengths:
+    """The items of one length: their shingles all together, their fingerprints and the index of these."""
+
+    def __init__(self, items: list[int], bags: dict[int, np.ndarray], shingles: np.ndarray):
+        self.items, self.shingles = np.array(items, np.int64), shingles
+        self.size = len(bags[items[0]])
+        self.prints = np.concatenate([fingerprints(bags[i], np.zeros(1, np.int64), self.size) for i in items])
+        # the items of each byte of each block, one after the other
+        keys = (np.arange(BLOCKS) * 256 + self.prints).ravel()
+        order = np.argsort(keys, kind="stable")
+        self.members = (order // BLOCKS).astype(np.int32)
+        self.first = np.searchsorted(keys[order], np.arange(BLOCKS * 256 + 1)).astype(np.int32)
+
+    def near(self, prints: np.ndarray, radius: int = RADIUS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """All (print, place in ``items``) whose fingerprints differ by at most ``radius`` bits, some at a time."""
+        own, step = self.prints.view(np.uint64), max(1, _COMPARED // (4 * len(self.items) + BLOCKS))
+        for at in range(0, len(prints), step):
+            some = prints[at : at + step]
+            keys = np.arange(BLOCKS)[:, None] * 256 + (some[:, :, None] ^ _NEAR)
+            keys = keys.reshape(len(some), -1)
+            begin, often = self.first[keys], self.first[keys + 1] - self.first[keys]
+            window = np.repeat(np.arange(len(some)), often.sum(axis=1))
+            begin, often = begin.ravel(), often.ravel()
+            place = np.repeat(begin - np.cumsum(often) + often, often) + np.arange(often.sum())
+            window, item = np.divmod(np.unique(window * len(self.items) + self.members[place]), len(self.items))
+            apart = np.bitwise_count(own[item] ^ some.view(np.uint64)[window]).sum(axis=1)
+            yield window[apart <= radius] + at, item[apart <= radius]
 
 
 class _Known:
-    """The shingles of one width of all items: numbers for them, and which item has which how often."""
+    """The shingles of one width of all items: numbers for them, which item has which how often, items by length."""
 
     def __init__(self, bags: dict[int, np.ndarray]):
         own = {i: np.unique(bag, return_counts=True) for i, bag in bags.items()}
         self.names = np.unique(np.concatenate([names for names, _ in own.values()]))
         self.of = {i: (np.searchsorted(self.names, names), counts) for i, (names, counts) in own.items()}
-        # the items of each shingle, one after the other
-        holder = np.repeat(np.array(list(own), np.int64), [len(names) for names, _ in own.values()])
-        shingle = np.concatenate([n for n, _ in self.of.values()])
-        order = np.argsort(shingle, kind="stable")
-        self.items, self.counts = holder[order], np.concatenate([c for _, c in self.of.values()])[order]
-        self.first = np.searchsorted(shingle[order], np.arange(len(self.names) + 1))
+        holder: dict[int, list[int]] = defaultdict(list)
+        for item, bag in bags.items():
+            holder[len(bag)].append(item)
+        self.lengths = [
+            _Lengths(items, bags, np.unique(np.concatenate([self.of[i][0] for i in items]))) for items in holder.values()
+        ]
         # a quick look before the exact one: is there any known shingle with these first bits?
         self.marked = np.zeros(1 << _FIRST_BITS, bool)
         self.marked[(self.names >> _TOP).astype(np.int64)] = True
@@ -66,16 +129,25 @@ class _Known:
         same = self.names[number] == own[at]
         return at[same], number[same]
 
-    def shared(self, number: np.ndarray, n_items: int) -> np.ndarray:
-        """How many shingles, by weight, each item has in common with a whole text.
+    def promising(self, of: _Lengths, at: np.ndarray, number: np.ndarray, n: int, similarity: float) -> np.ndarray:
+        """Starts of the windows that hold enough shingles of items of that length, in a text of ``n`` shingles.
 
-        Every shingle is looked up once, so the work is bounded by the items.
+        Similar bags of x and y shingles have at least s / (1 + s) * (x + y) in common. A
+        text shorter than the item is one window.
         """
-        number, often = np.unique(number, return_counts=True)
-        size = self.first[number + 1] - self.first[number]
-        place = np.repeat(self.first[number] - np.cumsum(size) + size, size) + np.arange(size.sum())
-        least = np.minimum(self.counts[place], np.repeat(often, size))
-        return np.bincount(self.items[place], least, n_items).astype(np.int64)
+        size = min(of.size, n)
+        need = math.ceil(similarity / (1 + similarity) * (of.size + size) - 1e-9)
+        if size < need or len(at) < need:
+            return np.zeros(0, np.int64)
+        self.wanted[of.shingles] = 1
+        at = at[self.wanted[number] > 0]
+        self.wanted[of.shingles] = 0
+        if len(at) < need:
+            return np.zeros(0, np.int64)
+        upto = np.zeros(n + 1, np.int64)
+        upto[at + 1] = 1
+        np.cumsum(upto, out=upto)
+        return np.flatnonzero(upto[size:] - upto[: n + 1 - size] >= need)
 
     def best_window(self, item: int, at: np.ndarray, number: np.ndarray, size: int, last: int) -> tuple[int, int]:
         """(shared shingles by weight, start) of the best of all windows of ``size`` shingles.
@@ -107,7 +179,7 @@ class Items:
     """Benchmark items ready for search in one task."""
 
     def __init__(self, items: list[tuple[object, str]]):
-        self.ids, self.words, sizes = [], [], []
+        self.ids, sizes = [], []
         bags: dict[int, dict[int, np.ndarray]] = defaultdict(dict)
         for item_id, text in items:
             hashes = words_of(text)
@@ -117,39 +189,14 @@ class Items:
             bags[min(len(hashes), SHINGLE_WORDS)][len(self.ids)] = bag
             self.ids.append(item_id)
             sizes.append(len(bag))
-            self.words.append(hashes)
         self.sizes = np.array(sizes, np.int64)
         self.known = {width: _Known(of) for width, of in bags.items()}
 
-    @cached_property
-    def prints(self) -> np.ndarray:
-        return np.array([fingerprints(w, np.zeros(1, np.int64), len(w))[0] for w in self.words], np.uint64)
-
-    @cached_property
-    def index(self) -> list[dict[int, np.ndarray]]:
-        """By block, the items whose byte differs from a byte by few enough bits."""
-        out = []
-        for block in range(BLOCKS):
-            near: dict[int, list[int]] = defaultdict(list)
-            for i, byte in enumerate(_bytes(self.prints)[:, block].tolist()):
-                for other in _within(byte, RADIUS // BLOCKS):
-                    near[other].append(i)
-            out.append({b: np.array(v, np.int64) for b, v in near.items()})
-        return out
-
-    def near(self, prints: np.ndarray, radius: int = RADIUS) -> Iterator[tuple[int, int]]:
-        """All (window, item) whose fingerprints differ by at most ``radius`` bits."""
-        none = np.zeros(0, np.int64)
-        for w, blocks in enumerate(_bytes(prints).tolist()):
-            met = np.unique(np.concatenate([self.index[b].get(byte, none) for b, byte in enumerate(blocks)]))
-            apart = np.bitwise_count(self.prints[met] ^ prints[w])
-            for i in met[apart <= radius].tolist():
-                yield w, i
-
     def search(self, hashes: np.ndarray, similarity: float = SIMILARITY) -> dict[int, tuple[float, int, int]]:
         """item -> (similarity, first word, words) of its best window in the words of a whole text.
 
-        Of equally good windows it is the first. A text shorter than the item is one window.
+        An item is met if the fingerprint of some promising window is within RADIUS of its
+        own. Of equally good windows it is the first.
         """
         best: dict[int, tuple[float, int, int]] = {}
         for width, known in self.known.items():
@@ -159,26 +206,23 @@ class Items:
             at, number = known.found_in(own)
             if not len(at):
                 continue
-            shared = known.shared(number, len(self.ids))
-            size = np.minimum(self.sizes, len(own))
-            # the whole text shares as much as any window at least
-            for i in np.flatnonzero(shared / (self.sizes + size - shared) >= similarity).tolist():
-                n = int(size[i])
-                common, start = known.best_window(i, at, number, n, len(own) - n)
-                s = common / (int(self.sizes[i]) + n - common)
-                if s >= similarity:
-                    best[i] = (s, start, n + width - 1)
+            for of in known.lengths:
+                starts = known.promising(of, at, number, len(own), similarity)
+                if not len(starts):
+                    continue
+                n = min(of.size, len(own))
+                prints = np.unique(fingerprints(own, starts, n), axis=0)
+                met = np.zeros(len(of.items), bool)
+                for _, places in of.near(prints):
+                    met[places] = True
+                for i in of.items[met].tolist():
+                    common, start = known.best_window(i, at, number, n, len(own) - n)
+                    s = common / (of.size + n - common)
+                    if s >= similarity:
+                        best[i] = (s, start, n + width - 1)
         return best
 
 
-def _bytes(prints: np.ndarray) -> np.ndarray:
-    return prints.astype("<u8").view(np.uint8).reshape(len(prints), BLOCKS)
-
-
-def _within(byte: int, radius: int) -> list[int]:
-    return [b for b in range(256) if (b ^ byte).bit_count() <= radius]
-
-
 def _chunks(benchmark: DataFrame, item_bytes: int) -> Iterator[list[tuple[object, str]]]:
     """The items, a bounded number of bytes at a time."""
     chunk, size = [], 0
@@ -204,7 +248,11 @@ def find_contamination(
     ``similarity``; the best window is told. A document shorter than the item is the one
     window, and ``n_words`` are those of the window. Items of fewer than five words are one
     shingle. Null or empty texts hold nothing and are held by nothing; repeated rows are
-    told each; ids are passed on as they are; other columns are ignored.
+    told each; ids are passed on as they are; other columns are ignored. Whole texts of
+    any length are searched; windows are fingerprinted a bounded number at a time.
+
+    An item is found by fingerprints first; of windows right at 0.75 far less than one in
+    a thousand is beyond their radius. The similarities told are exact.
 
     Documents are read once per ``item_bytes`` of items and not shuffled. Whatever the
     number of items, the tasks hold a bounded part of them at a time.
@@ -237,16 +285,10 @@ def find_contamination(
                 [id_column, "item_id", "similarity", "start_word", "n_words"],
             )
 
-        found = found.unionByName(by_batch(rows, search, schema))
+        found = found.unionByName(by_batch(rows, search, schema, "items"))
     return found
 
 
-_items: dict[int, tuple[object, Items]] = {}
-
-
 def _ready(sent) -> Items:
     """The items this Python worker was sent last, prepared once."""
-    chunk = sent.value
-    if _items.get(0, (None,))[0] is not chunk:
-        _items[0] = (chunk, Items(chunk))
-    return _items[0][1]
+    return held("items", sent.value, lambda: Items(sent.value))

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .shingles import as_signed, each_set, mix
-from .tables import by_batch, free_shuffles, stored, where_id_in
+from .tables import by_batch, free_shuffles, let_go, stored, where_id_in
 
 SIMILARITY = Fraction(3, 4)
 # Parts beyond the differences allowed: n = k + 1 + k * SPARE_PARTS.
@@ -164,6 +164,7 @@ def _signed(docs: DataFrame, text_column: str, t: Fraction) -> DataFrame:
     """(sig, key, spare): a row for every signature of every set."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             sets: list[np.ndarray] = []
             size = 0

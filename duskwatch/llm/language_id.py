@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import by_batch, slabs, stored
+from .tables import by_batch, held, slabs, stored
 
 UNKNOWN = "und"
 # Labelled rows the model is fitted on, about; a hash of the id picks them.
@@ -189,7 +189,7 @@ def identify(docs: DataFrame, model: LanguageModel, text_column: str = "text") -
         if not sent.value.languages:
             langs, scores = [UNKNOWN] * batch.num_rows, [np.zeros(batch.num_rows)]
         else:
-            memory = _remembered(sent)
+            memory = held("language", sent.value, lambda: _Memory(sent.value))
             for _, texts in slabs(batch.column(place)):
                 lang, score = score_texts(texts, memory)
                 langs += lang
@@ -200,14 +200,4 @@ def identify(docs: DataFrame, model: LanguageModel, text_column: str = "text") -
         )
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return by_batch(docs, predict, f"{fields}, lang_pred string, score double")
-
-
-_memories: dict[int, _Memory] = {}
-
-
-def _remembered(sent) -> _Memory:
-    """What this Python worker remembers of the model it was sent last."""
-    if sent.value is not getattr(_memories.get(0), "model", None):
-        _memories[0] = _Memory(sent.value)
-    return _memories[0]
+    return by_batch(docs, predict, f"{fields}, lang_pred string, score double", "language")

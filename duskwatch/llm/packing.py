@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import vocabulary
+from .bpe import held_as, vocabulary
 from .tables import by_batch, slabs, stored
 
 CAPACITY = 4096
@@ -90,7 +90,8 @@ def cut_documents(
     kind = docs.schema[id_column].dataType.simpleString()
     rows = docs.select(docs[id_column].alias("i"), docs[text_column].alias("t"))
     return by_batch(
-        rows, cut, f"`{id_column}` {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
+        rows, cut, f"`{id_column}` {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint",
+        held_as(vocabulary_path),
     )
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Callable, Iterator
 
@@ -46,10 +47,43 @@ def where_id_in(df: DataFrame, column: str, ids: DataFrame, keep: bool = True) -
     return df.join(F.broadcast(named) if few else named, column, "left_semi" if keep else "left_anti")
 
 
-def by_batch(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """``function`` over every Arrow batch of ``df``."""
+# What this Python worker keeps from one task to the next: owner -> (key, value).
+_held: dict[object, tuple[object, object]] = {}
+
+
+def held(owner: object, key: object, make: Callable[[], object]) -> object:
+    """``make()``, kept by this Python worker for later tasks with the same owner and key.
+
+    A worker serves one stage after the other and keeps for one owner at a time only, so
+    the next stage does not pay for what the last one remembered.
+    """
+    if owner not in _held or _held[owner][0] is not key:
+        let_go()
+        _held[owner] = key, make()
+    return _held[owner][1]
+
+
+def let_go(but: object = None) -> None:
+    """Free what this Python worker keeps for other owners, and hand the memory back."""
+    others = [owner for owner in _held if owner != but]
+    if not others:
+        return
+    for owner in others:
+        del _held[owner]
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc keeps freed pages otherwise
+    if trim:
+        trim(0)
+
+
+def by_batch(
+    df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, owner: object = None
+) -> DataFrame:
+    """``function`` over every Arrow batch of ``df``; ``owner`` tells whose state its tasks keep, if any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go(but=owner)
         for batch in batches:
             if batch.num_rows:
                 yield function(batch)

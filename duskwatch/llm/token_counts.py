@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import vocabulary
+from .bpe import held_as, vocabulary
 from .tables import by_batch, slabs, utf8_bytes
 
 
@@ -30,7 +30,7 @@ def count_tokens(docs: DataFrame, vocabulary_path: str, id_column: str = "doc_id
     kind = docs.schema[id_column].dataType.simpleString()
     text = docs[text_column]
     rows = docs.select(docs[id_column].alias("i"), utf8_bytes(text).alias("b"), text.alias("t"))
-    return by_batch(rows, count, f"`{id_column}` {kind}, n_bytes bigint, n_tokens bigint")
+    return by_batch(rows, count, f"`{id_column}` {kind}, n_bytes bigint, n_tokens bigint", held_as(vocabulary_path))
 
 
 def with_limit(counts: DataFrame, limit: int) -> DataFrame:

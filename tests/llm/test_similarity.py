@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from duskwatch.llm import decontaminate, embedding_join, jaccard_join
 from duskwatch.llm.components import connected_components
-from duskwatch.llm.shingles import each_words, shingle_set, words_of
+from duskwatch.llm.shingles import each_words, shingle_hashes, shingle_set, words_of
 
 DOCS = "doc_id bigint, text string, key string, component_id int"
 
@@ -272,30 +272,61 @@ def test_best_windows_as_brute_force():
 def test_no_copy_right_at_the_similarity_is_lost(length):
     """Truncated and edited copies with as few shared shingles as 0.75 allows, however their bits fall."""
     rng = random.Random(length)
-    shingles, far = length - 4, 0
+    shingles, apart = length - 4, []
     edited_end = next(k for k in range(length) if (shingles - k - 1) / (shingles + k + 1) < 0.75)
     cut_off = next(k for k in range(length) if (shingles - k - 1) / shingles < 0.75)
     for _ in range(300):
         words = [f"w{rng.random()}" for _ in range(length)]
         item = decontaminate.Items([(0, " ".join(words))])
         text = words_of(" ".join(words[:-edited_end] + [f"x{rng.random()}" for _ in range(edited_end)]))
-        far += (int(decontaminate.fingerprints(text, np.zeros(1, np.int64), length)[0]) ^ int(item.prints[0])).bit_count() > 15
+        own = decontaminate.fingerprints(shingle_hashes(text), np.zeros(1, np.int64), shingles)
+        apart.append(int(np.bitwise_count(own ^ item.known[5].lengths[0].prints).sum()))
         assert item.search(text) == {0: ((shingles - edited_end) / (shingles + edited_end), 0, length)}
         text = words_of(" ".join(words[cut_off:]))
         assert item.search(text) == {0: ((shingles - cut_off) / shingles, 0, length - cut_off)}
         assert item.search(words_of(" ".join(words[cut_off + 1 :]))) == {}
-    assert far or length < 40
+    assert max(apart) <= decontaminate.RADIUS and np.mean(apart) < 100
 
 
 def test_all_fingerprints_within_the_radius_are_found():
     rng = np.random.default_rng(8)
     items = decontaminate.Items([(i, f"a{i} b{i} c{i} d{i} e{i} f{i}") for i in range(60)])
-    prints = items.prints[rng.integers(0, 60, 500)]
-    for w, flips in enumerate(rng.integers(0, 20, 500)):
-        for bit in rng.choice(64, flips, replace=False):
-            prints[w] ^= np.uint64(1) << np.uint64(bit)
-    want = {(w, i) for w in range(500) for i in range(60) if (int(prints[w]) ^ int(items.prints[i])).bit_count() <= 15}
-    assert set(items.near(prints)) == want and len(want) > 300
+    (of,) = items.known[5].lengths
+    bits = np.unpackbits(of.prints[rng.integers(0, 60, 500)], axis=1)
+    for w, flips in enumerate(rng.integers(80, 180, 500)):
+        bits[w, rng.choice(decontaminate.BITS, flips, replace=False)] ^= 1
+    prints = np.packbits(bits, axis=1)
+    apart = np.bitwise_count(prints[:, None, :] ^ of.prints[None]).sum(axis=2)
+    want = {(w, i) for w, i in zip(*np.nonzero(apart <= decontaminate.RADIUS))}
+    got = [(w, i) for windows, items in of.near(prints) for w, i in zip(windows, items)]
+    assert set(got) == want and len(got) == len(want) and 150 < len(want) < 400
+
+
+def test_fingerprints_of_windows_as_of_texts_of_their_own(monkeypatch):
+    rng = np.random.default_rng(4)
+    shingles = rng.integers(0, 30, 300).astype(np.uint64)
+    monkeypatch.setattr(decontaminate, "_SUMMED", 16)
+    for size in (1, 7, 40, 290):
+        last = 300 - size
+        for starts in (np.arange(last + 1), np.unique(rng.integers(0, last + 1, 5))):
+            want = [decontaminate.fingerprints(shingles[a : a + size], np.zeros(1, np.int64), size)[0] for a in starts]
+            assert (decontaminate.fingerprints(shingles, starts, size) == np.array(want)).all()
+
+
+def test_only_met_items_are_found(monkeypatch):
+    """Fingerprints decide what is looked at: with no bit of freedom an edited copy is not."""
+    words = [f"w{i}" for i in range(40)]
+    text = words_of(" ".join(["x", *words[:-1], "y", "z"]))
+    items = decontaminate.Items([(0, " ".join(words))])
+    assert items.search(text) == {0: (35 / 37, 0, 40)}  # as good as the window from 1
+    monkeypatch.setattr(decontaminate._Lengths, "near", lambda self, prints: iter(()))
+    assert items.search(text) == {}
+
+
+def test_a_long_repetitive_text():
+    item = " ".join(["a", "b"] * 30)
+    text = " ".join(["a", "b"] * 100_000 + ["end"])
+    assert decontaminate.Items([(0, item)]).search(words_of(text)) == {0: (1.0, 0, 60)}
 
 
 def test_nothing_to_search(spark):
@@ -355,3 +386,19 @@ def test_ids_are_broadcast_or_shuffled_alike(spark, monkeypatch):
     monkeypatch.setattr(tables, "BROADCAST_ROWS", 1)
     assert few == sorted(r["id"] for r in tables.where_id_in(docs, "id", ids).collect()) == [3, 9]
     assert tables.where_id_in(docs, "id", ids, keep=False).count() == 48
+
+
+def test_a_worker_keeps_the_state_of_one_owner():
+    from duskwatch.llm import tables
+
+    made = []
+    make = lambda: made.append(1) or [len(made)]
+    key = object()
+    first = tables.held("x", key, make)
+    assert tables.held("x", key, make) is first
+    tables.let_go(but="x")
+    assert tables.held("x", key, make) is first
+    assert tables.held("x", object(), make) == [2]
+    assert tables.held("y", None, make) == [3] and list(tables._held) == ["y"]
+    tables.let_go()
+    assert not tables._held
