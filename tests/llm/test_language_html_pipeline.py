@@ -276,6 +276,35 @@ def test_pipeline_on_a_small_corpus(spark, tmp_path):
     assert set(packed["doc_id"]) == {*range(20), 99}
 
 
+def test_stages_judge_rows_with_null_and_repeated_ids_by_their_texts(spark, tmp_path):
+    rng = random.Random(7)
+    text = lambda n: " ".join(f"{rng.choice('bcdfg')}{rng.choice('aeiou')}{rng.choice('lmnrs')}" for _ in range(n))
+    a, b, c, d, item = text(60), text(60), text(60), text(60), text(20)
+    held = f"{text(30)} {item}"
+    rows = [
+        (None, a, "no id, copy of 1"), (1, a, "stays"), (None, b, "no id, alone"), (None, b, "no id, again"),
+        (5, c, "repeated id"), (5, d, "repeated id, other text"), (6, d + " more", "like 5"), (5, c, "the same row again"),
+        (None, held, "no id, contaminated"), (1, held, "repeated id, contaminated"), (8, "", "empty"), (8, "", "empty"),
+        (None, None, "null"), (None, None, "null"),
+    ]
+    spark.createDataFrame([(1, item), (None, None)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame([(i, t, "en", n, n) for i, t, n in rows], "doc_id bigint, text string, lang string, key string, `row` string")
+    left = lambda df: sorted((str(r["doc_id"]), r["text"] or "") for r in df.collect())
+    of = lambda *kept: sorted((str(i), t or "") for i, t in kept)
+    blank = [(8, ""), (8, ""), (None, ""), (None, "")]
+
+    got = corpus_pipeline.keep_one_of_similar(spark, docs, str(tmp_path))
+    assert got.columns == docs.columns
+    assert left(got) == of((1, a), (None, b), (5, c), (5, d), (1, held), *blank)
+    got = corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path))
+    assert got.columns == docs.columns
+    assert left(got) == of(*[(i, t) for i, t, _ in rows if t != held])
+    got = corpus_pipeline.keep_known_language(spark, docs, str(tmp_path))
+    assert left(got) == of(*[(i, t) for i, t, _ in rows if t])
+    packed = corpus_pipeline.pack(spark, docs, str(tmp_path))
+    assert packed.select("doc_id", "start").count() == len(rows)
+
+
 def test_pipeline_of_nothing(spark, tmp_path):
     spark.createDataFrame([], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(
         f"{tmp_path}/documents.parquet"
