@@ -1,12 +1,14 @@
 """Time windows counted by position, safe against hot keys.
 
 All windows are per source address, end at the current row and count rows with the
-same time only if they come earlier in the log. Three things keep any group small,
+same time only if they come earlier in the log. Four things keep any group small,
 even if one address (the filled-in ``0.0.0.0``, say) holds a third of all rows:
 
 * rows are pre-aggregated per (address, moment) before anything is ordered by time;
 * trailing sums run per (address, slot), a slot being a stretch of time. The moments
   that the next slot still looks back on are copied into it;
+* for marks, rows are ordered per (address, slot) as they are only if an address has less
+  than a fair share of all rows in every slot: one exchange then does for all windows;
 * ranks inside one moment are limited to the few that matter, or counted per run of
   ``2^RUN_BITS`` lines and then offset.
 """
@@ -28,6 +30,9 @@ SOURCE = "ip_origen"
 MOMENT = [SOURCE, "datetime"]
 SLOT_SECONDS = 3600
 MICROS = 1_000_000
+# Rows of one address in one slot that a task orders: all rows divided by this, or so few.
+FAIR_SHARES = 1000
+SMALL_GROUP = 1 << 16
 _KEY_TYPE = "struct<file_path:string,block:bigint,line_no:bigint>"
 
 
@@ -36,6 +41,12 @@ def timed_rows(df: DataFrame) -> DataFrame:
     return df.where(F.col(SOURCE).isNotNull() & F.col("datetime").isNotNull())
 
 
+def _slot_of(at: Column, seconds: int) -> Column:
+    """The stretch of time that ``at`` is in, long enough for windows of ``seconds``."""
+    width = max(SLOT_SECONDS, seconds) * MICROS
+    return ((at - F.pmod(at, F.lit(width))) / width).cast("bigint")
+
+
 def in_slots(df: DataFrame, seconds: int) -> DataFrame:
     """Add ``_at`` (microseconds), ``_slot`` and ``_home``.
 
@@ -44,7 +55,7 @@ def in_slots(df: DataFrame, seconds: int) -> DataFrame:
     """
     width = max(SLOT_SECONDS, seconds) * MICROS
     at = F.col("_at")
-    slot = ((at - F.pmod(at, F.lit(width))) / width).cast("bigint")
+    slot = _slot_of(at, seconds)
     reaches_on = F.pmod(at, F.lit(width)) >= width - seconds * MICROS
     placed = df.withColumn("_at", epoch_micros(F.col("datetime")))
     placed = placed.withColumn(
@@ -97,33 +108,130 @@ def _single(df: DataFrame, window: CountWindow | DistinctWindow) -> DataFrame:
     return window_marks(df, [window]).select(*MOMENT, F.col("from0").alias("from_key"))
 
 
-def _visits(df: DataFrame, counts: dict[int, CountWindow], values: list[str]) -> DataFrame:
-    """(moment, values, p<i>, keys): rows alike in a moment, with the first few line keys of them.
+def window_marks(df: DataFrame, windows: Sequence[CountWindow | DistinctWindow]) -> DataFrame:
+    """(address, datetime, from0, from1, ...): one row per moment that some window marks.
 
-    The only look at the events. Count windows need the first ``limit`` rows of a moment
-    and distinct windows the first of each value: both are limited map-side.
+    ``from<i>`` belongs to the i-th window: the moment's rows (of its predicate) whose
+    line key is ``from<i>`` or later are hit; null if none is. The events are looked at
+    once, for the few columns that the windows need. Distinct windows must be over one
+    column.
+
+    Addresses are marked row by row in one exchange (:func:`_marks_in_order`), unless more
+    rows of an hour come from one than a task should take: those shrink to moments before
+    they are ordered (:func:`_marks_of_moments`). Both mark the same.
     """
-    alike = [*MOMENT, *values, *[f"p{i}" for i in counts]]
-    rows = timed_rows(df).select(
+    counts = {i: w for i, w in enumerate(windows) if isinstance(w, CountWindow)}
+    distincts = {i: w for i, w in enumerate(windows) if isinstance(w, DistinctWindow)}
+    values = list(dict.fromkeys(w.value for w in distincts.values()))
+    if len(values) > 1:
+        raise ValueError(f"Distinct windows over different columns are marked apart: {values}")
+    needed = timed_rows(df).select(
         *MOMENT, *LINE_KEYS, *values, *[F.coalesce(c.predicate(df), F.lit(False)).alias(f"p{i}") for i, c in counts.items()]
     )
+    if not values:
+        needed = needed.where(reduce(Column.__or__, [F.col(f"p{i}") for i in counts]))
+    rows = materialize(needed)
+    hot = _hot_sources(rows, max(w.seconds for w in windows))
+    if not hot:
+        return _marks_in_order(rows, windows, counts, distincts, values)
+    is_hot = F.col(SOURCE).isin(hot)
+    return _marks_in_order(rows.where(~is_hot), windows, counts, distincts, values).unionByName(
+        _marks_of_moments(rows.where(is_hot), windows, counts, distincts, values)
+    )
+
+
+def _hot_sources(rows: DataFrame, reach: int) -> list[str]:
+    """Addresses with more than a fair share of all rows in a slot: fewer than ``FAIR_SHARES``."""
+    at = epoch_micros(F.col("datetime"))
+    slots = rows.groupBy(SOURCE, _slot_of(at, reach).alias("_slot")).agg(F.count(F.lit(1)).alias("_rows"))
+    share = max(SMALL_GROUP, -(-rows.count() // FAIR_SHARES))
+    return [r[0] for r in slots.where(F.col("_rows") > share).select(SOURCE).distinct().collect()]
+
+
+def _marks_in_order(
+    rows: DataFrame,
+    windows: Sequence[CountWindow | DistinctWindow],
+    counts: dict[int, CountWindow],
+    distincts: dict[int, DistinctWindow],
+    values: list[str],
+) -> DataFrame:
+    """The marks by one exchange per (address, slot) and the rows in order.
+
+    A row is hit by a count window if the row ``limit`` - 1 before it is in the window. For
+    distinct windows a value comes with a row that has not seen it within the window, and
+    leaves when the window has passed its last row; a running sum counts those present.
+    """
+    at = F.col("_at")
+    # Sorts compare the hash first: the texts of addresses begin alike.
+    slot = ["_group", SOURCE, "_slot"]
+    placed = in_slots(rows, max(w.seconds for w in windows)).repartition(SOURCE, "_slot")
+    placed = placed.withColumn("_group", F.xxhash64(SOURCE, "_slot"))
+    for i, w in counts.items():
+        order = Window.partitionBy(*slot, f"p{i}").orderBy("_at", *LINE_KEYS)
+        near = at - F.lag("_at", w.limit - 1).over(order) <= w.seconds * MICROS if w.limit > 1 else F.lit(True)
+        placed = placed.withColumn(f"_hit{i}", F.col(f"p{i}") & F.coalesce(near, F.lit(False)))
+    if distincts:
+        steps = Window.partitionBy(*slot, *values).orderBy("_at", *LINE_KEYS)
+        placed = placed.withColumns({"_gap": at - F.lag("_at").over(steps), "_next": F.lead("_at").over(steps) - at})
+        placed = _coming_and_leaving(placed, slot, counts, distincts)
+        running = Window.partitionBy(*slot).orderBy("_at", "_row", *LINE_KEYS).rowsBetween(Window.unboundedPreceding, 0)
+        placed = placed.withColumns({f"_present{i}": F.sum(f"by{i}").over(running) for i in distincts}).where("_row")
+        placed = placed.withColumns({f"_hit{i}": F.col(f"_present{i}") >= w.limit for i, w in distincts.items()})
+    hits = placed.where(F.col("_home") & reduce(Column.__or__, [F.col(f"_hit{i}") for i in range(len(windows))]))
+    first = [F.min(F.when(F.col(f"_hit{i}"), line_key())).alias(f"from{i}") for i in range(len(windows))]
+    return hits.groupBy(*slot, "_at").agg(F.max("datetime").alias("datetime"), *first).select(
+        *MOMENT, *[f"from{i}" for i in range(len(windows))]
+    )
+
+
+def _coming_and_leaving(
+    placed: DataFrame, slot: list[str], counts: dict[int, CountWindow], distincts: dict[int, DistinctWindow]
+) -> DataFrame:
+    """Every row (``_row``), +1 in ``by<i>`` if its value comes, and rows of -1 where values have left."""
+    at = F.col("_at")
+    reach = max(w.seconds for w in [*counts.values(), *distincts.values()])
+    end = (F.col("_slot") + 1) * (max(SLOT_SECONDS, reach) * MICROS)
+    others = ["datetime", *LINE_KEYS, "_home", *[f"_hit{i}" for i in counts]]
+
+    def change(when: Column, row: bool, by: dict[int, Column]) -> Column:
+        kept = [(F.col(c) if row else F.lit(None).cast(placed.schema[c].dataType)).alias(c) for c in others]
+        steps = [by.get(i, F.lit(0)).cast("int").alias(f"by{i}") for i in distincts]
+        return F.struct(when.alias("_at"), F.lit(row).alias("_row"), *kept, *steps)
+
+    comes = {i: F.coalesce(F.col("_gap") > w.seconds * MICROS, F.lit(True)) for i, w in distincts.items()}
+    changes = [change(at, True, comes)]
+    for i, w in distincts.items():
+        gone = at + w.seconds * MICROS + 1
+        # What leaves behind the end of the slot changes nothing in it.
+        leaves = F.coalesce(F.col("_next") > w.seconds * MICROS, F.lit(True)) & (gone < end)
+        changes.append(F.when(leaves, change(gone, False, {i: F.lit(-1)})))
+    return placed.select(*slot, F.explode(F.array_compact(F.array(*changes))).alias("_c")).select(*slot, "_c.*")
+
+
+def _visits(rows: DataFrame, counts: dict[int, CountWindow], values: list[str]) -> DataFrame:
+    """(moment, values, p<i>, keys): rows alike in a moment, with the first few line keys of them.
+
+    Count windows need the first ``limit`` rows of a moment and distinct windows the first
+    of each value: both are limited map-side.
+    """
+    alike = [*MOMENT, *values, *[f"p{i}" for i in counts]]
     if not counts:
         return rows.groupBy(*alike).agg(F.array(F.min(line_key())).alias("keys"))
-    if not values:
-        rows = rows.where(reduce(Column.__or__, [F.col(f"p{i}") for i in counts]))
     order = Window.partitionBy(*alike).orderBy(*LINE_KEYS)
     most = max(c.limit for c in counts.values())
     firsts = rows.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most)
     return firsts.groupBy(*alike).agg(F.sort_array(F.collect_list(line_key())).alias("keys"))
 
 
-def window_marks(df: DataFrame, windows: Sequence[CountWindow | DistinctWindow]) -> DataFrame:
-    """(address, datetime, from0, from1, ...): one row per moment that some window marks.
-
-    ``from<i>`` belongs to the i-th window: the moment's rows (of its predicate) whose
-    line key is ``from<i>`` or later are hit; null if none is. All windows start from
-    one stored aggregate of the events and share the sums per (address, slot). Distinct
-    windows must be over one column.
+def _marks_of_moments(
+    rows: DataFrame,
+    windows: Sequence[CountWindow | DistinctWindow],
+    counts: dict[int, CountWindow],
+    distincts: dict[int, DistinctWindow],
+    values: list[str],
+) -> DataFrame:
+    """The marks of addresses of any number of rows: all windows start from one stored
+    aggregate of the rows and share the sums per (address, slot).
 
     A count window sums the rows of earlier moments and finds the row of the moment that
     reaches the limit. For a distinct window each (address, value) is turned into
@@ -131,14 +239,9 @@ def window_marks(df: DataFrame, windows: Sequence[CountWindow | DistinctWindow])
     number of values seen before a moment, and values new in the moment are added in
     line order.
     """
-    counts = {i: w for i, w in enumerate(windows) if isinstance(w, CountWindow)}
-    distincts = {i: w for i, w in enumerate(windows) if isinstance(w, DistinctWindow)}
-    values = list(dict.fromkeys(w.value for w in distincts.values()))
-    if len(values) > 1:
-        raise ValueError(f"Distinct windows over different columns are marked apart: {values}")
     reach = max(w.seconds for w in windows)
     # Written once: the keys of a moment and the stretches of time both start from it.
-    visits = materialize(_visits(df, counts, values))
+    visits = materialize(_visits(rows, counts, values))
     at = F.col("_at")
     first = F.get("keys", F.lit(0))
     seen = in_slots(visits, reach)
@@ -174,15 +277,15 @@ def window_marks(df: DataFrame, windows: Sequence[CountWindow | DistinctWindow])
         .agg(F.sort_array(F.collect_list("key")).alias("list"))
     )
     changes = {f"by{i}": F.lit(0) for i in distincts}
-    rows = in_slots(lists, reach).select(
+    listed = in_slots(lists, reach).select(
         SOURCE, "_slot", "_at", F.when(F.col("_home"), F.col("datetime")).alias("datetime"),
         F.lit(None).cast(_KEY_TYPE).alias("start"),
         *[F.when(F.col("window") == i, F.col("list")).alias(f"list{i}") for i in range(len(windows))],
         *[c.alias(n) for n, c in changes.items()],
     )
     if distincts:
-        rows = rows.unionByName(_changes(seen, distincts, new, left, first), allowMissingColumns=True)
-    moments = rows.groupBy(SOURCE, "_slot", "_at").agg(
+        listed = listed.unionByName(_changes(seen, distincts, new, left, first), allowMissingColumns=True)
+    moments = listed.groupBy(SOURCE, "_slot", "_at").agg(
         F.max("datetime").alias("datetime"), F.min("start").alias("start"),
         *[F.max(f"list{i}").alias(f"list{i}") for i in range(len(windows))],
         *[F.sum(n).alias(n) for n in changes],

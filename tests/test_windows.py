@@ -235,6 +235,26 @@ def test_all_window_rules_take_one_scan_and_few_exchanges(spark, monkeypatch):
     assert sum(p.count("Exchange hashpartitioning") for p in plans) <= 6
 
 
+def test_addresses_of_few_rows_are_marked_in_one_exchange(spark, monkeypatch):
+    df = frame(spark, random_rows(1, 200, 600))
+    plans = planned(monkeypatch, [windows], lambda: window_marks(df, ALL))
+    assert sum(p.count("Exchange hashpartitioning") for p in plans) == 1
+
+
+@pytest.mark.parametrize("seed, span", [(1, 40), (2, 600), (3, 9000)])
+def test_hot_addresses_are_marked_like_others(spark, monkeypatch, seed, span):
+    rows = random_rows(seed, 300, span)
+    # null users, and lines that repeat
+    rows += [{**r, "usuario": None} for r in rows[:40]] + [{**r, "line_no": i} for i, r in enumerate(rows[:40])]
+    df = frame(spark, rows)
+    plain = sorted(map(tuple, window_marks(df, ALL).collect()))
+    for share in (1 << 30, 2, 1):
+        monkeypatch.setattr(windows, "SMALL_GROUP", 1)
+        monkeypatch.setattr(windows, "FAIR_SHARES", share)
+        assert sorted(map(tuple, window_marks(df, ALL).collect())) == plain
+    assert plain
+
+
 def test_unmarked_events_do_not_reach_the_shuffle(spark):
     rows = materialize(spark.range(20_000).selectExpr("concat('10.0.', id % 500) AS ip_origen", "timestamp_ntz'2024-01-01' + make_interval(0, 0, 0, 0, 0, id) AS datetime", "id"))
     marks = materialize(rows.where("id % 1000 = 3").select("ip_origen", "datetime"))
