@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from duskwatch.functions.text import adler32, shannon_entropy
+from duskwatch.functions.text import adler32, batch_entropy
 from duskwatch.schema import LINE_KEYS, with_line_keys
 from duskwatch.scratch import materialize
 
@@ -34,7 +34,7 @@ def status_value(status: Column) -> Column:
 
 
 def action_entropy(action: Column) -> Column:
-    return shannon_entropy(F.coalesce(action, F.lit("None")))
+    return batch_entropy(F.coalesce(action, F.lit("None")))
 
 
 def per_source(df: DataFrame, **also: Column) -> DataFrame:
@@ -95,10 +95,11 @@ def extract_features(events: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
         F.hour("datetime").alias("hour"),
         status_value(F.col("status")).alias("status_val"),
         entropy.alias("url_entropy"),
-        F.struct(*[F.col(c) for c in others]).alias("_kept") if others else F.lit(None).alias("_kept"),
+        # One by one, so that those nobody asks for are not shuffled.
+        *[F.col(c).alias(f"_kept_{c}") for c in others],
     )
     sources = materialize(per_source(df, _rows=F.count(F.lit(1))))
     # Counting first: the window's small groups must not inherit a partitioning by address.
     return with_source(requests_per_minute(rows), sources).select(
-        *LINE_KEYS, *FEATURES, *[F.col("_kept")[c].alias(c) for c in others]
+        *LINE_KEYS, *FEATURES, *[F.col(f"_kept_{c}").alias(c) for c in others]
     )

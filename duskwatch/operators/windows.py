@@ -19,7 +19,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from duskwatch.functions.timestamps import epoch_micros
@@ -157,55 +157,47 @@ def _marks_in_order(
 ) -> DataFrame:
     """The marks by one exchange per (address, slot) and the rows in order.
 
-    A row is hit by a count window if the row ``limit`` - 1 before it is in the window. For
-    distinct windows a value comes with a row that has not seen it within the window, and
-    leaves when the window has passed its last row; a running sum counts those present.
+    What is in a window at a row is what has come so far less what the window has passed.
+    Rows of a predicate come and pass; a value comes with a row that has not seen it
+    within the window, and passes with its last row before it is missed that long.
     """
     at = F.col("_at")
-    # Sorts compare the hash first: the texts of addresses begin alike.
-    slot = ["_group", SOURCE, "_slot"]
-    placed = in_slots(rows, max(w.seconds for w in windows)).repartition(SOURCE, "_slot")
-    placed = placed.withColumn("_group", F.xxhash64(SOURCE, "_slot"))
-    for i, w in counts.items():
-        order = Window.partitionBy(*slot, f"p{i}").orderBy("_at", *LINE_KEYS)
-        near = at - F.lag("_at", w.limit - 1).over(order) <= w.seconds * MICROS if w.limit > 1 else F.lit(True)
-        placed = placed.withColumn(f"_hit{i}", F.col(f"p{i}") & F.coalesce(near, F.lit(False)))
+    slot, placed = _by_slot(rows, max(w.seconds for w in windows))
+    comes = {i: F.col(f"p{i}") for i in counts}
+    passes = dict(comes)
     if distincts:
         steps = Window.partitionBy(*slot, *values).orderBy("_at", *LINE_KEYS)
         placed = placed.withColumns({"_gap": at - F.lag("_at").over(steps), "_next": F.lead("_at").over(steps) - at})
-        placed = _coming_and_leaving(placed, slot, counts, distincts)
-        running = Window.partitionBy(*slot).orderBy("_at", "_row", *LINE_KEYS).rowsBetween(Window.unboundedPreceding, 0)
-        placed = placed.withColumns({f"_present{i}": F.sum(f"by{i}").over(running) for i in distincts}).where("_row")
-        placed = placed.withColumns({f"_hit{i}": F.col(f"_present{i}") >= w.limit for i, w in distincts.items()})
-    hits = placed.where(F.col("_home") & reduce(Column.__or__, [F.col(f"_hit{i}") for i in range(len(windows))]))
-    first = [F.min(F.when(F.col(f"_hit{i}"), line_key())).alias(f"from{i}") for i in range(len(windows))]
+        for i, w in distincts.items():
+            comes[i], passes[i] = (F.coalesce(F.col(c) > w.seconds * MICROS, F.lit(True)) for c in ("_gap", "_next"))
+    placed = placed.withColumns({f"_come{i}": F.sum(c.cast("int")).over(_so_far(slot)) for i, c in comes.items()})
+    placed = placed.withColumns(
+        {f"_gone{i}": F.sum(c.cast("int")).over(_passed(slot, windows[i].seconds * MICROS + 1)) for i, c in passes.items()}
+    )
+    hit = {i: F.col(f"_come{i}") - F.coalesce(f"_gone{i}", F.lit(0)) >= w.limit for i, w in enumerate(windows)}
+    hit |= {i: F.col(f"p{i}") & hit[i] for i in counts}
+    hits = placed.select(*slot, "_at", "_home", "datetime", line_key().alias("_key"), *[hit[i].alias(f"_hit{i}") for i in hit])
+    hits = hits.where(F.col("_home") & reduce(Column.__or__, [F.col(f"_hit{i}") for i in hit]))
+    first = [F.min(F.when(F.col(f"_hit{i}"), F.col("_key"))).alias(f"from{i}") for i in range(len(windows))]
     return hits.groupBy(*slot, "_at").agg(F.max("datetime").alias("datetime"), *first).select(
         *MOMENT, *[f"from{i}" for i in range(len(windows))]
     )
 
 
-def _coming_and_leaving(
-    placed: DataFrame, slot: list[str], counts: dict[int, CountWindow], distincts: dict[int, DistinctWindow]
-) -> DataFrame:
-    """Every row (``_row``), +1 in ``by<i>`` if its value comes, and rows of -1 where values have left."""
-    at = F.col("_at")
-    reach = max(w.seconds for w in [*counts.values(), *distincts.values()])
-    end = (F.col("_slot") + 1) * (max(SLOT_SECONDS, reach) * MICROS)
-    others = ["datetime", *LINE_KEYS, "_home", *[f"_hit{i}" for i in counts]]
+def _by_slot(rows: DataFrame, reach: int) -> tuple[list[str], DataFrame]:
+    """Rows dealt by (address, slot), and the columns to group them by."""
+    placed = in_slots(rows, reach).repartition(SOURCE, "_slot")
+    # Sorts compare the hash first: the texts of addresses begin alike.
+    return ["_group", SOURCE, "_slot"], placed.withColumn("_group", F.xxhash64(SOURCE, "_slot"))
 
-    def change(when: Column, row: bool, by: dict[int, Column]) -> Column:
-        kept = [(F.col(c) if row else F.lit(None).cast(placed.schema[c].dataType)).alias(c) for c in others]
-        steps = [by.get(i, F.lit(0)).cast("int").alias(f"by{i}") for i in distincts]
-        return F.struct(when.alias("_at"), F.lit(row).alias("_row"), *kept, *steps)
 
-    comes = {i: F.coalesce(F.col("_gap") > w.seconds * MICROS, F.lit(True)) for i, w in distincts.items()}
-    changes = [change(at, True, comes)]
-    for i, w in distincts.items():
-        gone = at + w.seconds * MICROS + 1
-        # What leaves behind the end of the slot changes nothing in it.
-        leaves = F.coalesce(F.col("_next") > w.seconds * MICROS, F.lit(True)) & (gone < end)
-        changes.append(F.when(leaves, change(gone, False, {i: F.lit(-1)})))
-    return placed.select(*slot, F.explode(F.array_compact(F.array(*changes))).alias("_c")).select(*slot, "_c.*")
+def _so_far(slot: list[str]) -> WindowSpec:
+    return Window.partitionBy(*slot).orderBy("_at", *LINE_KEYS).rowsBetween(Window.unboundedPreceding, 0)
+
+
+def _passed(slot: list[str], micros: int) -> WindowSpec:
+    """Rows at least ``micros`` before: the frame only grows, so each row is summed once."""
+    return Window.partitionBy(*slot).orderBy("_at").rangeBetween(Window.unboundedPreceding, -micros)
 
 
 def _visits(rows: DataFrame, counts: dict[int, CountWindow], values: list[str]) -> DataFrame:
@@ -334,12 +326,36 @@ def marked(from_key: Column) -> Column:
 
 
 def trailing_counts(df: DataFrame, seconds: int, name: str) -> DataFrame:
-    """Add the number of rows in (t - seconds, t], left end open, by position."""
+    """Add the number of rows in (t - seconds, t], left end open, by position.
+
+    As for marks, rows are counted in order unless an address has too many in an hour.
+    ``df`` is read more than once.
+    """
+    rows = timed_rows(df)
+    hot = _hot_sources(rows, seconds)
+    if not hot:
+        return _counted_in_order(rows, seconds, name)
+    is_hot = F.col(SOURCE).isin(hot)
+    return _counted_in_order(rows.where(~is_hot), seconds, name).unionByName(
+        _counted_by_moments(rows.where(is_hot), seconds, name)
+    )
+
+
+def _counted_in_order(rows: DataFrame, seconds: int, name: str) -> DataFrame:
+    slot, placed = _by_slot(rows, seconds)
+    one = F.lit(1)
+    placed = placed.withColumn("_come", F.count(one).over(_so_far(slot)))
+    placed = placed.withColumn("_gone", F.count(one).over(_passed(slot, seconds * MICROS)))
+    return placed.where("_home").select(*rows.columns, (F.col("_come") - F.col("_gone")).alias(name))
+
+
+def _counted_by_moments(rows: DataFrame, seconds: int, name: str) -> DataFrame:
+    """The same for addresses of any number of rows: moments are summed, runs of lines ranked."""
     run = F.shiftright("line_no", RUN_BITS)
     cell = [*MOMENT, "file_path", "block", "_run"]
-    rows = timed_rows(df).withColumn("_run", run)
+    placed = rows.withColumn("_run", run)
     # Written once: the moments are summed from it, and the offsets are added to it.
-    cells = materialize(rows.groupBy(*cell).agg(F.count(F.lit(1)).alias("_rows")))
+    cells = materialize(placed.groupBy(*cell).agg(F.count(F.lit(1)).alias("_rows")))
     moments = cells.groupBy(*MOMENT).agg(F.sum("_rows").alias("_all"))
     before = _trailing_sum(moments, "_all", -seconds * MICROS + 1, -1)
     moments = in_slots(moments, seconds).withColumn("_before", before).where("_home")
@@ -352,6 +368,6 @@ def trailing_counts(df: DataFrame, seconds: int, name: str) -> DataFrame:
         *cell, (F.col("_before") + F.col("_earlier")).alias("_offset")
     )
     place = F.row_number().over(Window.partitionBy(*cell).orderBy("line_no"))
-    return rows.withColumn("_place", place).join(offsets, cell).select(
-        *df.columns, (F.col("_offset") + F.col("_place")).alias(name)
+    return placed.withColumn("_place", place).join(offsets, cell).select(
+        *rows.columns, (F.col("_offset") + F.col("_place")).alias(name)
     )

@@ -7,7 +7,7 @@ from urllib.parse import unquote_plus
 from pyspark.sql import functions as F
 
 from duskwatch.functions.regex import java_regex, strip
-from duskwatch.functions.text import adler32, preview, shannon_entropy, url_decode
+from duskwatch.functions.text import adler32, batch_entropy, preview, shannon_entropy, url_decode
 from duskwatch.operators.normalize import normalize
 
 from .helpers import frame
@@ -63,6 +63,13 @@ def test_entropy(spark):
     assert apply(spark, shannon_entropy, [""]) == [0.0]
 
 
+def test_entropy_of_batches(spark):
+    texts = ["", "a", "ab", None, "é😀é", "GET /admin?id=1' OR '1'='1", "ab", "x" * 5000]
+    one, many = apply(spark, shannon_entropy, texts), apply(spark, batch_entropy, texts * 3)
+    assert many[3] is None and [g is None for g in many] == [t is None for t in texts * 3]
+    assert all(g is None or abs(g - w) < 1e-9 for g, w in zip(many, one * 3, strict=True))
+
+
 def test_adler32_equals_zlib(spark):
     texts = ["", "0.0.0.0", "192.0.2.1", "255.255.255.255", "None", "é" * 40, "x" * 3000]
     assert apply(spark, adler32, texts) == [zlib.adler32(t.encode()) for t in texts]

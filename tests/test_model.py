@@ -214,3 +214,25 @@ def test_a_hot_address_is_dealt_to_many_tasks(spark, monkeypatch):
     got = {r["line_no"]: r for r in extract_features(events).collect()}
     assert len(got) == 3000 and {r["unique_urls_per_ip"] for i, r in got.items() if i % 3 == 0} == {1000}
     assert {r["fail_ratio_per_ip"] for i, r in got.items() if i % 3 == 0} == {0.5}
+
+
+def test_columns_that_pass_through_are_shuffled_only_if_used(spark):
+    rows = [at("FAIL", usuario="u", url=f"/{i}", user_agent="a") for i in range(9)]
+    kept = extract_features(frame(spark, rows), keep=["usuario", "user_agent"])
+    assert {(r.usuario, r.user_agent) for r in kept.collect()} == {("u", "a")}
+    plan = kept.select("line_no", "usuario")._jdf.queryExecution().optimizedPlan().toString()
+    assert "_kept_usuario" in plan and "_kept_user_agent" not in plan
+
+
+def test_the_rule_query_parses_its_events_once(spark, tmp_path, monkeypatch):
+    from verification import registry
+
+    calls = []
+    real = registry.L.all_events
+    monkeypatch.setattr(registry.L, "all_events", lambda *a: calls.append(a) or real(*a))
+    spark.range(200).selectExpr(
+        "id AS event_id", "timestamp'2024-01-01' + make_interval(0, 0, 0, 0, 0, id * 40) AS ts", "id % 7 AS user_id",
+        "element_at(array('error', 'signup', 'click', 'view', 'purchase'), int(id % 5) + 1) AS event_type",
+    ).write.parquet(f"{tmp_path}/events.parquet")
+    registry.QUERIES["rule_iforest"](spark, str(tmp_path)).collect()
+    assert len(calls) == 1

@@ -255,6 +255,23 @@ def test_hot_addresses_are_marked_like_others(spark, monkeypatch, seed, span):
     assert plain
 
 
+@pytest.mark.parametrize("seed, span", [(1, 40), (3, 9000)])
+def test_hot_addresses_are_counted_like_others(spark, monkeypatch, seed, span):
+    df = frame(spark, random_rows(seed, 300, span))
+    plain = sorted(map(tuple, trailing_counts(df, 60, "rpm").collect()))
+    monkeypatch.setattr(windows, "SMALL_GROUP", 1)
+    for share in (2, 1 << 30):
+        monkeypatch.setattr(windows, "FAIR_SHARES", share)
+        assert sorted(map(tuple, trailing_counts(df, 60, "rpm").collect())) == plain
+    assert len(plain) == 300
+
+
+def test_rows_are_counted_with_one_exchange(spark, monkeypatch):
+    df = frame(spark, random_rows(1, 200, 600))
+    plans = planned(monkeypatch, [windows], lambda: trailing_counts(df, 60, "rpm"))
+    assert sum(p.count("Exchange hashpartitioning") for p in plans) == 1
+
+
 def test_unmarked_events_do_not_reach_the_shuffle(spark):
     rows = materialize(spark.range(20_000).selectExpr("concat('10.0.', id % 500) AS ip_origen", "timestamp_ntz'2024-01-01' + make_interval(0, 0, 0, 0, 0, id) AS datetime", "id"))
     marks = materialize(rows.where("id % 1000 = 3").select("ip_origen", "datetime"))
@@ -273,3 +290,9 @@ def test_rows_without_time_or_address_are_pruned_and_a_full_table_loses_nothing(
     kept = detect.prune_unmarked(rows, materialize(rows.select("ip_origen", "datetime").where("ip_origen is not null and datetime is not null")))
     assert {r.id for r in kept.collect()} == {i for i in range(3000) if i % 7 and i % 5}
     assert detect.prune_unmarked(rows, rows.limit(0).select("ip_origen", "datetime")).count() == 0
+
+
+def test_sorted_alerts_are_merged_once(spark, monkeypatch):
+    df = materialize(frame(spark, random_rows(1, 50, 600)))
+    plans = planned(monkeypatch, [detect, windows], lambda: Detector([brute_force()]).run(df))
+    assert "Aggregate" in plans[-2] and "Aggregate" not in plans[-1] and "rangepartitioning" in plans[-1]

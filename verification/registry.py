@@ -550,7 +550,7 @@ def q_features_all(spark, sf_dir):
 
 
 def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return materialize(extract_features(materialize(L.all_events(spark, sf_dir, PACK))))
+    return materialize(extract_features(_stored(spark, sf_dir)))
 
 
 # Every tree of a fitted forest: rows at its root and at all its leaves, and whether it
@@ -613,14 +613,15 @@ cut AS (SELECT quantile_cont(score, {_TREE_QUANTILE}) AS cutoff FROM scored)"""
 _SCORED = _with_scores()
 
 
-def _scored_events(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, iforest.Forest]:
-    scored = materialize(iforest.score(_features(spark, sf_dir), _small_forest()))
+def _scored(features: DataFrame) -> tuple[DataFrame, iforest.Forest]:
+    """The scores beside all columns of ``features``, and the forest with its cut-off."""
+    scored = materialize(iforest.score(features, _small_forest()))
     return scored, _small_forest(iforest.exact_quantile(scored, "score", _TREE_QUANTILE))
 
 
 @query("iforest_score", f"{_SCORED} SELECT {KEYS}, round(score, 9) AS score, score > cutoff AS outlier FROM scored, cut")
 def q_iforest_score(spark, sf_dir):
-    scored, forest = _scored_events(spark, sf_dir)
+    scored, forest = _scored(_features(spark, sf_dir))
     return scored.select(*LINE_KEYS, F.round("score", 9).alias("score"), iforest.is_outlier(forest).alias("outlier"))
 
 
@@ -630,7 +631,7 @@ def q_iforest_score(spark, sf_dir):
     " FROM scored, cut GROUP BY cutoff",
 )
 def q_iforest_threshold(spark, sf_dir):
-    scored, forest = _scored_events(spark, sf_dir)
+    scored, forest = _scored(_features(spark, sf_dir))
     return scored.agg(
         F.round(F.lit(forest.cutoff), 9).alias("cutoff"),
         F.count_if(iforest.is_outlier(forest)).alias("flagged"),
@@ -644,8 +645,8 @@ def q_iforest_threshold(spark, sf_dir):
     f" 'low' AS severity FROM evs JOIN scored USING ({KEYS}), cut WHERE score > cutoff",
 )
 def q_rule_iforest(spark, sf_dir):
-    forest = _scored_events(spark, sf_dir)[1]
-    events = materialize(L.all_events(spark, sf_dir, PACK))
+    events = _stored(spark, sf_dir)
+    forest = _scored(extract_features(events))[1]
     found = iforest.isolation_forest_rule(forest).evaluate(events)
     return found.select(*FOUND, "reason", "rule", "severity")
 
