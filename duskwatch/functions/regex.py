@@ -37,9 +37,14 @@ def java_regex(pattern: str, ignore_case: bool = False) -> str:
     return ("(?iUd)" if ignore_case else "(?Ud)") + "".join(out)
 
 
-def any_of(patterns: list[str]) -> str:
-    """One case-insensitive alternation over ``patterns``."""
-    return java_regex("|".join(f"(?:{p})" for p in patterns), ignore_case=True)
+def any_of(patterns: list[str], starts: str | None = None) -> str:
+    """One case-insensitive alternation over ``patterns``.
+
+    ``starts`` is a class of all characters that a match can begin with: no pattern is
+    tried where another stands.
+    """
+    some = "|".join(f"(?:{p})" for p in patterns)
+    return java_regex(f"(?={starts})(?:{some})" if starts else some, ignore_case=True)
 
 
 def first_group(text: Column, pattern: str, group: int = 1, ignore_case: bool = False) -> Column:

@@ -165,6 +165,10 @@ TRAVERSAL_PATTERNS = [
     r"\.\.%c0%af",
     r"\.\.%c1%9c",
 ]
+# What a match of any of these can begin with.
+SQL_STARTS = "['\"=;bdeisux]"
+XSS_STARTS = "[<adejosw]"
+TRAVERSAL_STARTS = "[.bew]"
 
 
 def time_anomaly(start_hour: int = 8, end_hour: int = 18) -> RowRule:
@@ -181,8 +185,8 @@ def time_anomaly(start_hour: int = 8, end_hour: int = 18) -> RowRule:
     )
 
 
-def _found_in(columns: list[str], patterns: list[str]) -> Callable[[DataFrame], Column]:
-    regex = any_of(patterns)
+def _found_in(columns: list[str], patterns: list[str], starts: str) -> Callable[[DataFrame], Column]:
+    regex = any_of(patterns, starts)
 
     def predicate(df: DataFrame) -> Column:
         hit = F.lit(False)
@@ -201,7 +205,7 @@ def sql_injection() -> RowRule:
         "SQL Injection",
         "high",
         ("url",),
-        predicate=_found_in(["url"], SQL_PATTERNS),
+        predicate=_found_in(["url"], SQL_PATTERNS, SQL_STARTS),
         reason="Detected by SQL Injection",
     )
 
@@ -211,7 +215,7 @@ def xss_attack() -> RowRule:
         "XSS Attack",
         "medium",
         ("url",),
-        predicate=_found_in(["url", "user_agent"], XSS_PATTERNS),
+        predicate=_found_in(["url", "user_agent"], XSS_PATTERNS, XSS_STARTS),
         reason="Detected by XSS Attack",
     )
 
@@ -221,7 +225,7 @@ def path_traversal() -> RowRule:
         "Path Traversal",
         "high",
         ("url",),
-        predicate=_found_in(["url"], TRAVERSAL_PATTERNS),
+        predicate=_found_in(["url"], TRAVERSAL_PATTERNS, TRAVERSAL_STARTS),
         reason="Detected by Path Traversal",
     )
 
