@@ -12,6 +12,10 @@ The signatures that most sets have are left out as far as the spare parts allow:
 sets share several, and the rarest of these are enough (:func:`_shared`). So a passage that
 very many texts have in common does not bring each of them together with all others.
 
+The sets of a signature are compared with one of them, its leader. Those unlike the leader
+could still be similar to others: such pairs differ from the leader in the same shingles,
+and are joined by the rarest of those (:func:`_same_differences`), not each with all others.
+
 A part that is empty in both sets agrees too, but says nothing and makes no signature.
 A set is *settled* by a partition if fewer than n-k of its parts are empty: then any
 similar set shares a signature with it. Sets that are not are hashed again with the next
@@ -45,6 +49,8 @@ SIGNED_SHINGLES = 200_000
 # The outline of a set, by which most unlike pairs are told apart: its least number of
 # parts, and the shingles per part beyond which it gets more.
 OUTLINE_PARTS, OUTLINE_FILL = 128, 4
+# Sets of a leader that are paired without a look at their differences.
+PAIRED = 16
 
 _U = np.uint64
 
@@ -229,23 +235,27 @@ def _met(signed: DataFrame) -> DataFrame:
 
 
 def _shared(signed: DataFrame) -> DataFrame:
-    """(sig, leader, key): the sets of every signature that is needed to find all similar sets.
-
-    Similar sets share more than ``spare`` signatures of a partition, so the ``spare``
-    most frequent ones of each can be left out: of those that two similar sets share, the
-    rarest is among the others of both. Passages that many texts have in common go this
-    way. The leader is one of the sets of a signature.
+    """(a, b, n): the leader ``a`` of ``n`` signatures and each other set ``b`` they have.
+
+    Signatures are those needed to find all similar sets. Similar sets share more than
+    ``spare`` signatures of a partition, so the ``spare`` most frequent ones of each can
+    be left out: of those that two similar sets share, the rarest is among the others of
+    both. Passages that many texts have in common go this way. The leader is the set that
+    meets others most often, so that of many copies of a text it is one with few edits
+    and the same for most signatures.
     """
     met = stored(_met(signed))
     free_shuffles(signed.sparkSession)
     met = met.distinct()
     often = met.groupBy("sig").agg(F.count("*").alias("often"))
-    frequent = Window.partitionBy("key", F.pmod("sig", F.lit(PARTITIONS))).orderBy(F.desc("often"), "sig")
-    needed = stored(
-        met.join(often, "sig").withColumn("_nth", F.row_number().over(frequent)).where(F.col("_nth") > F.col("spare")).select("sig", "key")
+    own = Window.partitionBy("key", F.pmod("sig", F.lit(PARTITIONS)))
+    ranked = met.join(often, "sig").withColumns(
+        {"_nth": F.row_number().over(own.orderBy(F.desc("often"), "sig")), "meets": F.sum("often").over(own)}
     )
-    leaders = needed.groupBy("sig").agg(F.min("key").alias("leader"), F.max("key").alias("last")).where("leader < last")
-    return needed.join(leaders.drop("last"), "sig").where("key <> leader").select("sig", "leader", "key")
+    needed = stored(ranked.where(F.col("_nth") > F.col("spare")).select("sig", "key", "meets"))
+    leaders = needed.groupBy("sig").agg(F.max(F.struct("meets", "key")).alias("top"), F.count("*").alias("sets")).where("sets > 1")
+    led = needed.join(leaders.select("sig", F.col("top.key").alias("leader")), "sig").where("key <> leader")
+    return led.groupBy(F.col("leader").alias("a"), F.col("key").alias("b")).agg(F.count("*").alias("n"))
 
 
 def _similarities(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -266,10 +276,82 @@ def _similarities(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 ["a", "b", "common", "total"],
             )
 
+    return _side_by_side(pairs, sets).mapInArrow(compare, "a bigint, b bigint, common bigint, total bigint")
+
+
+def _side_by_side(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, x, y): pairs of set keys and their shingles."""
     x, y = sets.toDF("a", "x"), sets.toDF("b", "y")
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(
-        compare, "a bigint, b bigint, common bigint, total bigint"
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
+
+
+def _differences(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
+    """(leader, key, n, excess, diff) of pairs (a, b): the shingles that only one of the two sets has.
+
+    ``excess`` is (q+p)n - (q-p) times the size of set b, for t = p/q. Two sets x and y are
+    similar if and only if their differences from any third set have (excess of x +
+    excess of y) / 2(q+p) shingles in common at least.
+    """
+    more, less = t.denominator + t.numerator, t.denominator - t.numerator
+
+    def rows(leaders: list, keys: list, sizes: list[int], diffs: list[np.ndarray]) -> pa.RecordBatch:
+        n = np.array([len(d) for d in diffs], np.int64)
+        ends = pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(leaders, pa.int64()), pa.array(keys, pa.int64()), pa.array(n),
+             pa.array(more * n - less * np.array(sizes, np.int64)),
+             pa.ListArray.from_arrays(ends, pa.array(as_signed(np.concatenate(diffs))))],
+            ["leader", "key", "n", "excess", "diff"],
+        )
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
+        for batch in batches:
+            found: tuple[list, ...] = ([], [], [], [])
+            size = 0
+            for a, b, x, y in zip(*(batch.column(c) for c in ("a", "b", "x", "y"))):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                diff = np.setxor1d(x, y, assume_unique=True)
+                for held, value in zip(found, (a.as_py(), b.as_py(), len(y), diff)):
+                    held.append(value)
+                size += len(diff)
+                if size >= SIGNED_SHINGLES:
+                    yield rows(*found)
+                    found, size = ([], [], [], []), 0
+            if found[0]:
+                yield rows(*found)
+
+    return _side_by_side(pairs, sets).mapInArrow(compare, "leader bigint, key bigint, n bigint, excess bigint, diff array<bigint>")
+
+
+def _same_differences(members: DataFrame, diffs: DataFrame, t: Fraction) -> DataFrame:
+    """Pairs (x, y) of a leader's sets that may be similar, x not similar to the leader.
+
+    A set that is not similar to the leader has an excess so large that any similar set
+    shares a difference with it, often many. The differences of each set are ordered, the
+    rarest among the leader's sets first, and of two similar sets the first one in common
+    comes so early in both that those from there on are enough.
+    """
+    twice = 2 * (t.denominator + t.numerator)
+    told = diffs.drop("diff").join(members.select("leader", "key", "group", "led"), ["leader", "key"])
+    least = told.groupBy("leader").agg(F.min("excess").alias("any"), F.min(F.when(~F.col("led"), F.col("excess"))).alias("unlike"))
+    told = stored(told.join(least, "leader").withColumn("partner", F.when(F.col("led"), F.col("unlike")).otherwise(F.col("any"))))
+    each = diffs.select("leader", "key", F.explode("diff").alias("shingle"))
+    often = each.withColumn("often", F.count("*").over(Window.partitionBy("leader", "shingle")))
+    rarest = Window.partitionBy("leader", "key").orderBy("often", "shingle")
+    ranked = often.withColumn("nth", F.row_number().over(rarest)).where("often > 1")
+    early = stored(
+        ranked.join(told, ["leader", "key"])
+        .withColumn("enough", twice * (F.col("n") - F.col("nth") + 1))
+        .where(F.col("enough") >= F.col("excess") + F.col("partner"))
+        .select("leader", "shingle", "key", "excess", "enough", "group", "led")
     )
+    x, y = (early.select("leader", "shingle", *(F.col(c).alias(c + i) for c in ("key", "excess", "enough", "group", "led"))) for i in "xy")
+    return x.where(~F.col("ledx")).join(y, ["leader", "shingle"]).where(
+        (F.col("groupx") != F.col("groupy"))
+        & (F.col("ledy") | (F.col("keyx") < F.col("keyy")))
+        & (F.least("enoughx", "enoughy") >= F.col("excessx") + F.col("excessy"))
+    ).select(F.col("keyx").alias("x"), F.col("keyy").alias("y"))
 
 
 def _plausible(pairs: DataFrame, outlines: DataFrame, t: Fraction) -> DataFrame:
@@ -299,21 +381,21 @@ def similar_pairs(docs: DataFrame, sets: DataFrame, id_column: str, text_column:
     Two sets that share a signature are compared, or else connected by other links. To
     need few comparisons, every set is compared with the leader that it shares the most
     signatures with; then with its other leaders that it is not connected with; then
-    those not connected with a leader with all others of the signature. Before two sets
-    are laid side by side their outlines are compared, which rules out most unlike pairs
-    and no similar one, and in the last step so do the distances to the leader (the
-    Jaccard distance obeys the triangle inequality).
+    those not connected with a leader with the others of that leader: with all, if they
+    are few, by the distances to the leader (the Jaccard distance obeys the triangle
+    inequality), else with those that differ from it in the same shingles. Before two
+    sets are laid side by side their outlines are compared, which rules out most unlike
+    pairs and no similar one.
     """
     apart = float(1 - t) + 1e-9
     is_link = F.col("common") * t.denominator >= F.col("total") * t.numerator
-    shared = stored(_shared(_signed(docs, text_column, t)))
+    counted = stored(_shared(_signed(docs, text_column, t)))
     free_shuffles(docs.sparkSession)
     outlines = stored(
         sets.where("key is not null").groupBy("key").agg(
             F.min(id_column).alias("i"), F.first("n_shingles").alias("n_shingles"), F.first("outline").alias("outline")
         )
     )
-    counted = shared.groupBy(F.col("leader").alias("a"), F.col("key").alias("b")).agg(F.count("*").alias("n"))
     looked = stored(_plausible(counted.select("a", "b"), outlines, t).join(counted, ["a", "b"]))
     maybe = looked.where(F.col("least") <= apart)
 
@@ -346,21 +428,28 @@ def similar_pairs(docs: DataFrame, sets: DataFrame, id_column: str, text_column:
     )
     of_leader = groups.select(F.col("key").alias("leader"), F.col("group").alias("leaders"))
     members = stored(
-        shared.join(known, ["leader", "key"]).join(groups, "key", "left").join(of_leader, "leader", "left").select(
-            "sig", "key", "d", "least", F.coalesce("group", "key").alias("group"),
+        known.join(groups, "key", "left").join(of_leader, "leader", "left").select(
+            "leader", "key", "d", "least", F.coalesce("group", "key").alias("group"),
             (F.coalesce("group", "key") == F.coalesce("leaders", "leader")).alias("led"),
         )
     )
-    free_shuffles(docs.sparkSession)
-    x = members.where(~F.col("led")).select(
-        "sig", F.col("key").alias("x"), F.coalesce("d", "least").alias("dx"), F.col("group").alias("gx")
+    unsettled = members.groupBy("leader").agg(F.count("*").alias("sets"), F.count_if(~F.col("led")).alias("unlike"))
+    unsettled = stored(unsettled.where("unlike > 0 and sets > 1").select("leader", "sets"))
+    few = members.join(unsettled.where(F.col("sets") <= PAIRED), "leader", "left_semi")
+    many = stored(members.join(unsettled.where(F.col("sets") > PAIRED), "leader", "left_semi"))
+    x = few.where(~F.col("led")).select(
+        "leader", F.col("key").alias("x"), F.coalesce("d", "least").alias("dx"), F.col("group").alias("gx")
     )
-    y = members.select("sig", F.col("key").alias("y"), F.col("d").alias("dy"), F.col("group").alias("gy"), "led")
-    rest = x.join(y, "sig").where(
+    y = few.select("leader", F.col("key").alias("y"), F.col("d").alias("dy"), F.col("group").alias("gy"), "led")
+    rest = x.join(y, "leader").where(
         (F.col("gx") != F.col("gy"))
         & (F.col("led") | (F.col("x") < F.col("y")))
         & (F.col("dy").isNull() | (F.col("dx") - F.col("dy") <= apart))
-    )
+    ).select("x", "y")
+    far = many.select(F.col("leader").alias("a"), F.col("key").alias("b"))
+    diffs = stored(_differences(far, _laid_out(docs, outlines, far, text_column, id_column), t))
+    rest = stored(rest.union(_same_differences(many, diffs, t)))
+    free_shuffles(docs.sparkSession)
     rest = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     more = _plausible(rest, outlines, t).where(F.col("least") <= apart).select("a", "b")
     both_ways = told.select("a", "b").union(told.select("b", "a"))
@@ -368,9 +457,8 @@ def similar_pairs(docs: DataFrame, sets: DataFrame, id_column: str, text_column:
     return links.union(more.where(is_link).select("a", "b"))
 
 
-def _compared(docs: DataFrame, outlines: DataFrame, pairs: DataFrame, text_column: str, id_column: str) -> DataFrame:
-    """:func:`_similarities` of pairs of set keys, whose texts are read again."""
-    pairs = stored(pairs)
+def _laid_out(docs: DataFrame, outlines: DataFrame, pairs: DataFrame, text_column: str, id_column: str) -> DataFrame:
+    """(key, shingles) of the sets in stored pairs (a, b) of keys, whose texts are read again."""
     keys = stored(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct())
     ids = stored(outlines.join(keys, "key").select("i").distinct())
 
@@ -386,8 +474,13 @@ def _compared(docs: DataFrame, outlines: DataFrame, pairs: DataFrame, text_colum
     asked = where_id_in(named, "i", ids).unionByName(named.where("i is null"))
     laid = by_batch(asked.select("t"), lay_out, "key bigint, shingles binary")
     # an id may stand for several rows and sets: of each set that is asked for, one
-    full = laid.join(keys, "key", "left_semi").groupBy("key").agg(F.first("shingles").alias("shingles"))
-    return _similarities(pairs, full)
+    return laid.join(keys, "key", "left_semi").groupBy("key").agg(F.first("shingles").alias("shingles"))
+
+
+def _compared(docs: DataFrame, outlines: DataFrame, pairs: DataFrame, text_column: str, id_column: str) -> DataFrame:
+    """:func:`_similarities` of pairs of set keys, whose texts are read again."""
+    pairs = stored(pairs)
+    return _similarities(pairs, _laid_out(docs, outlines, pairs, text_column, id_column))
 
 
 def near_duplicates(

@@ -125,6 +125,42 @@ def test_a_passage_of_all_texts(spark):
     assert got == {i: i if i < 1000 else i - 1000 for i, *_ in rows}
 
 
+def test_pairs_of_many_edited_copies_do_not_grow_with_their_square(spark, monkeypatch):
+    rng = random.Random(11)
+    base = " ".join(f"b{i}" for i in range(70))
+    words = [base.split() for _ in range(300)]
+    for i, w in enumerate(words):
+        for _ in range(1 + i % 5):
+            w[rng.randrange(70)] = f"new{rng.randrange(10**6)}"
+    texts = [" ".join(w) for w in words]
+    texts += [edited(rng, t, 1) for t in texts[4:60:5]]  # linked with each other, most of them not with the rest
+    rows = [(i * 7 % 1009, t, "", 0) for i, t in enumerate(texts)]
+    tried, plausible = [], jaccard_join._plausible
+
+    def counting(pairs, *rest):
+        tried.append(pairs.count())
+        return plausible(pairs, *rest)
+
+    monkeypatch.setattr(jaccard_join, "_plausible", counting)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()}
+    sets = [plain_set(t) for t in texts]
+    edges = [(rows[i][0], rows[j][0]) for i in range(len(rows)) for j in range(i) if similar(sets[i], sets[j])]
+    assert got == roots([r[0] for r in rows], edges)
+    assert 20 < len(set(got.values())) < 250
+    assert sum(tried) < 20 * len(rows)
+
+
+@pytest.mark.parametrize("paired, seed, t", [(0, 5, Fraction(3, 4)), (4, 6, Fraction(3, 5))])
+def test_differences_from_a_leader_as_brute_force(spark, monkeypatch, paired, seed, t):
+    monkeypatch.setattr(jaccard_join, "PAIRED", paired)
+    texts = corpus(seed, 300)
+    rows = [(i, x, "", 0) for i, x in enumerate(texts)]
+    got = jaccard_join.near_duplicates(spark.createDataFrame(rows, DOCS), t).collect()
+    sets = [plain_set(x) for x in texts]
+    edges = [(i, j) for i in range(len(rows)) for j in range(i) if similar(sets[i], sets[j], t)]
+    assert {r["doc_id"]: r["component_id"] for r in got} == roots(range(len(rows)), edges)
+
+
 def test_components_of_chains_and_stars(spark):
     rng = random.Random(9)
     edges = [(i, i + 1) for i in range(100, 160)] + [(1, 500 + i) for i in range(50)] + [(700, 700), (None, 3)]
