@@ -16,6 +16,8 @@ from .tables import held
 
 # Chunks and words a Python worker remembers; beyond it the memory starts anew.
 REMEMBERED = 1_000_000
+# Words the library encodes in one call, which takes memory for each until it returns.
+LEARNED = 20_000
 
 # What the vocabulary file declares, for which the quick path below holds.
 KNOWN_NORMALIZER = {
@@ -236,9 +238,13 @@ class Vocabulary:
         return out
 
     def _learn(self, chunks: list[str]) -> None:
-        """Let the library encode all plain words not seen yet in one call."""
+        """Let the library encode all plain words not seen yet, many in one call."""
         words = {w for c in chunks for w in self._plain_words(c) or ()}
         fresh = [w for w in words if w.isalpha() and w not in self._word_ids]
+        for i in range(0, len(fresh), LEARNED):
+            self._learn_words(fresh[i : i + LEARNED])
+
+    def _learn_words(self, fresh: list[str]) -> None:
         if len(fresh) < 2:
             return
         found = self.library.encode_batch_fast([" ".join(fresh)], add_special_tokens=False)[0]

@@ -49,6 +49,8 @@ def where_id_in(df: DataFrame, column: str, ids: DataFrame, keep: bool = True) -
 
 # What this Python worker keeps from one task to the next: owner -> (key, value).
 _held: dict[object, tuple[object, object]] = {}
+# Whose task this worker served last.
+_served: list[object] = [None]
 
 
 def held(owner: object, key: object, make: Callable[[], object]) -> object:
@@ -58,18 +60,26 @@ def held(owner: object, key: object, make: Callable[[], object]) -> object:
     the next stage does not pay for what the last one remembered.
     """
     if owner not in _held or _held[owner][0] is not key:
-        let_go()
+        _held.pop(owner, None)
+        let_go(but=owner)
         _held[owner] = key, make()
+        hand_back()
     return _held[owner][1]
 
 
 def let_go(but: object = None) -> None:
-    """Free what this Python worker keeps for other owners, and hand the memory back."""
+    """Free what this Python worker keeps for other owners, and hand back what it used for them."""
     others = [owner for owner in _held if owner != but]
-    if not others:
+    before, _served[0] = _served[0], but
+    if not others and before == but:
         return
     for owner in others:
         del _held[owner]
+    hand_back()
+
+
+def hand_back() -> None:
+    """Give memory that is free, but kept by this process for later, back to the system."""
     gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc keeps freed pages otherwise

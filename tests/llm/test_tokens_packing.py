@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from duskwatch.llm import packing, token_counts
+from duskwatch.llm import bpe, packing, tables, token_counts
 from duskwatch.llm.bpe import Merges, Vocabulary
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -113,3 +113,42 @@ def test_empty_tables(docs):
     none = docs.limit(0)
     assert token_counts.count_tokens(none, PATH).count() == 0
     assert packing.pack_documents(none, PATH, 2).count() == 0
+
+
+class Spy:
+    """The library, with the words that each call encodes counted."""
+
+    def __init__(self, library):
+        self.library, self.words = library, []
+
+    def encode_batch_fast(self, texts, **options):
+        self.words.append(sum(len(t.split()) for t in texts))
+        return self.library.encode_batch_fast(texts, **options)
+
+    def __getattr__(self, name):
+        return getattr(self.library, name)
+
+
+def test_new_words_are_encoded_a_few_at_a_time(library, monkeypatch):
+    monkeypatch.setattr(bpe, "LEARNED", 50, raising=False)
+    rng = random.Random(3)
+    text = " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(501))
+    words = Vocabulary(PATH)
+    spy = words.library = Spy(words.library)
+    assert words.ids(pa.array([text, ""]))[0].tolist() == library.encode(text, add_special_tokens=False).ids
+    assert max(spy.words) <= 50
+
+
+def test_a_worker_hands_memory_back_when_another_operator_begins(monkeypatch):
+    monkeypatch.setattr(tables, "_held", {})
+    monkeypatch.setattr(tables, "_served", [None], raising=False)
+    calls = []
+    monkeypatch.setattr(tables.gc, "collect", lambda: calls.append(1))
+    tables.let_go()
+    assert not calls
+    tables.let_go(but="x")
+    assert len(calls) == 1
+    tables.held("x", None, dict)
+    seen = len(calls)
+    tables.let_go(but="x")
+    assert seen > 1 and len(calls) == seen
